@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollscan.llm import exactdedup, mixing, packing, urlfilter
+from rollscan.llm import exactdedup, fingerprint, langid, mixing, packing, quality, urlfilter
 from rollscan.llm.common import WORD, table
 
 #: The rules of the URL query.
@@ -23,6 +23,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(pages, rules).drop("url")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), langid.held_out(3, 1))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(4, 2))
+    return langid.predict(docs, langid.fit(docs, ~langid.held_out(4, 2)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -32,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op7_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op4_quality_rules, op6_fingerprints, op7_exact_dedup, op9_language_id, op10_best_fit_packing)}
 
 
 OP1 = f"""

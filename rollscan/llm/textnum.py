@@ -83,7 +83,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[n
     out[inside] = rolled[where[inside]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         w = words[first[i] : first[i + 1]]
-        out[at[i]] = np.sum(w * np.array(_PLACES[: len(w)], U)) + _PLACES[8 + len(w)]
+        out[at[i]] = np.sum(np.append(w * np.array(_PLACES[: len(w)], U), _PLACES[8 + len(w)]))
     return mix64(out), number
 
 
