@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every word contract; anything else belongs to a word.
@@ -56,3 +56,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def held_out(parts: int, which: int) -> Column:
+    """Whether crc32 of doc_id as text leaves `which` when divided by `parts`."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % parts == which

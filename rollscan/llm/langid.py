@@ -155,7 +155,3 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     schema = RESULT + "".join(f", {c} boolean" for c in extra)
     return docs.select(F.col("doc_id").cast("long"), "text", letters, *extra).mapInArrow(run, schema)
-
-
-def held_out(parts: int, which: int) -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % parts == which

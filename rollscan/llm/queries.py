@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollscan.llm import exactdedup, fingerprint, langid, mixing, packing, quality, urlfilter
-from rollscan.llm.common import WORD, table
+from rollscan.llm import exactdedup, fingerprint, langid, mixing, packing, quality, toxicity, urlfilter, warc
+from rollscan.llm.common import WORD, held_out, table
 
 #: The rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -23,8 +24,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(pages, rules).drop("url")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, held_out(5, 0))
+    scored = toxicity.score_documents(docs.select("doc_id", "text", held_out(5, 0).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), langid.held_out(3, 1))
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(3, 1))
+
+
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +44,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(4, 2))
-    return langid.predict(docs, langid.fit(docs, ~langid.held_out(4, 2)))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4, 2))
+    return langid.predict(docs, langid.fit(docs, ~held_out(4, 2)))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op4_quality_rules, op6_fingerprints, op7_exact_dedup, op9_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_toxicity, op4_quality_rules, op5_warc_archives, op6_fingerprints, op7_exact_dedup, op9_language_id, op10_best_fit_packing)}
 
 
 OP1 = f"""
@@ -106,6 +118,16 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+OP5 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1, "op2_url_filter": OP2, "op7_exact_dedup": OP7}
+    return {"op1_source_mix": OP1, "op2_url_filter": OP2, "op5_warc_archives": OP5, "op7_exact_dedup": OP7}
