@@ -3,10 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollscan.llm.common import stage, table
+from rollscan.llm import bloom, exactdedup, mixing, ngramjoin, packing, toxicity
+from rollscan.llm.common import held_out, stage, table
 
-STAGES: list = []
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.5 or more go; the classifier learns from the labelled documents among docs."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out(5, 0))
+    return toxicity.score_documents(docs, model, "toxicity").filter("toxicity < 0.5").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    found = stage(exactdedup.exact_dedup(docs, keep="largest").filter("NOT kept"), "dropped")
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
+    dropped = stage(found.select(key(F.col("text_sha256")).alias("dropped")), "dropped-keys")
+    return bloom.semi(docs, key(F.sha2(F.coalesce("text", F.lit("")), 256)), dropped, "dropped", keep=False)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest doc_id stays."""
+    found = ngramjoin.near_duplicates(docs)
+    dropped = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("dropped")), "dropped")
+    return bloom.semi(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), dropped, "dropped", keep=False)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, as documents; see mixing.mixed_documents."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents with their places in sequences."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+#: Learned scores, shingle components and token ids have no SQL form.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscan.llm import exactdedup, fingerprint, langid, mixing, packing, quality, toxicity, urlfilter, warc
+from rollscan.llm import exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
 from rollscan.llm.common import WORD, held_out, table
 
 #: The rules of the URL query.
@@ -52,12 +52,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_toxicity, op4_quality_rules, op5_warc_archives, op6_fingerprints, op7_exact_dedup, op9_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_toxicity, op4_quality_rules, op5_warc_archives, op6_fingerprints, op7_exact_dedup, op8_ngram_jaccard_join, op9_language_id, op10_best_fit_packing)}
 
 
 OP1 = f"""

@@ -7,12 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollscan.llm import bloom
 from rollscan.llm.common import BROADCAST_ROWS, sized, stage
 
-#: Bits of a filter block: four words of 64, one bit set in each.
-WORDS, BLOCK_BITS = 4, 256
-
-
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Canonical parts: host lower-cased (A-Z), path up to ? or #; both empty where there is no ``://``."""
     there = F.instr(url, "://")
@@ -21,22 +18,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, string.ascii_uppercase, string.ascii_lowercase), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _bits(key: Column) -> list[Column]:
-    h = F.xxhash64(key, F.lit(1))
-    return [F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int") for i in range(WORDS)]
-
-
-def _block(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n))
-
-
-def build_filter(rules: DataFrame, n_rules: int, bits_per_rule: int = 16, max_blocks: int = 65_536) -> tuple[DataFrame, int]:
-    """The filter as rows (block, w0..w3) of the blocks that have a bit set; at most max_blocks rows whatever the list's length."""
-    n = max(1, min(max_blocks, -(-n_rules * bits_per_rule // BLOCK_BITS)))
-    words = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), b)).alias(f"w{i}") for i, b in enumerate(_bits(F.col("rule")))]
-    return rules.groupBy(_block(F.col("rule"), n).alias("block")).agg(*words), n
-
-
 def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """pages' columns with host, path, rule and verdict.
 
@@ -58,11 +39,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", url
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape["lengths"])]), lambda x: x.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
     probes = parted.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("rule"))
-    bloom, blocks = build_filter(listed, shape["n"])
-    hit = F.lit(True)
-    for i, b in enumerate(_bits(F.col("rule"))):
-        hit &= F.call_function("shiftrightunsigned", F.col(f"w{i}"), b).bitwiseAND(1) == 1
-    possible = probes.withColumn("block", _block(F.col("rule"), blocks)).join(F.broadcast(bloom), "block").filter(hit).select("host", "path", "rule")
+    possible = bloom.probe(probes, F.col("rule"), bloom.build(listed, "rule", shape["n"]), "possible").filter("possible").drop("possible")
     exact = possible.join(sized(listed.select("rule", "action"), shape["n"]), "rule")
     first = F.struct((-F.length("rule")).alias("l"), F.col("rule").alias("r"))
     best = exact.groupBy("host", "path").agg(F.min_by("rule", first).alias("rule"), F.min_by("action", first).alias("verdict"))
