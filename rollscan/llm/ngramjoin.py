@@ -81,35 +81,63 @@ class Forest:
 
 
 class Tree:
-    """A packed R-tree over points: leaves of LEAF points in order of set size, each with its upper corner and sizes."""
+    """A packed R-tree over points: leaves of LEAF points in order of set size, each with its upper corner and sizes.
+
+    A leaf holds points of one fineness. Linked sets differ in size by a quarter at most, so a leaf meets leaves of its own
+    fineness and of the next one, which are folded onto it.
+    """
 
     def __init__(self, sizes: np.ndarray, points: list[np.ndarray]):
         self.order = np.lexsort((np.array([int(p[0]) for p in points]), sizes))
         self.sizes = sizes[self.order]
-        self.dims = min(map(len, points))
-        self.points = np.array([folded(points[i], self.dims) for i in self.order])
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.upper = np.maximum.reduceat(self.points, cuts, axis=0)
-        self.low, self.high = self.sizes[cuts], self.sizes[np.minimum(cuts + LEAF, len(sizes)) - 1]
-
-    def near(self, leaf: int, percent: int) -> np.ndarray:
+        self.leaves: list[tuple[int, int]] = []  # bounds in the order
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}  # fineness: points, upper corners of leaves, first leaf
+        dims = np.array([len(points[i]) for i in self.order])
+        self.level = dims
+        for d in np.unique(dims).tolist():
+            lo, hi = np.searchsorted(dims, [d, d + 1])
+            cuts = np.arange(lo, hi, LEAF)
+            held = np.array([points[i] for i in self.order[lo:hi]])
+            self.levels[d] = held, np.maximum.reduceat(held, cuts - lo, axis=0), len(self.leaves)
+            self.leaves += list(zip(cuts.tolist(), np.append(cuts[1:], hi).tolist()))
+        self.low, self.high = self.sizes[[a for a, _ in self.leaves]], self.sizes[[b - 1 for _, b in self.leaves]]
+
+    def _points(self, leaf: int, dims: int) -> np.ndarray:
+        a, b = self.leaves[leaf]
+        held, _, first = self.levels[int(self.level[a])]
+        base = self.leaves[first][0]
+        part = held[a - base : b - base]
+        return part if part.shape[1] == dims else part.reshape(len(part), -1, dims).sum(1)
+
+    def near(self, leaf: int, percent: int) -> list[int]:
         """Leaves from `leaf` on whose points may reach the similarity with one of its points."""
-        rest = slice(leaf, len(self.low))
-        bound = np.minimum(self.upper[rest], self.upper[leaf]).sum(1, dtype=np.int64)
-        fits = (bound >= least_overlap(self.low[rest] + 0, self.low[leaf], percent)) & (100 * self.high[leaf] >= percent * self.low[rest])
-        return np.flatnonzero(fits) + leaf
+        dims = int(self.level[self.leaves[leaf][0]])
+        _, upper, first = self.levels[dims]
+        mine, out = upper[leaf - first], []
+        for d in (dims, 2 * dims):
+            if d in self.levels:
+                _, corners, start = self.levels[d]
+                corners = corners[max(0, leaf - start) :]
+                start = max(start, leaf)
+                at = slice(start, start + len(corners))
+                corners = corners if d == dims else corners.reshape(len(corners), -1, dims).sum(1)
+                bound = np.minimum(corners, mine).sum(1, dtype=np.int64)
+                fits = (bound >= least_overlap(self.low[at], self.low[leaf], percent)) & (100 * self.high[leaf] >= percent * self.low[at])
+                out += (np.flatnonzero(fits) + start).tolist()
+        return out
 
     def pairs(self, percent: int, forest: Forest) -> Iterator[tuple[int, int]]:
         """Pairs that may be linked and join two parts of the forest, which takes each."""
-        n = len(self.sizes)
-        for leaf in range(len(self.low)):
-            a = np.arange(leaf * LEAF, min((leaf + 1) * LEAF, n))
+        for leaf, (a0, a1) in enumerate(self.leaves):
+            dims = int(self.level[a0])
+            mine = self._points(leaf, dims)
             for other in self.near(leaf, percent):
-                b = np.arange(other * LEAF, min((other + 1) * LEAF, n))
-                bound = np.minimum(self.points[a][:, None], self.points[b][None]).sum(2, dtype=np.int64)
-                need = least_overlap(self.sizes[a][:, None], self.sizes[b][None], percent)
-                for i, j in zip(*np.nonzero(bound >= need)):
-                    i, j = int(self.order[a[i]]), int(self.order[b[j]])
+                b0, b1 = self.leaves[other]
+                bound = np.minimum(mine[:, None], self._points(other, dims)[None]).sum(2, dtype=np.int64)
+                small, large = self.sizes[a0:a1][:, None], self.sizes[b0:b1][None]
+                hit = (bound >= least_overlap(small, large, percent)) & (100 * np.minimum(small, large) >= percent * np.maximum(small, large))
+                for i, j in zip(*np.nonzero(hit)):
+                    i, j = int(self.order[a0 + i]), int(self.order[b0 + j])
                     if i != j and forest.join(i, j):
                         yield i, j
 
@@ -365,16 +393,18 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, degree: D
                     forest.join(tied, x)
             sizes = np.array(list(map(len, sets)))
             points = [point(s) for s in sets]
-            dims = min(map(len, points))
-            grid = np.array([folded(p, dims) for p in points])
+            fineness = np.array(list(map(len, points)))
             cols_ = np.array(sorted(cols_, key=lambda x: sizes[x]), dtype=int)
             out = []
             for x in rows_ if len(cols_) else []:
-                bound = np.minimum(grid[cols_], grid[x]).sum(1, dtype=np.int64)
-                for y in cols_[bound >= least_overlap(sizes[cols_], sizes[x], percent)]:
-                    if forest.root(x) != forest.root(int(y)) and linked(sets[x], sets[y], percent):
-                        forest.join(x, int(y))
-                        out.append((names[x], names[y]))
+                lo, hi = np.searchsorted(sizes[cols_], [-(-percent * sizes[x] // 100), 100 * sizes[x] // percent + 1])
+                for y in cols_[lo:hi].tolist():
+                    if forest.root(x) != forest.root(y):
+                        dims = min(fineness[x], fineness[y])
+                        bound = int(np.minimum(folded(points[x], dims), folded(points[y], dims)).sum(dtype=np.int64))
+                        if bound >= least_overlap(sizes[x], sizes[y], percent) and linked(sets[x], sets[y], percent):
+                            forest.join(x, y)
+                            out.append((names[x], names[y]))
             columns = list(zip(*out)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
