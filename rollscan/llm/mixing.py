@@ -78,9 +78,11 @@ def draw_blocks(sources: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     drawn = slots.join(sized(bins, rows=max(4096, n) + n), "bin").filter("u >= lo AND u < hi").groupBy("rank", "shard").agg(F.count("*").alias("drawn"))
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("start", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
-    runs = drawn.join(sized(sources, rows=n), "rank").select("rank", "blocks", "shard", "start", (F.least("slots", F.col("start") + F.col("drawn")) - 1).alias("end"))
-    # settle: slots beyond a source's number are given up, missing ones are dealt to the shards in turn
+    # settle: what is drawn beyond a source's number is given up evenly over the shards, what is missing is dealt to them in turn
     got = drawn.groupBy("rank").agg(F.sum("drawn").alias("got"))
+    runs = drawn.join(sized(sources, rows=n), "rank").join(sized(got, rows=n), "rank")
+    kept = lambda c: F.when(F.col("got") > F.col("slots"), F.expr(f"cast(cast({c} as decimal(19,0)) * cast(slots as decimal(19,0)) div got as bigint)")).otherwise(F.expr(c))
+    runs = runs.select("rank", "blocks", "shard", kept("start").alias("start"), (kept("(start + drawn)") - 1).alias("end"))
     short = sources.join(sized(got, rows=n), "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < slots")
     runs = runs.unionByName(short.select("rank", "blocks", F.lit(-1).cast("long").alias("shard"), F.col("got").alias("start"), (F.col("slots") - 1).alias("end")))
     j = runs.filter("end >= start").select("rank", "blocks", "shard", F.explode(F.expr("sequence(start, end)")).alias("slot"))
@@ -151,7 +153,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     some = F.expr("filter(parts, p -> p.times >= copy)")
     cut = F.array_join(F.flatten(F.transform(some, lambda p: F.slice(F.col("words"), (p.lo + 1).cast("int"), (p.hi - p.lo).cast("int")))), "")
-    whole = F.size(some) == F.size("parts")
+    whole = F.aggregate(some, F.lit(0).cast("long"), lambda n, p: n + p.hi - p.lo) == _word_count(F.col("text"))
     rows = rows.withColumn("words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))

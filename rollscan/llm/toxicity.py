@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, target: str = "tox
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["feature", "pos", "neg"])
 
     table = sample.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    sizes = (int(share and sample.filter("y = 1").count()), int(share and sample.filter("y = 0").count()))
+    sizes = (sample.filter("y = 1").count(), sample.filter("y = 0").count())
     # at least as frequent as the evidence asks for: a few thousand features of a bounded sample
     counts = {f: (p, q) for f, p, q in table.filter(f"feature <> '' AND pos >= 3 AND pos * {max(1, sizes[1])} > 4 * neg * {max(1, sizes[0])}").collect() if strength(p, q, sizes) > 0}
 

@@ -44,13 +44,13 @@ def shard_cuts(ids: DataFrame, shard_bytes: int, bins: int = 4096) -> np.ndarray
     width, rows = hi - lo + 1, ids
     while True:
         width = max(1, -(-width // bins))
-        at = F.expr(f"cast((id - {lo}) div {width} as decimal(20,0))")
+        at = F.expr(f"(id - {lo}) div {width}")
         found = {int(b) * width + lo: int(n) for b, n in rows.groupBy(at.alias("b")).agg(F.sum("n")).collect()}
         heavy = [b for b, n in found.items() if n > shard_bytes] if width > 1 else []
         held |= {b: n for b, n in found.items() if b not in set(heavy)}
         if not heavy:
             break
-        listed = ids.sparkSession.createDataFrame([((b - lo) // width,) for b in heavy], "b decimal(20,0)")
+        listed = ids.sparkSession.createDataFrame([((b - lo) // width,) for b in heavy], "b long")
         rows = rows.withColumn("b", at).join(F.broadcast(listed), "b", "left_semi").drop("b")
     cuts, total = [], 0
     for b in sorted(held):
