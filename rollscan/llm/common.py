@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollscan.staging import shared_dir, stage  # noqa: F401  (used through this module)
+
 #: White space of every word contract; anything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
@@ -20,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='rollscan-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, keeps true sizes, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df hinted for the join it is the smaller side of: broadcast up to limit rows (counted), else sort-merge, whose skewed keys AQE splits."""
     n = df.count() if rows is None else rows

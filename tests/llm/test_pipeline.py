@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from rollscan.llm.common import stage
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
