@@ -41,6 +41,15 @@ def point(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens & U(groups_for(len(tokens)) - 1)).astype(np.int64), minlength=groups_for(len(tokens))).astype(np.uint16)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes, one a group where the counts allow it and two otherwise."""
+    return (p.astype(np.uint8) if p.max() < 256 else p).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_for(n) else np.uint16).astype(np.uint16)
+
+
 def folded(p: np.ndarray, size: int) -> np.ndarray:
     return p if len(p) == size else p.reshape(-1, size).sum(0).astype(np.uint16)
 
@@ -189,7 +198,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                 early = s[~late][:size]
                 prefixes.append(np.concatenate((early, s[late][: size - len(early)])) if len(early) < size else early)
-                points.append(point(s).tobytes())
+                points.append(packed(point(s)))
             classes = mix64(marks ^ (sums * U(0x9E3779B97F4A7C15)) ^ np.array(list(map(len, sets)), U))
             offsets = np.concatenate(([0], np.cumsum(list(map(len, prefixes)))))
             flat = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((np.concatenate(prefixes) if prefixes else np.zeros(0, U)).view(np.int64)))
@@ -285,7 +294,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
         for _, g in _grouped(batches, ("gathering",)):
-            points = [np.frombuffer(p, np.uint16) for p in g["point"]]
+            points = [unpacked(p, n) for p, n in zip(g["point"], g["n"])]
             tree = Tree(np.array(g["n"], np.int64), points)
             out.update((min(a, b), max(a, b)) for a, b in ((g["class"][i], g["class"][j]) for i, j in tree.pairs(percent, Forest(len(points)))))
             if len(out) > 50_000:
