@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rollscan.functions import grading
 from rollscan.operators import astm, bank, calibrate, components, evaluate, params, positions, ranks, raster, report, tiles, track
 from rollscan.plans import views as v
+from rollscan.sources import images, store
+from rollscan.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -713,3 +715,54 @@ def balanced_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = v.cells(spark, sf_dir).withColumn("image", F.col("roll_id") * 100 + F.col("frame_index"))
     images = c.select("image").distinct().select("image", F.lit(50).alias("h"), F.lit(50).alias("w"))
     return evaluate.balanced_crops(images, c.filter("score >= 0.1").select("image", "y", "x"), 4, 16)
+
+
+# --- strips, listings, stored tables, phases -----------------------------------------------------------------------
+
+
+@query(f"""WITH {GEOMETRY}, {v.SCORES}, {_threshold_sql(BUDGET)}
+SELECT f.event_type AS sku, f.roll_id, f.frame_index, f.value AS peak, g.along_mm, threshold, 'frame maxima' AS what FROM v_frames f JOIN geometry g USING (roll_id, frame_index) JOIN cal ON cal.sku = f.event_type""")
+def score_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = v.frames(spark, sf_dir)
+    peaks = f.select(F.col("event_type").alias("sku"), "roll_id", "frame_index", F.col("value").alias("peak"))
+    return report.score_strip(peaks, positions.frame_geometry(f), conformal_threshold(spark, sf_dir))
+
+
+@query(f"WITH {PATCHES} SELECT roll_id, frame_index, y, x, round(avg(score), 9) AS score FROM pt GROUP BY ALL")
+def mosaic_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.mosaic(_patch_cells(spark, sf_dir), "mean").withColumn("score", F.round("score", 9))
+
+
+@query("""WITH f AS (SELECT '/' || lang || '/Frame' || doc_id || '.png' AS path, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS raw_index FROM documents)
+SELECT path, raw_index, raw_index // 3 AS frame_index, raw_index / 30::DOUBLE AS ts_s, 3::INT AS stride FROM f WHERE raw_index % 3 = 0""")
+def natural_frame_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = v.table(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "lang", F.lit("/Frame"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+    return images.strided(images.numbered(files), 3)
+
+
+@query("""SELECT doc_id::INT AS number, CASE WHEN toxic = 1 THEN '007' ELSE '000' END AS defect, lpad((doc_id % 9)::VARCHAR, 2, '0') AS fabric, toxic <> 1 AS clean, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS masks FROM labels""")
+def labelled_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    name = F.concat_ws("_", number, F.when(F.col("toxic") == 1, "007").otherwise("000"), F.lpad((F.col("doc_id") % 9).cast("string"), 2, "0"))
+    lab = v.table(spark, sf_dir, "labels").select("doc_id", name.alias("name"))
+    plain = lab.select(F.concat(F.lit("/images/"), "name", F.lit(".png")).alias("path"))
+    masks = lab.filter("doc_id % 5 = 0").select(F.explode(F.array(*[F.concat(F.lit("/masks/"), "name", F.lit(f"_mask{i}.png")) for i in (1, 2)])).alias("path"))
+    return images.labelled_images(plain.unionByName(masks)).select("number", "defect", "fabric", "clean", F.size("mask_paths").alias("masks"))
+
+
+@query(f"WITH {v.EVENTS} SELECT roll_id, event_id % 10 AS event_id, max(event_id) AS batch_id, arg_max(status, event_id) AS status FROM v_events GROUP BY 1, 2")
+def current_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.events(spark, sf_dir, ("roll_id", "event_id", "status"))
+    written = e.select("roll_id", (F.col("event_id") % 10).alias("event_id"), F.col("event_id").alias("batch_id"), "status")
+    return store.current_events(written)
+
+
+@query(f"WITH {v.FRAMES} SELECT roll_id, frame_index, CASE WHEN frame_index < 30 THEN 'learn' WHEN frame_index < 190 THEN 'calibrate' ELSE 'inspect' END AS phase FROM v_frames")
+def frame_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.phases(v.frames(spark, sf_dir).select("roll_id", "frame_index"), 30, 160)
+
+
+@query(f"""WITH {v.EVENTS} SELECT roll_id, count(*)::BIGINT AS events, count(*) FILTER (assertion = 'asserted') AS asserted, count(*) FILTER (status = 'rejected') AS rejected,
+  sum(CASE WHEN {COUNTED} THEN {POINTS} ELSE 0 END)::BIGINT AS points FROM v_events GROUP BY 1""")
+def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.counters_live(v.events(spark, sf_dir, ("roll_id", "assertion", "status", "length_mm")))
