@@ -94,7 +94,7 @@ def greedy_coreset(points: DataFrame, fraction: float, seed: int = 0, exact_limi
 def sample(rows: DataFrame, keys: list[str], row_id: str, n: int | Column, seed: int = 0) -> DataFrame:
     """N rows of each group without replacement, in an order fixed by the seed, so that smaller samples are nested in larger ones; `place` is the order."""
     w = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))), row_id)
-    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= n)
 
 
 def evenly_spaced(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

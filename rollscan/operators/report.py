@@ -89,13 +89,13 @@ def roll_events(events: DataFrame, roll_id, status: str | None = None) -> DataFr
 def top_by_position(events: DataFrame, n: int = 60) -> DataFrame:
     """The n furthest events of each roll."""
     w = Window.partitionBy("roll_id").orderBy(F.desc("along_start_mm"), F.desc("event_id"))
-    return events.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    return events.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= n)
 
 
 def evidence(detections: DataFrame, frames: int) -> DataFrame:
     """Detections in the first `frames` frames of a roll that have any."""
     w = Window.partitionBy("roll_id").orderBy("frame_index")
-    return detections.withColumn("nth", F.dense_rank().over(w)).filter(F.col("nth") <= frames)
+    return detections.withColumn("nth", F.dense_rank().over(w).cast("long")).filter(F.col("nth") <= frames)
 
 
 def documents(rolls: DataFrame, events: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def events(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> D
     e = {
         "sku": F.col("l_partkey") % 8,
         "roll_id": F.col("l_partkey"),
-        "event_id": F.row_number().over(Window.partitionBy("l_partkey").orderBy(*EVENT_ORDER)),
+        "event_id": F.row_number().over(Window.partitionBy("l_partkey").orderBy(*EVENT_ORDER)).cast("long"),
         "frame_index": F.floor(F.col("l_extendedprice") / 100),
         "along_start_mm": F.col("l_extendedprice"),
         "length_mm": F.col("l_quantity") * 10,
