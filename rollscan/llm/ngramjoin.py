@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollscan.llm import bloom
-from rollscan.llm.common import sized, slices, stage
+from rollscan.llm.common import BROADCAST_ROWS, sized, slices, stage
 from rollscan.llm.textnum import U, mix64, shingle_sets
 
 #: Members of a token's gathering, or of a block of it, that one tree holds.
@@ -308,24 +308,27 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's connected component, by alternating large and small stars.
-    edges: a, b with a <> b. Every round is written out; it ends when a round changes nothing."""
+    edges: a, b with a <> b. Every round is written out; it ends when a round changes nothing. A node's least neighbour is
+    looked up by broadcast only while the edges, which bound the nodes, are counted as few."""
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    measure = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+    mark = measure(edges)
+    while mark[0]:
+        few = 2 * mark[0] <= BROADCAST_ROWS
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, "large-star")
+        large = both.filter("v > u").join(sized(low, rows=2 * mark[0]), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large if few else stage(large.distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low.hint("merge"), "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = stage(small, "small-star")
-        new = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if new == mark or not new[0]:
+        joined = large.join(sized(low, rows=2 * mark[0]), "u")
+        arms = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = stage(joined.select(F.inline(arms)).filter("u <> v").distinct(), "small-star")
+        new = measure(edges)
+        if new == mark:
             break
         mark = new
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(roots.select("node").hint("merge"), "node", "left_anti"))
+    # every node but a root now has one edge, to its root
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -343,15 +346,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return sets.join(sized(wanted), F.col("doc_id") == F.col("rep")).drop("doc_id")
 
 
-def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, degree: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
-    """(a, b): links that span what is linked inside the candidate clusters. clusters: class, cluster."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = clusters.join(classes.select("class", "rep", "n").hint("merge"), "class").join(degree.hint("merge"), "class", "left")
+def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
+    """(a, b): links that span what is linked inside the candidate clusters. clusters: class, cluster. members: gathering, class."""
+    n, total = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), clusters.count()
+    degree = members.join(sized(clusters.select("class"), rows=total), "class", "left_semi").groupBy("class").agg(F.count("*").alias("degree"))
+    held = classes.select("class", "rep", "n").join(sized(clusters, rows=total), "class").join(sized(degree, rows=total), "class", "left")
     held = stage(held, "clusters")
     best = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.col("class").alias("c"))
     pivots = stage(held.groupBy("cluster").agg(F.max_by("class", best).alias("pivot"), F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("members")), "pivots")
     # the pivot goes to each part of its cluster and is read first there
-    dealt = held.join(pivots.hint("merge"), "cluster").withColumn("is_pivot", F.col("class") == F.col("pivot"))
+    dealt = held.join(sized(pivots, rows=total), "cluster").withColumn("is_pivot", F.col("class") == F.col("pivot"))
     part = F.when(F.col("is_pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts"))))
     dealt = stage(dealt.select("cluster", "class", "rep", "is_pivot", F.explode(part).alias("part")), "dealt")
 
@@ -374,11 +378,11 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, degree: D
     links = first.filter("linked").select("a", "b")
     # what the pivot leaves, against all of its cluster
     left = first.filter("NOT linked").select("cluster", F.col("b").alias("class"))
-    open_ = left.groupBy("cluster").agg(F.count("*").alias("m")).join(pivots.filter("members > 2").hint("merge"), "cluster")
+    open_ = left.groupBy("cluster").agg(F.count("*").alias("m")).join(sized(pivots.filter("members > 2"), rows=total), "cluster")
     open_ = stage(open_, "open")
     if not open_.count():
         return links
-    rest = held.join(open_.hint("merge"), "cluster").join(left.select("class", F.lit(True).alias("loose")).hint("merge"), "class", "left")
+    rest = held.join(sized(open_, rows=total), "cluster").join(sized(left.select("class", F.lit(True).alias("loose")), rows=total), "class", "left")
     rest = rest.filter("class <> pivot").withColumn("loose", F.coalesce("loose", F.lit(False)))
     rows, cols = F.ceil(F.col("m") / block).cast("long"), F.ceil(F.col("parts") / 4).cast("long")
     rest = rest.select("cluster", "class", "rep", "loose", rows.alias("rows"), cols.alias("cols"))
@@ -438,15 +442,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     tree_members = split_large(members).join(classes.select("class", "n", "point").hint("merge"), "class")
     edges = stage(candidates(tree_members, percent), "candidates")
     clusters = components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
-    degree = members.groupBy("class").agg(F.count("*").alias("degree"))
-    links = stage(verified(docs, classes, clusters, degree, k, percent), "links")
+    links = stage(verified(docs, classes, clusters, members, k, percent), "links")
     joined = components(links).select(F.col("node").alias("class"), "root")
-    joined = joined.join(classes.select("class", "rep").hint("merge"), "class")
+    nodes = joined.count()
+    joined = stage(classes.select("class", "rep").join(sized(joined, rows=nodes), "class"), "joined")
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    joined = joined.join(least.hint("merge"), "root").select("class", "component")
+    joined = joined.join(sized(least, rows=nodes), "root").select("class", "component")
     # only classes of several rows or in a component need a look-up
-    named = classes.filter("size > 1").select("class", "rep").join(joined.hint("merge"), "class", "full").select("class", F.coalesce("component", "rep").alias("component"))
+    alone = classes.filter("size > 1").select("class", F.col("rep").alias("component")).join(sized(joined.select("class"), rows=nodes), "class", "left_anti")
+    named = alone.unionByName(joined)
     named = stage(named, "components")
     plain = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    out = plain.join(named.hint("merge"), "class", "left")
+    out = plain.join(sized(named), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
