@@ -151,7 +151,7 @@ class Tree:
                         yield i, j
 
 
-def frequent_tokens(docs: DataFrame, k: int, per_batch: int = 4096) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, k: int, per_batch: int = 2048) -> np.ndarray:
     """Tokens that many documents hold: each run of per_batch documents reports those in more than 1 of 500 of them (4 at
     least), over all documents. This only orders tokens; the join is exact whatever is listed. At most MOST_FREQUENT tokens."""
 
@@ -166,7 +166,7 @@ def frequent_tokens(docs: DataFrame, k: int, per_batch: int = 4096) -> np.ndarra
         for batch in slices(batches, "text"):
             held += shingle_sets(batch.column("text"), k)
             n += batch.num_rows
-            if n >= per_batch or sum(map(len, held)) > 4_000_000:
+            if n >= per_batch or sum(map(len, held)) > 1_500_000:
                 yield report()
                 held, n = [], 0
         yield report()
