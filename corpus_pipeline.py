@@ -24,10 +24,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
-    found = ngramjoin.near_duplicates(docs)
-    dropped = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("dropped")), "dropped")
-    return bloom.semi(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), dropped, "dropped", keep=False)
+    """Of each component of near duplicates the row with the smallest doc_id stays (a null one last, the least hash of the text
+    where rows share it)."""
+    dropped = stage(ngramjoin.copies(docs), "dropped")
+    return bloom.semi(docs, ngramjoin.row_key(F.col("doc_id"), F.xxhash64("text")), dropped, "dropped", keep=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

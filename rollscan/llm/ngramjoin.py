@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscan.llm import bloom
@@ -175,8 +175,20 @@ def frequent_tokens(docs: DataFrame, k: int, per_batch: int = 2048) -> np.ndarra
     return np.sort(found.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(U))
 
 
+def class_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set; 0 sums for empty ones."""
+    sums = np.array([np.sum(s) for s in sets], U)
+    marks = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], U)
+    return mix64(marks ^ (sums * U(0x9E3779B97F4A7C15)) ^ np.array(list(map(len, sets)), U)).view(np.int64)
+
+
+def row_key(doc_id: Column, mark: Column) -> Column:
+    """Names rows by doc_id (null or not) and the hash of their text: only repeated rows share it."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), mark.cast("string"))
+
+
 def describe(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, class (a hash of the set), prefix (tokens that a linked set must share one of), point."""
+    """doc_id, mark (a hash of the text), n, class (a hash of the set), prefix (tokens that a linked set must share one of), point."""
     listed = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +196,12 @@ def describe(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
             prefixes, points = [], []
-            sums, marks = np.zeros(len(sets), U), np.zeros(len(sets), U)
-            for i, s in enumerate(sets):
+            for s in sets:
                 n = len(s)
                 if not n:
                     prefixes.append(s)
                     points.append(b"")
                     continue
-                sums[i], marks[i] = np.sum(s), np.bitwise_xor.reduce(mix64(s))
                 size = n - -(-percent * n // 100) + 1
                 late = np.zeros(n, bool)
                 if len(last):
@@ -199,12 +209,12 @@ def describe(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
                 early = s[~late][:size]
                 prefixes.append(np.concatenate((early, s[late][: size - len(early)])) if len(early) < size else early)
                 points.append(packed(point(s)))
-            classes = mix64(marks ^ (sums * U(0x9E3779B97F4A7C15)) ^ np.array(list(map(len, sets)), U))
             offsets = np.concatenate(([0], np.cumsum(list(map(len, prefixes)))))
             flat = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((np.concatenate(prefixes) if prefixes else np.zeros(0, U)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(classes.view(np.int64)), flat, pa.array(points, pa.binary())], names=["doc_id", "n", "class", "prefix", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(list(map(len, sets)), pa.int64()), pa.array(class_hashes(sets)), flat, pa.array(points, pa.binary())], names=["doc_id", "mark", "n", "class", "prefix", "point"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class long, prefix array<long>, point binary")
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    return read.mapInArrow(run, "doc_id long, mark long, n long, class long, prefix array<long>, point binary")
 
 
 def gatherings(postings: DataFrame) -> DataFrame:
@@ -332,32 +342,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted's columns and the set of each wanted class, read from the text of its document `rep`."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = wanted.select(F.col("rep").cast("string").alias("key"))
-    few = bloom.probe(base, F.col("doc_id").cast("string"), bloom.build(keyed, "key", wanted.count()), "possible").filter("possible").drop("possible")
+    """wanted's columns and the set of each wanted class, read from the text of its row `rep`, `mark`. The class is taken from
+    the text again, so that no other row's set comes under it, and one of repeated rows is read."""
+    base = docs.select("text", row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"))
+    keyed = wanted.select(row_key(F.col("rep"), F.col("mark")).alias("key"))
+    few = bloom.probe(base, F.col("key"), bloom.build(keyed, "key", wanted.count()), "possible").filter("possible").select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(class_hashes(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "tokens"])
 
-    sets = few.mapInArrow(run, "doc_id long, tokens binary")
-    return sets.join(sized(wanted), F.col("doc_id") == F.col("rep")).drop("doc_id")
+    sets = few.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
+    return sets.join(sized(wanted.drop("rep", "mark")), "class")
 
 
 def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
     """(a, b): links that span what is linked inside the candidate clusters. clusters: class, cluster. members: gathering, class."""
     n, total = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), clusters.count()
     degree = members.join(sized(clusters.select("class"), rows=total), "class", "left_semi").groupBy("class").agg(F.count("*").alias("degree"))
-    held = classes.select("class", "rep", "n").join(sized(clusters, rows=total), "class").join(sized(degree, rows=total), "class", "left")
+    held = classes.select("class", "rep", "mark", "n").join(sized(clusters, rows=total), "class").join(sized(degree, rows=total), "class", "left")
     held = stage(held, "clusters")
     best = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.col("class").alias("c"))
     pivots = stage(held.groupBy("cluster").agg(F.max_by("class", best).alias("pivot"), F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("members")), "pivots")
     # the pivot goes to each part of its cluster and is read first there
     dealt = held.join(sized(pivots, rows=total), "cluster").withColumn("is_pivot", F.col("class") == F.col("pivot"))
     part = F.when(F.col("is_pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts"))))
-    dealt = stage(dealt.select("cluster", "class", "rep", "is_pivot", F.explode(part).alias("part")), "dealt")
+    dealt = stage(dealt.select("cluster", "class", "rep", "mark", "is_pivot", F.explode(part).alias("part")), "dealt")
 
     def against_pivot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot, pivot_class = None, None, None
@@ -385,10 +396,10 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members:
     rest = held.join(sized(open_, rows=total), "cluster").join(sized(left.select("class", F.lit(True).alias("loose")), rows=total), "class", "left")
     rest = rest.filter("class <> pivot").withColumn("loose", F.coalesce("loose", F.lit(False)))
     rows, cols = F.ceil(F.col("m") / block).cast("long"), F.ceil(F.col("parts") / 4).cast("long")
-    rest = rest.select("cluster", "class", "rep", "loose", rows.alias("rows"), cols.alias("cols"))
+    rest = rest.select("cluster", "class", "rep", "mark", "loose", rows.alias("rows"), cols.alias("cols"))
     as_row = rest.filter("loose").withColumn("i", F.pmod(F.xxhash64("class"), F.col("rows"))).withColumn("j", F.explode(F.expr("sequence(0L, cols - 1)"))).withColumn("side", F.lit(0))
     as_col = rest.withColumn("j", F.pmod(F.xxhash64("class"), F.col("cols"))).withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).withColumn("side", F.lit(1))
-    both = stage(as_row.unionByName(as_col).select("cluster", "i", "j", "side", "class", "rep", "loose"), "blocks")
+    both = stage(as_row.unionByName(as_col).select("cluster", "i", "j", "side", "class", "rep", "mark", "loose"), "blocks")
 
     def in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in _grouped(batches, ("cluster", "i", "j")):
@@ -425,18 +436,14 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members:
     return links.unionByName(met.mapInArrow(in_blocks, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
-
-    Words are lower-cased (A-Z) runs without white space, whole texts are read. Sets of k-word shingles link at
-    100 * intersection >= percent * union; fewer words are one shingle; null texts and texts without words have an empty
-    set, no link and their own doc_id as component. Components carry their smallest doc_id. Repeated rows fall in one
-    class. An empty table gives no row; further columns are ignored. Sets are held as 64-bit hashes.
-    """
+def grouped(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, mark, n, group, component for every row of docs. Rows of one component share `group`, whatever their doc_id; it
+    is null where a row has no other in its component. component is the least doc_id of the group."""
     described = stage(describe(docs, frequent_tokens(docs, k), k, percent), "described")
     some = described.filter("n > 0")
-    classes = some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("point").alias("point"), F.count("*").alias("size"))
-    classes = stage(classes, "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    classes = some.groupBy("class").agg(least.alias("least"), F.min("n").alias("n"), F.min("point").alias("point"), F.count("*").alias("size"))
+    classes = stage(classes.select("class", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("mark"), "n", "point", "size"), "classes")
     postings = some.select("class", F.explode("prefix").alias("token"))
     members = stage(gatherings(postings).distinct(), "gatherings")
     tree_members = split_large(members).join(classes.select("class", "n", "point").hint("merge"), "class")
@@ -447,11 +454,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     nodes = joined.count()
     joined = stage(classes.select("class", "rep").join(sized(joined, rows=nodes), "class"), "joined")
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    joined = joined.join(sized(least, rows=nodes), "root").select("class", "component")
+    joined = joined.join(sized(least, rows=nodes), "root").select("class", F.col("root").alias("group"), "component")
     # only classes of several rows or in a component need a look-up
-    alone = classes.filter("size > 1").select("class", F.col("rep").alias("component")).join(sized(joined.select("class"), rows=nodes), "class", "left_anti")
-    named = alone.unionByName(joined)
+    alone = classes.filter("size > 1").join(sized(joined.select("class"), rows=nodes), "class", "left_anti")
+    named = alone.select("class", F.col("class").alias("group"), F.col("rep").alias("component")).unionByName(joined)
     named = stage(named, "components")
-    plain = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    out = plain.join(sized(named), "class", "left")
+    plain = described.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return plain.join(sized(named), "class", "left").drop("class")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    Words are lower-cased (A-Z) runs without white space, whole texts are read. Sets of k-word shingles link at
+    100 * intersection >= percent * union; fewer words are one shingle; null texts and texts without words have an empty
+    set, no link and their own doc_id as component. Components carry their smallest doc_id, which is null only where no row
+    of the component has one. Rows are told apart by their sets, not by doc_id; repeated rows fall in one class. An empty
+    table gives no row; further columns are ignored. Sets are held as 64-bit hashes.
+    """
+    out = grouped(docs, k, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def copies(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The row_key of every row that goes when one of each component stays: the one with the smallest doc_id (null last), then
+    the least hash of the text. Rows that repeat the one that stays share its key and are not listed."""
+    rows = stage(grouped(docs, k, percent).filter("group IS NOT NULL").select("doc_id", "mark", "group"), "grouped")
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("kept"))
+    kept = kept.select("group", F.col("kept.doc_id").alias("kept_id"), F.col("kept.mark").alias("kept_mark"))
+    gone = rows.join(sized(kept), "group").filter("NOT (doc_id <=> kept_id AND mark = kept_mark)")
+    return gone.select(row_key(F.col("doc_id"), F.col("mark")).alias("dropped")).distinct()

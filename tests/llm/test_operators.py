@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rollscan.llm import exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
 from rollscan.llm.common import held_out
 from rollscan.llm.tokens import Encoder
@@ -316,6 +317,31 @@ def test_join_of_odd_tables(odd, empty):
     assert ngramjoin.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "shared", "mixed"])
+def test_join_without_names(docs_of, ids):
+    t = near_copies(120, 3)
+    want = components({i: shingles(x) for i, x in enumerate(t)})
+    name = {"null": lambda i: None, "shared": lambda i: i // 40, "mixed": lambda i: [None, i, 7][i % 3]}[ids]
+    df = docs_of(*[(name(i), x, "s") for i, x in enumerate(t)])
+    of = defaultdict(set)  # texts of each group
+    marks = {r.mark: r.text for r in df.select("text", F.xxhash64("text").alias("mark")).collect()}
+    rows = ngramjoin.grouped(df).collect()
+    assert len(rows) == len(t)
+    for r in rows:
+        of[r.group if r.group is not None else ("alone", r.mark)].add(marks[r.mark])
+    by = defaultdict(set)
+    for i, x in enumerate(t):
+        by[want[i]].add(x)
+    assert sorted(map(sorted, of.values())) == sorted(map(sorted, by.values()))
+    least = {x: min((name(i) for i in want if want[i] == c and name(i) is not None), default=None) for c in by for x in by[c]}
+    text_of = {(r.doc_id, r.mark): marks[r.mark] for r in rows}
+    assert all(r.group is None or r.component == least[text_of[r.doc_id, r.mark]] for r in rows)
+    left = corpus_pipeline.drop_near_copies(df.sparkSession, df, "").collect()
+    group_of = {x: c for c in by for x in by[c]}
+    assert sorted(group_of[r.text] for r in left) == sorted(by)
+    assert all(r.doc_id == least[r.text] for r in left)
+
+
 # --- language
 
 
