@@ -1,7 +1,7 @@
 """Toxicity: words are restored by a noisy channel before they are scored.
 
-A token that holds digits or symbols between letters, repeats a letter three times or more, or is spaced out letter by
-letter spans a lattice: each run of characters may stand for letters (leetspeak), for fewer letters (repetition), for
+A token that holds a digit, a symbol or a repeated character, or a run of three or more chunks of one or two characters,
+spans a lattice: each run of characters may stand for letters (leetspeak), for fewer letters (repetition), for
 nothing or for a word boundary (spacing). Viterbi decoding finds the path that is likeliest under a character trigram
 model of the whole corpus and the channel's costs. Any other token has a single path, itself. The restored words are
 scored by a lexicon of words and word beginnings that labelled documents single out.
@@ -31,10 +31,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SUBSTITUTE, DROP_SYMBOL, DROP_DIGIT, SEPARATOR, COLLAPSE, DOUBLE, WILDCARD, EDGE = 1.0, 1.5, 4.0, 0.5, 1.0, 3.0, 2.0, 1.0
 SHORTEST, LONGEST = 4, 8
 _PLAIN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\s](?:[ \t][^\s]){3,}(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _RUN = re.compile(r"(.)\1*", re.S)
 _HOLDS_LETTER = re.compile(r"[^\W\d_]")
+_READABLE = re.compile("[^\\W\\d_]|[" + re.escape("".join(LEET)) + "]")
+#: Longest run of short chunks whose words are remembered, in characters.
+REMEMBERED = 64
 _table: np.ndarray | None = None
 
 
@@ -85,15 +88,16 @@ def smoothed(counts: np.ndarray, mass: float = 5.0) -> np.ndarray:
 
 def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     """For each run of equal characters what it may stand for, with the channel's cost. spaced: letters stand apart, and any
-    space between them may be a word's edge."""
+    space between them may be a word's edge. Where no character is a letter, each leetspeak symbol stands for one."""
     out: list[list[tuple[str, float]]] = []
+    bare = not _HOLDS_LETTER.search(token)
     for m in _RUN.finditer(token):
         c, n = m[1], len(m[0])
-        if c in " \t":
+        if c.isspace():
             out.append([("", 0.0), (" ", EDGE)])
         elif c in LEET:
             drop = DROP_DIGIT if c.isdigit() else DROP_SYMBOL
-            out.append([(x, SUBSTITUTE) for x in LEET[c]] + ([(x * 2, SUBSTITUTE) for x in LEET[c]] if n == 2 else []) + [("", drop)])
+            out.append([(x, SUBSTITUTE) for x in LEET[c]] + ([(x * 2, SUBSTITUTE) for x in LEET[c]] if n == 2 else []) + ([] if bare else [("", drop)]))
         elif c.isalpha():
             out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0 if n == 2 else COLLAPSE), (c, DOUBLE if n == 2 else COLLAPSE)])
         else:
@@ -147,12 +151,26 @@ def restored(token: str, model: np.ndarray) -> str:
     """The word that a lower-cased token stands for."""
     token = stripped(token)
     plain = _PLAIN.fullmatch(token)
-    if not token or (plain and not _TRIPLE.search(token)) or not _HOLDS_LETTER.search(token):
+    if not token or (plain and not _DOUBLE.search(token)) or not _READABLE.search(token):
         return token
     return decode(token, model)
 
 
-def words_of(text: str, model: np.ndarray, cache: dict[str, str]) -> tuple[set[str], int]:
+def spaced_words(text: str, model: np.ndarray, cache: dict[str, list[str]]) -> Iterator[list[str]]:
+    """The words of each run of short chunks in a lower-cased text. The language model decides which spaces part words."""
+    for m in _SPACED.finditer(text):
+        run = " ".join(m[0].split())
+        words = cache.get(run)
+        if words is None:
+            words = decode(run, model, True).split()
+            if len(run) <= REMEMBERED:
+                if len(cache) > 200_000:
+                    cache.clear()
+                cache[run] = words
+        yield words
+
+
+def words_of(text: str, model: np.ndarray, cache: dict[str, str], runs: dict[str, list[str]] | None = None) -> tuple[set[str], int]:
     """Distinct restored words of a text and its number of tokens."""
     text = text.lower()
     tokens = text.split()
@@ -162,8 +180,8 @@ def words_of(text: str, model: np.ndarray, cache: dict[str, str]) -> tuple[set[s
         if w is None:
             w = cache[t] = restored(t, model)
         out.add(w)
-    for m in _SPACED.finditer(text):
-        out.update(decode(m[0], model, True).split())
+    for words in spaced_words(text, model, {} if runs is None else runs):
+        out.update(words)
     return out, len(tokens)
 
 
@@ -213,10 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, target: str = "tox
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            cache, held, n = {}, {}, Counter()
+            cache, runs, held, n = {}, {}, {}, Counter()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 n[y] += 1
-                for f in {f for w in words_of(text, chars, cache)[0] for f in features(w)}:
+                for f in {f for w in words_of(text, chars, cache, runs)[0] for f in features(w)}:
                     held.setdefault(f, [0, 0])[1 - y] += 1
             held[""] = [n[1], n[0]]
             names, pairs = list(held), np.array(list(held.values()))
@@ -229,10 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, target: str = "tox
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
+        runs: dict[str, list[str]] = {}
         for batch in slices(batches, "text", 1 << 20):
             out = []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                words, n = words_of(text, chars, cache)
+                words, n = words_of(text, chars, cache, runs)
                 less = (sizes[0] - y, sizes[1] - 1 + y)
                 found = [max([strength(counts[f][0] - y, counts[f][1] - 1 + y, less) for f in features(w) if f in counts], default=0.0) for w in words]
                 out.append([float(y), *summary(found, n)])
@@ -271,6 +290,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
+        runs: dict[str, list[str]] = {}
         for batch in slices(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
@@ -283,8 +303,9 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
                         s = cache[t] = score_of(t)
                     if s:
                         found.append(s)
-                for m in _SPACED.finditer(text):
-                    found += [score_of(w) for w in set(decode(m[0], chars, True).split())]
+                alone = set(tokens)
+                for words in spaced_words(text, chars, runs):
+                    found += [score_of(w) for w in set(words) - alone]
                 rows.append(summary(found, len(tokens)))
             if len(cache) > 400_000:
                 cache.clear()

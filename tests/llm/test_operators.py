@@ -107,6 +107,16 @@ def test_obfuscated_words_are_restored():
     assert "idiot" in toxicity.words_of("you i d i o t there", model, {})[0]
 
 
+def test_words_without_letters_doubled_or_in_chunks_are_restored():
+    counts = toxicity.trigram_counts(["you are an idiot and a moron, stupid people say such silly ass things to the idiot moron"] * 200)
+    model = toxicity.smoothed(counts.astype(float))
+    for token, word in {"@$$": "ass", "455": "ass", "iddiot": "idiot", "stuupid": "stupid", "silly": "silly", "---": ""}.items():
+        assert toxicity.restored(token, model) == word
+    for text in ("you id io t there", "say a s s you", "the i  d  i  o  t there", "the i\nd\ni\no\nt there", "the i\u00a0d\u00a0i\u00a0o\u00a0t there"):
+        assert {"idiot", "ass"} & toxicity.words_of(text, model, {})[0], text
+    assert not {"idiot", "ass"} & toxicity.words_of("you are to an so be it", model, {})[0]
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
