@@ -16,11 +16,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    found = stage(exactdedup.exact_dedup(docs, keep="largest").filter("NOT kept"), "dropped")
+    """Of equal texts one row with the largest doc_id stays (null where the group has no other). Of rows that share that doc_id
+    too, the one whose columns, in their order, are least (nulls first) stays; rows equal in all columns are alike."""
+    found = stage(exactdedup.exact_dedup(docs, keep="largest").filter("group_size > 1"), "copies")
     key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
-    dropped = stage(found.select(key(F.col("text_sha256")).alias("dropped")), "dropped-keys")
-    return bloom.semi(docs, key(F.sha2(F.coalesce("text", F.lit("")), 256)), dropped, "dropped", keep=False)
+    tied = found.groupBy(key(F.col("text_sha256")).alias("dropped")).agg(F.first("kept").alias("kept"), F.count("*").alias("rows"))
+    gone = stage(tied.filter("NOT kept OR rows > 1"), "dropped-keys")
+    digest = key(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rest = bloom.semi(docs, digest, gone.select("dropped"), "dropped", keep=False)
+    repeated = gone.filter("kept").select("dropped")
+    if not repeated.count():
+        return rest
+    again = bloom.semi(docs, digest, repeated, "dropped", keep=True)
+    one = again.groupBy(digest.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rest.unionByName(one)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,14 @@ def test_stages(spark):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert set(got.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and got.count()
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "a b", "en", "x", 3)] * 5 + [(1, "a b", "en", "w", 3), (0, "a b", "en", "x", 3), (None, "a b", "en", "x", 3)]
+    rows += [(None, "c d", "en", "x", 3)] * 4 + [(2, "e f", "en", "x", 3), (2, "g h", "en", "x", 3)] + [(3, None, "en", "x", 0), (3, "", "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    want = {(1, "a b", "w"), (None, "c d", "x"), (2, "e f", "x"), (2, "g h", "x"), (3, None, "x")}
+    got = corpus_pipeline.drop_exact_copies(spark, docs, SF).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.text, r.source) for r in got} == want
+    once = corpus_pipeline.drop_exact_copies(spark, docs.filter("source = 'x'").distinct(), SF).collect()
+    assert {(r.doc_id, r.text) for r in once} >= {(1, "a b"), (None, "c d"), (2, "e f"), (2, "g h")}
