@@ -16,6 +16,7 @@ from rollscan.llm.common import WORD, sized, stage
 #: Mersenne primes, coprime to every smaller number of blocks.
 PRIMES = (2147483647, 2305843009213693951)
 WEIGHTS = (5, 2, 1)
+NULL_PARTS = 4096
 
 
 def _source_key(source: Column) -> Column:
@@ -26,6 +27,13 @@ def _word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _twin(skey: Column, size: Column, mark: Column) -> Column:
+    """Numbers rows of one doc_id, over all rows of the table. Rows without an id are numbered in parts by the hash of their
+    text, so that no window holds them all; the part is in the number's upper bits."""
+    part = F.when(F.col("doc_id").isNull(), F.pmod(mark, F.lit(NULL_PARTS))).otherwise(0).cast("long")
+    return part * (1 << 40) + F.row_number().over(Window.partitionBy("doc_id", part).orderBy(skey, size, mark))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """For each source: rank, source_size, target (words) by water filling.
 
@@ -110,14 +118,14 @@ def mix(docs: DataFrame, block_words: int = 64, shards: int = 256, seed: int = 1
     """
     sizes = docs.select("doc_id", _source_key(F.col("source")).alias("skey"), _word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
     sizes = stage(sizes, "sizes")
-    twin = Window.partitionBy("doc_id").orderBy("skey", "size", "mark")
+    twin = _twin(F.col("skey"), F.col("size"), F.col("mark"))
     shares = stage(targets(sizes, weights, most), "targets")
     blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}L")
     # as many slots as give the target at the source's mean block length
     sources = shares.filter("source_size > 0").withColumn("blocks", blocks)
     sources = sources.withColumn("slots", F.least(most * F.col("blocks"), F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).cast("long")).select("rank", "blocks", "slots")
     n = sizes.count()
-    placed = _place(sizes.withColumn("twin", F.row_number().over(twin)).join(sized(shares), "skey"), max(1, round(n**0.5)))
+    placed = _place(sizes.withColumn("twin", twin).join(sized(shares), "skey"), max(1, round(n**0.5)))
     placed = stage(placed.drop("mark"), "placed")
     slots = stage(draw_blocks(stage(sources, "sources"), shards, seed), "slots")
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
@@ -145,8 +153,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     _, pieces, _ = mix(docs, **options)
     plan = pieces.groupBy("doc_id", "twin").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
     plan = stage(plan, "plan")
-    order = Window.partitionBy("doc_id").orderBy(_source_key(F.col("source")), _word_count(F.col("text")), F.xxhash64("text"))
-    rows = docs.filter(_word_count(F.col("text")) > 0).withColumn("twin", F.row_number().over(order))
+    # numbered as in mix(), over rows without words too: those meet no plan
+    rows = docs.withColumn("twin", _twin(_source_key(F.col("source")), _word_count(F.col("text")), F.xxhash64("text")))
     plan = plan.withColumnsRenamed({"doc_id": "plan_id", "twin": "plan_twin"})
     rows = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("plan_id")) & (F.col("twin") == F.col("plan_twin")))
     rows = rows.withColumn("copy", F.explode(F.expr("sequence(1L, array_max(transform(parts, p -> p.times)))")))

@@ -81,6 +81,34 @@ def test_mix_of_odd_tables(odd, empty):
     assert mixing.taken(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_documents_of_shared_and_missing_ids(docs_of):
+    blank = [None, "", " \n"]
+    worded = lambda i, j: " ".join(f"{i}w{j}x{k}" for k in range(10 + 37 * j))
+    rows = [(i, blank[j // 2] if j < 6 else worded(i, j), "ab"[j % 2]) for i in (None, 4, 9) for j in range(12)]
+    df = docs_of(*rows).repartition(3)
+    want, got = Counter(), Counter()
+    for r in mixing.taken(df).collect():
+        if r.taken:
+            want[r.doc_id, r.source] += r.taken
+    have = defaultdict(set)
+    for i, t, s in rows:
+        have[i, s].add(t)
+    for r in mixing.mixed_documents(df).collect():
+        got[r.doc_id, r.source] += len(WORD.findall(r.text))
+        assert any(set(WORD.findall(r.text)) <= set(WORD.findall(t or "")) for t in have[r.doc_id, r.source])
+    assert got == want and len(want) >= 4
+
+
+def test_missing_ids_keep_their_own_plan(docs_of):
+    rows = [(None, "", "a"), (None, " ".join(f"s{k}" for k in range(10)), "a"), (None, " ".join(f"l{k}" for k in range(100)), "a")]
+    df = docs_of(*rows)
+    taken = Counter({r["size"]: r.taken for r in mixing.taken(df).collect() if r.taken})
+    got = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[10 if r.text.strip().startswith("s") else 100] += len(WORD.findall(r.text))
+    assert got == taken and set(got) == {10, 100}
+
+
 # --- url filter
 
 
