@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollscan.staging import shared_dir, stage
+
 #: Bytes of a bank that one task may hold; larger ones are joined in blocks of points.
 BROADCAST_BYTES = 256 << 20
 
@@ -106,7 +108,8 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: str, n: int) -> DataF
 
 
 def nearest_distance(queries: DataFrame, bank: DataFrame, key: str = "sku") -> DataFrame:
-    """Queries with the exact L2 distance to the nearest bank point of their key. A bank whose size is counted as small
+    """query_id and the exact L2 distance to the nearest bank point of its key for every row of queries, null where the key
+    is null or has no bank point. A bank whose size is counted as small
     enough is held by every task and met batch by batch in one product; a larger one is joined in blocks of 512 points and
     the least distance taken. queries: any columns with key, query_id and embedding; bank: key, point_id, embedding."""
     shape = bank.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
@@ -132,16 +135,18 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, key: str = "sku") -> D
 
         found = q.mapInArrow(run, schema)
     else:
+        q = stage(q.withColumn("row", F.monotonically_increasing_id()), "queries")
         packed = b.withColumn("block", F.floor(F.pmod(F.xxhash64("point_id"), F.lit(max(1, shape["n"] // 512)))))
         packed = packed.groupBy("k", "block").agg(F.collect_list("embedding").alias("points"))
-        joined = q.join(packed.hint("merge"), "k")
+        joined = q.drop("query_id").join(packed.hint("merge"), "k")
 
         def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 best = [float(_least(np.array([e], np.float64), np.array(p, np.float64))[0]) for e, p in zip(batch.column("embedding").to_pylist(), batch.column("points").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(best)], names=["query_id", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.float64())], names=["row", "distance"])
 
-        found = joined.mapInArrow(blocks, schema).groupBy("query_id").agg(F.min("distance").alias("distance"))
+        least = joined.mapInArrow(blocks, "row long, distance double").groupBy("row").agg(F.min("distance").alias("distance"))
+        found = q.select("row", "query_id").join(least.hint("merge"), "row", "left").select("query_id", "distance")
     return found
 
 

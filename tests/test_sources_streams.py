@@ -85,6 +85,16 @@ def test_nearest_distance_forms_agree(spark, monkeypatch):
     assert as_dict(bank.nearest_distance(queries, points)) == want
 
 
+@pytest.mark.parametrize("held", [256 << 20, 0])
+def test_nearest_distance_keeps_every_query_row(spark, monkeypatch, held):
+    monkeypatch.setattr(bank, "BROADCAST_BYTES", held)
+    points = spark.createDataFrame([("a", 0, [0.0, 0.0]), ("b", 1, [10.0, 0.0])], "sku string, point_id long, embedding array<float>")
+    rows = [("a", 1, [3.0, 4.0]), ("b", 1, [10.0, 1.0]), ("a", 2, [0.0, 2.0]), ("a", 2, [0.0, 2.0]), (None, 3, [0.0, 0.0]), ("c", 4, [0.0, 0.0])]
+    queries = spark.createDataFrame(rows, "sku string, query_id long, embedding array<float>").repartition(3)
+    got = sorted(((r.query_id, r.distance) for r in bank.nearest_distance(queries, points).collect()), key=str)
+    assert got == [(1, 1.0), (1, 5.0), (2, 2.0), (2, 2.0), (3, None), (4, None)]
+
+
 def test_coreset_covers_its_points(spark):
     x = np.random.default_rng(2).normal(size=(300, 4)).astype(np.float32)
     df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "sku string, point_id long, embedding array<float>")
