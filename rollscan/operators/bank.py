@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -68,29 +69,86 @@ def _k_center(x: np.ndarray, k: int, first: int) -> list[int]:
     return picks
 
 
-def greedy_coreset(points: DataFrame, fraction: float, seed: int = 0, exact_limit: int = 50_000) -> DataFrame:
-    """K-center greedy per sku: size max(1, round half even of fraction * N), ties to the lowest id. Skus above exact_limit points are cut
-    into buckets whose coresets are thinned again together (method: composed). points: sku, point_id, embedding."""
-    schema = "sku string, point_id long, embedding array<float>, method string"
+def _at_rank(points: DataFrame, rank: int) -> int:
+    """The point_id at a place (from 0) in their order; only counts and one part of the ids meet."""
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = stage(points.select("point_id").repartitionByRange(n, "point_id").withColumn("part", F.spark_partition_id()), "ids")
+    for row in ids.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        if rank < row["n"]:
+            return ids.filter(F.col("part") == row["part"]).orderBy("point_id").offset(rank).first()["point_id"]
+        rank -= row["n"]
+    raise IndexError(rank)
+
+
+def _k_center_rounds(points: DataFrame, k: int, first: int, most: int) -> DataFrame:
+    """The picks of _k_center over a table of any size. points: sku, point_id, embedding, of one sku.
+
+    Each round brings the `most` points farthest from the picks to the driver and picks among them as long as the farthest
+    of them comes before all others, whose distances can only fall. Then every point's least distance is brought up to date.
+    """
+    spark, schema = points.sparkSession, "sku string, point_id long, embedding array<float>"
+    path = f"{shared_dir(spark)}/picks-{uuid.uuid4().hex}"
 
-    def thin(name: str, share: float | None):
-        def one(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("point_id").reset_index(drop=True)
-            k = int(rows["k"].iloc[0]) if share is None else max(1, round(share * len(rows)))
-            x = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
-            picks = _k_center(x, min(k, len(rows)), int(np.random.default_rng(seed).integers(len(rows))))
-            return rows.loc[picks, ["sku", "point_id", "embedding"]].assign(method=name)
+    def updated(rows: DataFrame, picks: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(picks)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column("embedding").flatten().to_numpy().astype(np.float32).reshape(batch.num_rows, -1)
+                near = batch.column("near").to_numpy()
+                for p in shared.value:
+                    near = np.minimum(near, np.linalg.norm(x - p, axis=1))
+                i = batch.schema.get_field_index("near")
+                yield batch.set_column(i, "near", pa.array(near, pa.float32()))
+
+        return stage(rows.mapInArrow(run, rows.schema), "near")
+
+    rows = points.select("sku", "point_id", "embedding", F.lit(float("inf")).cast("float").alias("near"))
+    chosen = points.filter(F.col("point_id") == first).select("sku", "point_id", "embedding").limit(1).toPandas()
+    done = 0
+    while True:
+        spark.createDataFrame(chosen.to_dict("records"), schema).write.mode("append").parquet(path)
+        done += len(chosen)
+        if done >= k:
+            return spark.read.schema(schema).parquet(path)
+        rows = updated(rows, np.stack(chosen["embedding"].to_numpy()).astype(np.float32))
+        top = rows.orderBy(F.desc("near"), "point_id").limit(most + 1).toPandas()
+        last = top.iloc[most] if len(top) > most else None
+        top = top.iloc[:most].sort_values("point_id").reset_index(drop=True)
+        x, near, ids = np.stack(top["embedding"].to_numpy()).astype(np.float32), top["near"].to_numpy(np.float32), top["point_id"].to_numpy()
+        picks: list[int] = []
+        while done + len(picks) < k:
+            i = int(near.argmax())
+            if last is not None and (near[i], -ids[i]) <= (last["near"], -last["point_id"]):
+                break
+            picks.append(i)
+            near = np.minimum(near, np.linalg.norm(x - x[i], axis=1))
+        chosen = top.loc[picks, ["sku", "point_id", "embedding"]]
+
+
+def greedy_coreset(points: DataFrame, fraction: float, seed: int = 0, exact_limit: int = 50_000, candidates: int = 4096) -> DataFrame:
+    """K-center greedy per sku: size max(1, round half even of fraction * N), ties to the lowest id. The selection is exact
+    at every size: skus up to exact_limit points are taken in one task each (method: exact), larger ones in rounds over all
+    tasks (method: composed), which pick the same points. points: sku, point_id (one row each), embedding."""
+    schema = "sku string, point_id long, embedding array<float>, method string"
 
-        return one
+    def thin(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("point_id").reset_index(drop=True)
+        x = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
+        picks = _k_center(x, min(int(rows["k"].iloc[0]), len(rows)), int(np.random.default_rng(seed).integers(len(rows))))
+        return rows.loc[picks, ["sku", "point_id", "embedding"]].assign(method="exact")
 
-    p = points.select(F.col("sku").cast("string"), F.col("point_id").cast("long"), "embedding")
+    p = points.select(F.col("sku").cast("string"), F.col("point_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
     sizes = p.groupBy("sku").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.count("*"))).cast("long").alias("k"))
-    p = p.join(F.broadcast(sizes), "sku")
-    small = p.filter(F.col("n") <= exact_limit).groupBy("sku").applyInPandas(thin("exact", None), schema)
-    buckets = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("n") / exact_limit))
-    large = p.filter(F.col("n") > exact_limit).groupBy("sku", buckets).applyInPandas(thin("composed", min(1.0, 2 * fraction)), schema)
-    large = large.drop("method").join(F.broadcast(sizes), "sku").groupBy("sku").applyInPandas(thin("composed", None), schema)
-    return small.unionByName(large)
+    small = p.join(F.broadcast(sizes.filter(F.col("n") <= exact_limit)), "sku")
+    out = small.groupBy("sku").applyInPandas(thin, schema)
+    large = sizes.filter(F.col("sku").isNotNull() & (F.col("n") > exact_limit)).orderBy("sku").collect()
+    for sku, n, k in large:
+        one = stage(p.filter(F.col("sku") == sku), "points")
+        first = _at_rank(one, int(np.random.default_rng(seed).integers(n)))
+        picked = _k_center_rounds(one, min(k, n), first, candidates)
+        out = out.unionByName(picked.withColumn("method", F.lit("composed")))
+    return out
 
 
 def sample(rows: DataFrame, keys: list[str], row_id: str, n: int | Column, seed: int = 0) -> DataFrame:

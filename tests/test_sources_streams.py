@@ -105,6 +105,16 @@ def test_coreset_covers_its_points(spark):
     assert radius(exact) < radius(range(30)) and radius([r.point_id for r in composed]) < 1.5 * radius(exact)
 
 
+def test_coreset_is_the_same_at_every_size(spark):
+    x = np.random.default_rng(3).integers(0, 6, (400, 3)).astype(np.float32)  # many ties and equal points
+    df = spark.createDataFrame([("ab"[i % 4 == 0], i, v.tolist()) for i, v in enumerate(x)], "sku string, point_id long, embedding array<float>").repartition(3)
+    ids = lambda rows: sorted((r.sku, r.point_id) for r in rows.collect())
+    for fraction in (0.1, 0.6):
+        want = ids(bank.greedy_coreset(df, fraction))
+        got = bank.greedy_coreset(df, fraction, exact_limit=150, candidates=32)
+        assert {(r.sku, r.method) for r in got.collect()} == {("a", "composed"), ("b", "exact")} and ids(got) == want
+
+
 def test_unknown_parameter_is_refused(spark):
     skus = spark.createDataFrame([("a",), ("b",)], "sku string")
     defaults = spark.createDataFrame([("tiling", "size", "512")], "section string, key string, value string")
