@@ -51,11 +51,10 @@ def frame_geometry(frames: DataFrame, fallback_speed: float | None = 0.04, max_g
     return f.select("roll_id", "frame_index", "ts_s", along.alias("along_mm"), scale.alias("scale"), (~F.col("measured")).alias("interpolated"), F.coalesce(gap, F.lit(False)).alias("gap_warning"), F.col("at_mm").isNotNull().alias("placed"))
 
 
-def held_roi(frames: DataFrame, configured: Column | None = None) -> DataFrame:
-    """The region of interest of every frame: the configured one, else that inferred from the first marker frame and held,
-    else the full frame. frames: roll_id, frame_index, frame_w, frame_h, and the marker band band_x0, band_x1, band_y0,
-    band_y1 and marker_px (null without a marker). The axis on which the band is narrow is cropped from its nearer end, a
-    margin of 0.1 marker more, 25 % at most."""
+def inferred_roi() -> Column:
+    """The region that a frame's own marker band leaves, null without a marker. The axis on which the band is narrow is
+    cropped from its nearer end, a margin of 0.1 marker more, 25 % at most. Columns: frame_w, frame_h, band_x0, band_x1,
+    band_y0, band_y1, marker_px."""
     margin, zero = 0.1 * F.col("marker_px"), F.lit(0)
     narrow_x = (F.col("band_x1") - F.col("band_x0")) <= (F.col("band_y1") - F.col("band_y0"))
 
@@ -69,11 +68,19 @@ def held_roi(frames: DataFrame, configured: Column | None = None) -> DataFrame:
     y, h = kept(F.col("band_y0"), F.col("band_y1"), F.col("frame_h"))
     wide, high = F.col("frame_w").cast("int"), F.col("frame_h").cast("int")
     roi = F.struct(F.when(narrow_x, x).otherwise(zero).alias("x"), F.when(narrow_x, zero).otherwise(y).alias("y"), F.when(narrow_x, w).otherwise(wide).alias("w"), F.when(narrow_x, high).otherwise(h).alias("h"))
-    full = F.struct(zero.alias("x"), zero.alias("y"), F.col("frame_w").cast("int").alias("w"), F.col("frame_h").cast("int").alias("h"))
+    return F.when(F.col("band_x0").isNotNull(), roi)
+
+
+def full_roi() -> Column:
+    return F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("frame_w").cast("int").alias("w"), F.col("frame_h").cast("int").alias("h"))
+
+
+def held_roi(frames: DataFrame, configured: Column | None = None) -> DataFrame:
+    """The region of interest of every frame: the configured one, else that inferred from the first marker frame and held,
+    else the full frame. frames: roll_id, frame_index and the columns of inferred_roi()."""
     upto = Window.partitionBy("roll_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inferred = F.first(F.when(F.col("band_x0").isNotNull(), roi), True).over(upto)
-    chosen = F.coalesce(*([configured] if configured is not None else []), inferred, full)
-    return frames.withColumn("roi", chosen)
+    held = F.first(inferred_roi(), True).over(upto)
+    return frames.withColumn("roi", F.coalesce(*([configured] if configured is not None else []), held, full_roi()))
 
 
 def trace_steps(geometry: DataFrame) -> DataFrame:

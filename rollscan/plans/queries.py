@@ -11,6 +11,7 @@ from rollscan.functions import grading
 from rollscan.operators import astm, bank, calibrate, components, evaluate, params, positions, ranks, raster, report, tiles, track
 from rollscan.plans import views as v
 from rollscan.sources import images, store
+from rollscan.staging import stage
 from rollscan.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,9 +520,9 @@ stats AS (SELECT roll_id, frame_index, label, min(x) AS x0, min(y) AS y0, max(x)
 
 
 def _components(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = v.cells(spark, sf_dir)
+    c = stage(v.cells(spark, sf_dir), "cells")
     labelled = components.label_runs(components.runs(c, 0.08))
-    return c, labelled, components.component_stats(c, labelled, min_area=2)
+    return c, labelled, stage(components.component_stats(c, labelled, min_area=2), "stats")
 
 
 @query(f"WITH {RUNS} SELECT * FROM runs")
@@ -542,7 +543,7 @@ FROM stats s JOIN ext USING (roll_id, frame_index, label) WHERE area >= 2""")
 def component_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, labelled, stats = _components(spark, sf_dir)
     geometry = stats.select("roll_id", "frame_index").distinct().select("*", (F.col("frame_index") * 1000.0).alias("along_mm"), F.lit(0.5).alias("mm_per_px"))
-    d = components.detections(components.half_max_extents(c, labelled, stats), stats, geometry)
+    d = components.detections(components.extents(c, labelled, stats), stats, geometry)
     return d.withColumn("label", F.col("component.y") * 1000 + F.col("component.x0")).drop("component", "mean_score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from rollscan.functions import grading
-from rollscan.operators.track import Tracker
+from rollscan.operators import positions
+from rollscan.operators.track import BOX, ROLL, Tracks
 
 
 def read_frames(spark: SparkSession, path: str, schema: StructType, max_files: int = 8) -> DataFrame:
@@ -66,42 +68,94 @@ def live_phases(frames: DataFrame, learn: int, calibrate: int) -> DataFrame:
     return frames.groupBy("roll_id").applyInPandasWithState(step, "roll_id long, frame_index long, phase string", "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def after_refusal(phase: str, accepted: bool, needed: int, released: bool, more: int = 20) -> tuple[str, int]:
-    """ST5: what follows a calibration: a refused one keeps its sample and asks for `more` frames; an accepted one waits at
-    ready until it is released. Returns the state and the frames still asked for."""
-    if phase == "calibrate":
-        return ("ready", 0) if accepted else ("calibrate", needed + more)
-    return ("inspect", 0) if phase == "ready" and released else (phase, needed)
+def _packed(tracks: Tracks) -> str:
+    return json.dumps({"made": tracks.made, "ids": tracks.ids.tolist(), "seen": tracks.seen.tolist(), "boxes": tracks.boxes.tolist()})
+
+
+def _unpacked(text: str, how: tuple) -> Tracks:
+    held = json.loads(text)
+    return Tracks(*how, held["made"], np.array(held["ids"], np.int64), np.array(held["seen"], np.int64), np.array(held["boxes"], float).reshape(-1, 4))
+
+
+def _placed(rows: pd.DataFrame, tracks: Tracks) -> np.ndarray:
+    """Event ids of rows sorted by frame."""
+    frames, boxes = rows["frame_index"].to_numpy(), rows[BOX].to_numpy(float)
+    cut = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(rows)]
+    return np.concatenate([tracks.place(int(frames[a]), boxes[a:b]) for a, b in zip(cut, cut[1:]) if b > a] or [np.zeros(0, np.int64)])
 
 
 def track_live(detections: DataFrame, iou_threshold: float = 0.3, join_mm: float = 50.0, max_gap: int = 2) -> DataFrame:
     """ST6: detections of each roll with their event as frames arrive in order. Events keep their ids from batch to batch; the
-    tracker is the batch's own. detections: sku, roll_id, frame_index, detection_id, along_mm, across_mm, length_mm, width_mm."""
+    tracks are the batch form's own. detections: sku, roll_id, frame_index, detection_id and BOX."""
+    how = (iou_threshold, join_mm, max_gap)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t = Tracker(iou_threshold, join_mm, max_gap)
-        if state.exists:
-            held = json.loads(state.get[0])
-            t.next_id, t.open = held["next"], [[i, f, tuple(b)] for i, f, b in held["open"]]
+        tracks = _unpacked(state.get[0], how) if state.exists else Tracks(*how)
         rows = pd.concat(list(batches)).sort_values(["frame_index", "detection_id"])
-        out = []
-        for frame, part in rows.groupby("frame_index", sort=True):
-            t.skip_to(int(frame))
-            out += t.update(int(frame), list(part[["along_mm", "across_mm", "length_mm", "width_mm"]].itertuples(index=False, name=None)))
-        state.update((json.dumps({"next": t.next_id, "open": t.open}),))
-        yield rows[["sku", "roll_id", "frame_index", "detection_id"]].assign(event_id=out)
+        out = _placed(rows, tracks)
+        state.update((_packed(tracks),))
+        yield rows[[*ROLL, "frame_index", "detection_id"]].assign(event_id=out)
+
+    return detections.groupBy(*ROLL).applyInPandasWithState(step, "sku long, roll_id long, frame_index long, detection_id long, event_id long", "held string", "append", GroupStateTimeout.NoTimeout)
+
 
-    return detections.groupBy("sku", "roll_id").applyInPandasWithState(step, "sku long, roll_id long, frame_index long, detection_id long, event_id long", "held string", "append", GroupStateTimeout.NoTimeout)
+#: How the parts of an event are put together: name, column of a part, function.
+PARTS = {"along_start_mm": "min", "along_end_mm": "max", "across_start_mm": "min", "across_end_mm": "max", "max_score": "max", "asserted": "max", "n_frames": "sum", "last_frame": "max"}
+EVENT = "sku long, roll_id long, event_id long, state string, along_start_mm double, along_end_mm double, across_start_mm double, across_end_mm double, max_score double, assertion string, n_frames long, last_frame long"
+
+
+def events_live(detections: DataFrame, iou_threshold: float = 0.3, join_mm: float = 50.0, max_gap: int = 2) -> DataFrame:
+    """ST6: the events of each roll as their tracks close: each once with state `closed`, and after every micro-batch those it
+    touched that are still `open`, so that the last row of an event is how it stands.
+
+    detections: sku, roll_id, frame_index, detection_id, BOX, max_score, assertion, end_of_roll, frames in order. A row without
+    a detection_id says that its frame was empty; a row with end_of_roll closes all that is open.
+    """
+    how = (iou_threshold, join_mm, max_gap)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracks, held = (_unpacked(state.get[0], how), pd.DataFrame(json.loads(state.get[1]), columns=["event_id", *PARTS])) if state.exists else (Tracks(*how), None)
+        rows = pd.concat(list(batches)).sort_values(["frame_index", "detection_id"])
+        last, over = int(rows["frame_index"].max()), bool(rows["end_of_roll"].any())
+        rows = rows[rows["detection_id"].notna()]
+        new = pd.DataFrame(
+            {
+                "event_id": _placed(rows, tracks),
+                "along_start_mm": rows["along_mm"].to_numpy(),
+                "along_end_mm": (rows["along_mm"] + rows["length_mm"]).to_numpy(),
+                "across_start_mm": rows["across_mm"].to_numpy(),
+                "across_end_mm": (rows["across_mm"] + rows["width_mm"]).to_numpy(),
+                "max_score": rows["max_score"].to_numpy(),
+                "asserted": (rows["assertion"] == "asserted").to_numpy().astype(int),
+                "n_frames": 1,  # a track takes one detection a frame
+                "last_frame": rows["frame_index"].to_numpy(),
+            }
+        )
+        touched = set(new["event_id"])
+        known = (pd.concat([held, new]) if held is not None and len(held) else new).groupby("event_id", as_index=False).agg(PARTS)
+        tracks.retire(np.ones(len(tracks.ids), bool) if over else tracks.stale(last + 1))
+        still = known["event_id"].isin(tracks.ids)
+        state.update((_packed(tracks), json.dumps(known[still].to_numpy().tolist())))
+        out = known.assign(state=np.where(still, "open", "closed"))[~still | known["event_id"].isin(touched)]
+        yield out.assign(sku=key[0], roll_id=key[1], assertion=np.where(out["asserted"] > 0, "asserted", "uncertain"))[[c.split()[0] for c in EVENT.split(", ")]]
+
+    return detections.groupBy(*ROLL).applyInPandasWithState(step, EVENT, "tracks string, events string", "append", GroupStateTimeout.NoTimeout)
 
 
 def positions_live(frames: DataFrame, fallback_speed: float | None = 0.04, max_gap_mm: float = 250.0, max_gap_s: float = 2.0) -> DataFrame:
-    """ST7: frame_geometry as frames arrive in order. frames: roll_id, frame_index, ts_s, measured_mm, mm_per_px."""
+    """ST7: frame_geometry as frames arrive in order, the last position, scale, time and speed carried from batch to batch.
+    frames: roll_id, frame_index, ts_s, measured_mm, mm_per_px. Where they have the columns of inferred_roi() too, the region
+    of interest (x, y, w, h) is that of the first frame with a marker, carried on; the full frame before it."""
+    with_roi = "band_x0" in frames.columns
+    roi = ["x", "y", "w", "h"] if with_roi else []
+    columns = ["roll_id", "frame_index", "ts_s", "measured_mm", "mm_per_px"]
+    seen = frames.select(*columns, positions.inferred_roi().alias("r"), positions.full_roi().alias("f")).select(*columns, "r.*", *[F.col(f"f.{c}").alias(f"full_{c}") for c in roi]) if with_roi else frames.select(*columns)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mm, s, speed, scale, begun = state.get if state.exists else (None, None, None, None, False)
+        mm, s, speed, scale, begun, held = state.get if state.exists else (None, None, None, None, False, None)
         speed = fallback_speed if speed is None else speed
         rows = pd.concat(list(batches)).sort_values("frame_index")
-        out = []
+        out, regions = [], []
         for r in rows.itertuples(index=False):
             measured = r.measured_mm == r.measured_mm and r.measured_mm is not None
             if measured:
@@ -119,12 +173,17 @@ def positions_live(frames: DataFrame, fallback_speed: float | None = 0.04, max_g
                     gap = r.ts_s - s > max_gap_s if advance is None else advance > max_gap_mm
                     out.append((mm + (advance or 0.0), 1.0 if scale is None else scale, True, bool(gap), True))
             begun = True
-        state.update((mm, s, speed, scale, begun))
+            if with_roi:
+                if held is None and not pd.isna(r.x):
+                    held = [int(r.x), int(r.y), int(r.w), int(r.h)]
+                regions.append(held or [r.full_x, r.full_y, r.full_w, r.full_h])
+        state.update((mm, s, speed, scale, begun, held))
         cols = ["along_mm", "scale", "interpolated", "gap_warning", "placed"]
-        yield rows[["roll_id", "frame_index", "ts_s"]].reset_index(drop=True).join(pd.DataFrame(out, columns=cols))
+        found = rows[["roll_id", "frame_index", "ts_s"]].reset_index(drop=True).join(pd.DataFrame(out, columns=cols))
+        yield found.join(pd.DataFrame(regions, columns=roi)) if with_roi else found
 
-    schema = "roll_id long, frame_index long, ts_s double, along_mm double, scale double, interpolated boolean, gap_warning boolean, placed boolean"
-    return frames.groupBy("roll_id").applyInPandasWithState(step, schema, "mm double, s double, speed double, scale double, begun boolean", "append", GroupStateTimeout.NoTimeout)
+    schema = "roll_id long, frame_index long, ts_s double, along_mm double, scale double, interpolated boolean, gap_warning boolean, placed boolean" + "".join(f", {c} int" for c in roi)
+    return seen.groupBy("roll_id").applyInPandasWithState(step, schema, "mm double, s double, speed double, scale double, begun boolean, roi array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def counters_live(events: DataFrame) -> DataFrame:

@@ -36,13 +36,36 @@ def test_tile_grid(spark):
         tiles.tile_grid(frame, 64, 64).collect()
 
 
-def test_component_labels_agree(spark):
+def flooded(hot):
+    """First cell of the component of every hot cell, by flooding."""
+    out = {}
+    for start in sorted(hot):
+        if start not in out:
+            todo = [start]
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in hot and (y, x) not in out:
+                    out[y, x] = start
+                    todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    return out
+
+
+@pytest.mark.parametrize("band", [256, 8, 1])
+def test_component_labels_are_those_of_flooding(spark, band):
     rng = np.random.default_rng(3)
-    rows = [(1, 0, y, x, float(v)) for (y, x), v in np.ndenumerate(rng.random((40, 40)))]
-    cells = spark.createDataFrame(rows, "roll_id int, frame_index int, y int, x int, score double")
-    runs = components.runs(cells, 0.55)
-    key = lambda df: {(r.y, r.x0): tuple(r.component) for r in df.collect()}
-    assert key(components.label_runs(runs)) == key(components.label_runs_by_frame(runs))
+    values = {(f, y, x): float(v) for f in (0, 1) for (y, x), v in np.ndenumerate(rng.random((40, 70)))}
+    cells = spark.createDataFrame([(1, *k, v) for k, v in values.items()], "roll_id int, frame_index int, y int, x int, score double")
+    got = {(r.frame_index, r.y, x): tuple(r.component) for r in components.label_runs(components.runs(cells, 0.55), band).collect() for x in range(r.x0, r.x1 + 1)}
+    want = {(f, *at): c for f in (0, 1) for at, c in flooded({(y, x) for (g, y, x), v in values.items() if g == f and v > 0.55}).items()}
+    assert got == want
+
+
+def test_touching_runs_are_found_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, 0, y, int(x), int(x + w)) for y in range(6) for x, w in zip(np.arange(20) * 45 + rng.integers(0, 15, 20), rng.integers(0, 28, 20))]
+    r = spark.createDataFrame(rows, "roll_id int, frame_index int, y int, x0 int, x1 int").withColumn("run", F.struct("y", "x0"))
+    got = sorted((tuple(p.a), tuple(p.b)) for p in components.adjacent(r, 16).collect())
+    assert got == sorted(((a[2], a[3]), (b[2], b[3])) for a in rows for b in rows if b[2] == a[2] + 1 and a[3] <= b[4] + 1 and b[3] <= a[4] + 1)
 
 
 def test_blob_becomes_a_detection(spark):
@@ -51,8 +74,10 @@ def test_blob_becomes_a_detection(spark):
     lab = components.label_runs(components.runs(cells, 3.0))
     stats = components.component_stats(cells, lab, min_area=2)
     geometry = spark.createDataFrame([(1, 0, 1000.0, 0.1)], "roll_id int, frame_index int, along_mm double, mm_per_px double")
-    d = components.detections(components.half_max_extents(cells, lab, stats), stats, geometry).collect()
+    d = components.detections(components.extents(cells, lab, stats), stats, geometry).collect()
     assert len(d) == 1
+    whole = components.detections(components.extents(cells, lab, stats, rule="threshold"), stats, geometry).first()
+    assert (whole.length_mm, whole.width_mm, whole.mean_score) == (d[0].length_mm, d[0].width_mm, 6.0)
     assert (d[0].length_mm, d[0].width_mm, d[0].along_mm) == (pytest.approx(10), pytest.approx(3), pytest.approx(1010))
 
 
@@ -83,6 +108,42 @@ def test_segments_change_nothing(spark):
     assert groups(track.track(d)) == groups(track.track(d, segmented=False))
 
 
+def chosen(rows, iou_threshold=0.3, join_mm=50.0, max_gap=2):
+    """Event of each detection of one roll, found pair by pair."""
+
+    def worth(a, b):
+        along = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+        across = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        both = max(0.0, along) * across
+        iou = both / (a[2] * a[3] + b[2] * b[3] - both)
+        return max(iou, 1e-6) if iou >= iou_threshold or (across / min(a[3], b[3]) >= iou_threshold and -along <= join_mm) else 0
+
+    out, made, tracks = {}, 0, {}
+    for frame in sorted({f for f, *_ in rows}):
+        late = {}
+        for _, i, box in sorted(r for r in rows if r[0] == frame):
+            fits = [(worth(b, box), -e) for e, (f, b) in tracks.items() if 0 < frame - f <= max_gap + 1 and worth(b, box)]
+            if fits:
+                out[i] = -max(fits)[1]
+                tracks[out[i]] = (frame, box)
+            else:
+                out[i] = made = made + 1
+                late[made] = (frame, box)
+        tracks |= late
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tracking_equals_every_pair_compared(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 260
+    rows = [(1, int(r), int(f), i, float(a), float(c), float(h), float(w), 6.0, "asserted") for i, (r, f, a, c, h, w) in enumerate(zip(rng.integers(0, 2, n), rng.integers(0, 60, n), rng.integers(0, 12, n) * 30, rng.integers(0, 8, n) * 10, rng.integers(1, 7, n) * 20, rng.integers(1, 4, n) * 15))]
+    rows += [(None, 1, 3, n, 0.0, 0.0, 1.0, 1.0, 6.0, "asserted")]
+    got = {(r.roll_id, r.detection_id): r.event_id for r in track.track(spark.createDataFrame(rows, DET)).collect()}
+    want = {(roll, i): e for roll in (0, 1) for i, e in chosen([(r[2], r[3], r[4:8]) for r in rows if r[1] == roll and r[0]]).items()}
+    assert got == want and max(want.values()) < len(want) / 4
+
+
 def test_flat_field_keeps_a_flat_frame(spark):
     cells = spark.createDataFrame([(1, 0, y, x, 100.0) for y in range(12) for x in range(12)], "roll_id int, frame_index int, y int, x int, value double")
     assert {r.value for r in raster.flat_field(cells, 3.0).collect()} <= {99, 100}
