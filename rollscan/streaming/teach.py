@@ -67,19 +67,21 @@ def teach_calibrate_inspect(root: str, plan: Plan, on_phase: Callable[[str, str]
     def at(table: str, batch_id: int, part: int) -> str:
         return f"{root}/{table}/batch={batch_id}/part={part}"
 
-    def so_far(spark: SparkSession, table: str, schema: str, batch_id: int) -> DataFrame:
-        return _maybe(spark, f"{root}/{table}", schema + ", batch long, part long").filter(F.col("batch") <= batch_id)
+    def so_far(spark: SparkSession, table: str, schema: str, batch_id: int, part: int) -> DataFrame:
+        """What was written before and in this batch up to a part; later parts may be of an attempt that failed."""
+        found = _maybe(spark, f"{root}/{table}", schema + ", batch long, part long")
+        return found.filter((F.col("batch") < batch_id) | ((F.col("batch") == batch_id) & (F.col("part") <= part)))
 
-    def scored(spark: SparkSession, rows: DataFrame, batch_id: int) -> DataFrame:
+    def scored(spark: SparkSession, rows: DataFrame, batch_id: int, part: int) -> DataFrame:
         """The largest patch score of each tile."""
-        points = so_far(spark, "banks", "sku string, point_id long, embedding array<float>", batch_id)
+        points = so_far(spark, "banks", "sku string, point_id long, embedding array<float>", batch_id, part)
         patches = bank.score_grids(_grids(rows), None, points.select("sku", "point_id", "embedding"), plan.pool)
         return patches.groupBy("sku", "tile").agg(F.max("score").alias("score"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counted = batch.groupBy("sku").agg(F.count_distinct("roll_id", "frame_index").alias("n"), F.bool_or("end_of_roll").alias("ended")).collect()
-        latest = so_far(spark, "phases", STATE, batch_id - 1).groupBy("sku").agg(F.max_by(F.struct("phase", "learned", "calibrated", "needed"), "batch").alias("s")).select("sku", "s.*")
+        latest = so_far(spark, "phases", STATE, batch_id, -1).groupBy("sku").agg(F.max_by(F.struct("phase", "learned", "calibrated", "needed"), "batch").alias("s")).select("sku", "s.*")
         state = {r.sku: [r.phase, r.learned, r.calibrated, r.needed] for r in latest.collect()}
         free = {r.sku for r in _maybe(spark, f"{root}/released", RELEASED).collect()}
         # the frames of one micro-batch, in order
@@ -114,16 +116,16 @@ def teach_calibrate_inspect(root: str, plan: Plan, on_phase: Callable[[str, str]
                     rows.filter("phase = 'learn'").select(*GRID).write.mode("overwrite").parquet(at("learn", batch_id, part))
                     full = [s for s in of["learn"] if state[s][1] >= plan.learn]
                     if full:
-                        grids = so_far(spark, "learn", "sku string, roll_id long, frame_index long, tile long, gy int, gx int, embedding array<float>", batch_id).filter(F.col("sku").isin(full))
+                        grids = so_far(spark, "learn", "sku string, roll_id long, frame_index long, tile long, gy int, gx int, embedding array<float>", batch_id, part).filter(F.col("sku").isin(full))
                         points = bank.fit_banks(_grids(grids), None, plan.fraction, plan.pool)
                         points.select("sku", "point_id", "embedding").write.mode("overwrite").parquet(at("banks", batch_id, part))
                         for s in full:
                             enter(s, "calibrate")
                 if of["calibrate"]:
-                    scored(spark, rows.filter("phase = 'calibrate'"), batch_id).write.mode("overwrite").parquet(at("clean", batch_id, part))
+                    scored(spark, rows.filter("phase = 'calibrate'"), batch_id, part).write.mode("overwrite").parquet(at("clean", batch_id, part))
                     full = [s for s in of["calibrate"] if state[s][2] >= state[s][3]]
                     if full:
-                        clean = so_far(spark, "clean", "sku string, tile string, score double", batch_id).filter(F.col("sku").isin(full))
+                        clean = so_far(spark, "clean", "sku string, tile string, score double", batch_id, part).filter(F.col("sku").isin(full))
                         found = calibrate.conformal_threshold(clean.select("sku", "score"), ["sku"], plan.budget_fa, plan.metres_per_tile, plan.margin)
                         found.write.mode("overwrite").parquet(at("calibrations", batch_id, part))
                         for r in spark.read.parquet(at("calibrations", batch_id, part)).collect():
@@ -132,8 +134,8 @@ def teach_calibrate_inspect(root: str, plan: Plan, on_phase: Callable[[str, str]
                             else:  # the sample is kept
                                 state[r.sku][3] += plan.more
                 if of["inspect"]:
-                    cals = so_far(spark, "calibrations", "sku string, threshold double, abstain_low double, status string", batch_id).filter("status = 'ok'")
-                    tiles = scored(spark, rows.filter("phase = 'inspect'"), batch_id)
+                    cals = so_far(spark, "calibrations", "sku string, threshold double, abstain_low double, status string", batch_id, part).filter("status = 'ok'")
+                    tiles = scored(spark, rows.filter("phase = 'inspect'"), batch_id, part)
                     named = tiles.withColumn("t", F.from_json("tile", "roll_id long, frame_index long, tile long")).select("sku", "t.*", "score")
                     calibrate.classified(named, cals, ["sku"]).write.mode("overwrite").parquet(at("inspected", batch_id, part))
                 part += 1
