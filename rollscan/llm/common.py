@@ -9,23 +9,16 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscan.staging import shared_dir, stage  # noqa: F401  (used through this module)
+from rollscan.staging import BROADCAST_ROWS, shared_dir, sized, stage  # noqa: F401  (used through this module)
 
 #: White space of every word contract; anything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
-BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df hinted for the join it is the smaller side of: broadcast up to limit rows (counted), else sort-merge, whose skewed keys AQE splits."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df.hint("merge")
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about max_bytes of text (one row at least)."""
     for batch in batches:

@@ -346,7 +346,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     the text again, so that no other row's set comes under it, and one of repeated rows is read."""
     base = docs.select("text", row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"))
     keyed = wanted.select(row_key(F.col("rep"), F.col("mark")).alias("key"))
-    few = bloom.probe(base, F.col("key"), bloom.build(keyed, "key", wanted.count()), "possible").filter("possible").select("text")
+    few = bloom.probe(base, F.col("key"), bloom.build(keyed, "key", wanted.count())).filter("possible").select("row.text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -39,7 +39,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", url
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape["lengths"])]), lambda x: x.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
     probes = parted.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("rule"))
-    possible = bloom.probe(probes, F.col("rule"), bloom.build(listed, "rule", shape["n"]), "possible").filter("possible").drop("possible")
+    possible = bloom.probe(probes, F.col("rule"), bloom.build(listed, "rule", shape["n"])).filter("possible").select("row.*")
     exact = possible.join(sized(listed.select("rule", "action"), shape["n"]), "rule")
     first = F.struct((-F.length("rule")).alias("l"), F.col("rule").alias("r"))
     best = exact.groupBy("host", "path").agg(F.min_by("rule", first).alias("rule"), F.min_by("action", first).alias("verdict"))

@@ -271,6 +271,33 @@ def test_exact_dedup_of_odd_tables(odd, empty):
     assert exactdedup.exact_dedup(empty).count() == 0
 
 
+def test_runs_are_exchanged_by_bits_of_the_place(spark, docs_of):
+    df = docs_of(*[(i % 50 if i % 7 else None, f"text {i % 90}", "s") for i in range(900)]).repartition(11)
+    rows = exactdedup.digests(df)
+    assert exactdedup.rounds_of(32, 2) == [(0, 2), (2, 2), (4, 1)] and exactdedup.places_for(9) == 16
+    place_of = lambda d: int.from_bytes(d[:4], "big") >> 27
+    one = F.lit(1).cast("long")
+    runs = rows.select(F.pmod(F.spark_partition_id(), F.lit(32)).alias("place"), *exactdedup.KEY, F.col("doc_id").alias("keep_id"), one.alias("n"), one.alias("ties"))
+    moved = []
+    for r, bits in enumerate([*exactdedup.rounds_of(32, 2), None]):
+        runs = (runs.repartitionById(32, "place") if r else runs).sortWithinPartitions(*exactdedup.KEY).mapInArrow(exactdedup.merging(32, bits, True), exactdedup.RUN)
+        held = runs.select("place", "digest", "n", F.spark_partition_id().alias("at")).collect()
+        assert sum(h.n for h in held) == 900
+        settled = 5 if bits is None else bits[0] + bits[1]
+        assert all(h.place >> (5 - settled) == place_of(h.digest) >> (5 - settled) for h in held)
+        if r:  # a run never leaves the places that differ in the bits settled so far, and holds a text once
+            assert len({(h.at, h.digest) for h in held}) == len(held)
+        moved.append(len(held))
+    assert moved == sorted(moved, reverse=True) and moved[-1] == 90
+    got = {(r.keep_id, r.group_size, r.ties) for r in exactdedup.merge_runs(rows, places=32).collect()}
+    want = set()
+    for k in range(90):
+        ids = [i % 50 if i % 7 else None for i in range(900) if i % 90 == k]
+        best = max((i for i in ids if i is not None), default=None)
+        want.add((best, 10, ids.count(best)))
+    assert got == want
+
+
 # --- n-gram Jaccard join
 
 
