@@ -65,6 +65,7 @@ def merging(places: int, bits: tuple[int, int] | None, largest: bool) -> Callabl
         last = None  # the last key may go on in the next batch
         for batch in batches:
             if batch.num_rows:
+                batch = pa.RecordBatch.from_arrays(batch.columns, names=_NAMES)
                 both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
                 both = merged(both, largest)
                 last = both.slice(both.num_rows - 1)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollscan.llm import exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
+from rollscan.llm import bloom, exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
 from rollscan.llm.common import held_out
 from rollscan.llm.tokens import Encoder
 
@@ -57,20 +57,53 @@ def texts(spark):
 
 
 def test_mix_shards_and_documents(spark):
-    placed, pieces, slots = mixing.mix(documents(spark), shards=16)
+    docs = documents(spark)
+    placed, pieces, slots = mixing.mix(mixing.measured(docs, F.monotonically_increasing_id()), shard_slots=200)
     s = slots.toPandas()
-    assert s.groupby(["rank", "block"]).size().max() <= 3
-    assert not s.duplicated(["rank", "pass", "block"]).any()  # a pass is a permutation
-    per_shard = s.groupby("shard").size()
-    assert len(per_shard) == 16 and per_shard.max() < 1.3 * per_shard.min()
-    mixed = mixing.mixed_documents(documents(spark))
-    assert mixed.columns == documents(spark).columns
+    assert s.groupby(["rank", "block"]).takes.sum().max() <= 3
+    # each source has the slots of its target, and its blocks are taken as often as each other or once more
+    words = placed.groupBy("rank").agg(F.sum("size").alias("n"), F.max("target").alias("target")).collect()
+    for r in words:
+        blocks = -(-r.n // 64)
+        mine = s[s["rank"] == r["rank"]]
+        assert mine.takes.sum() == min(3 * blocks, int(r.target * blocks / r.n + 0.5))
+        each = mine.groupby("block").takes.sum()
+        assert each.max() - (each.min() if len(each) == blocks else 0) <= 1
+    # shards draw their counts: they vary as multinomial ones do, and add up
+    counts = s.pivot_table(index="shard", columns="rank", values="takes", aggfunc="sum", fill_value=0)
+    share = counts.sum() / counts.to_numpy().sum()
+    assert len(counts) == -(-int(s.takes.sum()) // 200)
+    expected = counts.sum() / len(counts)
+    chi = ((counts - expected) ** 2 / expected).to_numpy().sum()
+    freedom = (len(counts) - 1) * len(share)
+    assert 0.5 * freedom < chi < 2 * freedom
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
     words = Counter()
     for r in mixed.collect():
         assert r.n_chars == len(r.text)
         words[r.doc_id] += len(WORD.findall(r.text))
-    taken = {r.doc_id: r.taken for r in mixing.taken(documents(spark)).collect() if r.taken}
-    assert dict(words) == taken
+    rows = mixing.taken(docs).collect()
+    assert dict(words) == {r.doc_id: r.taken for r in rows if r.taken}
+    assert all((r.shards > 0) == (r.taken > 0) for r in rows)
+
+
+def test_mixed_texts_are_the_words_taken(docs_of):
+    df = docs_of(*[(i, "  ".join(f"{i}w{k}" for k in range(20 + 31 * i)) + " \n", "ab"[i % 2]) for i in range(12)])
+    placed, pieces, slots = mixing.mix(mixing.measured(df, F.col("doc_id")))
+    times = {(r["rank"], r.block): r.n for r in slots.groupBy("rank", "block").agg(F.sum("takes").alias("n")).collect()}
+    want = Counter()
+    texts_of = {r.doc_id: r.text for r in df.collect()}
+    parts = defaultdict(list)
+    for r in pieces.collect():
+        parts[r.rid].append((r.lo, r.hi, times.get((r["rank"], r.block), 0)))
+    for i, held in parts.items():
+        cut = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", texts_of[i])
+        for k in (1, 2, 3):
+            some = [w for lo, hi, n in sorted(held) if n >= k for w in cut[lo:hi]]
+            if some:
+                want[i, texts_of[i] if len(some) == len(cut) else "".join(some)] += 1
+    assert Counter((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect()) == want
 
 
 def test_mix_of_odd_tables(odd, empty):
@@ -120,10 +153,28 @@ def test_url_verdicts(spark):
     got = {r.url: (r.rule, r.verdict) for r in urlfilter.url_verdicts(df.unionByName(df), rules).collect()}
     assert got == urls
     assert urlfilter.url_verdicts(df.unionByName(df), rules).count() == 2 * len(urls)
+    long = spark.createDataFrame([(1, "http://x.org/" + "a/" * 200_000, "r"), (2, "http://" + "a." * 50_000 + "org/x", "r"), (3, "://" + "y" * 300_000, "r")], df.schema)
+    assert {(r.page_id, r.rule, r.verdict) for r in urlfilter.url_verdicts(long, rules).collect()} == {(1, "org/", "allow"), (2, "org/", "allow"), (3, None, "allow")}
     assert {r.verdict for r in urlfilter.url_verdicts(df, rules.limit(0), default="block").collect()} == {"block"}
     assert urlfilter.url_verdicts(df.limit(0), rules).count() == 0
 
 
+def test_filters_too_large_to_broadcast_give_the_same(spark, docs_of, monkeypatch):
+    df = docs_of(*[(i, f"t{i}", "s") for i in range(300)]).withColumns({c: F.lit(c) for c in ("block", "w0", "row", "key", "found", "possible", "listed")})
+    listed = spark.createDataFrame([(f"t{i}", i) for i in range(0, 300, 7)], "name string, at long")
+    want = {f"t{i}" for i in range(0, 300, 7)}
+    for limit in (bloom.BROADCAST_BLOCKS, 0):
+        monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", limit)
+        for keep in (True, False):
+            got = bloom.semi(df, F.col("text"), listed, "name", keep)
+            assert got.columns == df.columns and {r.text for r in got.collect()} == (want if keep else {f"t{i}" for i in range(300)} - want)
+        found = {r.row.text: r.found and r.found.at for r in bloom.marked(df, F.col("text"), listed, "name").collect()}
+        assert found == {f"t{i}": i if i % 7 == 0 else None for i in range(300)}
+        passed = {r.key for r in bloom.probe(df, F.col("text"), bloom.build(listed, "name", 43)).filter("possible").collect()}
+        assert want <= passed and len(passed) < 60
+    assert bloom.blocks_for(10**9) == 62_500_000
+
+
 # --- toxicity
 
 
@@ -271,6 +322,28 @@ def test_exact_dedup_of_odd_tables(odd, empty):
     assert exactdedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_over_many_batches(spark, docs_of, keep):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = docs_of(*[(None if i % 5 == 0 else i, f"t{i % 13}" if i % 2 else "hot", "s") for i in range(400)]).repartition(3)
+        rows = exactdedup.exact_dedup(df, keep).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pick = max if keep == "largest" else min
+    text = lambda i: f"t{i % 13}" if i % 2 else "hot"
+    named = defaultdict(list)
+    for i in range(400):
+        if i % 5:
+            named[text(i)].append(i)
+    sizes = Counter(text(i) for i in range(400))
+    digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
+    assert len(rows) == 400
+    for r in rows:
+        t = digest[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (pick(named[t]), sizes[t]) and r.kept == (r.doc_id == r.keep_id)
+
+
 def test_runs_are_exchanged_by_bits_of_the_place(spark, docs_of):
     df = docs_of(*[(i % 50 if i % 7 else None, f"text {i % 90}", "s") for i in range(900)]).repartition(11)
     rows = exactdedup.digests(df)
