@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollscan.staging import BROADCAST_ROWS, shared_dir, sized, stage  # noqa: F401  (used through this module)
@@ -33,6 +33,22 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             yield batch.slice(start)
 
 
+def running(df: DataFrame, order: list[Column], value: str, name: str = "before", parts: int | None = None) -> DataFrame:
+    """df with `name`: the sum of value over all rows that are earlier in the order, and `part`, a number that rises with it.
+
+    Rows are dealt in ranges of the order and summed up range by range, so that no task holds more than a range, whatever the
+    keys; only the ranges' own sums, one row for each, are summed in one place. What is summed does not depend on the ranges.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("part").agg(F.sum(value).alias("_held"))
+    base = F.sum("_held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("part", F.coalesce(base, F.lit(0)).alias("_base"))
+    inner = F.sum(value).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    both = ranged.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(sums), "part")
+    return both.withColumn(name, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
+
+
 def held_out(parts: int, which: int) -> Column:
     """Whether crc32 of doc_id as text leaves `which` when divided by `parts`."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % parts == which

@@ -1,9 +1,9 @@
 """Mixing sources to target weights. DataFrame operations only.
 
-The words of each source are packed end to end into blocks of fixed length. Every slot of every output shard draws its
-source, which makes the counts of a shard's sources multinomial; the totals are then settled to the sources' targets.
-A source's slots walk through pseudorandom permutations of its block indices, one permutation for each pass, and blocks
-are joined to slots by index.
+The words of each source are packed end to end into blocks of fixed length, and the source's target asks for so many slots.
+Every slot draws the output shard that it falls to, so that the counts of a shard's sources are multinomial, given that a
+source's counts add up to its slots. The drawn counts cut each source's slots into the shards' ranges; slots walk through
+pseudorandom permutations of the source's block indices, one for each pass, and blocks are joined to slots by index.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollscan.llm.common import WORD, sized, stage
+from rollscan.llm.common import WORD, running, sized, stage
 
 #: Mersenne primes, coprime to every smaller number of blocks.
 PRIMES = (2147483647, 2305843009213693951)
 WEIGHTS = (5, 2, 1)
-NULL_PARTS = 4096
+#: Multiplier and modulus that scatter doc_ids over a source's stream.
+SCATTER, MODULUS = 1103515245, 2**31
 
 
 def _source_key(source: Column) -> Column:
@@ -27,15 +28,14 @@ def _word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _twin(skey: Column, size: Column, mark: Column) -> Column:
-    """Numbers rows of one doc_id, over all rows of the table. Rows without an id are numbered in parts by the hash of their
-    text, so that no window holds them all; the part is in the number's upper bits."""
-    part = F.when(F.col("doc_id").isNull(), F.pmod(mark, F.lit(NULL_PARTS))).otherwise(0).cast("long")
-    return part * (1 << 40) + F.row_number().over(Window.partitionBy("doc_id", part).orderBy(skey, size, mark))
+def measured(docs: DataFrame, row_id: Column, at: str = "") -> DataFrame:
+    """rid (names the row), doc_id, skey, size (words), mark (a hash of the text) of every row, written out. at: the struct of the row's columns."""
+    c = lambda name: F.col(f"{at}{name}")
+    return stage(docs.select(row_id.alias("rid"), c("doc_id").cast("long").alias("doc_id"), _source_key(c("source")).alias("skey"), _word_count(c("text")).alias("size"), F.xxhash64(c("text")).alias("mark")), "sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """For each source: rank, source_size, target (words) by water filling.
+    """For each source: rank, source_size, base (words of the sources before it), target (words) by water filling.
 
     Sources by code point, null last, have the weights in turn. They share all words; a share above `most` times the
     source's size is cut to that, and the excess goes to the others by weight until none is above.
@@ -52,49 +52,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     s = s.withColumn("open", F.when(F.col("level") <= cap / F.col("weight"), F.col("level")))
     s = s.withColumn("final", F.max_by("open", F.when(F.col("open").isNotNull(), -cap / F.col("weight"))).over(everyone))
     s = s.withColumn("target", F.least(cap.cast("double"), F.coalesce(F.col("final") * F.col("weight"), cap.cast("double"))))
-    return s.select("skey", "rank", "source_size", "target")
+    base = F.sum("source_size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    return s.select("skey", "rank", "source_size", F.coalesce(base, F.lit(0)).alias("base"), "target")
 
 
-def _place(docs: DataFrame, n_chunks: int) -> DataFrame:
-    """Each document's first word in its source's stream. Streams run by chunk (a hash of doc_id), then doc_id.
-
-    Both the rows of a chunk and the chunks of a source are about the root of the number of documents, so that no window
-    holds a whole source.
-    """
-    x = (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2**31)) * 1103515245) % 2**31
-    docs = docs.withColumn("chunk", F.floor(x * n_chunks / F.lit(2**31)).cast("long"))
-    chunks = docs.groupBy("rank", "chunk").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
-    inside = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size", "twin").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return docs.join(sized(stage(chunks, "chunks")), ["rank", "chunk"]).withColumn("first", F.col("base") + F.col("inner")).drop("base", "inner", "chunk")
-
-
-def draw_blocks(sources: DataFrame, shards: int, seed: int = 1) -> DataFrame:
-    """(rank, slot, shard, pass, block) for every slot of the mix. sources: rank, blocks, slots."""
+def draw_blocks(sources: DataFrame, shard_slots: int, seed: int = 1) -> DataFrame:
+    """(rank, slot, shard, pass, block) for every slot of the mix. sources: rank, blocks, slots. A shard has about shard_slots."""
     spark = sources.sparkSession
     row = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("m"), F.count("*").alias("n")).first()
     m, n = row["m"], row["n"]
+    shards = max(1, -(-m // shard_slots))
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     cut = sources.filter("slots > 0").withColumn("hi", F.sum("slots").over(upto)).withColumn("lo", F.col("hi") - F.col("slots"))
+    # the source of each slot, found through bins of slot numbers
     width = max(1, -(-m // max(4096, n)))
-    bins = cut.select("rank", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}L, (hi - 1) div {width}L)")).alias("bin"))
-    per = max(1, -(-m // shards))
-    slots = spark.range(m).select(F.expr(f"id div {per}L").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(m, 1))).alias("u"))
-    slots = slots.withColumn("bin", F.expr(f"u div {width}L"))
-    drawn = slots.join(sized(bins, rows=max(4096, n) + n), "bin").filter("u >= lo AND u < hi").groupBy("rank", "shard").agg(F.count("*").alias("drawn"))
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("start", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
-    # settle: what is drawn beyond a source's number is given up evenly over the shards, what is missing is dealt to them in turn
-    got = drawn.groupBy("rank").agg(F.sum("drawn").alias("got"))
-    runs = drawn.join(sized(sources, rows=n), "rank").join(sized(got, rows=n), "rank")
-    kept = lambda c: F.when(F.col("got") > F.col("slots"), F.expr(f"cast(cast({c} as decimal(19,0)) * cast(slots as decimal(19,0)) div got as bigint)")).otherwise(F.expr(c))
-    runs = runs.select("rank", "blocks", "shard", kept("start").alias("start"), (kept("(start + drawn)") - 1).alias("end"))
-    short = sources.join(sized(got, rows=n), "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < slots")
-    runs = runs.unionByName(short.select("rank", "blocks", F.lit(-1).cast("long").alias("shard"), F.col("got").alias("start"), (F.col("slots") - 1).alias("end")))
-    j = runs.filter("end >= start").select("rank", "blocks", "shard", F.explode(F.expr("sequence(start, end)")).alias("slot"))
-    j = j.withColumn("shard", F.when(F.col("shard") < 0, F.pmod("slot", F.lit(shards))).otherwise(F.col("shard")))
+    bins = cut.select("rank", "blocks", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}L, (hi - 1) div {width}L)")).alias("bin"))
+    every = spark.range(m).withColumn("bin", F.expr(f"id div {width}L")).join(sized(bins, rows=max(4096, n) + n), "bin").filter("id >= lo AND id < hi")
+    every = every.select("rank", "blocks", "lo", (F.col("id") - F.col("lo")).alias("slot"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:draw"), F.col("rank").cast("string"), F.col("slot").cast("string"))), 1, 15), 16, 10).cast("long")
+    drawn = every.groupBy("rank", "blocks", "lo", (number % shards).alias("shard")).agg(F.count("*").alias("drawn"))
+    runs = running(drawn, [F.col("rank"), F.col("shard")], "drawn").withColumn("start", F.col("before") - F.col("lo"))
+    # one row for each source and shard: dealt out, as each makes as many rows as it drew
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    j = runs.repartition(parts, "rank", "shard").select("rank", "blocks", "shard", F.explode(F.expr("sequence(start, start + drawn - 1)")).alias("slot"))
     return j.select("rank", "slot", "shard", F.expr("slot div blocks").alias("pass"), permuted(seed).alias("block"))
 
 
@@ -109,60 +89,65 @@ def permuted(seed: int) -> Column:
     return ((product + wide(number(9))) % wide(F.col("blocks"))).cast("long")
 
 
-def mix(docs: DataFrame, block_words: int = 64, shards: int = 256, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes, pieces, slots) of the mix.
+def mix(sizes: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, pieces, slots) of the mix of measured() rows.
 
-    sizes: doc_id, twin (numbers rows of one doc_id), skey, rank, size, source_size, target, first. pieces: the parts of
-    documents in blocks, with lo and hi (words of the document) and times (takes, `most` at most). slots: what shard takes
-    which block. Null texts have no words; a source without words gets none. Reruns give the same rows.
+    placed: the rows with rank, source_size, target, first (the row's first word in its source's stream). pieces: the parts of
+    rows in blocks, with rank, block, lo and hi (words of the row). slots: what shard takes which block, and how often; a block
+    is taken `most` times at most. A source without words gets none. Reruns give the same: rows that agree in doc_id, source
+    and text are alike.
     """
-    sizes = docs.select("doc_id", _source_key(F.col("source")).alias("skey"), _word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
-    sizes = stage(sizes, "sizes")
-    twin = _twin(F.col("skey"), F.col("size"), F.col("mark"))
     shares = stage(targets(sizes, weights, most), "targets")
-    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}L")
     # as many slots as give the target at the source's mean block length
-    sources = shares.filter("source_size > 0").withColumn("blocks", blocks)
+    sources = shares.filter("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}L"))
     sources = sources.withColumn("slots", F.least(most * F.col("blocks"), F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).cast("long")).select("rank", "blocks", "slots")
-    n = sizes.count()
-    placed = _place(sizes.withColumn("twin", twin).join(sized(shares), "skey"), max(1, round(n**0.5)))
-    placed = stage(placed.drop("mark"), "placed")
-    slots = stage(draw_blocks(stage(sources, "sources"), shards, seed), "slots")
-    times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    full = placed.filter("size > 0").select("doc_id", "twin", "rank", "first", "size", F.explode(F.expr(f"sequence(first div {block_words}L, (first + size - 1) div {block_words}L)")).alias("block"))
+    scattered = (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(MODULUS)) * SCATTER) % MODULUS
+    joined = sizes.join(sized(shares), "skey").withColumn("scattered", scattered)
+    order = [F.col(c) for c in ("rank", "scattered", "doc_id", "size", "mark", "rid")]
+    placed = running(joined, order, "size").withColumn("first", F.col("before") - F.col("base"))
+    placed = stage(placed.select("rid", "doc_id", "skey", "rank", "size", "source_size", "target", "first"), "placed")
+    slots = draw_blocks(stage(sources, "sources"), shard_slots, seed)
+    slots = stage(slots.groupBy("rank", "block", "shard").agg(F.count("*").alias("takes")), "slots")
+    full = placed.filter("size > 0").select("rid", "rank", "first", "size", F.explode(F.expr(f"sequence(first div {block_words}L, (first + size - 1) div {block_words}L)")).alias("block"))
     lo, hi = F.greatest(F.col("block") * block_words - F.col("first"), F.lit(0)), F.least((F.col("block") + 1) * block_words - F.col("first"), "size")
-    pieces = full.join(times.hint("merge"), ["rank", "block"]).select("doc_id", "twin", lo.alias("lo"), hi.alias("hi"), "times")
-    return placed, pieces, slots
+    return placed, full.select("rid", "rank", "block", lo.alias("lo"), hi.alias("hi")), slots
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and source) for every row of docs; see mix()."""
-    placed, pieces, _ = mix(docs, **options)
-    sums = pieces.groupBy("doc_id", "twin").agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken"))
-    sums = sums.withColumnsRenamed({"doc_id": "of_id", "twin": "of_twin"})
-    out = placed.join(sums.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("twin") == F.col("of_twin")), "left")
+    """doc_id, size, source_size, target, taken, shards (how many output shards drew a part of it) and source for every row of
+    docs; see mix(). Null texts have no words. An empty table gives no row; further columns are ignored."""
+    placed, pieces, slots = mix(measured(docs, F.monotonically_increasing_id()), **options)
+    words = F.sum(F.col("takes") * (F.col("hi") - F.col("lo"))).alias("words")
+    by_shard = pieces.join(slots.hint("merge"), ["rank", "block"]).groupBy("rid", "shard").agg(words)
+    sums = by_shard.groupBy("rid").agg(F.sum("words").alias("taken"), F.count("*").alias("shards"))
+    out = placed.join(sums.hint("merge"), "rid", "left")
     source = F.when(F.col("skey") != "n", F.substring("skey", 2, 1 << 30))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), source.alias("source"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "size", "source_size", "target", number("taken"), number("shards"), source.alias("source"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: copy k of a document (1 to `most`) holds, in order, its words that the mix takes k times at
     least, so that the copies together hold the words taken. Untaken documents go; a copy taken whole keeps its text as it is.
-    Rows keep docs' columns; n_chars, where there is one, becomes the new length.
+    Rows keep docs' columns, whatever their names; n_chars, where there is one, becomes the new length. Null and blank texts
+    have nothing to take and go; rows that are alike are each a document; an empty table gives no row.
+
+    Rows are written once with a number of their own, by which their plans find them; words are cut once for all copies.
     """
-    _, pieces, _ = mix(docs, **options)
-    plan = pieces.groupBy("doc_id", "twin").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
-    plan = stage(plan, "plan")
-    # numbered as in mix(), over rows without words too: those meet no plan
-    rows = docs.withColumn("twin", _twin(_source_key(F.col("source")), _word_count(F.col("text")), F.xxhash64("text")))
-    plan = plan.withColumnsRenamed({"doc_id": "plan_id", "twin": "plan_twin"})
-    rows = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("plan_id")) & (F.col("twin") == F.col("plan_twin")))
-    rows = rows.withColumn("copy", F.explode(F.expr("sequence(1L, array_max(transform(parts, p -> p.times)))")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    some = F.expr("filter(parts, p -> p.times >= copy)")
-    cut = F.array_join(F.flatten(F.transform(some, lambda p: F.slice(F.col("words"), (p.lo + 1).cast("int"), (p.hi - p.lo).cast("int")))), "")
-    whole = F.aggregate(some, F.lit(0).cast("long"), lambda n, p: n + p.hi - p.lo) == _word_count(F.col("text"))
-    rows = rows.withColumn("words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "rows")
+    placed, pieces, slots = mix(measured(rows, F.col("rid"), "row."), **options)
+    times = slots.groupBy("rank", "block").agg(F.sum("takes").alias("times"))
+    parts = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
+    plan = parts.join(placed.select("rid", "size").hint("merge"), "rid").select("rid", "size", "parts")
+    planned = rows.join(plan.hint("merge"), "rid")
+    wanted = F.expr("transform(sequence(1L, array_max(transform(parts, p -> p.times))), k -> filter(parts, p -> p.times >= k))")
+    length = lambda chosen: F.aggregate(chosen, F.lit(0).cast("long"), lambda n, p: n + p.hi - p.lo)
+    planned = planned.withColumn("copies", wanted).withColumn("all_whole", F.forall("copies", lambda c: length(c) == F.col("size")))
+    text = F.col("row.text")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    planned = planned.withColumn("words", F.when(~F.col("all_whole"), words))
+    cut = lambda c: F.array_join(F.flatten(F.transform(c, lambda p: F.slice(F.col("words"), (p.lo + 1).cast("int"), (p.hi - p.lo).cast("int")))), "")
+    texts = F.transform("copies", lambda c: F.when(length(c) == F.col("size"), text).otherwise(cut(c)))
+    out = planned.select("row", F.explode(texts).alias("new"))
+    change = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return out.select(*[change.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -81,23 +81,26 @@ b AS (
   SELECT rk, blocks, least(3 * blocks, floor(target * blocks / source_size + 0.5))::BIGINT AS slots
   FROM (SELECT *, (source_size + 63) // 64 AS blocks FROM t WHERE source_size > 0)),
 j AS (SELECT rk, blocks, unnest(range(0, slots)) AS slot FROM b),
-h AS (SELECT *, md5('1:' || rk || ':' || (slot // blocks)) AS salt FROM j),
+z AS (SELECT greatest(1, ceil(count(*) / 4096::DOUBLE))::BIGINT AS shards FROM j),
+g AS (SELECT rk, blocks, ('0x' || substr(md5('1:draw:' || rk || ':' || slot), 1, 15))::BIGINT % (SELECT shards FROM z) AS shard, count(*) AS drawn FROM j GROUP BY ALL),
+k AS (SELECT rk, blocks, shard, unnest(range((upto - drawn)::BIGINT, upto::BIGINT)) AS slot FROM (SELECT *, sum(drawn) OVER (PARTITION BY rk ORDER BY shard) AS upto FROM g)),
+h AS (SELECT *, md5('1:' || rk || ':' || (slot // blocks)) AS salt FROM k),
 p AS (
-  SELECT rk, ((CASE WHEN blocks >= 2147483647 OR ('0x' || substr(salt, 1, 8))::BIGINT % 2 = 1 THEN 2305843009213693951 ELSE 2147483647 END % blocks)::HUGEINT
+  SELECT rk, shard, ((CASE WHEN blocks >= 2147483647 OR ('0x' || substr(salt, 1, 8))::BIGINT % 2 = 1 THEN 2305843009213693951 ELSE 2147483647 END % blocks)::HUGEINT
           * (slot % blocks) + ('0x' || substr(salt, 9, 8))::BIGINT) % blocks AS block FROM h),
-n AS (SELECT rk, block, count(*) AS times FROM p GROUP BY ALL),
+n AS (SELECT rk, block, shard, count(*) AS takes FROM p GROUP BY ALL),
 d AS (
-  SELECT s.*, t.rk, t.source_size, t.target,
-         (((((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648) * 1103515245) % 2147483648) * (SELECT greatest(1, round(sqrt(count(*))))::BIGINT FROM documents)) // 2147483648 AS chunk
+  SELECT s.*, t.rk, t.source_size, t.target, (((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648) * 1103515245) % 2147483648 AS scattered
   FROM s JOIN t USING (skey)),
 q AS (
-  SELECT *, (coalesce(sum(size) OVER (PARTITION BY rk ORDER BY chunk, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first,
+  SELECT *, (coalesce(sum(size) OVER (PARTITION BY rk ORDER BY scattered, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first,
          row_number() OVER () AS id FROM d),
 x AS (SELECT id, rk, first, size, unnest(range(first // 64, (first + size - 1) // 64 + 1)) AS block FROM q WHERE size > 0),
 y AS (
-  SELECT id, sum(times * (least((block + 1) * 64 - first, size) - greatest(block * 64 - first, 0)))::BIGINT AS taken
-  FROM x JOIN n USING (rk, block) GROUP BY id)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM q LEFT JOIN y USING (id)
+  SELECT id, shard, sum(takes * (least((block + 1) * 64 - first, size) - greatest(block * 64 - first, 0))) AS words
+  FROM x JOIN n USING (rk, block) GROUP BY ALL),
+e AS (SELECT id, sum(words)::BIGINT AS taken, count(*)::BIGINT AS shards FROM y GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, 0)::BIGINT AS shards, source FROM q LEFT JOIN e USING (id)
 """
 
 OP2 = """

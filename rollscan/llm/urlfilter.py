@@ -44,5 +44,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", url
     first = F.struct((-F.length("rule")).alias("l"), F.col("rule").alias("r"))
     best = exact.groupBy("host", "path").agg(F.min_by("rule", first).alias("rule"), F.min_by("action", first).alias("verdict"))
     best = stage(best, "matched")
-    out = parted.join(sized(best, limit=BROADCAST_ROWS // 4), ["host", "path"], "left")
-    return out.select(*[c for c in parted.columns if c not in ("host", "path")], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # urls without a host fit no rule, however many there are
+    some = parted.filter("host <> ''").join(sized(best, limit=BROADCAST_ROWS // 10), ["host", "path"], "left")
+    none = parted.filter("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    out = some.unionByName(none)
+    return out.select(*[F.col(f"`{c}`") for c in parted.columns if c not in ("host", "path")], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
