@@ -163,7 +163,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, target: str, held_out:
     """STATS and target of at most `most` labelled rows that are not held out: those with the least hashes of doc_id."""
     rows = labels.filter(~held_out & F.col(target).isNotNull()).select("doc_id", F.col(target).cast("int").alias("y")).dropDuplicates(["doc_id"])
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    found = stats.join(F.broadcast(rows), "doc_id").select("y", *STATS).collect()  # at most `most` rows of numbers
+    # of texts that share a doc_id the least statistics: at most `most` rows of numbers are collected
+    found = stats.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", *STATS)).alias("s")).select("s.*").collect()
     found = np.array(sorted(tuple(r) for r in found), float).reshape(-1, len(STATS) + 1)
     return found[:, 1:], found[:, 0]
 

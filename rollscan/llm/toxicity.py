@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rollscan.llm.common import slices, stage
 
@@ -227,7 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, target: str = "tox
     share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     picked = rows.filter("y = 1").orderBy(*order).limit(per_class).unionByName(rows.filter("y = 0").orderBy(*order).limit(per_class))
-    sample = stage(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")), "sample")
+    # of texts that share a doc_id the one of the least hash, so that the sample is bounded whatever the ids
+    text = F.coalesce("text", F.lit(""))
+    sample = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = stage(sample, "sample")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -312,4 +316,4 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
             z = (np.array(rows).reshape(-1, 6) - model.centre) / model.spread @ model.weights[1:] + model.weights[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
