@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage is one operator of rollscan.llm, written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: each stage is one operator of rollscan.llm, written as Parquet and read again as the next one's documents.
+
+Every stage takes documents with any further columns, whatever their names, and all but the last return the same columns. Null
+and empty texts, repeated rows and shared or missing doc_ids are told apart by row and text; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,31 @@ from rollscan.llm.common import held_out, stage, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.5 or more go; the classifier learns from the labelled documents among docs."""
+    """Documents whose score is 0.5 or more go; the classifier learns from the labelled documents among docs. Null and empty
+    texts are scored by their lack of words. Repeated rows share their fate."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out(5, 0))
-    return toxicity.score_documents(docs, model, "toxicity").filter("toxicity < 0.5").select(*docs.columns)
+    scored = toxicity.score_documents(docs.select(F.struct("*").alias("row"), "text"), model)
+    return scored.filter("score < 0.5").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row with the largest doc_id stays (null where the group has no other). Of rows that share that doc_id
-    too, the one whose columns, in their order, are least (nulls first) stays; rows equal in all columns are alike."""
-    found = stage(exactdedup.exact_dedup(docs, keep="largest").filter("group_size > 1"), "copies")
-    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
-    tied = found.groupBy(key(F.col("text_sha256")).alias("dropped")).agg(F.first("kept").alias("kept"), F.count("*").alias("rows"))
-    gone = stage(tied.filter("NOT kept OR rows > 1"), "dropped-keys")
-    digest = key(F.sha2(F.coalesce("text", F.lit("")), 256))
-    rest = bloom.semi(docs, digest, gone.select("dropped"), "dropped", keep=False)
-    repeated = gone.filter("kept").select("dropped")
-    if not repeated.count():
+    """Of equal texts (null is empty) one row stays: the one with the largest doc_id (a missing one only where no other has one); of
+    rows that share that too, the one whose columns, in their order, are least (nulls first)."""
+    copies = exactdedup.copies(stage(exactdedup.digests(docs), "digests"), keep="largest")
+    copies = stage(copies.select(F.lower(F.hex("digest")).alias("sha256"), "keep_id", "ties"), "copied-texts")
+    sha256 = F.sha2(F.coalesce("text", F.lit("")), 256)
+    named = F.col("found.keep_id").eqNullSafe(F.col("row.doc_id"))
+    rest = bloom.marked(docs, sha256, copies, "sha256").filter(F.col("found").isNull() | (named & (F.col("found.ties") == 1))).select("row.*")
+    tied = copies.filter("ties > 1")
+    if tied.isEmpty():
         return rest
-    again = bloom.semi(docs, digest, repeated, "dropped", keep=True)
-    one = again.groupBy(digest.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return rest.unionByName(one)
+    rows = bloom.marked(docs, sha256, tied, "sha256").filter(F.col("found").isNotNull() & named)
+    return rest.unionByName(rows.groupBy(F.col("found.sha256")).agg(F.min("row").alias("row")).select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the smallest doc_id stays (a null one last, the least hash of the text
-    where rows share it)."""
+    """Of each component of near duplicates the row with the smallest doc_id stays (a missing one last, the least hash of the
+    text where rows share it). Texts without words have no duplicates; rows that repeat the one that stays do so too."""
     dropped = stage(ngramjoin.copies(docs), "dropped")
     return bloom.semi(docs, ngramjoin.row_key(F.col("doc_id"), F.xxhash64("text")), dropped, "dropped", keep=False)
 
@@ -45,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents with their places in sequences."""
+    """The pieces of the mixed documents with their places in sequences; see packing.pack."""
     return packing.pack(docs, packing.default_tokenizer())
 
 
