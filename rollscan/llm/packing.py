@@ -40,50 +40,57 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def patterns(counts: np.ndarray) -> np.ndarray:
-    """Candidate patterns, rows of up to four lengths that fill the capacity exactly (0: none)."""
+def patterns(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pattern of a few documents that fills the capacity exactly: (lengths, times), rows of three lengths (0: none) and how
+    often each occurs. They are all patterns of one to three documents, and all of one length repeated with one other, which
+    are those that fill sequences where pieces are short."""
     capacity = len(counts) - 1
-    have = np.flatnonzero(counts)
-    found = {(capacity, 0, 0, 0)} if counts[capacity] else set()
     there = counts > 0
-    for a in have[have < capacity]:
-        if a * 2 <= capacity and there[capacity - a]:
-            found.add((capacity - a, a, 0, 0))
-    small = have[have <= capacity // 2]
-    steps = small[:: max(1, len(small) // 48)]
-    for a in have[have < capacity]:
-        for b in steps[steps <= capacity - a]:
-            c = capacity - a - b
-            if c > 0 and there[c]:
-                found.add((*sorted((int(a), int(b), int(c)), reverse=True), 0))
-    thin = small[:: max(1, len(small) // 10)]
-    for a in have[have < capacity]:
-        for b in thin:
-            for c in thin[thin <= b]:
-                d = capacity - a - b - c
-                if d > 0 and there[d]:
-                    found.add(tuple(sorted((int(a), int(b), int(c), int(d)), reverse=True)))
-    return np.array(sorted(found), np.int64).reshape(-1, 4)
-
-
-def fit(counts: np.ndarray, shapes: np.ndarray, rounds: int = 300) -> np.ndarray:
+    have = np.flatnonzero(there)
+    # a >= b >= c > 0, the third given by the first two
+    a, b = np.meshgrid(have, have, indexing="ij")
+    c = capacity - a - b
+    ok = (a >= b) & (c >= 0) & (c <= b)
+    ok &= there[np.maximum(c, 0)] | (c == 0)
+    few = np.stack((a[ok], b[ok], c[ok]), 1)
+    times = [(few > 0).astype(np.int64)]
+    lengths = [few]
+    if there[capacity]:
+        lengths.append(np.array([[capacity, 0, 0]]))
+        times.append(np.array([[1, 0, 0]]))
+    for k in range(3, capacity + 1):  # k of one length and one other, or none
+        once = have[have * k <= capacity]
+        if not len(once):
+            break
+        rest = capacity - k * once
+        ok = there[rest] | (rest == 0)
+        lengths.append(np.stack((once[ok], rest[ok], np.zeros(ok.sum(), np.int64)), 1))
+        times.append(np.stack((np.full(ok.sum(), k), (rest[ok] > 0).astype(np.int64), np.zeros(ok.sum(), np.int64)), 1))
+    return np.concatenate(lengths), np.concatenate(times)
+
+
+def fit(counts: np.ndarray, lengths: np.ndarray, times: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Repeats x >= 0 that minimise |A x - counts|^2, where A holds how often each pattern has each length (accelerated projected gradient)."""
-    cells = shapes.ravel()
-    owner = np.repeat(np.arange(len(shapes)), shapes.shape[1])
-    goal = counts.astype(float)
-    n = len(shapes)
-    times = lambda x: np.bincount(cells, x[owner], len(counts)) * (np.arange(len(counts)) > 0)
-    back = lambda r: np.bincount(owner, r[cells], n)
+    n = len(lengths)
+    cells, weight, goal = lengths.ravel(), times.ravel().astype(float), counts.astype(float)
     goal[0] = 0
+    owner = np.repeat(np.arange(n), lengths.shape[1])
+
+    def made(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(cells, x[owner] * weight, len(counts))
+        out[0] = 0
+        return out
+
+    back = lambda r: (r[lengths] * times).sum(1)
     v = np.ones(n)
     for _ in range(30):
-        v = back(times(v))
+        v = back(made(v))
         scale = np.linalg.norm(v)
         v /= scale
     x = y = np.zeros(n)
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - back(times(y) - goal) / (1.05 * scale))
+        new = np.maximum(0, y - back(made(y) - goal) / (1.05 * scale))
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         x, y = new, new + (last - 1) / t * (new - x)
     return x
@@ -116,20 +123,23 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up the histogram counts[length] exactly."""
+    """(pattern, repeats) that use up the histogram counts[length] exactly: fitted repeats rounded down, then best fit of what is left."""
     left = counts.astype(np.int64).copy()
-    shapes = patterns(left)
+    lengths, times = patterns(left)
     out = []
-    if len(shapes):
-        order = np.argsort(-(x := fit(left, shapes)), kind="stable")
-        for shape, repeats in zip(shapes[order].tolist(), np.floor(x[order] + 1e-9).astype(int).tolist()):
-            shape = [a for a in shape if a]
-            used = {a: shape.count(a) for a in shape}
-            repeats = min([repeats, *[int(left[a]) // u for a, u in used.items()]])
+    if len(lengths):
+        x = fit(left, lengths, times)
+        order = np.argsort(-x, kind="stable")
+        for i in order[x[order] >= 1 - 1e-9].tolist():
+            used: dict[int, int] = {}
+            for a, k in zip(lengths[i].tolist(), times[i].tolist()):
+                if k:
+                    used[a] = used.get(a, 0) + k
+            repeats = min(int(x[i] + 1e-9), *[int(left[a]) // k for a, k in used.items()])
             if repeats > 0:
-                out.append((tuple(shape), repeats))
-                for a, u in used.items():
-                    left[a] -= u * repeats
+                out.append((tuple(a for a, k in used.items() for _ in range(k)), repeats))
+                for a, k in used.items():
+                    left[a] -= k * repeats
     return out + best_fit(left)
 
 
@@ -171,14 +181,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
     found = runs(plan(counts))
-    schema = "length long, lo long, hi long, sequence long, offset long"
-    table = spark.createDataFrame(found, schema)
+    names = ("length", "lo", "hi", "sequence", "offset")
+    columns = list(zip(*found)) or [[]] * 5
+    # one row for each document of a pattern: as many as there are patterns at most, whatever the number of pieces
+    table = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=list(names)))
     # by bins of a length's numbers, so that a piece meets only the few runs of its bin
     width = F.greatest(F.lit(1), F.ceil(F.col("n") / 64)).cast("long")
     sizes = spark.createDataFrame([(int(k), int(n)) for k, n in enumerate(counts) if n], "length long, n long").select("length", width.alias("width"))
-    table = table.join(F.broadcast(sizes), "length").withColumn("bin", F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")))
+    table = table.join(F.broadcast(sizes), "length").withColumn("bin", F.explode(F.expr("sequence(lo div width, (hi - 1) div width)"))).drop("width")
     at = numbered(pieces, int(counts.sum())).join(F.broadcast(sizes), "length").withColumn("bin", F.expr("number div width"))
-    at = at.join(F.broadcast(table.drop("width")), ["length", "bin"]).filter("number >= lo AND number < hi")
+    most = len(found) + 64 * int((counts > 0).sum())
+    at = at.join(sized(table, rows=most), ["length", "bin"]).filter("number >= lo AND number < hi")
     return at.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("number") - F.col("lo")).alias("sequence_id"), "offset")
 
 

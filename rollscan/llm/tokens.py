@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from itertools import chain
 
@@ -57,14 +58,15 @@ def pre_tokens(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a tokenizer file, special tokens as ordinary text. Keeps at most `limit` pre-tokens."""
+    """Ids of a tokenizer file, as the tokenizer itself gives them without added special tokens. Texts with an apostrophe or an
+    added token go to it as they are; others are cut into pre-tokens. Keeps at most `limit` pre-tokens."""
 
     def __init__(self, path: str, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = limit
         added = self.tokenizer.get_added_tokens_decoder()
+        self.whole = re.compile("|".join(["'", *(re.escape(t.content) for t in added.values())]))
         # the same merges as a tiktoken encoding, which encodes single pre-tokens several times as fast
         ranks = {bytes(_BYTES[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added and all(c in _BYTES for c in token)}
         self.merges = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
@@ -119,9 +121,10 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
         texts = ["" if t is None else t for t in texts]
-        fast = [i for i, t in enumerate(texts) if t and "'" not in t]
+        slow = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        fast = sorted({i for i, t in enumerate(texts) if t} - set(slow))
         out = [np.zeros(0, np.uint32)] * len(texts)
-        for i, e in zip(slow := [i for i, t in enumerate(texts) if "'" in t], self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)):
+        for i, e in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)):
             out[i] = np.array(e.ids, np.uint32)
         if not fast:
             return out

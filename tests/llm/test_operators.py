@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rollscan.llm import bloom, exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
@@ -503,19 +504,20 @@ def test_language_of_odd_tables(odd, empty):
 def test_encoder_equals_the_tokenizer(spark):
     path = packing.default_tokenizer()
     encoder = Encoder(path, limit=5000)
-    odd_ones = ["", " ", "  a", "a  b \n c\n\n d ", "a\n", "\n\n x", "x  ", "é1 2a__b  !!", None, "don't 's 'll", "a b  c\t\ty", "１２ 中文 🎉🎉 <|endoftext|> x", "'"]
+    odd_ones = ["", " ", "  a", "a  b \n c\n\n d ", "a\n", "\n\n x", "x  ", "é1 2a__b  !!", None, "don't 's 'll", "a b  c\t\ty", "１２ 中文 🎉🎉 <|endoftext|> x", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "a <|endoftext", "'"]
     every = odd_ones + list(texts(spark).values())
-    want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in every], add_special_tokens=False)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in every], add_special_tokens=False)]
+    assert want[12] == [31373, 220, 50256, 2124]
     assert [x.tolist() for k in range(0, len(every), 40) for x in encoder.encode(every[k : k + 40])] == want
 
 
 def check_packing(df, capacity):
     path = packing.default_tokenizer()
     p = packing.pack(df, path, capacity).toPandas()
-    encoder = Encoder(path)
+    tokenizer = Tokenizer.from_file(path)
     ids = defaultdict(list)
     for r in df.collect():
-        ids[r.doc_id].append(np.append(encoder.encode([r.text])[0], np.uint32(2)).astype("<u4"))
+        ids[r.doc_id].append(np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4"))
     p = p.sort_values(["sequence_id", "offset"])
     assert (p.offset == p.groupby("sequence_id").length.cumsum() - p.length).all()
     assert p.groupby("sequence_id").length.sum().max() <= capacity
@@ -532,9 +534,23 @@ def test_packing_is_tight_and_exact(spark):
     assert p.sequence_id.nunique() <= 1.02 * p.length.sum() / 1024 + 1
 
 
+def test_packing_patterns_are_all_of_a_few_documents():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 3, 61)
+    counts[0] = 0
+    have = [int(a) for a in np.flatnonzero(counts)]
+    want = {(a,) for a in have if a == 60} | {(a, b) for a in have for b in have if a >= b and a + b == 60}
+    want |= {(a, b, c) for a in have for b in have for c in have if a >= b >= c and a + b + c == 60}
+    want |= {tuple(sorted([a] * k + [60 - k * a] * (60 > k * a), reverse=True)) for a in have for k in range(3, 61) if k * a <= 60 and (k * a == 60 or 60 - k * a in have)}
+    got = [tuple(sorted([a for a, k in zip(r, t) for _ in range(k)], reverse=True)) for r, t in zip(*(x.tolist() for x in packing.patterns(counts)))]
+    assert set(got) == want
+
+
 def test_packing_plans_use_up_their_histogram():
     rng = np.random.default_rng(0)
-    for shape in (rng.integers(0, 50, 129), np.eye(129, dtype=int)[128] * 7, np.eye(129, dtype=int)[100] * 3, np.zeros(129, int)):
+    short = np.zeros(129, int)
+    short[[5, 9, 14]] = 4000, 900, 700
+    for shape in (rng.integers(0, 50, 129), np.eye(129, dtype=int)[128] * 7, np.eye(129, dtype=int)[100] * 3, np.zeros(129, int), short):
         shape[0] = 0
         used = np.zeros(129, int)
         for pattern, n in packing.plan(shape):
@@ -542,6 +558,8 @@ def test_packing_plans_use_up_their_histogram():
             for a in pattern:
                 used[a] += n
         assert (used == shape).all()
+    filled = sum(n for _, n in packing.plan(short))
+    assert filled <= 1.03 * (short * np.arange(129)).sum() / 128 + 1
 
 
 def test_packing_of_odd_tables(odd, empty):
