@@ -1,6 +1,6 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are cut into shards by ranges of page_id that depend on the data alone, sorted, and written as gzip members to
+Records are cut into shards by ranges of (page_id, digest) that depend on the data alone, sorted, and written as gzip members to
 files that roll by compressed size. Tasks write under temporary names; a manifest of what the successful attempts wrote
 decides what is renamed, and the manifest written last is what readers go by. A task that runs twice leaves files that
 no manifest names. The same rows give the same files, byte by byte.
@@ -14,13 +14,12 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.llm.common import shared_dir, stage
+from rollscan.llm.common import MOST_TASKS, cut_keys, shared_dir, stage
 
 MANIFEST = "temporary string, file string, shard int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -29,38 +28,6 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
-def shard_cuts(ids: DataFrame, shard_bytes: int, bins: int = 4096) -> np.ndarray:
-    """Values of page_id at which shards of about shard_bytes begin. ids: page_id, payload_bytes.
-
-    A histogram of equal-width bins, whose bins above shard_bytes are divided again until they hold one id: the bounds
-    follow from the data alone. What is collected at once is at most `bins` rows for each shard.
-    """
-    ids = ids.filter("page_id IS NOT NULL").select(F.col("page_id").cast("decimal(20,0)").alias("id"), (F.col("payload_bytes") + 512).alias("n"))
-    lo, hi = ids.agg(F.min("id"), F.max("id")).first()
-    if lo is None:
-        return np.zeros(0, np.int64)
-    lo, hi = int(lo), int(hi)
-    held: dict[int, int] = {}  # first id of a bin: bytes
-    width, rows = hi - lo + 1, ids
-    while True:
-        width = max(1, -(-width // bins))
-        at = F.expr(f"(id - {lo}) div {width}")
-        found = {int(b) * width + lo: int(n) for b, n in rows.groupBy(at.alias("b")).agg(F.sum("n")).collect()}
-        heavy = [b for b, n in found.items() if n > shard_bytes] if width > 1 else []
-        held |= {b: n for b, n in found.items() if b not in set(heavy)}
-        if not heavy:
-            break
-        listed = ids.sparkSession.createDataFrame([((b - lo) // width,) for b in heavy], "b long")
-        rows = rows.withColumn("b", at).join(F.broadcast(listed), "b", "left_semi").drop("b")
-    cuts, total = [], 0
-    for b in sorted(held):
-        if total and total + held[b] > shard_bytes:
-            cuts.append(b)
-            total = 0
-        total += held[b]
-    return np.array(cuts, np.int64)
-
-
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id}:{digest}'.encode()).digest()[:16], version=5)}>"
 
@@ -102,7 +69,8 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = 16 << 20, rol
     """Writes pages(page_id, url, html) as archives under the URI root, and returns the manifest (a table, read back).
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of `least` bytes or more those with the
-    smallest page_id are responses, the others revisits of it; a null page_id counts as the largest.
+    smallest page_id are responses, the others revisits of it; a null page_id counts as the largest. A page_id that fills more
+    than a shard is cut by digest; only rows that agree in page_id and payload always share one.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
@@ -111,19 +79,16 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = 16 << 20, rol
     copies = ids.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = stage(copies.select("digest", "first"), "copies")
     again = ids.join(copies.hint("merge"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
-    cuts = shard_cuts(ids, shard_bytes)
-
-    @F.pandas_udf("int")
-    def shard_of(page_ids):
-        found = np.searchsorted(cuts, page_ids.fillna(0).to_numpy(), side="right")
-        return page_ids.isna().mul(len(cuts) - found).add(found).astype("int32")
+    lead = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    cuts = cut_keys(ids, F.col("page_id"), lead, F.col("payload_bytes") + 512, shard_bytes)
 
     # what a record refers to travels as a row of its own that sorts before it: html is dealt once
     marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind"))
     rows = pages.select("*", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(marks)
-    rows = rows.withColumn("shard", shard_of("page_id"))
-    n = max(1, min(len(cuts) + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "digest", "kind", "url")
+    rows = rows.withColumn("shard", cuts.column(F.col("page_id"), lead))
+    tasks = min(len(cuts) + 1, MOST_TASKS)
+    rows = rows.repartitionById(tasks, F.expr(f"cast(shard * {tasks}L div {len(cuts) + 1}L as int)"))
+    rows = rows.sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "digest", "kind", "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(root)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rollscan.llm import bloom, exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
-from rollscan.llm.common import held_out
+from rollscan.llm.common import cut_keys, held_out
 from rollscan.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -260,6 +260,11 @@ def test_archives_round_trip(spark, tmp_path):
     assert len(one) > 2 and one == files("b", pages.repartition(5))
     assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted(one)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # a page_id that fills several shards, and very long payloads
+    same = spark.createDataFrame([(1 if i % 2 else None, "u", f"{i:04d}" * 200) for i in range(60)] + [(9, "u", "z" * 3_000_000)], "page_id long, url string, html string")
+    manifest = warc.write_archives(same, f"file://{tmp_path}/c", 4000, 2000)
+    assert manifest.select("shard").distinct().count() > 12
+    assert warc.round_trip(same, shard_bytes=4000, roll_bytes=2000).filter("record_type = 'response'").count() == 61
 
 
 def test_damaged_archives_are_refused(spark, tmp_path):
@@ -292,6 +297,36 @@ def test_fingerprints_estimate_similarity(spark):
     assert len(rows) == len(t) and np.abs(errors).mean() < 0.03 and abs(np.mean(errors)) < 0.01
 
 
+@pytest.mark.parametrize("ids", ["apart", "shared", "missing"])
+def test_fingerprints_meet_the_next_across_ranges(docs_of, ids):
+    name = {"apart": lambda i: 7 * i - 500, "shared": lambda i: i // 40, "missing": lambda i: None if i % 3 else i}[ids]
+    df = docs_of(*[(name(i), f"{i % 90} " * (3 + i % 11), "s") for i in range(150)]).repartition(4)
+    rows = [(r.doc_id, r.text, r.mark) for r in df.select("doc_id", "text", F.xxhash64("text").alias("mark")).collect()]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    want = Counter()
+    for (i, t, _), (_, after, _) in zip(rows, rows[1:] + rows[:1]):
+        want[i, len(t), hashlib.sha256(fingerprint.edited(t, after).encode()).hexdigest()] += 1
+    for size in (200, 1 << 20):
+        got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.fingerprint_documents(df, size).collect())
+        assert got == want
+
+
+def test_cuts_split_tables_evenly(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 4 == 0 else int(rng.integers(-5, 5)) if i % 2 else int(rng.integers(-(2**60), 2**60)), int(rng.integers(-(2**62), 2**62)), int(rng.integers(1, 50))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, mark long, size long")
+    cuts = cut_keys(df, F.col("id"), F.col("mark"), F.col("size"), 1500)
+    again = cut_keys(df.repartition(7), F.col("id"), F.col("mark"), F.col("size"), 1500)
+    assert len(cuts) == (sum(r[2] for r in rows) - 1) // 1500 and (cuts.ids == again.ids).all() and (cuts.marks == again.marks).all()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    edges = sorted((i >= len(cuts) - cuts.missing, int(a), int(b)) for i, (a, b) in enumerate(zip(cuts.ids, cuts.marks)))
+    held = Counter()
+    for r in df.withColumn("part", cuts.column(F.col("id"), F.col("mark"))).collect():
+        assert r.part == sum(e <= key((r.id, r.mark)) for e in edges)
+        held[r.part] += r["size"]
+    assert len(held) == len(cuts) + 1 and max(held.values()) < 1600
+
+
 def test_fingerprints_of_odd_tables(odd, empty, docs_of):
     rows = fingerprint.fingerprint_documents(odd).collect()
     assert len(rows) == odd.count()
