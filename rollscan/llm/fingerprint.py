@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.llm.common import slices
+from rollscan.llm.common import MOST_TASKS, cut_keys, sized, slices
 from rollscan.llm.textnum import U, mix64, shingle_hashes, utf8, word_hashes
 
 BIN_BITS, LOW_BITS = 9, 4
@@ -78,46 +78,46 @@ def edited(text: str, following: str) -> str:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
     """One row per document; its next document is the one with the next smaller doc_id, after the last the first.
 
     Fingerprints are of the lower-cased (A-Z) five-word shingles of the whole text; fewer words make one shingle. Null
-    texts count as empty. Rows that share a doc_id follow each other by text; a null doc_id comes last. A single
-    document is its own next. Further columns are ignored.
+    texts count as empty. Rows that share a doc_id follow each other by a hash of their text; a null doc_id comes last. A
+    single document is its own next. An empty table gives no row; further columns are ignored.
 
-    The table is dealt once, in ranges of doc_id; the first document of each range also goes to the end of the range
-    before it, so that every task meets the next of each of its documents.
+    The table is dealt once, in ranges of (doc_id, hash) that hold about as many bytes; the first document of each range also
+    goes to the end of the range before it, so that every task meets the next of each of its documents.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = np.array(sorted(set(docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [])))
-
-    @F.pandas_udf("int")
-    def range_of(ids):
-        found = len(cuts) - np.searchsorted(cuts, ids.fillna(0).to_numpy(), side="right")
-        return ids.isna().mul(len(cuts) + 1 - found).add(found).astype("int32")
-
-    # the first of each range: at most n rows
-    heads = docs.select("doc_id", range_of("doc_id").alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()
-    heads = sorted((r["part"], r["head"]) for r in heads) if heads else []
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    listed = spark.createDataFrame([(k, v) for k, v in before.items()], "head long, before int")
-    dealt = docs.withColumn("part", range_of("doc_id"))
-    heading = docs.join(F.broadcast(listed), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("extra"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    # descending: the complement rises where doc_id falls
+    down, size = F.bitwise_not("doc_id"), F.octet_length("text") + 64
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = cut_keys(docs, down, F.col("mark"), size, max(1, min(range_bytes, -(-total // n)), -(-total // MOST_TASKS)))
+    ranges = len(cuts) + 1
+    dealt = docs.withColumn("part", cuts.column(down, F.col("mark")))
+    # the first of each range: one row for each, and the least of all for the last range
+    keys = [(None if i >= len(cuts) - cuts.missing else ~int(a), int(b), i) for i, (a, b) in enumerate(zip(cuts.ids, cuts.marks))]
+    least = docs.agg(F.min(F.struct(F.col("doc_id").isNull(), down.alias("down"), "doc_id", "mark")).alias("k")).select("k.*").first()
+    keys += [(least.doc_id, least.mark, ranges - 1)] if least.mark is not None else []
+    listed = spark.createDataFrame(keys, "head long, head_mark long, before int")
+    same = (F.col("mark") == F.col("head_mark")) & F.col("doc_id").eqNullSafe(F.col("head"))
+    heading = docs.join(sized(listed, rows=len(keys)), same).groupBy("doc_id", "mark", "before").agg(F.first("text").alias("text"))
+    heading = heading.select("doc_id", "text", "mark", F.col("before").alias("part"), F.lit(True).alias("extra"))
     dealt = dealt.withColumn("extra", F.lit(False)).unionByName(heading)
-    dealt = dealt.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", F.desc("doc_id"), "text")
+    dealt = dealt.repartitionById(ranges, "part").sortWithinPartitions("extra", F.desc_nulls_last("doc_id"), "mark")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # a batch's last row waits for the next
         for batch in slices(batches, "text"):
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "extra")]
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", "text", "extra")]
             if held:
                 cols = [[h, *c] for h, c in zip(held, cols)]
             held = [c[-1] for c in cols]
-            ids, texts, part, extra = cols
+            ids, texts, extra = cols
             own = [i for i in range(len(ids) - 1) if not extra[i]]
-            assert all(part[i] == part[i + 1] for i in own), "a document has no next one in its range"
             if not own:
                 continue
             new = [edited(texts[i], texts[i + 1]) for i in own]
