@@ -6,19 +6,19 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollscan.llm.common import slices
-from rollscan.llm.textnum import U, mix64, utf8
+from rollscan.llm.common import sized, slices, stage
+from rollscan.llm.textnum import utf8
 
 #: Hashed n-gram dimensions.
 DIMS = 4096
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
-_MIX = mix64(np.arange(1, 1 << 16 | 1, dtype=U))
 
 
 def gram_counts(column: pa.Array) -> np.ndarray:
@@ -87,35 +87,37 @@ def cluster(points: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.n
     return centres
 
 
+def sampled(rows: DataFrame, per_lang: int) -> DataFrame:
+    """lang and text of per_lang rows of each language at most: those with the least hashes of doc_id (ties: by doc_id and text).
+    Rows far beyond that rank are left out before they are ranked, so that no language is sorted whole."""
+    mark = F.xxhash64("doc_id", F.lit(11))
+    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("held")), "sizes")
+    near = F.pmod(mark, F.lit(1 << 30)) < F.lit(float(1 << 30)) * 1.2 * per_lang / F.col("held")
+    few = rows.join(sized(sizes), "lang").filter(near)
+    order = Window.partitionBy("lang").orderBy(F.pmod(mark, F.lit(1 << 30)), "doc_id", F.xxhash64("text"))
+    return few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select("lang", "text")
+
+
 def fit(docs: DataFrame, train: Column, per_lang: int = 1500, clusters: int = 4, reject: float = 0.001) -> Model:
     """Learns from text and lang of the rows that `train` takes, where lang is not null. idf counts all of them; centroids
-    come from a sample of at most per_lang texts a language (those with the least hashes of doc_id), at most 64 languages' worth at a time.
-    A language's floor is the quantile `reject` of its sample's cosines."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    come from a sample of at most per_lang texts a language (see sampled()), each language in a task of its own, which returns
+    `clusters` vectors of DIMS numbers to the driver. A language's floor is the quantile `reject` of its sample's cosines.
+    Very long texts count as others do, by dampened counts; repeated rows count each; with nothing to learn from the model
+    knows no language."""
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_lang / size))).otherwise(share)
-    mark = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                v = vectors(gram_counts(part.column("text")), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        texts = part["text"].sort_values()  # the same texts give the same centroids, in whatever order they come
+        points = np.concatenate([vectors(gram_counts(pa.array(texts.iloc[k : k + 256], pa.large_string())), idf) for k in range(0, len(texts), 256)])
+        centres = cluster(points, clusters).astype(np.float32)
+        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "centres": [centres.tobytes()], "floor": [float(np.quantile((points @ centres.T).max(1), reject))]})
 
-    sample: dict[str, list[np.ndarray]] = {}
-    for lang, v in rows.filter(mark < share).select("lang", "text").mapInArrow(run, "lang string, v binary").toLocalIterator():
-        if len(held := sample.setdefault(lang, [])) < per_lang:
-            held.append(np.frombuffer(v, np.float16).astype(np.float32))
-    langs = sorted(sample)
-    parts = [cluster(np.array(sample[lang]), clusters) for lang in langs]
-    floor = [np.quantile((np.array(sample[lang]) @ c.T).max(1), reject) for lang, c in zip(langs, parts)]
-    owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts]) if parts else np.zeros(0, int)
-    return Model(langs, idf, np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, DIMS), np.float32), owner, np.array(floor))
+    learned = sorted(sampled(rows, per_lang).groupBy("lang").applyInPandas(learn, "lang string, centres binary, floor double").collect(), key=lambda r: r.lang)
+    parts = [np.frombuffer(r.centres, np.float32).reshape(-1, DIMS) for r in learned]
+    owner = np.repeat(np.arange(len(learned)), [len(p) for p in parts]) if parts else np.zeros(0, int)
+    return Model([r.lang for r in learned], idf, np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32), owner, np.array([r.floor for r in learned]))
 
 
 RESULT = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -126,7 +128,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     score is the margin of the best language's cosine over the next one's, on a scale from 0 to 1. rejected: the best
     cosine is under the language's floor. Null texts, texts without a letter, and all texts where nothing could be
-    learned get `und`, score 0. Ties go to the first language by code point.
+    learned get `und`, score 0. Ties go to the first language by code point. Texts are read whole, whatever their length;
+    repeated rows are judged each; an empty table gives no row; further columns are ignored.
     """
     extra = [c for c in ("held_out",) if c in docs.columns]
 

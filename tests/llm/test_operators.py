@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -525,6 +526,46 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
 
 
+def test_language_model_is_that_of_its_rows(spark, docs_of):
+    """Counts, frequencies and vectors against plain loops; the sample does not depend on how rows are dealt."""
+    given = ["The cat, the Hat!", "ñandú über", "", "a", "123 45", "x" * 50_000]
+    fold = lambda t: [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in t.encode()]
+    mask = (1 << 32) - 1
+
+    def counts(text):
+        x, out = fold(text), Counter()
+        for i in range(len(x) - 1) if len(x) > 1 else []:
+            if x[i] == x[i + 1] == 32:
+                continue
+            two = x[i] << 8 | x[i + 1]
+            out[(two * 0xC2B2AE35 & mask) >> 20] += 1
+            if i + 2 < len(x):
+                three = (two * 0x9E3779B1 & mask) ^ (x[i + 2] * 0x85EBCA6B & mask)
+                out[(three * 0x27D4EB2F & mask) >> 20] += 1
+        return out
+
+    got = langid.gram_counts(pa.array(given, pa.large_string()))
+    for row, text in zip(got, given):
+        assert {i: int(row[i]) for i in np.flatnonzero(row)} == counts(text)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["der", "die", "und", "nicht"] if i % 2 else ["the", "and", "of", "not"], k=12)), "s") for i in range(400)]
+    df = docs_of(*rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "de").otherwise("en"))
+    df_counts, n = langid.document_frequencies(df)
+    want = Counter(i for _, t, _ in rows for i in counts(t))
+    assert n == 400 and {i: int(df_counts[i]) for i in np.flatnonzero(df_counts)} == want
+    a, b = (langid.fit(d, F.lit(True), per_lang=60) for d in (df.repartition(1), df.repartition(7)))
+    assert a.langs == b.langs == ["de", "en"] and (a.centroids == b.centroids).all() and (a.floor == b.floor).all()
+    assert langid.sampled(df.select("doc_id", "lang", "text"), 60).groupBy("lang").count().filter("count <> 60").count() == 0
+    # the nearest centroid of a plain computation
+    idf = np.array([np.log(401 / (1 + want[i])) + 1 for i in range(langid.DIMS)])
+    for r in langid.predict(df.limit(40), a).collect():
+        v = np.zeros(langid.DIMS)
+        for i, c in counts(rows[r.doc_id][1]).items():
+            v[i] = np.log1p(c) * idf[i]
+        best = (a.centroids @ v) / np.linalg.norm(v)
+        assert r.lang_pred == a.langs[a.owner[best.argmax()]]
+
+
 def test_language_of_odd_tables(odd, empty):
     rows = langid.predict(odd, langid.fit(odd, F.lit(True))).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
