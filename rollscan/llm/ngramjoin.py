@@ -171,8 +171,18 @@ def frequent_tokens(docs: DataFrame, k: int, per_batch: int = 2048) -> np.ndarra
                 held, n = [], 0
         yield report()
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 32")
-    return np.sort(found.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(U))
+    found = stage(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 32"), "frequent")
+    # how many tokens have each count, in steps of an eighth of a power of two: some hundreds of rows
+    step = F.floor(8 * F.log2("n"))
+    total, least = 0, None
+    for r in found.groupBy(step.alias("step")).agg(F.count("*").alias("tokens"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        total += r.tokens
+        if total > MOST_FREQUENT:
+            break
+        least = r.n
+    if least is None:
+        return np.zeros(0, U)
+    return np.sort(found.filter(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64).view(U))
 
 
 def class_hashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -357,14 +367,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return sets.join(sized(wanted.drop("rep", "mark")), "class")
 
 
-def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
-    """(a, b): links that span what is linked inside the candidate clusters. clusters: class, cluster. members: gathering, class."""
+def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members: DataFrame, k: int, percent: int, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+    """(a, b): links that span what is linked inside the candidate clusters. clusters: class, cluster. members: gathering, class.
+    A block has about `block` classes on a side at most (half as many loose ones) and about block_bytes of their sets."""
     n, total = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), clusters.count()
     degree = members.join(sized(clusters.select("class"), rows=total), "class", "left_semi").groupBy("class").agg(F.count("*").alias("degree"))
     held = classes.select("class", "rep", "mark", "n").join(sized(clusters, rows=total), "class").join(sized(degree, rows=total), "class", "left")
     held = stage(held, "clusters")
     best = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.col("class").alias("c"))
-    pivots = stage(held.groupBy("cluster").agg(F.max_by("class", best).alias("pivot"), F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("members")), "pivots")
+    blocks = lambda sets, size: F.ceil(F.greatest(F.count("*") / sets, F.sum(8 * F.col("n")) / size)).cast("long")
+    pivots = stage(held.groupBy("cluster").agg(F.max_by("class", best).alias("pivot"), blocks(block, block_bytes).alias("parts"), F.count("*").alias("members")), "pivots")
     # the pivot goes to each part of its cluster and is read first there
     dealt = held.join(sized(pivots, rows=total), "cluster").withColumn("is_pivot", F.col("class") == F.col("pivot"))
     part = F.when(F.col("is_pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("parts"))))
@@ -372,7 +384,7 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members:
 
     def against_pivot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot, pivot_class = None, None, None
-        for batch in batches:
+        for batch in slices(batches, "tokens"):
             out = []
             for cluster, part, cls, first, tokens in zip(*[batch.column(c).to_pylist() for c in ("cluster", "part", "class", "is_pivot", "tokens")]):
                 s = np.frombuffer(tokens, U)
@@ -380,23 +392,22 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, members:
                     now, pivot, pivot_class = (cluster, part), s, cls
                 else:
                     assert now == (cluster, part)
-                    out.append((cluster, pivot_class, cls, linked(pivot, s, percent)))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.bool_())], names=["cluster", "a", "b", "linked"])
+                    out.append((cluster, pivot_class, cls, len(s), linked(pivot, s, percent)))
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.bool_())], names=["cluster", "a", "b", "n", "linked"])
 
     streamed = sets_of(docs, dealt, k).repartition(n, "cluster", "part").sortWithinPartitions("cluster", "part", F.desc("is_pivot"))
-    first = stage(streamed.mapInArrow(against_pivot, "cluster long, a long, b long, linked boolean"), "pivoted")
+    first = stage(streamed.mapInArrow(against_pivot, "cluster long, a long, b long, n long, linked boolean"), "pivoted")
     links = first.filter("linked").select("a", "b")
     # what the pivot leaves, against all of its cluster
-    left = first.filter("NOT linked").select("cluster", F.col("b").alias("class"))
-    open_ = left.groupBy("cluster").agg(F.count("*").alias("m")).join(sized(pivots.filter("members > 2"), rows=total), "cluster")
+    left = first.filter("NOT linked").select("cluster", F.col("b").alias("class"), "n")
+    open_ = left.groupBy("cluster").agg(blocks(block // 2, block_bytes).alias("rows")).join(sized(pivots.filter("members > 2"), rows=total), "cluster")
     open_ = stage(open_, "open")
     if not open_.count():
         return links
     rest = held.join(sized(open_, rows=total), "cluster").join(sized(left.select("class", F.lit(True).alias("loose")), rows=total), "class", "left")
     rest = rest.filter("class <> pivot").withColumn("loose", F.coalesce("loose", F.lit(False)))
-    rows, cols = F.ceil(F.col("m") / block).cast("long"), F.ceil(F.col("parts") / 4).cast("long")
-    rest = rest.select("cluster", "class", "rep", "mark", "loose", rows.alias("rows"), cols.alias("cols"))
+    rest = rest.select("cluster", "class", "rep", "mark", "loose", "rows", F.col("parts").alias("cols"))
     as_row = rest.filter("loose").withColumn("i", F.pmod(F.xxhash64("class"), F.col("rows"))).withColumn("j", F.explode(F.expr("sequence(0L, cols - 1)"))).withColumn("side", F.lit(0))
     as_col = rest.withColumn("j", F.pmod(F.xxhash64("class"), F.col("cols"))).withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).withColumn("side", F.lit(1))
     both = stage(as_row.unionByName(as_col).select("cluster", "i", "j", "side", "class", "rep", "mark", "loose"), "blocks")
