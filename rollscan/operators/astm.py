@@ -13,6 +13,15 @@ def roll_lengths(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.greatest(F.max("along_start_mm") / F.lit(1000.0), F.lit(1e-6)).alias("length_m"))
 
 
+def roll_extents(events: DataFrame, geometry: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, length_m and gap_warnings of every roll that has frames: the length by its events' furthest position or, where that is
+    further, its frames'. geometry: keys, along_mm, gap_warning (frame_geometry)."""
+    g = geometry.groupBy(*keys).agg(F.max("along_mm").alias("_frames"), F.count_if("gap_warning").alias("gap_warnings"))
+    e = events.groupBy(*keys).agg(F.max("along_start_mm").alias("_events"))
+    furthest = F.greatest("_frames", "_events") / F.lit(1000.0)
+    return g.join(e, keys, "left").select(*keys, F.greatest(furthest, F.lit(1e-6)).alias("length_m"), "gap_warnings")
+
+
 def metre_points(events: DataFrame, rolls: DataFrame, keys: list[str]) -> DataFrame:
     """Points of each metre of each roll, 4 at most. A continuous event gives 4 to each of ceil(length) metres from its
     start; positions beyond the ends count to the first or last metre."""
@@ -23,7 +32,7 @@ def metre_points(events: DataFrame, rolls: DataFrame, keys: list[str]) -> DataFr
     entries = counted.select(*keys, "along_start_mm", points.alias("points"), F.explode(steps).alias("step"))
     at = F.floor(F.col("along_start_mm") / 1000.0).cast("long") + F.col("step")
     last = F.ceil("length_m").cast("long") - 1
-    binned = entries.join(rolls.select(*keys, "length_m"), keys).select(*keys, F.greatest(F.lit(0), F.least(at, last)).alias("metre"), "points")
+    binned = entries.join(rolls.select(*keys, "length_m").hint("merge"), keys).select(*keys, F.greatest(F.lit(0), F.least(at, last)).alias("metre"), "points")
     return binned.groupBy(*keys, "metre").agg(F.least(F.lit(4), F.sum("points")).alias("points"))
 
 

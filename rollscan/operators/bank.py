@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollscan.staging import shared_dir, stage
+from rollscan.staging import shared_dir, sized, stage
 
-#: Bytes of a bank that one task may hold; larger ones are joined in blocks of points.
-BROADCAST_BYTES = 256 << 20
+#: Bytes of a bank that every task may hold; larger ones are met in blocks.
+BROADCAST_BYTES = 64 << 20
 
 
 def projection(spark: SparkSession, sku: str, d_in: int, d_out: int, seed: int = 0) -> DataFrame:
@@ -48,17 +48,29 @@ def project(embeddings: DataFrame, matrices: DataFrame) -> DataFrame:
 
 def pooled(grid: DataFrame, k: int = 3) -> DataFrame:
     """K x k mean over each tile's patch grid, stride 1; the zero border counts (the sum is divided by k * k).
-    grid: keys, gy, gx, embedding; keys are all other columns."""
+    grid: keys, gy, gx, embedding; keys are all other columns, one tile each. A tile's grid is summed in one product of arrays;
+    patches that a tile lacks count as zero, and cells without any patch near are left out."""
     if k <= 1:
         return grid
     keys = [c for c in grid.columns if c not in ("gy", "gx", "embedding")]
     r = k // 2
-    size = grid.groupBy(*keys).agg(F.max("gy").alias("my"), F.max("gx").alias("mx"))
-    steps = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-    near = grid.join(size, keys).withColumn("dy", steps).withColumn("dx", steps).withColumns({"gy": F.col("gy") + F.col("dy"), "gx": F.col("gx") + F.col("dx")})
-    near = near.filter("gy BETWEEN 0 AND my AND gx BETWEEN 0 AND mx")
-    summed = near.select(*keys, "gy", "gx", F.posexplode("embedding").alias("d", "v")).groupBy(*keys, "gy", "gx", "d").agg((F.sum(F.col("v").cast("double")) / (k * k)).alias("v"))
-    return summed.groupBy(*keys, "gy", "gx").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s.v.cast("float")).alias("embedding"))
+
+    def one(tile: pd.DataFrame) -> pd.DataFrame:
+        y, x = tile["gy"].to_numpy(), tile["gx"].to_numpy()
+        v = np.stack(tile["embedding"].to_numpy()).astype(np.float64)
+        high, wide = y.max() + 1, x.max() + 1
+        held, there = np.zeros((high + 2 * r, wide + 2 * r, v.shape[1])), np.zeros((high + 2 * r, wide + 2 * r), bool)
+        np.add.at(held, (y + r, x + r), v)
+        there[y + r, x + r] = True
+        shifts = [(slice(i, i + high), slice(j, j + wide)) for i in range(2 * r + 1) for j in range(2 * r + 1)]
+        total, near = sum(held[s] for s in shifts), np.logical_or.reduce([there[s] for s in shifts])
+        gy, gx = np.nonzero(near)
+        out = pd.DataFrame({c: [tile[c].iloc[0]] * len(gy) for c in keys})
+        return out.assign(gy=gy, gx=gx, embedding=list((total[gy, gx] / (k * k)).astype(np.float32)))
+
+    kinds = dict(grid.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"gy {kinds['gy']}", f"gx {kinds['gx']}", "embedding array<float>"])
+    return grid.groupBy(*keys).applyInPandas(one, schema)
 
 
 def _k_center(x: np.ndarray, k: int, first: int) -> list[int]:
@@ -140,7 +152,8 @@ def greedy_coreset(points: DataFrame, fraction: float, seed: int = 0, exact_limi
 
     p = points.select(F.col("sku").cast("string"), F.col("point_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
     sizes = p.groupBy("sku").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.count("*"))).cast("long").alias("k"))
-    small = p.join(F.broadcast(sizes.filter(F.col("n") <= exact_limit)), "sku")
+    sizes = stage(sizes, "sizes")
+    small = p.join(sized(sizes.filter(F.col("n") <= exact_limit)), "sku")
     out = small.groupBy("sku").applyInPandas(thin, schema)
     large = sizes.filter(F.col("sku").isNotNull() & (F.col("n") > exact_limit)).orderBy("sku").collect()
     for sku, n, k in large:
@@ -167,52 +180,105 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: str, n: int) -> DataF
 
 def nearest_distance(queries: DataFrame, bank: DataFrame, key: str = "sku") -> DataFrame:
     """query_id and the exact L2 distance to the nearest bank point of its key for every row of queries, null where the key
-    is null or has no bank point. A bank whose size is counted as small
-    enough is held by every task and met batch by batch in one product; a larger one is joined in blocks of 512 points and
-    the least distance taken. queries: any columns with key, query_id and embedding; bank: key, point_id, embedding."""
-    shape = bank.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    schema = "query_id long, distance double"
+    is null or has no bank point. A bank whose size is counted as small enough is held by every task and met batch by batch in one
+    product; a larger one is met in blocks of points and queries, a product each. queries: any columns with key, query_id and
+    embedding; bank: key, point_id, embedding."""
     q = queries.select(F.col(key).cast("string").alias("k"), F.col("query_id").cast("long"), "embedding")
-    b = bank.select(F.col(key).cast("string").alias("k"), F.col("point_id").cast("long"), "embedding")
-    if not shape["n"] or shape["n"] * shape["d"] * 4 <= BROADCAST_BYTES:
-        held: dict[str, np.ndarray] = {}
-        for k, part in b.toPandas().groupby("k"):
-            held[k] = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        shared = queries.sparkSession.sparkContext.broadcast(held)
+    b = bank.select(F.col(key).cast("string").alias("k"), "embedding").filter("k IS NOT NULL")
+    if _held_bytes(b) <= BROADCAST_BYTES:
+        shared = queries.sparkSession.sparkContext.broadcast(_collected(b))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = np.array(batch.column("k").to_pylist(), object)
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
-                out = np.full(len(keys), np.nan)
+                x, out = _matrix(batch.column("embedding")), np.full(len(keys), np.nan)
                 for k in set(keys):
                     at, points = np.flatnonzero(keys == k), shared.value.get(k)
                     if points is not None:
                         out[at] = _least(x[at], points)
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(out, from_pandas=True)], names=["query_id", "distance"])
 
-        found = q.mapInArrow(run, schema)
+        return q.mapInArrow(run, "query_id long, distance double")
+    q = stage(q.withColumn("row", F.monotonically_increasing_id()), "queries")
+    least = _in_blocks(q.select("row", "k", "embedding"), b)
+    return q.select("row", "query_id").join(least.hint("merge"), "row", "left").select("query_id", "distance")
+
+
+def distances_to_banks(queries: DataFrame, bank: DataFrame) -> DataFrame:
+    """For every row of queries (sku, query_id, embedding) and every sku of the bank (sku, embedding) the distance to the nearest
+    point of it: bank_sku, sku, query_id, distance. The skus' names, not their points, are listed on the driver."""
+    kind, b = dict(bank.dtypes)["sku"], bank.select(F.col("sku").cast("string").alias("k"), "embedding").filter("k IS NOT NULL")
+    q = queries.select("sku", F.col("query_id").cast("long"), "embedding")
+    if _held_bytes(b) <= BROADCAST_BYTES:
+        shared = queries.sparkSession.sparkContext.broadcast(_collected(b))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column("embedding"))
+                for k, points in shared.value.items():
+                    columns = [pa.array([k] * batch.num_rows), batch.column("sku"), batch.column("query_id"), pa.array(_least(x, points))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "sku", "query_id", "distance"])
+
+        out = q.mapInArrow(run, f"k string, sku {dict(q.dtypes)['sku']}, query_id long, distance double")
     else:
         q = stage(q.withColumn("row", F.monotonically_increasing_id()), "queries")
-        packed = b.withColumn("block", F.floor(F.pmod(F.xxhash64("point_id"), F.lit(max(1, shape["n"] // 512)))))
-        packed = packed.groupBy("k", "block").agg(F.collect_list("embedding").alias("points"))
-        joined = q.drop("query_id").join(packed.hint("merge"), "k")
+        names = [r.k for r in b.select("k").distinct().collect()]
+        each = q.select("row", F.explode(F.array(*[F.lit(k) for k in names])).alias("k"), "embedding")
+        out = q.select("row", "sku", "query_id").join(_in_blocks(each, b).hint("merge"), "row")
+    return out.select(F.col("k").cast(kind).alias("bank_sku"), "sku", "query_id", "distance")
 
-        def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                best = [float(_least(np.array([e], np.float64), np.array(p, np.float64))[0]) for e, p in zip(batch.column("embedding").to_pylist(), batch.column("points").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.float64())], names=["row", "distance"])
 
-        least = joined.mapInArrow(blocks, "row long, distance double").groupBy("row").agg(F.min("distance").alias("distance"))
-        found = q.select("row", "query_id").join(least.hint("merge"), "row", "left").select("query_id", "distance")
-    return found
+def _held_bytes(b: DataFrame) -> int:
+    shape = b.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    return shape["n"] * (shape["d"] or 0) * 4
+
+
+def _collected(b: DataFrame) -> dict[str, np.ndarray]:
+    """The points of each key, of a bank that was counted as small."""
+    return {k: np.stack(part["embedding"].to_numpy()).astype(np.float64) for k, part in b.toPandas().groupby("k")}
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _in_blocks(q: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
+    """(row, k, distance) for the rows of q (row, k, embedding) whose key has points in b (k, embedding). Both sides are cut into blocks
+    of about `block` rows; each pair of blocks is a cell, in which batches of queries meet the cell's points in one product."""
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda df, name: df.groupBy("k").agg(F.ceil(F.count("*") / block).cast("long").alias(name))
+    shape = stage(count(q, "rows").join(count(b, "cols").hint("merge"), "k"), "blocks")
+    side = lambda df, mine, parts, other: df.join(sized(shape), "k").withColumn(mine, F.pmod(F.xxhash64("embedding"), F.col(parts))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col({"rows": "cols", "cols": "rows"}[parts]) - 1)))
+    points = side(b, "j", "cols", "i").select(F.lit(-1).cast("long").alias("row"), "k", "i", "j", "embedding")
+    asked = side(q, "i", "rows", "j").select("row", "k", "i", "j", "embedding")
+    # the points of a cell come before its queries
+    cells = points.unionByName(asked).repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j", F.expr("row >= 0"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            names = list(zip(*[batch.column(c).to_pylist() for c in ("k", "i", "j")]))
+            rows, x = batch.column("row").to_numpy(), _matrix(batch.column("embedding"))
+            cuts = [0, *[t for t in range(1, len(names)) if names[t] != names[t - 1]], len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if names[lo] != now:
+                    now, held = names[lo], []
+                at = np.arange(lo, hi)
+                if (rows[at] < 0).any():
+                    held.append(x[at[rows[at] < 0]])
+                at = at[rows[at] >= 0]
+                if len(at):
+                    held = [np.concatenate(held)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array([now[0]] * len(at)), pa.array(_least(x[at], held[0]))], names=["row", "k", "distance"])
+
+    return cells.mapInArrow(run, "row long, k string, distance double").groupBy("row", "k").agg(F.min("distance").alias("distance"))
 
 
 def _least(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Distances to the nearest point: candidates by a product, the distance itself summed term by term."""
+    """Distances to the nearest point: candidates by a product, the distance itself summed term by term, in order."""
     square = (x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)
     near = points[square.argmin(1)]
-    return np.sqrt(((x - near) ** 2).sum(1))
+    return np.sqrt(np.cumsum((x - near) ** 2, axis=1)[:, -1])
 
 
 def nearest_distance_sql(queries: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
@@ -242,7 +308,7 @@ def fit_banks(grids: DataFrame, matrices: DataFrame | None, fraction: float, poo
     than two tiles is refused."""
     tiles = grids.groupBy("sku").agg(F.count_distinct("tile").alias("tiles"))
     enough = F.when(F.col("tiles") < 2, F.raise_error(F.lit("a sku has fewer than two tiles"))).otherwise(F.col("sku"))
-    g = pooled(grids.join(F.broadcast(tiles.withColumn("ok", enough)), "sku").filter("ok IS NOT NULL").drop("ok", "tiles"), pool)
+    g = pooled(grids.join(sized(stage(tiles.withColumn("ok", enough), "tiles")), "sku").filter("ok IS NOT NULL").drop("ok", "tiles"), pool)
     g = project(g, matrices) if matrices is not None else g
     return greedy_coreset(g.select("sku", F.xxhash64("tile", "gy", "gx").alias("point_id"), "embedding"), fraction, seed)
 
@@ -251,7 +317,8 @@ def score_grids(grids: DataFrame, matrices: DataFrame | None, bank: DataFrame, p
     """A score for each patch: pooled, projected, distance to its sku's bank. grids as in fit_banks."""
     g = pooled(grids, pool)
     g = (project(g, matrices) if matrices is not None else g).withColumn("query_id", F.xxhash64("sku", "tile", "gy", "gx"))
-    return g.drop("embedding").join(nearest_distance(g, bank).withColumnRenamed("distance", "score"), "query_id").drop("query_id")
+    found = nearest_distance(g, bank).withColumnRenamed("distance", "score")
+    return g.drop("embedding").join(found.hint("merge"), "query_id").drop("query_id")
 
 
 def score_with(df: DataFrame, make_predict_fn, columns: list[str], batch_size: int = 64, return_type=None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollscan.functions import grading
 from rollscan.operators.ranks import kth_smallest
+from rollscan.staging import sized, stage
 
 
 def conformal_threshold(scores: DataFrame, keys: list[str], budget: float | str, metres_per_tile: float | str, margin: int = 10, strict: bool = False) -> DataFrame:
@@ -34,7 +35,7 @@ def conformal_threshold(scores: DataFrame, keys: list[str], budget: float | str,
     found = kth_smallest(scores.filter("score IS NOT NULL").select(*keys, "score"), keys, "score", asked, "rank")
     top = found.select(*keys, F.col("rank").alias("k_used"), F.col("score").alias("threshold"))
     bottom = found.select(*keys, F.col("rank").alias("k_low"), F.col("score").alias("abstain_low"))
-    out = groups.join(top, [*keys, "k_used"], "left").join(bottom, [*keys, "k_low"], "left")
+    out = groups.join(top.hint("merge"), [*keys, "k_used"], "left").join(bottom.hint("merge"), [*keys, "k_low"], "left")
     ok = F.col("status") == "ok"
     return out.select(*keys, "n_clean_tiles", "alpha", "k", F.when(ok, F.col("threshold")).alias("threshold"), F.when(ok, F.col("abstain_low")).alias("abstain_low"), "status")
 
@@ -60,8 +61,8 @@ def thresholds_or_fallback(calibrated: DataFrame, scores: DataFrame, keys: list[
 
 def classified(scores: DataFrame, calibrations: DataFrame, keys: list[str]) -> DataFrame:
     """Scores with assertion and confidence; a group without an accepted calibration is refused."""
-    c = calibrations.filter("status IN ('ok', 'hand_set', 'self_thresholded')").select(*keys, "threshold", "abstain_low")
-    joined = scores.join(F.broadcast(c), keys, "left")
+    c = stage(calibrations.filter("status IN ('ok', 'hand_set', 'self_thresholded')").select(*keys, "threshold", "abstain_low"), "calibrations")
+    joined = scores.join(sized(c), keys, "left")
     score = grading.refuse(F.col("threshold").isNull(), "a group has no calibration", F.col("score"))
     return joined.select(*scores.columns, grading.classify(score, F.col("threshold"), F.col("abstain_low")).alias("assertion"), grading.confidence(F.col("score"), F.col("threshold"), F.col("abstain_low")).alias("confidence"))
 
@@ -70,7 +71,7 @@ def calibration_curve(fit: DataFrame, validation: DataFrame, keys: list[str], fr
     """For each group and requested exceedance the threshold or refusal, and the realised exceedance on scores that are not in fit."""
     asked = F.explode(F.array(*[F.lit(f) for f in fractions])).alias("requested")
     cals = conformal_threshold(fit.select("*", asked), [*keys, "requested"], 100.0, "requested", margin)
-    joined = validation.join(F.broadcast(cals), keys)
+    joined = validation.join(sized(stage(cals, "calibrations")), keys)
     over = F.count_if(F.col("score") > F.col("threshold"))
     out = joined.groupBy(*keys, "requested", "status", "threshold").agg(F.count("*").alias("n_validation"), over.alias("n_over"))
     realised = F.when(F.col("status") == "ok", F.col("n_over") / F.col("n_validation"))

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollscan.operators.bank import nearest_distance_sql
+from rollscan.operators.bank import distances_to_banks
 from rollscan.operators.ranks import auroc
 
 
 def cross_scores(bank: DataFrame, queries: DataFrame) -> DataFrame:
     """Every bank's scores of every fabric's queries: bank_sku, sku, query_id, distance, own (in distribution).
-    bank: bank_sku, embedding; queries: sku, query_id, embedding. The skus are crossed, not the rows: each query meets the
-    banks that exist."""
-    skus = bank.select("bank_sku").distinct()
-    asked = queries.crossJoin(F.broadcast(skus))
-    return nearest_distance_sql(asked, bank, ["bank_sku"]).withColumn("own", F.col("bank_sku") == F.col("sku"))
+    bank: bank_sku, embedding; queries: sku, query_id, embedding. Batches of queries meet each bank in one product."""
+    found = distances_to_banks(queries.select("sku", "query_id", "embedding"), bank.select(F.col("bank_sku").alias("sku"), "embedding"))
+    return found.withColumn("own", F.col("bank_sku") == F.col("sku"))
 
 
 def auroc_matrix(scores: DataFrame) -> DataFrame:
@@ -30,10 +28,12 @@ def separation(scores: DataFrame, keys: list[str], score: str, anomalous: Column
 
 
 def leave_one_out(images: DataFrame) -> DataFrame:
-    """Per code its normal images and every other code's defective ones; codes without normals make no fold. images: code, image, clean."""
-    n, d = images.filter("clean").select(F.col("code").alias("fold"), F.col("image").alias("normal")), images.filter("NOT clean")
-    folds = n.groupBy("fold").agg(F.count("*").alias("n_normal"))
-    return F.broadcast(folds).join(d.groupBy("code").agg(F.count("*").alias("n_defective")), F.col("fold") != F.col("code")).groupBy("fold", "n_normal").agg(F.sum("n_defective").alias("n_defective"))
+    """Per code the number of its normal images and of every other code's defective ones; codes without normals, and codes with all
+    the defective ones, make no fold. images: code, image, clean."""
+    g = images.groupBy("code").agg(F.count_if("clean").alias("n_normal"), F.count_if(~F.col("clean")).alias("own"))
+    everyone = Window.partitionBy()  # one row for each code
+    g = g.withColumn("n_defective", F.sum("own").over(everyone) - F.col("own"))
+    return g.filter("n_normal > 0 AND n_defective > 0").select(F.col("code").alias("fold"), "n_normal", "n_defective")
 
 
 def disjoint(fit: DataFrame, calibration: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,10 +88,11 @@ def half_split(images: DataFrame, key: str, name: str, least: int = 4) -> DataFr
 def balanced_crops(images: DataFrame, mask: DataFrame, per_image: int, crop: int, seed: int = 0) -> DataFrame:
     """Crops of which about half are centred on a defect cell picked by hash, the rest anywhere; offsets are clamped.
     images: image, h, w; mask: image, y, x."""
-    pick = lambda what, *c: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *c), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    number = lambda what, *c: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{what}"), *[F.col(x).cast("string") for x in c])), 1, 12), 16, 10).cast("long")
+    pick = lambda what, *c: number(what, *c) / F.lit(float(1 << 48))
     crops = images.select("image", "h", "w", F.explode(F.sequence(F.lit(0), F.lit(per_image - 1))).alias("crop"))
-    w = Window.partitionBy("image").orderBy(F.xxhash64(F.lit(seed), "y", "x"), "y", "x")
+    w = Window.partitionBy("image").orderBy(number("cell", "y", "x"), "y", "x")
     chosen = mask.withColumn("crop", F.row_number().over(w) - 1).filter(F.col("crop") < per_image).select("image", "crop", F.col("y").alias("cy"), F.col("x").alias("cx"))
-    c = crops.join(chosen, ["image", "crop"], "left").withColumn("on_defect", (pick("coin", "image", "crop") < 0.5) & F.col("cy").isNotNull())
+    c = crops.join(chosen.hint("merge"), ["image", "crop"], "left").withColumn("on_defect", (pick("coin", "image", "crop") < 0.5) & F.col("cy").isNotNull())
     at = lambda centre, size, what: F.when(F.col("on_defect"), F.greatest(F.lit(0), F.least(F.col(size) - crop, F.col(centre) - crop // 2))).otherwise(F.floor(pick(what, "image", "crop") * (F.col(size) - crop + 1)))
     return c.select("image", "crop", "on_defect", at("cy", "h", "y").cast("int").alias("y"), at("cx", "w", "x").cast("int").alias("x"))

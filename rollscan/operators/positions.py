@@ -128,6 +128,30 @@ def stream_health(frames: DataFrame, key: str = "source_id") -> DataFrame:
     return g.withColumn("coverage", coverage).withColumn("problems", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named])), ","))
 
 
+def tape_ratio(readings: DataFrame, key: str = "source_id", pitch_mm: float = 100.0, length_mm: float = 40.0, most: float = 0.03) -> DataFrame:
+    """How the printed tape fits its parameters. For each frame of two markers or more: the axis along which it lies (x or y, the
+    wider spread of centres) and the pixels between neighbouring marker ids over the markers' mean edge. For each source: the median of
+    these ratios, its relative error against pitch_mm / length_mm, the axis (x only where every frame says so), and problems.
+    readings: key, frame_index, marker_id, corners."""
+    c = F.col("corners")
+    turned = F.concat(F.slice(c, 2, 3), F.slice(c, 1, 1))
+    edge = F.aggregate(F.zip_with(c, turned, lambda a, b: F.hypot(a.x - b.x, a.y - b.y)), F.lit(0.0), lambda s, e: s + e) / 4
+    centre = lambda axis: F.aggregate(F.transform(c, lambda p: p[axis]), F.lit(0.0), lambda s, v: s + v) / 4
+    r = readings.select(key, "frame_index", "marker_id", edge.alias("edge"), centre("x").alias("cx"), centre("y").alias("cy"))
+    ends = lambda v, f: f(v, "marker_id")
+    f = r.groupBy(key, "frame_index").agg(
+        (F.max("marker_id") - F.min("marker_id")).alias("steps"), F.avg("edge").alias("edge"),
+        (F.max("cx") - F.min("cx")).alias("wide"), (F.max("cy") - F.min("cy")).alias("high"),
+        F.abs(ends("cx", F.max_by) - ends("cx", F.min_by)).alias("dx"), F.abs(ends("cy", F.max_by) - ends("cy", F.min_by)).alias("dy"),
+    )
+    across = F.col("wide") >= F.col("high")
+    f = f.filter("steps > 0").select(key, across.alias("across"), F.when(F.col("edge") > 0, F.when(across, F.col("dx")).otherwise(F.col("dy")) / F.col("steps") / F.col("edge")).alias("ratio"))
+    g = f.groupBy(key).agg(F.median("ratio").alias("ratio"), F.bool_and("across").alias("all_across"), F.count("*").alias("frames_of_two"))
+    g = g.withColumn("ratio_error", F.col("ratio") / F.lit(pitch_mm / length_mm) - 1).withColumn("tape_axis", F.when(F.col("all_across"), "x").otherwise("y"))
+    named = (("tape lies across", F.col("all_across")), ("pitch does not fit the markers", F.abs("ratio_error") > most))
+    return g.withColumn("problems", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named])), ",")).drop("all_across")
+
+
 def frame_time(pos_ms: Column, index: Column, fps: Column) -> Column:
     """The container's position, else index over fps, else the index."""
     return F.coalesce(F.when(pos_ms > 0, pos_ms / 1000.0), F.when(fps > 0, index / fps), index.cast("double"))

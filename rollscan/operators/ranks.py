@@ -16,30 +16,33 @@ def bucketed(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> D
 
 
 def kth_smallest(df: DataFrame, keys: list[str], value: str, ranks: DataFrame, rank: str) -> DataFrame:
-    """keys, the rank, and the value at it in each group, for a table of ranks (several a group may be asked for). Exact: only
-    the bucket that holds the rank is sorted."""
-    parts = bucketed(df.select(*keys, value), keys, value)
-    held = parts.groupBy(*keys, "bucket").agg(F.count("*").alias("held"))
+    """keys, the rank, and the value at it in each group, for a table of ranks (several a group may be asked for). Exact: equal
+    values are counted first, and only the bucket that holds the rank is sorted."""
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("rows"))
+    parts = bucketed(counted, keys, value)
+    held = parts.groupBy(*keys, "bucket").agg(F.sum("rows").alias("held"))
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumn("end", F.sum("held").over(upto)).withColumn("start", F.col("end") - F.col("held"))
-    asked = ranks.select(*keys, rank).distinct().join(held, keys).filter((F.col(rank) > F.col("start")) & (F.col(rank) <= F.col("end")))
-    inside = parts.join(asked.select(*keys, "bucket", rank, "start"), [*keys, "bucket"])
-    order = Window.partitionBy(*keys, "bucket", rank).orderBy(value)
-    return inside.withColumn("at", F.row_number().over(order) + F.col("start")).filter(F.col("at") == F.col(rank)).select(*keys, rank, value)
+    asked = ranks.select(*keys, rank).distinct().join(held.hint("merge"), keys).filter((F.col(rank) > F.col("start")) & (F.col(rank) <= F.col("end")))
+    inside = parts.join(asked.select(*keys, "bucket", rank, "start").hint("merge"), [*keys, "bucket"])
+    order = Window.partitionBy(*keys, "bucket", rank).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = inside.withColumn("last", F.col("start") + F.sum("rows").over(order))
+    return at.filter((F.col("last") >= F.col(rank)) & (F.col("last") - F.col("rows") < F.col(rank))).select(*keys, rank, value)
 
 
 def auroc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Keys, n_pos, n_neg, auroc with ties averaged (Mann-Whitney); null where a class is missing. Counts per distinct
-    score come first, so ties never gather."""
-    t = df.select(*keys, F.col(score).alias("_s"), positive.cast("long").alias("_p"))
-    t = t.groupBy(*keys, "_s").agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg"))
-    t = bucketed(t, keys, "_s") if keys else t.withColumn("bucket", F.lit(0))
-    base = t.groupBy(*keys, "bucket").agg(F.sum("neg").alias("b"))
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    score come first, so ties never gather; without keys the whole table is one group, in buckets like any other."""
+    by = keys or ["_all"]
+    t = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(score).alias("_s"), positive.cast("long").alias("_p"))
+    t = t.groupBy(*by, "_s").agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg"))
+    t = bucketed(t, by, "_s")
+    base = t.groupBy(*by, "bucket").agg(F.sum("neg").alias("b"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("below", F.coalesce(F.sum("b").over(before), F.lit(0))).drop("b")
-    inner = Window.partitionBy(*keys, "bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(base, [*keys, "bucket"]).withColumn("under", F.col("below") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
+    inner = Window.partitionBy(*by, "bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(base, [*by, "bucket"]).withColumn("under", F.col("below") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
     # twice the statistic, so that sums stay whole numbers
-    out = t.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg"))).alias("u2"))
+    out = t.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg"))).alias("u2"))
     area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u2") / (2.0 * F.col("n_pos") * F.col("n_neg")))
     return out.select(*keys, "n_pos", "n_neg", area.alias("auroc"))

@@ -26,6 +26,28 @@ def sharpness(cells: DataFrame) -> DataFrame:
     return cells.withColumn("lap", lap).groupBy(*FRAME).agg(F.var_pop("lap").alias("focus"), F.avg("value").alias("brightness"))
 
 
+def central(cells: DataFrame) -> DataFrame:
+    """The cells of the middle three fifths of both axes of each frame (h // 5 to 4 h // 5), whose mean is the brightness that
+    markers at the edge do not move. cells: FRAME, y, x, value of full frames."""
+    w = Window.partitionBy(*FRAME)
+    inside = [F.col(a).between(F.floor((F.max(a).over(w) + 1) / 5), F.floor(4 * (F.max(a).over(w) + 1) / 5) - 1) for a in ("y", "x")]
+    return cells.withColumn("_in", inside[0] & inside[1]).filter("_in").drop("_in")
+
+
+def marker_sharpness(cells: DataFrame, boxes: DataFrame, pad: int = 12, least: int = 8) -> DataFrame:
+    """The median over a frame's markers of the sharpness of their crops: boxes (FRAME, marker_id, x0, y0, x1, y1, the ends
+    outside) grown by pad and clipped to the frame; crops of `least` pixels or fewer on a side do not count."""
+    edge = cells.groupBy(*FRAME).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    b = boxes.join(edge, FRAME).select(*FRAME, "marker_id", *[F.greatest(F.lit(0), F.col(c) - pad).cast("int").alias(c) for c in ("x0", "y0")], F.least("w", F.col("x1") + pad).cast("int").alias("x1"), F.least("h", F.col("y1") + pad).cast("int").alias("y1"))
+    b = b.filter((F.col("x1") - F.col("x0") > least) & (F.col("y1") - F.col("y0") > least))
+    rows = b.select(*FRAME, "marker_id", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
+    crops = cells.join(rows.hint("merge"), [*FRAME, "y"]).filter("x >= x0 AND x < x1")
+    # each crop is an image of its own, mirrored at its own borders
+    named = crops.select(F.col("roll_id"), F.struct("frame_index", "marker_id").alias("frame_index"), "y", "x", "value")
+    focus = sharpness(named).select("roll_id", F.col("frame_index.frame_index").alias("frame_index"), "focus")
+    return focus.groupBy(*FRAME).agg(F.median("focus").alias("marker_focus"), F.count("*").alias("markers"))
+
+
 def fabric_extent(columns: DataFrame, bright: float = 200.0, inset: int = 24) -> DataFrame:
     """The widest run of columns whose mean is at most `bright`, the first of equal ones, drawn in by `inset`; the full width
     where there is none. columns: image, x, mean."""
@@ -87,6 +109,6 @@ def upsampled(grid: DataFrame, factor: int, sigma: float = 4.0) -> DataFrame:
         px = px.withColumn(f"{a}0", F.floor(at).cast("int")).withColumn(f"{a}f", at - F.floor(at))
     corners = F.array(*[F.struct(F.least(F.col("y0") + i, F.col("my")).alias("gy"), F.least(F.col("x0") + j, F.col("mx")).alias("gx"), (F.abs(F.lit(1 - i) - F.col("yf")) * F.abs(F.lit(1 - j) - F.col("xf"))).alias("weight")) for i in (0, 1) for j in (0, 1)])
     four = px.select(*FRAME, "y", "x", F.explode(corners).alias("c")).select(*FRAME, "y", "x", "c.*")
-    met = four.join(grid.withColumnsRenamed({"y": "gy", "x": "gx"}), [*FRAME, "gy", "gx"])
+    met = grid.withColumnsRenamed({"y": "gy", "x": "gx"}).join(four.hint("merge"), [*FRAME, "gy", "gx"])
     out = met.groupBy(*FRAME, "y", "x").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
     return gaussian(out, sigma, max(1, int(3 * sigma))) if sigma > 0 else out

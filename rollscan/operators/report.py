@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscan.functions import grading
+from rollscan.staging import sized, stage
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -22,12 +23,6 @@ def realised_false_alarms(events: DataFrame, decisions: DataFrame, rolls: DataFr
     return out.withColumn("fa_per_100m", F.col("false_alarms") * 100 / F.col("length_m")).withColumn("budget", F.lit(budget)).withColumn("over_budget", F.col("fa_per_100m") > F.lit(budget))
 
 
-def with_decisions(events: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Events with the status that the latest decision gives them, for grading again."""
-    d = latest_decisions(decisions).select("roll_id", "event_id", F.col("status").alias("decided"))
-    return events.join(d, ["roll_id", "event_id"], "left").withColumn("status", F.coalesce("decided", "status")).drop("decided")
-
-
 def latency_table(timings: DataFrame, stages: list[str], stride: int) -> DataFrame:
     """Median of each stage and of their total."""
     total = sum((F.col(s) for s in stages[1:]), F.col(stages[0]))
@@ -37,14 +32,26 @@ def latency_table(timings: DataFrame, stages: list[str], stride: int) -> DataFra
 
 def near_misses(scores: DataFrame, calibrations: DataFrame) -> DataFrame:
     """frames' peaks of each sku against its threshold: median and largest peak, frames at or above, closest below. scores: sku, frame, score."""
-    peaks = scores.groupBy("sku", "frame").agg(F.max("score").alias("peak")).join(F.broadcast(calibrations.select("sku", "threshold")), "sku")
+    peaks = scores.groupBy("sku", "frame").agg(F.max("score").alias("peak")).join(sized(stage(calibrations.select("sku", "threshold"), "calibrations")), "sku")
     return peaks.groupBy("sku").agg(F.count("*").alias("frames"), F.median("peak").alias("median_peak"), F.max("peak").alias("max_peak"), F.count_if(F.col("peak") >= F.col("threshold")).alias("at_or_above"), F.max(F.when(F.col("peak") < F.col("threshold"), F.col("peak"))).alias("closest_below"))
 
 
 def score_strip(peaks: DataFrame, geometry: DataFrame, calibrations: DataFrame) -> DataFrame:
     """Each frame's peak against its position; refused without a calibration. peaks: sku, roll_id, frame_index, peak."""
-    joined = peaks.join(geometry.select("roll_id", "frame_index", "along_mm"), ["roll_id", "frame_index"]).join(F.broadcast(calibrations.select("sku", "threshold")), "sku", "left")
-    return joined.withColumn("threshold", grading.refuse(F.col("threshold").isNull(), "a strip needs a calibration", F.col("threshold"))).withColumn("what", F.lit("frame maxima"))
+    joined = peaks.join(geometry.select("roll_id", "frame_index", "along_mm"), ["roll_id", "frame_index"])
+    return _with_threshold(joined, calibrations).withColumn("what", F.lit("frame maxima"))
+
+
+def event_strip(events: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Where frames' peaks were not kept, the peaks of events only, at their first position. events: sku, roll_id, event_id,
+    along_start_mm, max_score."""
+    e = events.select("sku", "roll_id", "event_id", F.col("along_start_mm").alias("along_mm"), F.col("max_score").alias("peak"))
+    return _with_threshold(e, calibrations).withColumn("what", F.lit("events only"))
+
+
+def _with_threshold(rows: DataFrame, calibrations: DataFrame) -> DataFrame:
+    joined = rows.join(sized(stage(calibrations.select("sku", "threshold"), "calibrations")), "sku", "left")
+    return joined.withColumn("threshold", grading.refuse(F.col("threshold").isNull(), "a strip needs a calibration", F.col("threshold")))
 
 
 def counters(events: DataFrame, rolls: DataFrame) -> DataFrame:
@@ -80,6 +87,13 @@ def latest_rolls(rolls: DataFrame, n: int) -> DataFrame:
     return rolls.orderBy(F.coalesce("finished_at", "started_at").desc(), F.desc("roll_id")).limit(n)
 
 
+def roll_with_calibration(rolls: DataFrame, calibrations: DataFrame, roll_id=None) -> DataFrame:
+    """T4: one roll, the newest where none is named, with the calibration of its sku (nulls where it has none). rolls: sku, roll_id
+    and what latest_rolls reads; calibrations: sku and any columns."""
+    one = latest_rolls(rolls, 1) if roll_id is None else rolls.filter(F.col("roll_id") == roll_id)
+    return one.join(calibrations, "sku", "left")
+
+
 def roll_events(events: DataFrame, roll_id, status: str | None = None) -> DataFrame:
     """Events of a roll by position, of one status where it is given."""
     e = events.filter(F.col("roll_id") == roll_id)
@@ -98,6 +112,12 @@ def evidence(detections: DataFrame, frames: int) -> DataFrame:
     return detections.withColumn("nth", F.dense_rank().over(w).cast("long")).filter(F.col("nth") <= frames)
 
 
+def evidence_events(events: DataFrame, most: int = 24) -> DataFrame:
+    """The first `most` events of each roll that have a crop, by position. events: roll_id, event_id, along_start_mm, crop_path."""
+    w = Window.partitionBy("roll_id").orderBy("along_start_mm", "event_id")
+    return events.filter("crop_path IS NOT NULL").withColumn("nth", F.row_number().over(w).cast("long")).filter(F.col("nth") <= most)
+
+
 def documents(rolls: DataFrame, events: DataFrame) -> DataFrame:
     """Each roll as a JSON document with its events."""
     e = events.groupBy("roll_id").agg(F.array_sort(F.collect_list(F.struct("along_start_mm", "event_id", "length_mm", "width_mm", "max_score", "assertion", "status"))).alias("events"))

@@ -29,17 +29,31 @@ def fitted(size: int, overlap: int) -> tuple[Column, Column]:
     return s, F.least(F.lit(overlap), s - 1)
 
 
-def metres_per_tile(frames: DataFrame, mm_per_px: Column, size: int, overlap: int) -> DataFrame:
-    """Metres of roll that a tile accounts for."""
+def metres_per_tile(frames: DataFrame, mm_per_px: Column, size: int, overlap: int, with_roi: bool = True) -> DataFrame:
+    """Metres of roll that a tile accounts for: the frame's length over its tiles (one at least), or, where the region of interest
+    is not known, a tile's stride. A scale that is not positive is refused."""
+    scale = refuse(mm_per_px <= 0, "the scale is not positive", mm_per_px)
+    if not with_roi:
+        return frames.withColumn("metres_per_tile", (size - overlap) * scale / F.lit(1000.0))
     n = F.size(origins(F.col("h"), F.lit(size), F.lit(overlap))) * F.size(origins(F.col("w"), F.lit(size), F.lit(overlap)))
-    return frames.withColumn("n_tiles", n).withColumn("metres_per_tile", F.when(n > 0, F.col("h") * mm_per_px / F.lit(1000.0) / n))
+    return frames.withColumn("n_tiles", n).withColumn("metres_per_tile", F.col("h") * scale / F.lit(1000.0) / F.greatest(F.lit(1), n))
 
 
 def mosaic(patches: DataFrame, reduce: str = "max") -> DataFrame:
-    """A1: one score per cell of a frame from overlapping tiles: the largest, the mean, or that of the last tile.
-    patches: roll_id, frame_index, tile_index, y, x, score."""
+    """A1: one score per cell of a frame from overlapping tiles: the largest, the mean, or that of the last tile, in the type of
+    the scores (a mean of whole numbers is cut to one). patches: roll_id, frame_index, tile_index, y, x, score."""
     kinds = {"max": F.max("score"), "mean": F.avg("score"), "last": F.max_by("score", "tile_index")}
-    return patches.groupBy("roll_id", "frame_index", "y", "x").agg(kinds[reduce].alias("score"))
+    return patches.groupBy("roll_id", "frame_index", "y", "x").agg(kinds[reduce].cast(patches.schema["score"].dataType).alias("score"))
+
+
+def filled(cells: DataFrame, frames: DataFrame) -> DataFrame:
+    """A1: every cell of the frames (roll_id, frame_index, h, w), 0 where no tile reaches. A frame is spread row by row."""
+    rows = frames.select("roll_id", "frame_index", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    kinds = dict(cells.dtypes)
+    full = rows.select("roll_id", "frame_index", F.col("y").cast(kinds["y"]).alias("y"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    full = full.withColumn("x", F.col("x").cast(kinds["x"]))
+    met = full.join(cells.hint("merge"), ["roll_id", "frame_index", "y", "x"], "left")
+    return met.withColumn("score", F.coalesce("score", F.lit(0).cast(kinds["score"])))
 
 
 def tile_maxima(patches: DataFrame) -> DataFrame:
@@ -54,7 +68,7 @@ def footprint_maxima(tiles: DataFrame, cells: DataFrame, bin_px: int = 64) -> Da
     t = tiles.select("roll_id", "frame_index", "tile_index", F.col("x").alias("tx"), F.col("y").alias("ty"), "size", F.explode(F.sequence(lo, hi)).alias("bin"))
     c = cells.withColumn("bin", F.floor(F.col("y") / bin_px))
     inside = F.col("x").between(F.col("tx"), F.col("tx") + F.col("size") - 1) & F.col("y").between(F.col("ty"), F.col("ty") + F.col("size") - 1)
-    out = t.join(c, ["roll_id", "frame_index", "bin"]).filter(inside).groupBy("roll_id", "frame_index", "tile_index").agg(F.max("score").alias("score"))
+    out = c.join(t.hint("merge"), ["roll_id", "frame_index", "bin"]).filter(inside).groupBy("roll_id", "frame_index", "tile_index").agg(F.max("score").alias("score"))
     return out.withColumn("single_tile", F.count("*").over(Window.partitionBy("roll_id", "frame_index")) == 1)
 
 
@@ -65,15 +79,27 @@ def defective_tiles(tiles: DataFrame, mask: DataFrame, bin_px: int = 64) -> Data
     m = mask.select("roll_id", "frame_index", F.col("y").alias("my"), F.col("x").alias("mx"), F.floor(F.col("y") / bin_px).alias("bin")).alias("m")
     same = (F.col("t.roll_id") == F.col("m.roll_id")) & (F.col("t.frame_index") == F.col("m.frame_index")) & (F.col("t.bin") == F.col("m.bin"))
     inside = F.col("mx").between(F.col("x"), F.col("x") + F.col("size") - 1) & F.col("my").between(F.col("y"), F.col("y") + F.col("size") - 1)
-    return t.join(m, same & inside, "left_semi").drop("bin").distinct()
+    return t.join(m.hint("merge"), same & inside, "left_semi").drop("bin").distinct()
 
 
 def detection_hits(detections: DataFrame, mask: DataFrame) -> DataFrame:
     """Whether a detection's box holds a truth cell. Boxes expand to their rows. Keys: roll_id, frame_index, component."""
     rows = detections.select("roll_id", "frame_index", "component", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
-    met = rows.join(mask.select("roll_id", "frame_index", "y", F.col("x").alias("mx")), ["roll_id", "frame_index", "y"]).filter("mx BETWEEN x0 AND x1")
+    met = mask.select("roll_id", "frame_index", "y", F.col("x").alias("mx")).join(rows.hint("merge"), ["roll_id", "frame_index", "y"]).filter("mx BETWEEN x0 AND x1")
     hits = met.select("roll_id", "frame_index", "component").distinct().withColumn("hit", F.lit(True))
-    return detections.join(hits, ["roll_id", "frame_index", "component"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return detections.join(hits.hint("merge"), ["roll_id", "frame_index", "component"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def peak_in_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    """For each frame whether the cell of its largest score (the first in reading order) is a truth cell, and the mean score on
+    the truth over the mean off it (1e-6 at least). Frames without a truth cell are left out. cells: roll_id, frame_index, y, x,
+    score; mask: roll_id, frame_index, y, x."""
+    on = mask.select("roll_id", "frame_index", "y", "x").distinct().withColumn("on", F.lit(True))
+    c = cells.join(on.hint("merge"), ["roll_id", "frame_index", "y", "x"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    place = F.struct(F.col("score"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+    part = lambda which: F.avg(F.when(which, F.col("score")))
+    g = c.groupBy("roll_id", "frame_index").agg(F.max_by("on", place).alias("peak_inside"), part(F.col("on")).alias("mean_on"), part(~F.col("on")).alias("mean_off"))
+    return g.filter("mean_on IS NOT NULL").withColumn("separation", F.col("mean_on") / F.greatest("mean_off", F.lit(1e-6)))
 
 
 def roi_cells(cells: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

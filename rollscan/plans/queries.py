@@ -226,11 +226,12 @@ def arrival_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {v.FRAMES}, g AS (
-  SELECT roll_id, count(*)::BIGINT AS frames, (count(*) - 1) / (max(ts_s) - min(ts_s)) AS fps, max(value) - min(value) AS brightness_range, median(value * 2) AS median_focus, count(*) FILTER (marked) AS with_marker FROM v_frames GROUP BY 1)
+  SELECT roll_id, count(*)::BIGINT AS frames, (count(*) - 1) / (max(ts_s) - min(ts_s)) AS fps, max(value) - min(value) AS brightness_range, round(regr_slope(value, ts_s), 9) AS brightness_trend, median(value * 2) AS median_focus, count(*) FILTER (marked) AS with_marker FROM v_frames GROUP BY 1)
 SELECT *, with_marker / frames::DOUBLE AS coverage, array_to_string(list_filter([CASE WHEN fps < 5 THEN 'slow' END, CASE WHEN brightness_range > 60 THEN 'unsteady light' END, CASE WHEN with_marker / frames::DOUBLE < 0.5 THEN 'few markers' END], lambda x: x IS NOT NULL), ',') AS problems FROM g""")
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = v.frames(spark, sf_dir).select("roll_id", "ts_s", F.col("value").alias("brightness"), (F.col("value") * 2).alias("focus"), F.col("marked").alias("has_marker"))
-    return positions.stream_health(f, "roll_id").drop("brightness_trend")  # a slope's last digits depend on the order of sums
+    h = positions.stream_health(f, "roll_id")
+    return h.withColumn("brightness_trend", F.round("brightness_trend", 9))  # a slope's last digits depend on the order of sums
 
 
 @query(f"""WITH {v.FRAMES} SELECT roll_id, frame_index, coalesce(CASE WHEN value > 50 THEN value / 1000 END, CASE WHEN roll_id % 2 = 0 THEN frame_index / 25::DOUBLE END, frame_index::DOUBLE) AS ts_s FROM v_frames""")
@@ -239,7 +240,7 @@ def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.frames(spark, sf_dir).select("roll_id", "frame_index", positions.frame_time(pos, F.col("frame_index"), fps).alias("ts_s"))
 
 
-@query(f"""WITH {v.FRAMES}, m AS (SELECT roll_id, frame_index, frame_index AS marker_id, value AS top_y_px, 40::DOUBLE / ((((10 + value) + 10) * 2 / 4 + (10 + value) * 0) * 0 + 10 + value) AS s FROM v_frames WHERE marked)
+@query(f"""WITH {v.FRAMES}, m AS (SELECT roll_id, frame_index, frame_index AS marker_id, value AS top_y_px, 40::DOUBLE / (10 + value) AS s FROM v_frames WHERE marked)
 SELECT roll_id, frame_index, marker_id * 100::DOUBLE - top_y_px * s AS along_mm, s AS mm_per_px, [marker_id] AS marker_ids FROM m""")
 def marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.col("value") + 10
@@ -282,7 +283,7 @@ def nn_distance_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.nearest_distance_sql(q.select("sku", F.col("vec_id").alias("query_id"), "embedding"), b, ["sku"]).drop("sku")
 
 
-@query()
+@query(f"""SELECT q.vec_id AS query_id, min({_DIST}) AS distance FROM embeddings q LEFT JOIN embeddings b ON q.label = b.label AND b.vec_id % 4 = 0 WHERE q.vec_id % 4 <> 0 GROUP BY 1""")
 def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = _bank(spark, sf_dir)
     return bank.nearest_distance(q.withColumnRenamed("vec_id", "query_id"), b.withColumnRenamed("vec_id", "point_id"))
@@ -294,7 +295,7 @@ CROSS = f"""x AS (
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = _bank(spark, sf_dir)
-    return evaluate.cross_scores(b.select(F.col("sku").alias("bank_sku"), "embedding"), q)
+    return evaluate.cross_scores(b.select(F.col("sku").alias("bank_sku"), "embedding"), q.withColumnRenamed("vec_id", "query_id"))
 
 
 @query(f"""WITH {CROSS}, r AS (SELECT *, rank() OVER (PARTITION BY bank_sku ORDER BY distance) + (count(*) OVER (PARTITION BY bank_sku, distance) - 1) / 2.0::DOUBLE AS rk FROM x)
@@ -345,12 +346,11 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID}, s AS (SELECT tile, max(gy) AS my, max(gx) AS mx FROM g GROUP BY 1),
-o AS (SELECT tile, gy + dy AS gy, gx + dx AS gx, unnest(embedding) AS v, unnest(range(1, 65)) AS d FROM g, (VALUES (-1), (0), (1)) a (dy), (VALUES (-1), (0), (1)) b (dx)),
-p AS (SELECT o.tile, o.gy, o.gx, d, sum(v::DOUBLE::DECIMAL(24,12)) AS t FROM o JOIN s ON o.tile = s.tile AND gy BETWEEN 0 AND my AND gx BETWEEN 0 AND mx GROUP BY ALL)
-SELECT tile, gy, gx, round(max(t)::DOUBLE / 9, 4) AS largest FROM p GROUP BY ALL""")
+o AS (SELECT tile, gy + dy AS gy, gx + dx AS gx, unnest(embedding) AS v, unnest(range(0, 64)) AS d FROM g, (VALUES (-1), (0), (1)) a (dy), (VALUES (-1), (0), (1)) b (dx))
+SELECT o.tile, o.gy, o.gx, d::INT AS d, (sum(v::DOUBLE) / 9)::FLOAT::DOUBLE AS v FROM o JOIN s ON o.tile = s.tile AND gy BETWEEN 0 AND my AND gx BETWEEN 0 AND mx GROUP BY ALL""")
 def pooled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bank.pooled(_grid(spark, sf_dir)).drop("sku")
-    return p.select("tile", "gy", "gx", F.round(F.array_max(F.transform("embedding", lambda x: x.cast("double"))), 4).alias("largest"))
+    return p.select("tile", "gy", "gx", F.posexplode("embedding").alias("d", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 @query()
@@ -364,12 +364,11 @@ def bank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {CROSS} SELECT bank_sku, avg(distance::DECIMAL(24,12)) FILTER (NOT own) IS NOT NULL AS judged, max(distance) FILTER (own) AS max_clean FROM x GROUP BY 1")
+@query(f"""WITH {CROSS} SELECT bank_sku, round(avg(distance) FILTER (NOT own) / max(distance) FILTER (own), 9) AS over_max_clean,
+  round(avg(distance) FILTER (NOT own) / avg(distance) FILTER (own), 9) AS over_mean_clean FROM x GROUP BY 1""")
 def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _cross(spark, sf_dir)
-    s = evaluate.separation(x, ["bank_sku"], "distance", ~F.col("own"))
-    top = x.groupBy("bank_sku").agg(F.max(F.when(F.col("own"), F.col("distance"))).alias("max_clean"))
-    return s.join(top, "bank_sku").select("bank_sku", F.col("over_max_clean").isNotNull().alias("judged"), "max_clean")
+    found = evaluate.separation(_cross(spark, sf_dir), ["bank_sku"], "distance", ~F.col("own"))
+    return found.select("bank_sku", *[F.round(c, 9).alias(c) for c in ("over_max_clean", "over_mean_clean")])
 
 
 IMAGES = "i AS (SELECT lang AS code, doc_id AS image, toxic = 0 AS clean FROM labels JOIN documents USING (doc_id))"
@@ -400,10 +399,12 @@ RESULTS = "res AS (SELECT l_linenumber AS point, l_returnflag AS method, l_quant
 
 
 @query(f"""WITH {RESULTS}, m AS (SELECT point, avg(value) AS mean, stddev_pop(value) AS sd, count(*)::BIGINT AS n FROM res GROUP BY 1)
-SELECT point, round(mean, 6) AS mean, round(sd, 6) AS sd, n, round(mean - lag(mean) OVER (ORDER BY point), 6) AS step FROM m""")
+SELECT point, round(mean, 6) AS mean, round(sd, 6) AS sd, n, round(mean - lag(mean) OVER (ORDER BY point), 6) AS step,
+  round((mean - first_value(mean) OVER w) / (last_value(mean) OVER w - first_value(mean) OVER w), 6) + 0 AS captured FROM m
+WINDOW w AS (ORDER BY point ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = v.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("point"), F.col("l_quantity").alias("value"))
-    return evaluate.sweep(li, "point", "value").select("point", *[F.round(c, 6).alias(c) for c in ("mean", "sd")], "n", F.round("step", 6).alias("step"))
+    return evaluate.sweep(li, "point", "value").select("point", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "step", "captured")])
 
 
 @query(f"""WITH {RESULTS} SELECT point, avg(value) FILTER (method = 'A') AS A, avg(value) FILTER (method = 'R') AS R, avg(value) FILTER (method = 'A') - avg(value) FILTER (method = 'R') AS gap FROM res GROUP BY 1""")
@@ -711,13 +712,40 @@ def fabric_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.fabric_extent(c, 190.0, 1)
 
 
-@query()
+HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT"
+
+
+@query(f"""WITH {v.CELLS}, c AS (SELECT roll_id * 100 + frame_index AS image, y, x, score FROM v_cells),
+m AS (SELECT image, y AS cy, x AS cx, row_number() OVER (PARTITION BY image ORDER BY {HASH.format("'0:cell:' || y || ':' || x")}, y, x) - 1 AS crop FROM c WHERE score >= 0.1),
+k AS (SELECT DISTINCT image, unnest(range(0, 4))::INT AS crop FROM c),
+j AS (SELECT image, k.crop, {HASH.format("'0:coin:' || image || ':' || k.crop")} / 281474976710656::DOUBLE < 0.5 AND cy IS NOT NULL AS on_defect, cy, cx FROM k LEFT JOIN m USING (image, crop))
+SELECT image, crop, on_defect, (CASE WHEN on_defect THEN greatest(0, least(50 - 16, cy - 8)) ELSE floor({HASH.format("'0:y:' || image || ':' || crop")} / 281474976710656::DOUBLE * 35) END)::INT AS y,
+  (CASE WHEN on_defect THEN greatest(0, least(50 - 16, cx - 8)) ELSE floor({HASH.format("'0:x:' || image || ':' || crop")} / 281474976710656::DOUBLE * 35) END)::INT AS x FROM j""")
 def balanced_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = v.cells(spark, sf_dir).withColumn("image", F.col("roll_id") * 100 + F.col("frame_index"))
     images = c.select("image").distinct().select("image", F.lit(50).alias("h"), F.lit(50).alias("w"))
     return evaluate.balanced_crops(images, c.filter("score >= 0.1").select("image", "y", "x"), 4, 16)
 
 
+@query(f"""WITH {v.CELLS}, {FULL} SELECT roll_id, frame_index, round(avg(value), 6) AS brightness FROM full_ WHERE y BETWEEN 10 AND 39 AND x BETWEEN 10 AND 39 GROUP BY 1, 2""")
+def central_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.central(_full(spark, sf_dir)).groupBy("roll_id", "frame_index").agg(F.round(F.avg("value"), 6).alias("brightness"))
+
+
+@query(f"""WITH {v.CELLS}, {FULL}, b AS (SELECT DISTINCT roll_id, frame_index, m AS marker_id, greatest(0, m * 15 + frame_index - 12) AS x0, 8 AS y0, least(50, m * 15 + frame_index + 24) AS x1, 42 AS y1 FROM v_cells, range(0, 3) r (m)),
+c AS (SELECT f.*, marker_id FROM full_ f JOIN b ON f.roll_id = b.roll_id AND f.frame_index = b.frame_index AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 WHERE x1 - x0 > 8),
+l AS (SELECT roll_id, frame_index, marker_id, {LAP} AS lap FROM c WINDOW r AS (PARTITION BY roll_id, frame_index, marker_id, y ORDER BY x), c AS (PARTITION BY roll_id, frame_index, marker_id, x ORDER BY y)),
+v AS (SELECT roll_id, frame_index, marker_id, var_pop(lap) AS focus FROM l GROUP BY ALL)
+SELECT roll_id, frame_index, round(median(focus), 3) AS marker_focus, count(*)::BIGINT AS markers FROM v GROUP BY 1, 2""")
+def marker_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = stage(_full(spark, sf_dir), "full")
+    m = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("marker_id")
+    boxes = c.select("roll_id", "frame_index").distinct().select("roll_id", "frame_index", m)
+    x0 = F.col("marker_id") * 15 + F.col("frame_index")
+    boxes = boxes.select("roll_id", "frame_index", "marker_id", x0.alias("x0"), F.lit(20).alias("y0"), (x0 + 12).alias("x1"), F.lit(30).alias("y1"))
+    return raster.marker_sharpness(c, boxes).withColumn("marker_focus", F.round("marker_focus", 3))
+
+
 # --- strips, listings, stored tables, phases -----------------------------------------------------------------------
 
 
@@ -767,3 +795,89 @@ def frame_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
   sum(CASE WHEN {COUNTED} THEN {POINTS} ELSE 0 END)::BIGINT AS points FROM v_events GROUP BY 1""")
 def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.counters_live(v.events(spark, sf_dir, ("roll_id", "assertion", "status", "length_mm")))
+
+
+# --- rolls with their calibration, extents, events alone -----------------------------------------------------------
+
+POSITIONS = "pos AS (SELECT sku, along_start_mm AS score FROM v_events)"
+
+
+def _position_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.events(spark, sf_dir, ("sku", "along_start_mm")).withColumnRenamed("along_start_mm", "score")
+    return calibrate.conformal_threshold(e, ["sku"], BUDGET, METRES_PER_TILE)
+
+
+@query(f"""WITH {v.EVENTS}, {POSITIONS}, {_threshold_sql(BUDGET, "pos")}, rolls AS (SELECT o_custkey % 8 AS sku, o_orderkey AS roll_id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 DAY END AS finished_at FROM orders)
+SELECT * FROM (SELECT * FROM rolls ORDER BY coalesce(finished_at, started_at) DESC, roll_id DESC LIMIT 1) LEFT JOIN cal USING (sku)""")
+def latest_roll_with_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = v.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("sku"), F.col("o_orderkey").alias("roll_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("finished_at"))
+    return report.roll_with_calibration(o, stage(_position_calibrations(spark, sf_dir), "calibrations"))
+
+
+@query(f"""WITH {v.EVENTS}, {POSITIONS}, {_threshold_sql(BUDGET, "pos")}
+SELECT sku, roll_id, event_id, along_start_mm AS along_mm, max_score AS peak, threshold, 'events only' AS what FROM v_events JOIN cal USING (sku)""")
+def event_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.event_strip(v.events(spark, sf_dir), _position_calibrations(spark, sf_dir))
+
+
+@query(f"""WITH {v.EVENTS}, c AS (SELECT roll_id, event_id, along_start_mm, 'crops/' || event_id AS crop_path FROM v_events WHERE event_id % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY roll_id ORDER BY along_start_mm, event_id) AS nth FROM c) SELECT * FROM r WHERE nth <= 4""")
+def evidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.events(spark, sf_dir, ("roll_id", "event_id", "along_start_mm"))
+    return report.evidence_events(e.withColumn("crop_path", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("crops/"), F.col("event_id").cast("string")))), 4)
+
+
+@query(f"""WITH {GEOMETRY}, {v.EVENTS}, fr AS (SELECT roll_id, max(along_mm) AS f, count(*) FILTER (gap_warning) AS gap_warnings FROM geometry GROUP BY 1), ev AS (SELECT roll_id, max(along_start_mm) AS m FROM v_events GROUP BY 1)
+SELECT roll_id, greatest(greatest(f, m) / 1000, 1e-6::DOUBLE) AS length_m, gap_warnings FROM fr LEFT JOIN ev USING (roll_id)""")
+def roll_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return astm.roll_extents(v.events(spark, sf_dir, ("roll_id", "along_start_mm")), frame_geometry(spark, sf_dir), ["roll_id"])
+
+
+@query(f"WITH {v.TILE_FRAMES} SELECT roll_id, h, w, (256 - 32) * 0.2::DOUBLE / 1000::DOUBLE AS metres_per_tile FROM v_tiles")
+def stride_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.metres_per_tile(v.tile_frames(spark, sf_dir), F.lit(0.2), 256, 32, with_roi=False)
+
+
+FITTED = "list_sort(list_distinct(list_concat(range(0, {n} - size + 1, size - 100), [{n} - size])))"
+
+
+@query(f"""WITH {v.TILE_FRAMES}, s AS (SELECT *, least(900, h, w) AS size FROM v_tiles), t AS (SELECT *, unnest({FITTED.format(n="h")}) AS y FROM s), u AS (SELECT *, unnest({FITTED.format(n="w")}) AS x FROM t)
+SELECT roll_id, h, w, size, (row_number() OVER (PARTITION BY roll_id ORDER BY y, x) - 1)::INT AS tile_index, x::INT AS x, y::INT AS y FROM u""")
+def fitted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.tile_grid(v.tile_frames(spark, sf_dir), *tiles.fitted(900, 100))
+
+
+@query(f"""WITH {PATCHES}, f AS (SELECT DISTINCT roll_id, frame_index FROM pt), m AS (SELECT roll_id, frame_index, y, x, max(score) AS score FROM pt GROUP BY ALL)
+SELECT roll_id, frame_index, y, x, coalesce(score, 0) AS score FROM f CROSS JOIN range(0, 52) a (y) CROSS JOIN range(0, 51) b (x) LEFT JOIN m USING (roll_id, frame_index, y, x)""")
+def filled_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = stage(mosaic_max(spark, sf_dir), "mosaic")
+    return tiles.filled(m, m.select("roll_id", "frame_index").distinct().select("*", F.lit(52).alias("h"), F.lit(51).alias("w")))
+
+
+@query(f"""WITH {v.CELLS}, c AS (SELECT *, (x * 3 + y) % 7 = 0 AS "on" FROM v_cells)
+SELECT roll_id, frame_index, arg_max("on", (score, -y, -x)) AS peak_inside, round(avg(score) FILTER ("on"), 9) AS mean_on, round(avg(score) FILTER (NOT "on"), 9) AS mean_off,
+  round(avg(score) FILTER ("on") / greatest(avg(score) FILTER (NOT "on"), 1e-6::DOUBLE), 9) AS separation FROM c GROUP BY 1, 2 HAVING count(*) FILTER ("on") > 0""")
+def peak_in_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = v.cells(spark, sf_dir)
+    found = tiles.peak_in_mask(c, c.filter("(x * 3 + y) % 7 = 0"))
+    return found.withColumns({n: F.round(n, 9) for n in ("mean_on", "mean_off", "separation")})
+
+
+@query(f"""WITH RECURSIVE {LABELS} SELECT roll_id, frame_index, label, area, max_score, frame_index * 1000 + y0 * 0.5::DOUBLE AS along_mm, x0 * 0.5::DOUBLE AS across_mm, (y1 - y0 + 1) * 0.5::DOUBLE AS length_mm, (x1 - x0 + 1) * 0.5::DOUBLE AS width_mm
+FROM stats WHERE area >= 2""")
+def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, labelled, stats = _components(spark, sf_dir)
+    geometry = stats.select("roll_id", "frame_index").distinct().select("*", (F.col("frame_index") * 1000.0).alias("along_mm"), F.lit(0.5).alias("mm_per_px"))
+    d = components.detections(components.extents(c, labelled, stats, rule="threshold"), stats, geometry)
+    return d.withColumn("label", F.col("component.y") * 1000 + F.col("component.x0")).drop("component", "mean_score")
+
+
+@query(f"""WITH {v.FRAMES}, f AS (SELECT roll_id, (100 + frame_index % 3) / 1 / 40::DOUBLE AS ratio FROM v_frames WHERE marked),
+g AS (SELECT roll_id, median(ratio) AS ratio, count(*)::BIGINT AS frames_of_two FROM f GROUP BY 1)
+SELECT *, ratio / 2.5::DOUBLE - 1 AS ratio_error, 'y' AS tape_axis, CASE WHEN abs(ratio / 2.5::DOUBLE - 1) > 0.03 THEN 'pitch does not fit the markers' ELSE '' END AS problems FROM g""")
+def tape_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = v.frames(spark, sf_dir).filter("marked").select("roll_id", "frame_index", F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"))
+    x, y = F.col("nth") * 5.0, F.col("nth") * (100.0 + F.col("frame_index") % 3)
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    corners = F.array(point(x, y), point(x + 40, y), point(x + 40, y + 40), point(x, y + 40))
+    return positions.tape_ratio(f.select("roll_id", "frame_index", (F.col("frame_index") + F.col("nth")).alias("marker_id"), corners.alias("corners")), "roll_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollscan.staging import sized, stage
+
 SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 
 
@@ -47,7 +49,9 @@ def read_frames(spark: SparkSession, root: str, glob: str = "*.png", stride: int
         raise FileNotFoundError(f"no file in {root} matches {glob}")
     order = strided(numbered(list_files(spark, root, glob)), stride, fps)
     ok = F.when(F.col("image.height") < 0, F.raise_error(F.concat(F.lit("cannot decode "), F.col("image.origin")))).otherwise(F.lit(True))
-    joined = df.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(order.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path")
+    order = stage(order.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "listing")
+    # pixels stay where they are read as long as the counted listing is small
+    joined = df.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(sized(order), "path")
     return joined.filter(ok).select("path", "frame_index", "ts_s", "stride", "image")
 
 
@@ -64,7 +68,7 @@ def labelled_images(files: DataFrame) -> DataFrame:
     images = files.withColumn("name", parse_name(F.col("path"))).filter("name IS NOT NULL").select("path", stem(F.col("path")).alias("stem"), "name.*")
     masks = files.select(F.col("path").alias("mask"), stem(F.col("path")).alias("m")).filter(F.lower("m").contains("_mask"))
     masks = masks.withColumn("stem", F.regexp_extract("m", r"(?i)^(.*?)_mask", 1)).groupBy("stem").agg(F.array_sort(F.collect_list("mask")).alias("mask_paths"))
-    return images.join(masks, "stem", "left").withColumn("mask_paths", F.coalesce("mask_paths", F.array().cast("array<string>")))
+    return images.join(masks.hint("merge"), "stem", "left").withColumn("mask_paths", F.coalesce("mask_paths", F.array().cast("array<string>")))
 
 
 def split_folders(files: DataFrame) -> DataFrame:

@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollscan.staging import sized, stage
 
-def save_rolls(rolls: DataFrame, root: str) -> None:
-    """Writes rolls (or their events), replacing those of the same sku and roll_id and no others."""
-    rolls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sku", "roll_id").parquet(root)
+
+#: Parts that a sku's rolls are stored in.
+BUCKETS = 64
+
+
+def save_rolls(rolls: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Writes rolls (or their events), replacing those of the same sku and roll_id and no others. The table is partitioned by sku and
+    a bucket of roll_id; the buckets that the new rolls fall in are read, merged and overwritten."""
+    spark, key = rolls.sparkSession, ["sku", "bucket"]
+    new = stage(rolls.withColumn("bucket", F.pmod(F.xxhash64("roll_id"), F.lit(buckets)).cast("int")), "rolls")
+    out = new
+    try:
+        old = spark.read.parquet(root)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
+        # partition values are read as whatever they look like
+        old = old.select(*[F.col(c).cast(t).alias(c) for c, t in new.dtypes])
+        touched, ids = new.select(*key).distinct(), new.select("sku", "roll_id").distinct()
+        kept = old.join(sized(touched), key, "left_semi").join(sized(ids), ["sku", "roll_id"], "left_anti")
+        out = stage(kept.unionByName(new), "merged-rolls")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(root)
 
 
 def upsert_events(root: str):
@@ -32,9 +53,10 @@ def append_decisions(decisions: DataFrame, root: str) -> None:
     decisions.withColumn("status", F.when(known, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status "), F.coalesce("status", F.lit("null")))))).write.mode("append").parquet(root)
 
 
-def save_bank(bank: DataFrame, matrices: DataFrame, meta: DataFrame, root: str) -> None:
-    """Points, projection and what they were fitted with."""
-    for name, df in (("points", bank), ("projections", matrices), ("meta", meta)):
+def save_bank(bank: DataFrame, matrices: DataFrame, meta: DataFrame, root: str, parameters: DataFrame | None = None) -> None:
+    """Points, projection, what they were fitted with and, where given, the resolved parameters of each sku (params.resolved)."""
+    tables = {"points": bank, "projections": matrices, "meta": meta} | ({"parameters": parameters} if parameters is not None else {})
+    for name, df in tables.items():
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sku").parquet(f"{root}/{name}")
 
 
@@ -42,8 +64,13 @@ def load_bank(spark: SparkSession, root: str, requested: DataFrame) -> tuple[Dat
     """Points and projections of the requested skus; a bank fitted otherwise is refused when it is read."""
     from rollscan.operators.bank import assert_compatible
 
-    ok = F.broadcast(assert_compatible(spark.read.parquet(f"{root}/meta"), requested).select("sku"))
-    return tuple(spark.read.parquet(f"{root}/{name}").join(ok, "sku") for name in ("points", "projections"))
+    ok = stage(assert_compatible(spark.read.parquet(f"{root}/meta"), requested).select("sku"), "compatible")
+    return tuple(spark.read.parquet(f"{root}/{name}").join(sized(ok), "sku") for name in ("points", "projections"))
+
+
+def load_parameters(spark: SparkSession, root: str) -> DataFrame:
+    """The parameters that the banks were fitted with."""
+    return spark.read.parquet(f"{root}/parameters")
 
 
 def save_calibrations(calibrations: DataFrame, root: str) -> None:
