@@ -34,6 +34,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def running(df: DataFrame, order: list[Column], value: str, name: str = "before", parts: int | None = None) -> DataFrame:

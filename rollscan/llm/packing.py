@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscan.llm.common import sized, slices, stage
-from rollscan.llm.tokens import Encoder
+from rollscan.llm.tokens import encoder_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = 2
@@ -25,8 +25,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFra
     """Tokens of each text (null: empty) and the end id, in pieces of at most capacity; of longer ones the first piece takes the rest."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in slices(batches, "text"):
+        encoder = encoder_of(tokenizer)
+        for batch in slices(batches, "text", 1 << 18):
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 U = np.uint64
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
 #: The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
@@ -57,11 +57,21 @@ def pre_tokens(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The process's encoder of a tokenizer file, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Ids of a tokenizer file, as the tokenizer itself gives them without added special tokens. Texts with an apostrophe or an
     added token go to it as they are; others are cut into pre-tokens. Keeps at most `limit` pre-tokens."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit

@@ -165,7 +165,7 @@ def spaced_words(text: str, model: np.ndarray, cache: dict[str, list[str]]) -> I
         if words is None:
             words = decode(run, model, True).split()
             if len(run) <= REMEMBERED:
-                if len(cache) > 200_000:
+                if len(cache) > 50_000:
                     cache.clear()
                 cache[run] = words
         yield words
@@ -311,7 +311,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
                 for words in spaced_words(text, chars, runs):
                     found += [score_of(w) for w in set(words) - alone]
                 rows.append(summary(found, len(tokens)))
-            if len(cache) > 400_000:
+            if len(cache) > 200_000:
                 cache.clear()
             z = (np.array(rows).reshape(-1, 6) - model.centre) / model.spread @ model.weights[1:] + model.weights[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names, name])
