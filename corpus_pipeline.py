@@ -17,8 +17,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose score is 0.5 or more go; the classifier learns from the labelled documents among docs. Null and empty
     texts are scored by their lack of words. Repeated rows share their fate."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out(5, 0))
-    scored = toxicity.score_documents(docs.select(F.struct("*").alias("row"), "text"), model)
-    return scored.filter("score < 0.5").select("row.*")
+    name = "toxicity"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    clean = toxicity.score_documents(docs, model, name).filter(F.col(name) < 0.5)
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
