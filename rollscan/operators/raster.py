@@ -67,21 +67,27 @@ def kernel(sigma: float, radius: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _weighted(value: str, axis: str, other: str, weights: list[float]) -> Column:
-    """One pass of a kernel along an axis; borders mirrored as ...c b | a b c... by folding the offset back."""
-    r = len(weights) // 2
-    w = Window.partitionBy(*FRAME, other).orderBy(axis)
-    out = F.lit(weights[r]) * F.col(value)
-    for i in range(1, r + 1):
-        back, ahead = F.lag(value, i).over(w), F.lead(value, i).over(w)
-        out = out + F.lit(weights[r + i]) * (F.coalesce(back, ahead, F.col(value)) + F.coalesce(ahead, back, F.col(value)))
-    return out
+def _weighted(cells: DataFrame, value: str, axis: str, other: str, weights: list[float]) -> DataFrame:
+    """One pass of a kernel along an axis, line by line; borders mirrored as ...c b | a b c..., as often as the kernel needs."""
+    r, rest = len(weights) // 2, [c for c in cells.columns if c not in (*FRAME, other, axis)]
+    lines = cells.groupBy(*FRAME, other).agg(F.array_sort(F.collect_list(F.struct(axis, *rest))).alias("_line"))
+    last = F.size("_line") - 1
+
+    def mirrored(i: Column) -> Column:
+        fold = F.pmod(i, F.greatest(2 * last, F.lit(1)))
+        return F.least(fold, 2 * last - fold)
+
+    def smooth(cell: Column, i: Column) -> Column:
+        total = sum((F.lit(w) * F.get("_line", mirrored(i + (k - r)))[value] for k, w in enumerate(weights)), F.lit(0.0))
+        return F.struct(cell[axis].alias(axis), *[(total if c == value else cell[c]).alias(c) for c in rest])
+
+    return lines.select(*FRAME, other, F.inline(F.transform("_line", smooth))).select(*cells.columns)
 
 
 def gaussian(cells: DataFrame, sigma: float, radius: int, value: str = "value") -> DataFrame:
     """Separable smoothing of full grids: along x, then along y."""
     w = kernel(sigma, radius)
-    return cells.withColumn(value, _weighted(value, "x", "y", w)).withColumn(value, _weighted(value, "y", "x", w))
+    return _weighted(_weighted(cells, value, "x", "y", w), value, "y", "x", w)
 
 
 def flat_field(cells: DataFrame, sigma: float, radius: int | None = None, reference: DataFrame | None = None) -> DataFrame:

@@ -144,6 +144,43 @@ def test_tracking_equals_every_pair_compared(spark, seed):
     assert got == want and max(want.values()) < len(want) / 4
 
 
+def mirrored(x, r):
+    return np.pad(x, r, mode="reflect")
+
+
+def blurred(x, sigma, r):
+    w = np.array(raster.kernel(sigma, r))
+    p = mirrored(x, r)
+    p = sum(w[i] * p[:, i : i + x.shape[1]] for i in range(2 * r + 1))
+    return sum(w[i] * p[i : i + x.shape[0]] for i in range(2 * r + 1))
+
+
+def test_flat_field_and_upsampling_are_those_of_arrays(spark):
+    x = np.random.default_rng(2).integers(20, 200, (14, 16)).astype(float)
+    cells = spark.createDataFrame([(1, 0, y, c, float(v)) for (y, c), v in np.ndenumerate(x)], "roll_id int, frame_index int, y int, x int, value double")
+    flat = x / np.maximum(1, blurred(x, 3.0, 1))
+    want = np.clip(flat * x.mean() / max(1e-6, flat.mean()), 0, 255)
+    for r in raster.flat_field(cells, 3.0).collect():
+        assert abs(r.value - want[r.y, r.x]) < 1.001 and r.value <= want[r.y, r.x] + 1e-9
+    at = lambda n: np.clip((np.arange(3 * n) + 0.5) / 3 - 0.5, 0, n - 1)
+    rows = np.array([np.interp(at(16), np.arange(16), row) for row in x])
+    big = np.array([np.interp(at(14), np.arange(14), col) for col in rows.T]).T
+    got = {(r.y, r.x): r.value for r in raster.upsampled(cells, 3, 1.5).collect()}
+    smooth = blurred(big, 1.5, 4)
+    assert len(got) == 42 * 48 and all(v == pytest.approx(smooth[k], abs=1e-9) for k, v in got.items())
+
+
+def test_tiles_of_small_frames_and_scales(spark):
+    df = spark.createDataFrame([(1, 40, 100), (2, 300, 300)], "roll_id int, h int, w int")
+    got = tiles.tile_grid(df, *tiles.fitted(64, 60)).groupBy("roll_id", "size").agg(F.count("*").alias("n")).collect()
+    assert {(r.roll_id, r["size"], r.n) for r in got} == {(1, 40, 61), (2, 64, 60 * 60)}
+    assert {r.metres_per_tile for r in tiles.metres_per_tile(df, F.lit(0.5), 64, 32, with_roi=False).collect()} == {0.016}
+    with pytest.raises(Exception, match="not positive"):
+        tiles.metres_per_tile(df, F.lit(0.0), 64, 32).collect()
+    whole = spark.createDataFrame([(1, 0, t, 0, 0, v) for t, v in enumerate((1, 2, 2))], "roll_id int, frame_index int, tile_index int, y int, x int, score int")
+    assert tiles.mosaic(whole, "mean").first().score == 1
+
+
 def test_flat_field_keeps_a_flat_frame(spark):
     cells = spark.createDataFrame([(1, 0, y, x, 100.0) for y in range(12) for x in range(12)], "roll_id int, frame_index int, y int, x int, value double")
     assert {r.value for r in raster.flat_field(cells, 3.0).collect()} <= {99, 100}

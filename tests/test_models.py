@@ -1,7 +1,9 @@
 """A caller's model behind the scorer seam, and banks fitted and scored in one job."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from rollscan.operators import bank, evaluate
 
@@ -17,6 +19,42 @@ def test_caller_model(spark):
     assert [r.score for r in bank.score_with(df, make, ["x"]).orderBy("x").collect()] == [1, 4, 9]
 
 
+def test_caller_embedding(spark):
+    def make():
+        return lambda x: np.stack((x, 2 * x, -x), axis=1).astype(np.float32)
+
+    df = spark.createDataFrame([(1.0,), (2.0,)], "x float")
+    out = bank.score_with(df, make, ["x"], return_type=ArrayType(FloatType()))
+    assert [r.score for r in out.orderBy("x").collect()] == [[1, 2, -1], [2, 4, -2]]
+
+
+def test_projection_is_the_stored_matrix(spark):
+    m = bank.projection(spark, "a", 6, 3).unionByName(bank.projection(spark, "b", 6, 3, seed=1))
+    x = np.random.default_rng(3).normal(size=(10, 6)).astype(np.float32)
+    df = spark.createDataFrame([("ab"[i % 2], i, v.tolist()) for i, v in enumerate(x)], "sku string, id long, embedding array<float>")
+    of = {s: np.array([r.weights for r in m.filter(F.col("sku") == s).orderBy("row").collect()]) for s in "ab"}
+    for r in bank.project(df, m).collect():
+        assert r.embedding == pytest.approx(x[r.id] @ of[r.sku], abs=1e-5)
+    with pytest.raises(ValueError):
+        bank.projection(spark, "a", 3, 6)
+
+
+def test_bank_scores_are_those_of_plain_loops(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4, 3, 3, 5)).astype(np.float32)
+    rows = [("a", t, y, c, x[t, y, c].tolist()) for t in range(4) for y in range(3) for c in range(3)]
+    grids = spark.createDataFrame(rows, "sku string, tile long, gy int, gx int, embedding array<float>").repartition(5)
+    padded = np.pad(x.astype(float), ((0, 0), (1, 1), (1, 1), (0, 0)))
+    pool = sum(padded[:, i : i + 3, j : j + 3] for i in range(3) for j in range(3)) / 9
+    got = {(r.tile, r.gy, r.gx): r.embedding for r in bank.pooled(grids).collect()}
+    assert len(got) == 36 and all(v == pytest.approx(pool[k], abs=1e-6) for k, v in got.items())
+    points = bank.fit_banks(grids.filter("tile < 2"), None, 0.3)
+    held = np.array([r.embedding for r in points.collect()])
+    assert len(held) == round(0.3 * 18)
+    for r in bank.score_grids(grids.filter("tile >= 2"), None, points).collect():
+        assert r.score == pytest.approx(np.linalg.norm(held - pool[r.tile, r.gy, r.gx], axis=1).min(), abs=1e-5)
+
+
 def test_bank_knows_its_own(spark):
     rng = np.random.default_rng(0)
     rows = [(s, t, y, x, (rng.normal(size=6) + 5 * (s == "b")).astype(float).tolist()) for s in "ab" for t in range(4) for y in range(3) for x in range(3)]

@@ -1,5 +1,6 @@
 """Folders of images, stored tables and streams."""
 
+import json
 import os
 import struct
 import zlib
@@ -9,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollscan.functions.sql import register
-from rollscan.operators import bank, params, positions, track
+from rollscan.operators import bank, components, evaluate, params, positions, report, track
 from rollscan.plans import views
 from rollscan.sources import images, store
+from rollscan.staging import stage
 from rollscan.streaming import live, teach
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +62,10 @@ def test_rolls_are_replaced_alone(spark, tmp_path):
     store.save_rolls(rows(("a", 1, 5), ("a", 2, 6)), root)
     store.save_rolls(rows(("a", 2, 9)), root)
     assert {(r.roll_id, r.points) for r in spark.read.parquet(root).collect()} == {(1, 5), (2, 9)}
+    store.save_rolls(rows(*[("b", i, i) for i in range(40)]), root, buckets=4)
+    store.save_rolls(rows(*[("b", i, -1) for i in range(10, 20)], ("c", 1, 1)), root, buckets=4)
+    got = {(r.sku, r.roll_id): r.points for r in spark.read.parquet(root).collect()}
+    assert got == {("a", 1): 5, ("a", 2): 9, ("c", 1): 1} | {("b", i): -1 if 10 <= i < 20 else i for i in range(40)}
     with pytest.raises(Exception, match="unknown status"):
         store.append_decisions(spark.createDataFrame([(1, 1, "maybe")], "roll_id int, event_id int, status string"), str(tmp_path / "d"))
 
@@ -73,6 +79,31 @@ def test_bank_of_another_kind_is_refused(spark, tmp_path):
         store.load_bank(spark, str(tmp_path), bank.bank_meta(spark, [("a", "net", 512, "2,3", 2)]))[0].collect()
 
 
+def test_tables_are_stored_and_read_back(spark, tmp_path):
+    cals = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 5), ("b", 3.0, 2)], "sku string, threshold double, fit_timestamp int")
+    store.save_calibrations(cals, str(tmp_path / "c"))
+    assert {(r.sku, r.threshold) for r in store.latest_calibrations(spark.read.parquet(str(tmp_path / "c"))).collect()} == {("a", 2.0), ("b", 3.0)}
+    store.save_csv(cals.coalesce(1), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+    rolls = spark.createDataFrame([(1, 5.0), (2, 6.0)], "roll_id int, length_m double")
+    events = spark.createDataFrame([(1, 7, 20.0), (1, 8, 10.0)], "roll_id int, event_id int, along_start_mm double").withColumns({c: F.lit(1.0) for c in ("length_mm", "width_mm", "max_score")}).withColumns({c: F.lit("x") for c in ("assertion", "status")})
+    store.save_documents(report.documents(rolls, events), str(tmp_path / "j"))
+    got = {d["roll_id"]: [e["event_id"] for e in d.get("events", [])] for d in map(json.loads, (r.value for r in spark.read.text(str(tmp_path / "j")).collect()))}
+    assert got == {1: [8, 7], 2: []}
+    meta = bank.bank_meta(spark, [("a", "net", 320, "2,3", 2)])
+    points = spark.createDataFrame([("a", 0, [0.0, 1.0])], "sku string, point_id long, embedding array<float>")
+    skus = spark.createDataFrame([("a",)], "sku string")
+    own = params.resolved(skus, spark.createDataFrame([("tiling", "size", "512")], "section string, key string, value string"), spark.createDataFrame([], "sku string, section string, key string, value string"))
+    store.save_bank(points, bank.projection(spark, "a", 4, 2), meta, str(tmp_path / "bank"), own)
+    assert [(r.sku, r.key, r.value) for r in store.load_parameters(spark, str(tmp_path / "bank")).collect()] == [("a", "size", "512")]
+
+
+def test_masks_are_united(spark):
+    cells = lambda *r: spark.createDataFrame(r, "image string, y int, x int, value double")
+    got = components.union_masks(cells(("i", 0, 0, 1.0), ("i", 0, 1, 0.0)), cells(("i", 0, 1, 1.0), ("j", 2, 2, 0.0)))
+    assert {(r.image, r.y, r.x): r.value for r in got.collect()} == {("i", 0, 0): 1, ("i", 0, 1): 1, ("j", 2, 2): 0}
+
+
 def test_nearest_distance_forms_agree(spark, monkeypatch):
     x = np.random.default_rng(0).normal(size=(60, 8)).astype(np.float32)
     df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "sku string, id long, embedding array<float>")
@@ -83,6 +114,20 @@ def test_nearest_distance_forms_agree(spark, monkeypatch):
     assert as_dict(bank.nearest_distance_sql(queries, points, ["sku"])) == want
     monkeypatch.setattr(bank, "BROADCAST_BYTES", 0)
     assert as_dict(bank.nearest_distance(queries, points)) == want
+    q, b = (d.select("embedding", F.lit("a").alias("k"), F.monotonically_increasing_id().alias("row"), "id") for d in (df.filter("id >= 20"), df.filter("id < 20")))
+    q = stage(q, "q")
+    cells = bank._in_blocks(q, b, block=7).join(q.select("row", "id"), "row")  # several blocks of both sides
+    assert {r.id: pytest.approx(r.distance) for r in cells.collect()} == want
+
+
+@pytest.mark.parametrize("held", [64 << 20, 0])
+def test_every_bank_scores_every_query(spark, monkeypatch, held):
+    monkeypatch.setattr(bank, "BROADCAST_BYTES", held)
+    x = np.random.default_rng(1).normal(size=(90, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i % 3, i, v.tolist()) for i, v in enumerate(x)], "sku long, query_id long, embedding array<float>").repartition(3)
+    got = {(r.bank_sku, r.query_id): (r.sku, r.own, pytest.approx(r.distance)) for r in evaluate.cross_scores(df.filter("query_id < 30").select(F.col("sku").alias("bank_sku"), "embedding"), df.filter("query_id >= 30")).collect()}
+    want = {(s, i): (i % 3, i % 3 == s, min(np.linalg.norm(x[i].astype(float) - x[j]) for j in range(30) if j % 3 == s)) for s in range(3) for i in range(30, 90)}
+    assert got == want
 
 
 @pytest.mark.parametrize("held", [256 << 20, 0])
@@ -223,6 +268,14 @@ def test_stream_reports(spark, tmp_path):
     assert live.newest(df.withColumnRenamed("roll_id", "source_id"), ts="ts").select(F.sum("dropped")).first()[0] == 18
 
 
+def test_sessions_end_after_a_gap(spark, tmp_path):
+    rows = [(1, i, f"2024-01-01 00:{m:02d}:{s:02d}", float(i)) for i, (m, s) in enumerate([(0, 0), (0, 4), (0, 9), (1, 0), (1, 3), (9, 0)])]
+    df = spark.createDataFrame(rows, "roll_id long, frame_index long, t string, score double").withColumn("ts", F.to_timestamp("t")).drop("t")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = live.replay(live.sessions(live.read_frames(spark, str(tmp_path / "in"), df.schema), "10 seconds", "1 second"), str(tmp_path / "c"), str(tmp_path / "o")).collect()
+    assert sorted((r.frames, r.max_score) for r in got) == [(2, 4.0), (3, 2.0)]
+
+
 def test_stalled_source_is_reported(spark, tmp_path):
     schema = "source_id string, frame_index long, end_of_roll boolean"
     spark.createDataFrame([("a", 3, False), ("b", 4, True)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
