@@ -55,7 +55,7 @@ def symbols() -> np.ndarray:
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
     """Counts of symbol trigrams; what lies before a word's edge is no context."""
-    points = np.frombuffer("\n".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("\n".join(["", "", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     s = symbols()[points].astype(np.int32)
     a, b, c = s[:-2], s[1:-1], s[2:]
     use = (b > 0) | (c > 0)

@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, an exact round trip or held-out labels, and on odd and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -198,6 +199,46 @@ def test_words_without_letters_doubled_or_in_chunks_are_restored():
     assert not {"idiot", "ass"} & toxicity.words_of("you are to an so be it", model, {})[0]
 
 
+def test_decoding_finds_the_likeliest_of_all_readings():
+    counts = toxicity.trigram_counts(["the idiot said a moron stole the silly boat, see all of it to bits"] * 50)
+    model = toxicity.smoothed(counts.astype(float))
+
+    def worth(path):
+        total, symbols = -sum(cost for _, cost in path), [0, 0]
+        for ch in "".join(text for text, _ in path):
+            s = 0 if ch == " " else toxicity.INDEX.get(ch, toxicity.OTHER)
+            if s or symbols[-1]:
+                total += float(model[symbols[-2] if symbols[-1] else 0, symbols[-1], s])
+            symbols = [*symbols, s] if s else [0, 0]
+        return total + (float(model[symbols[-2], symbols[-1], 0]) if symbols[-1] else 0.0)
+
+    for token, spaced in [("1d10t", False), ("m0r0n", False), ("s1lly", False), ("iddi0t", False), ("b@@t", False), ("$!lly", False), ("st*le", False), ("i d 1 o t", True), ("a s i t", True), ("455", False)]:
+        paths = list(itertools.product(*toxicity.lattice(token, spaced)))
+        best = max(map(worth, paths))
+        found = toxicity.decode(token, model, spaced)
+        assert any("".join(t for t, _ in p) == found and worth(p) == pytest.approx(best, abs=1e-6) for p in paths), token
+
+
+def test_trigram_counts_and_strengths_are_plain_ones():
+    text = ["Ab, cé! ab", "", "x"]
+    want = Counter()
+    for t in text:
+        before = [0, 0]
+        for ch in f"{t}\n".lower():
+            s = toxicity.INDEX.get(ch, toxicity.OTHER if ch.isalpha() else 0)
+            if s or before[1]:
+                want[(before[0] if before[1] else 0) << 12 | before[1] << 6 | s] += 1
+            before = [before[1], s]
+    got = toxicity.trigram_counts(text)
+    assert {i: int(got[i]) for i in np.flatnonzero(got)} == want
+    # the evidence is the G statistic of the 2 x 2 table
+    pos, neg, n1, n0 = 30, 2, 50, 60
+    table, total = np.array([[pos, neg], [n1 - pos, n0 - neg]], float), n1 + n0
+    g = 2 * (table * np.log(table * total / np.outer(table.sum(1), table.sum(0)))).sum()
+    assert g > 16 and toxicity.strength(pos, neg, (n1, n0)) == pytest.approx(np.log(30.5 / 51) - np.log(2.5 / 61))
+    assert toxicity.strength(3, 2, (n1, n0)) == 0
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -224,6 +265,39 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def test_statistics_are_those_of_plain_loops():
+    rng = random.Random(5)
+    given = ["", "  \n", None, "One word", "a a a b", "Ünïcode straße, 12% | $5 (it's) !!\n" + "the same long line of words here\n" * 3 + "x"]
+    given += ["".join(rng.choice("abAB 12.!|$\n é") for _ in range(rng.randrange(400))) for _ in range(30)]
+    got = quality.statistics(pa.array(given, pa.large_string()))
+    for row, text in zip(got, given):
+        data = (text or "").encode()
+        words = [w.encode() for w in WORD.findall((text or "").translate(LOWER))]
+        n, lines = len(words), data.count(b"\n") + 1
+        letters = max(1, sum(b not in b" \t\n\v\f\r" for b in data))
+        share = lambda chars: sum(b in chars for b in data) / letters  # noqa: B023, E731
+        rows = [r for r in data.split(b"\n") if len(r) > 20]
+        want = {
+            "n_words": np.log1p(n), "word_len": letters / max(1, n), "upper": share(bytes(range(65, 91))), "digit": share(b"0123456789"),
+            "symbol": share(b"#$%&*+/<=>@\\^_`~{}[]"), "pipe": share(b"|"), "punct": share(b".,;:?\"'()-"), "wide": share(bytes(range(128, 256))),
+            "repeat_next": sum(a == b for a, b in zip(words, words[1:])) / (n - 1) if n > 1 else 0, "distinct": len(set(words)) / n if n else 0,
+            "top_word": max(Counter(words).values()) / n if n else 0, "line_words": np.log1p(n / lines),
+            "lines_repeat": 1 - len(set(rows)) / len(rows) if n and rows else 0, "bangs": share(b"!"),
+        }
+        assert dict(zip(quality.STATS, row)) == pytest.approx(want)
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(3)
+    z, w = (rng.random((300, 12)) < 0.4).astype(float), np.ones(300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * z[:, 0] - 2 * z[:, 1] - 0.3)))).astype(float)
+    penalty = 0.01
+    bias, b = quality.lasso(z, y, w, penalty, rounds=5000)
+    slope = z.T @ (1 / (1 + np.exp(-(bias + z @ b))) - y) / 300
+    assert 2 <= (b != 0).sum() < 12
+    assert slope[b != 0] == pytest.approx(-penalty * np.sign(b[b != 0]), abs=1e-5) and (np.abs(slope[b == 0]) <= penalty + 1e-5).all()
+
+
 def test_rules_compile_to_the_same_scores(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, len(quality.STATS)))
