@@ -680,7 +680,7 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = v.cells(spark, sf_dir)
     axis = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long")))
     f = c.select("roll_id", "frame_index").distinct().withColumn("y", axis).withColumn("x", axis)
-    return f.join(c, ["roll_id", "frame_index", "y", "x"], "left").select("roll_id", "frame_index", "y", "x", (F.coalesce("score", F.lit(0.0)) * 1000).alias("value"))
+    return f.join(c.hint("merge"), ["roll_id", "frame_index", "y", "x"], "left").select("roll_id", "frame_index", "y", "x", (F.coalesce("score", F.lit(0.0)) * 1000).alias("value"))
 
 
 LAP = "coalesce(lag(value) OVER r, lead(value) OVER r) + coalesce(lead(value) OVER r, lag(value) OVER r) + (coalesce(lag(value) OVER c, lead(value) OVER c) + coalesce(lead(value) OVER c, lag(value) OVER c)) - 4 * value"
