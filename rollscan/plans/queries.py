@@ -693,14 +693,29 @@ def frame_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("roll_id", "frame_index", F.round("focus", 3).alias("focus"), F.round("brightness", 6).alias("brightness"))
 
 
-@query()
+def _blur_sql(source: str, n: int, sigma: float, radius: int) -> str:
+    """Two passes of a Gaussian over full n x n grids of (roll_id, frame_index, y, x, value), borders mirrored: the last one is `blur`."""
+    weights = ", ".join(f"({k - radius}, {w!r}::DOUBLE)" for k, w in enumerate(raster.kernel(sigma, radius)))
+    fold = f"((i + k) % {2 * n - 2} + {2 * n - 2}) % {2 * n - 2}"
+    line = lambda table, axis, other: f"SELECT roll_id, frame_index, {other}, t.i AS {axis}, sum(w * value) AS value FROM {table} JOIN taps t ON {axis} = t.j GROUP BY ALL"
+    return f"""w7 (k, w) AS (VALUES {weights}), taps AS (SELECT i, least({fold}, {2 * n - 2} - {fold}) AS j, w FROM range(0, {n}) r (i), w7),
+  across AS ({line(source, "x", "y")}), blur AS ({line("across", "y", "x")})"""
+
+
+@query(f"""WITH {v.CELLS}, {FULL}, {_blur_sql("full_", 50, 5.0, 2)}, f AS (SELECT roll_id, frame_index, y, x, u.value, u.value / greatest(1::DOUBLE, b.value) AS flat FROM full_ u JOIN blur b USING (roll_id, frame_index, y, x)),
+s AS (SELECT *, flat * avg(value) OVER w / greatest(1e-6::DOUBLE, avg(flat) OVER w) AS scaled FROM f WINDOW w AS (PARTITION BY roll_id, frame_index))
+SELECT roll_id, frame_index, y, x, trunc(greatest(0::DOUBLE, least(255::DOUBLE, scaled)))::INT AS value FROM s""")
 def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.flat_field(_full(spark, sf_dir), sigma=5.0)
 
 
-@query()
+@query(f"""WITH {v.CELLS}, {FULL}, axis_at AS (SELECT i, greatest(0::DOUBLE, least(49::DOUBLE, (i + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) AS p FROM range(0, 100) r (i)),
+c AS (SELECT i, least(49, floor(p)::BIGINT + d) AS j, abs(1 - d - (p - floor(p))) AS part FROM axis_at, (VALUES (0), (1)) e (d)),
+up AS (SELECT roll_id, frame_index, a.i AS y, b.i AS x, sum(a.part * b.part * value) AS value FROM full_ JOIN c a ON full_.y = a.j JOIN c b ON full_.x = b.j GROUP BY ALL),
+{_blur_sql("up", 100, 1.0, 3)} SELECT roll_id, frame_index, y, x, round(value, 5) AS value FROM blur""")
 def pixel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.upsampled(v.cells(spark, sf_dir).select("roll_id", "frame_index", "y", "x", F.col("score").alias("value")), 2, 1.0)
+    up = raster.upsampled(_full(spark, sf_dir), 2, 1.0)
+    return up.withColumn("value", F.round("value", 5))
 
 
 @query(f"""WITH {v.CELLS}, m AS (SELECT roll_id * 100 + frame_index AS image, x, max(score) * 2000 AS mean FROM v_cells GROUP BY ALL),
