@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,8 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about max_bytes of text (one row at least)."""
+    give_back()  # what the task before has left
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -35,7 +45,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 <<
         if batch.num_rows > start:
             yield batch.slice(start)
         del batch
-        pa.default_memory_pool().release_unused()  # workers live on from stage to stage
+        give_back()
 
 
 def running(df: DataFrame, order: list[Column], value: str, name: str = "before", parts: int | None = None) -> DataFrame:
