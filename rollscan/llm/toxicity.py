@@ -282,6 +282,10 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
     """docs' columns and the score (0 to 1) of every whole text. Null and empty texts are scored by their lack of words;
     repeated rows are scored each; an existing column of that name is replaced."""
     docs = docs.drop(name)
+    # numbered columns go to Python, whatever their names
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    whole = f"c{names.index('text')}"
     weight = {f: strength(p, q, model.sizes) for f, (p, q) in model.counts.items()}
     starts = {f[:SHORTEST] for f in weight} | {f for f in weight if len(f) <= SHORTEST}
     chars = model.chars
@@ -295,9 +299,9 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         runs: dict[str, list[str]] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, whole):
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(whole).to_pylist():
                 text = (text or "").lower()
                 tokens = text.split()
                 found = []
@@ -316,4 +320,4 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
             z = (np.array(rows).reshape(-1, 6) - model.centre) / model.spread @ model.weights[1:] + model.weights[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])).toDF(*names, name)
