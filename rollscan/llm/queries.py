@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscan.llm import exactdedup, fingerprint, langid, mixing, ngramjoin, packing, quality, toxicity, urlfilter, warc
+from rollscan.llm import exactdedup, fingerprint, htmltext, langid, merkle, mixing, ngramjoin, packing, quality, recompression, toxicity, urlfilter, warc
 from rollscan.llm.common import WORD, held_out, table
 
 #: The rules of the URL query.
@@ -60,8 +60,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.proofs(table(spark, sf_dir, "documents"), tampered)
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.document_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_toxicity, op4_quality_rules, op5_warc_archives, op6_fingerprints, op7_exact_dedup, op8_ngram_jaccard_join, op9_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_toxicity, op4_quality_rules, op5_warc_archives, op6_fingerprints, op7_exact_dedup, op8_ngram_jaccard_join, op9_language_id, op10_best_fit_packing, op11_merkle_manifest, op12_html_extraction, op13_periodic_runs)}
 
 
 OP1 = f"""
@@ -136,5 +149,92 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+#: CRC-32 of doc_id as text, as `checksums` (doc_id, h).
+CRC32 = """
+crc AS (
+  SELECT list(list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t
+  FROM range(0, 256) r(n)),
+checksums AS (
+  SELECT doc_id, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(s) + 1), lambda j: ascii(s[j])::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c // 256))) AS h
+  FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL), crc)"""
+
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+OP11 = f"""
+WITH RECURSIVE {CRC32},
+d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('s' || source, '') AS key, {" || ".join(_FIELD(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text,
+         CASE WHEN h % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents LEFT JOIN checksums USING (doc_id)),
+h AS (SELECT id, doc_id, key, sha256(head || {_FIELD("text")}) AS leaf, sha256(head || {_FIELD("changed")}) AS now FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM h),
+s (lvl, key, idx, n, node) AS (
+  SELECT 0, key, idx, n, leaf FROM l
+  UNION ALL
+  SELECT any_value(lvl) + 1, key, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM s WHERE n > 1 GROUP BY key, idx // 3),
+b AS (SELECT key, node AS subroot, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM s WHERE n = 1),
+u (lvl, idx, n, node) AS (
+  SELECT 0, idx, n, subroot FROM b
+  UNION ALL
+  SELECT any_value(lvl) + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY idx // 3),
+sr AS (SELECT lvl, key, idx // 3 AS run, list(node ORDER BY idx) AS ns FROM s WHERE n > 1 GROUP BY ALL),
+ur AS (SELECT lvl, idx // 3 AS run, list(node ORDER BY idx) AS ns FROM u WHERE n > 1 GROUP BY ALL),
+p (id, lvl, key, idx, node, proof) AS (
+  SELECT id, 0, key, idx, now, '' FROM l
+  UNION ALL
+  SELECT id, p.lvl + 1, p.key, idx // 3, sha256(array_to_string(ns[:idx % 3], '') || node || array_to_string(ns[idx % 3 + 2:], '')),
+         proof || array_to_string(ns[:idx % 3], '') || array_to_string(ns[idx % 3 + 2:], '')
+  FROM p JOIN sr ON sr.lvl = p.lvl AND sr.key = p.key AND sr.run = p.idx // 3),
+o AS (SELECT id, any_value(key) AS key, arg_max(node, lvl) AS node, arg_max(proof, lvl) AS proof FROM p GROUP BY id),
+v (id, lvl, idx, node, proof) AS (
+  SELECT id, 0, b.idx, node, proof FROM o JOIN b USING (key)
+  UNION ALL
+  SELECT id, v.lvl + 1, idx // 3, sha256(array_to_string(ns[:idx % 3], '') || node || array_to_string(ns[idx % 3 + 2:], '')),
+         proof || array_to_string(ns[:idx % 3], '') || array_to_string(ns[idx % 3 + 2:], '')
+  FROM v JOIN ur ON ur.lvl = v.lvl AND ur.run = v.idx // 3),
+e AS (SELECT id, arg_max(node, lvl) AS folded_root, sha256(arg_max(proof, lvl)) AS proof_sha256 FROM v GROUP BY id),
+r AS (SELECT node AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN b USING (key) JOIN e USING (id), r
+"""
+
+#: What the method finds on these pages, told by their article elements.
+OP12 = r"""
+WITH a AS (SELECT page_id, url, str_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:h1|p)>') AS parts FROM pages),
+t AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS lines FROM a)
+SELECT page_id, url, coalesce(array_to_string(lines, chr(10)), '') AS text, length(coalesce(array_to_string(lines, chr(10)), ''))::BIGINT AS n_chars FROM t
+"""
+
+OP13 = f"""
+WITH {CRC32},
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS ws, h FROM documents LEFT JOIN checksums USING (doc_id)),
+g AS (SELECT id, doc_id, ws, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN h // 10 % len(ws) ELSE len(ws) END AS a, h // 10 AS g FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + coalesce(g, 0) % 8) AS p FROM g),
+i AS (SELECT id, unnest(range(0, n)) AS pos, unnest(list_transform(range(0, n), lambda x: ws[(CASE WHEN x < a THEN x ELSE a + (x - a) % p END) + 1])) AS word FROM f),
+q AS (SELECT id, n, unnest(range(1, n // 4 + 1)) AS p FROM g),
+c AS (SELECT id, p, unnest(range(0, n - p, p)) AS pos FROM q),
+m AS (SELECT id, p, pos FROM c JOIN i x USING (id, pos) JOIN i y ON y.id = c.id AND y.pos = c.pos + p AND y.word = x.word),
+k AS (
+  SELECT DISTINCT id, p FROM (
+    SELECT *, lead(pos) OVER w AS second, lead(pos, 2) OVER w AS third FROM m WINDOW w AS (PARTITION BY id, p ORDER BY pos))
+  WHERE second = pos + p AND third = pos + 2 * p),
+e AS (
+  SELECT k.id, k.p, x.pos, x.pos - row_number() OVER (PARTITION BY k.id, k.p ORDER BY x.pos) AS island
+  FROM k JOIN i x ON x.id = k.id JOIN i y ON y.id = k.id AND y.pos = x.pos + p AND y.word = x.word),
+s AS (SELECT id, p, min(pos) AS start, count(*) + p AS length FROM e GROUP BY id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT id, start, length, min(p) AS period FROM s GROUP BY ALL),
+z AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS pos FROM r),
+l AS (SELECT id, string_agg(word, ' ' ORDER BY pos) AS kept FROM i ANTI JOIN z USING (id, pos) GROUP BY id),
+t AS (SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY id),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (id) LEFT JOIN l USING (id) LEFT JOIN (SELECT * FROM b WHERE place = 1) USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1, "op2_url_filter": OP2, "op5_warc_archives": OP5, "op7_exact_dedup": OP7}
+    return {"op1_source_mix": OP1, "op2_url_filter": OP2, "op5_warc_archives": OP5, "op7_exact_dedup": OP7, "op11_merkle_manifest": OP11, "op12_html_extraction": OP12, "op13_periodic_runs": OP13}
