@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscan.functions import grading
+from rollscan.operators.ranks import interpolated
 from rollscan.staging import sized, stage
 
 
@@ -27,13 +28,17 @@ def latency_table(timings: DataFrame, stages: list[str], stride: int) -> DataFra
     """Median of each stage and of their total."""
     total = sum((F.col(s) for s in stages[1:]), F.col(stages[0]))
     long = timings.select(*stages, total.alias("total")).unpivot([], [*stages, "total"], "stage", "ms")
-    return long.groupBy("stage").agg(F.median("ms").alias("median_ms"), F.count("*").alias("frames")).withColumn("stride", F.lit(stride))
+    out = interpolated(long, ["stage"], "ms", [0.5], F.count("*").alias("frames"))
+    return out.select("stage", F.col("at")[0].alias("median_ms"), "frames", F.lit(stride).alias("stride"))
 
 
 def near_misses(scores: DataFrame, calibrations: DataFrame) -> DataFrame:
     """frames' peaks of each sku against its threshold: median and largest peak, frames at or above, closest below. scores: sku, frame, score."""
-    peaks = scores.groupBy("sku", "frame").agg(F.max("score").alias("peak")).join(sized(stage(calibrations.select("sku", "threshold"), "calibrations")), "sku")
-    return peaks.groupBy("sku").agg(F.count("*").alias("frames"), F.median("peak").alias("median_peak"), F.max("peak").alias("max_peak"), F.count_if(F.col("peak") >= F.col("threshold")).alias("at_or_above"), F.max(F.when(F.col("peak") < F.col("threshold"), F.col("peak"))).alias("closest_below"))
+    peaks = stage(scores.groupBy("sku", "frame").agg(F.max("score").alias("peak")).join(sized(stage(calibrations.select("sku", "threshold"), "calibrations")), "sku"), "peaks")
+    peak = F.col("peak")
+    aggs = F.count("*").alias("frames"), F.max(peak).alias("max_peak"), F.count_if(peak >= F.col("threshold")).alias("at_or_above"), F.max(F.when(peak < F.col("threshold"), peak)).alias("closest_below")
+    out = interpolated(peaks, ["sku"], "peak", [0.5], *aggs)
+    return out.select("sku", "frames", F.col("at")[0].alias("median_peak"), "max_peak", "at_or_above", "closest_below")
 
 
 def score_strip(peaks: DataFrame, geometry: DataFrame, calibrations: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollscan.operators.scan import row_numbers
+
 ROLL_WIDTH_M = 1.5
 EVENT_ORDER = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -62,9 +64,9 @@ ROLLS = f"""v_rolls AS (
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.partitionBy(F.col("user_id") % 10).orderBy("ts", "event_id")) - 1
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    f = e.select((F.col("user_id") % 10).alias("roll_id"), n.cast("long").alias("frame_index"), ((micros - F.lit(1704067200000000)) / F.lit(1e6)).alias("ts_s"), (F.col("event_type") != "error").alias("marked"), "value", (0.2 + (F.col("user_id") % 7) * F.lit(0.001)).alias("scale"), "event_type")
+    e = row_numbers(e.withColumn("roll_id", F.col("user_id") % 10), ["roll_id"], ["ts", "event_id"], "place")
+    f = e.select("roll_id", (F.col("place") - 1).alias("frame_index"), ((micros - F.lit(1704067200000000)) / F.lit(1e6)).alias("ts_s"), (F.col("event_type") != "error").alias("marked"), "value", (0.2 + (F.col("user_id") % 7) * F.lit(0.001)).alias("scale"), "event_type")
     measured = F.when(F.col("marked"), F.col("frame_index") * F.lit(100.0) - F.col("value") * F.col("scale"))
     return f.select("roll_id", "frame_index", "ts_s", measured.alias("measured_mm"), F.when(F.col("marked"), F.col("scale")).alias("mm_per_px"), "value", "event_type", "marked")
 

@@ -100,12 +100,12 @@ def test_far_and_dropped_out(spark):
     assert track.track(detections(spark, [(0, 1000.0, 50.0), (2, 1070.0, 50.0)])).select("event_id").distinct().count() == 1
 
 
-def test_segments_change_nothing(spark):
+def test_tracking_components_apart_changes_nothing(spark):
     rng = np.random.default_rng(5)
     rows = sorted((int(f), float(rng.integers(0, 4000)), float(rng.integers(0, 200))) for f in rng.integers(0, 300, 150))
     d = detections(spark, rows)
     groups = lambda df: {frozenset(g) for g in df.toPandas().groupby("event_id")["detection_id"].apply(list)}
-    assert groups(track.track(d)) == groups(track.track(d, segmented=False))
+    assert groups(track.track(d)) == groups(track.track(d, apart=False))
 
 
 def chosen(rows, iou_threshold=0.3, join_mm=50.0, max_gap=2):
