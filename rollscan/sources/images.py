@@ -11,9 +11,11 @@ SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 
 
 def natural_key(path: Column) -> Column:
-    """A sort key under which digit runs compare as numbers and the rest lower-cased."""
+    """A sort key under which digit runs compare as numbers, however long, and the rest lower-cased: a run is preceded by the
+    number of its digits."""
     parts = F.split(F.lower(path), r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 24, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)), "")
 
 
 def stem(path: Column) -> Column:
@@ -93,7 +95,7 @@ def cells(frames: DataFrame, keys: list[str], channel: int | None = None) -> Dat
     i = F.col("image")
     rows = frames.select(*keys, "image", F.explode(F.sequence(F.lit(0), i.height - 1)).alias("y"))
     n = F.col("image.nChannels")
-    line = F.substring(F.hex("image.data"), F.col("y") * F.col("image.width") * n * 2 + 1, F.col("image.width") * n * 2)
+    line = F.hex(F.substring("image.data", F.col("y") * F.col("image.width") * n + 1, F.col("image.width") * n))
     px = rows.select(*keys, "y", n.alias("n"), F.posexplode(F.regexp_extract_all(line, F.lit("(..)"), F.lit(1))).alias("at", "byte"))
     px = px.select(*keys, "y", F.expr("at div n").cast("int").alias("x"), (F.col("at") % F.col("n")).alias("c"), F.conv("byte", 16, 10).cast("double").alias("v"))
     return (px.filter(F.col("c") == channel) if channel is not None else px).groupBy(*keys, "y", "x").agg(F.avg("v").alias("value"))
