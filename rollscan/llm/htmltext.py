@@ -186,7 +186,7 @@ def main_text(page: str) -> str:
     sums = np.concatenate(([0], np.convolve(weights, np.ones(WINDOW, np.int64)), [0]))  # sums[i]: the lines up to i - 1
     some = sums > 0
     surges = np.flatnonzero(some[1:] & ~some[:-1])
-    dives = np.flatnonzero(some[:-1] & ~some[1:]) - WINDOW + 1  # the last line with text
+    dives = np.flatnonzero(some[:-1] & ~some[1:]) - WINDOW  # the last line that counts
     least = min(SURGE, int(sums.max()))
     kept = []
     for surge, dive in zip(surges.tolist(), dives.tolist()):

@@ -88,13 +88,16 @@ def cluster(points: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.n
 
 
 def sampled(rows: DataFrame, per_lang: int) -> DataFrame:
-    """lang and text of per_lang rows of each language at most: those with the least hashes of doc_id (ties: by doc_id and text).
-    Rows far beyond that rank are left out before they are ranked, so that no language is sorted whole."""
-    mark = F.xxhash64("doc_id", F.lit(11))
-    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("held")), "sizes")
-    near = F.pmod(mark, F.lit(1 << 30)) < F.lit(float(1 << 30)) * 1.2 * per_lang / F.col("held")
-    few = rows.join(sized(sizes), "lang").filter(near)
-    order = Window.partitionBy("lang").orderBy(F.pmod(mark, F.lit(1 << 30)), "doc_id", F.xxhash64("text"))
+    """lang and text of per_lang of each language's rows, or all where it has fewer: those with the least hashes of (doc_id, text),
+    of which repeated rows share one and count once. Rows far beyond that rank are left out before they are ranked, by the
+    language's number of hashes (a sketch's, so with room for its error), so that no language is sorted whole."""
+    mark = F.xxhash64("doc_id", "text", F.lit(11))
+    sizes = stage(rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("held")), "sizes")
+    room = 1.2 * (per_lang + 8 * per_lang**0.5 + 16)
+    place = F.pmod(mark, F.lit(1 << 30))
+    few = rows.join(sized(sizes), "lang").filter(place < F.lit(float(1 << 30)) * room / F.col("held"))
+    few = few.groupBy("lang", mark.alias("mark")).agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark")
     return few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select("lang", "text")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -212,6 +212,21 @@ def strength(pos: float, neg: float, sizes: tuple[int, int], least: float = 16.0
     return float(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) if g >= least else 0.0
 
 
+def word_strengths(model: Model) -> Callable[[str, dict[str, float]], float]:
+    """The strength of a restored word: the largest of its features'. The function takes a cache beside the word."""
+    weight = {f: strength(p, q, model.sizes) for f, (p, q) in model.counts.items()}
+    starts = {f[:SHORTEST] for f in weight}
+
+    def worth(word: str, held: dict[str, float]) -> float:
+        s = held.get(word)
+        if s is None:
+            some = word[:SHORTEST] in starts or word + "$" in weight
+            s = held[word] = max([weight[f] for f in features(word) if f in weight], default=0.0) if some else 0.0
+        return s
+
+    return worth
+
+
 def summary(scores: list[float], n_tokens: int) -> list[float]:
     """A document's numbers: strengths of its words added, the largest, the number and share of words that have any, its length."""
     hits = [s for s in scores if s > 0]
@@ -286,37 +301,20 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
     names = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     whole = f"c{names.index('text')}"
-    weight = {f: strength(p, q, model.sizes) for f, (p, q) in model.counts.items()}
-    starts = {f[:SHORTEST] for f in weight} | {f for f in weight if len(f) <= SHORTEST}
-    chars = model.chars
-
-    def score_of(token: str) -> float:
-        w = restored(token, chars)
-        if w[:SHORTEST] not in starts and w + "$" not in weight:
-            return 0.0
-        return max([weight[f] for f in features(w) if f in weight], default=0.0)
+    worth = word_strengths(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, str] = {}
         runs: dict[str, list[str]] = {}
+        held: dict[str, float] = {}
         for batch in slices(batches, whole):
             rows = []
             for text in batch.column(whole).to_pylist():
-                text = (text or "").lower()
-                tokens = text.split()
-                found = []
-                for t in set(tokens):
-                    s = cache.get(t)
-                    if s is None:
-                        s = cache[t] = score_of(t)
-                    if s:
-                        found.append(s)
-                alone = set(tokens)
-                for words in spaced_words(text, chars, runs):
-                    found += [score_of(w) for w in set(words) - alone]
-                rows.append(summary(found, len(tokens)))
-            if len(cache) > 200_000:
-                cache.clear()
+                words, n = words_of(text or "", model.chars, cache, runs)
+                rows.append(summary([worth(w, held) for w in words], n))
+            for known in (cache, held):
+                if len(known) > 200_000:
+                    known.clear()
             z = (np.array(rows).reshape(-1, 6) - model.centre) / model.spread @ model.weights[1:] + model.weights[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names, name])
 
