@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
 from rollscan.functions import grading
@@ -28,26 +28,66 @@ def newest(batch: DataFrame, source: str = "source_id", ts: str = "ts_s") -> Dat
     return batch.groupBy(source).agg(row, (F.count("*") - 1).alias("dropped")).select("row.*", "dropped")
 
 
-def stalls(frames: DataFrame, timeout_ms: int, source: str = "source_id") -> DataFrame:
-    """ST3: a row for each source that sends nothing for timeout_ms, which is not the same as its end (a row with end_of_roll)."""
+#: Processors with typed state need this store.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"source_id": [key[0]], "last_frame": [last], "state": ["stalled"]})
-            return
-        last, ended = (state.get[0] if state.exists else -1), False
-        for rows in batches:
-            last, ended = max(last, int(rows["frame_index"].max())), ended or bool(rows["end_of_roll"].any())
-        if ended:
-            state.remove() if state.exists else None
+
+def stateful(rows: DataFrame, keys: list[Column | str], processor: StatefulProcessor, schema: str, timed: bool) -> DataFrame:
+    """rows of each key, through a processor whose state is kept by key from batch to batch. timed: it has timers or its state
+    expires; Spark then runs batches without data too, so that a trigger of all there is (availableNow) does not end."""
+    rows.sparkSession.conf.set(*PROVIDER)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if timed else "None")
+
+
+def ends(rows: DataFrame) -> DataFrame:
+    """rows with end_of_roll, false where they have no such column."""
+    return rows if "end_of_roll" in rows.columns else rows.withColumn("end_of_roll", F.lit(False))
+
+
+def in_order(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(list(order), kind="stable").reset_index(drop=True)
+
+
+class Stalls(StatefulProcessor):
+    """State of a source: its last frame, and a timer that the next frame puts off."""
+
+    def __init__(self, timeout_ms: int) -> None:
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "frame long")
+
+    def forget(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        batch = pd.concat(list(rows))
+        last = max(held[0] if held else -1, int(batch["frame_index"].max()))
+        self.forget()
+        if batch["end_of_roll"].any():
             yield pd.DataFrame({"source_id": [key[0]], "last_frame": [last], "state": ["ended"]})
         else:
-            state.update((last,))
-            state.setTimeoutDuration(timeout_ms)
+            self.last.update((last,))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"source_id": [key[0]], "last_frame": [last[0] if last else -1], "state": ["stalled"]})
+
+    def close(self) -> None:
+        pass
 
-    return frames.groupBy(F.col(source).cast("string").alias("source_id")).applyInPandasWithState(step, "source_id string, last_frame long, state string", "last_frame long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+def stalls(frames: DataFrame, timeout_ms: int, source: str = "source_id") -> DataFrame:
+    """ST3: a row for each source that sends nothing for timeout_ms, which is not the same as its end (a row with end_of_roll).
+    Nothing is kept of a source that ended or stalled."""
+    rows = frames.withColumn("source_id", F.col(source).cast("string"))
+    return stateful(rows, ["source_id"], Stalls(timeout_ms), "source_id string, last_frame long, state string", True)
 
 
 def phases(frames: DataFrame, learn: int, calibrate: int) -> DataFrame:
@@ -55,135 +95,209 @@ def phases(frames: DataFrame, learn: int, calibrate: int) -> DataFrame:
     return frames.withColumn("phase", F.when(F.col("frame_index") < learn, "learn").when(F.col("frame_index") < learn + calibrate, "calibrate").otherwise("inspect"))
 
 
-def live_phases(frames: DataFrame, learn: int, calibrate: int) -> DataFrame:
-    """ST4: the phase of each frame by the number of frames of its roll that came before, kept as state."""
+class Phases(StatefulProcessor):
+    """State of a roll: how many of its frames came before."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("frame_index")
-        at = range(seen, seen + len(rows))
-        state.update((seen + len(rows),))
-        yield pd.DataFrame({"roll_id": rows["roll_id"], "frame_index": rows["frame_index"], "phase": ["learn" if i < learn else "calibrate" if i < learn + calibrate else "inspect" for i in at]})
+    def __init__(self, learn: int, calibrate: int, ttl_ms: int | None) -> None:
+        self.learn, self.calibrate, self.ttl_ms = learn, calibrate, ttl_ms
 
-    return frames.groupBy("roll_id").applyInPandasWithState(step, "roll_id long, frame_index long, phase string", "seen long", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "frames long", self.ttl_ms)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        batch = in_order(rows, "frame_index")
+        at = range(seen, seen + len(batch))
+        phase = ["learn" if i < self.learn else "calibrate" if i < self.learn + self.calibrate else "inspect" for i in at]
+        yield pd.DataFrame({"roll_id": batch["roll_id"], "frame_index": batch["frame_index"], "phase": phase})
+        if batch["end_of_roll"].any():
+            self.seen.clear()
+        else:
+            self.seen.update((seen + len(batch),))
 
-def _packed(tracks: Tracks) -> str:
-    return json.dumps({"made": tracks.made, "ids": tracks.ids.tolist(), "seen": tracks.seen.tolist(), "boxes": tracks.boxes.tolist()})
+    def close(self) -> None:
+        pass
 
 
-def _unpacked(text: str, how: tuple) -> Tracks:
-    held = json.loads(text)
-    return Tracks(*how, held["made"], np.array(held["ids"], np.int64), np.array(held["seen"], np.int64), np.array(held["boxes"], float).reshape(-1, 4))
+def live_phases(frames: DataFrame, learn: int, calibrate: int, ttl_ms: int | None = None) -> DataFrame:
+    """ST4: the phase of each frame by the number of frames of its roll that came before, kept as state until a row with
+    end_of_roll, or for ttl_ms after the last frame."""
+    return stateful(ends(frames).select("roll_id", "frame_index", "end_of_roll"), ["roll_id"], Phases(learn, calibrate, ttl_ms), "roll_id long, frame_index long, phase string", ttl_ms is not None)
 
 
-def _placed(rows: pd.DataFrame, tracks: Tracks) -> np.ndarray:
+def placed(rows: pd.DataFrame, tracks: Tracks) -> np.ndarray:
     """Event ids of rows sorted by frame."""
     frames, boxes = rows["frame_index"].to_numpy(), rows[BOX].to_numpy(float)
     cut = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(rows)]
     return np.concatenate([tracks.place(int(frames[a]), boxes[a:b]) for a, b in zip(cut, cut[1:]) if b > a] or [np.zeros(0, np.int64)])
 
 
-def track_live(detections: DataFrame, iou_threshold: float = 0.3, join_mm: float = 50.0, max_gap: int = 2) -> DataFrame:
-    """ST6: detections of each roll with their event as frames arrive in order. Events keep their ids from batch to batch; the
-    tracks are the batch form's own. detections: sku, roll_id, frame_index, detection_id and BOX."""
-    how = (iou_threshold, join_mm, max_gap)
+#: How the parts of an event are put together: name, column of a part, function.
+PARTS = {"along_start_mm": "min", "along_end_mm": "max", "across_start_mm": "min", "across_end_mm": "max", "max_score": "max", "asserted": "max", "n_frames": "sum", "last_frame": "max"}
+EVENT = "sku long, roll_id long, event_id long, state string, along_start_mm double, along_end_mm double, across_start_mm double, across_end_mm double, max_score double, assertion string, n_frames long, last_frame long"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks = _unpacked(state.get[0], how) if state.exists else Tracks(*how)
-        rows = pd.concat(list(batches)).sort_values(["frame_index", "detection_id"])
-        out = _placed(rows, tracks)
-        state.update((_packed(tracks),))
-        yield rows[[*ROLL, "frame_index", "detection_id"]].assign(event_id=out)
 
-    return detections.groupBy(*ROLL).applyInPandasWithState(step, "sku long, roll_id long, frame_index long, detection_id long, event_id long", "held string", "append", GroupStateTimeout.NoTimeout)
+class Tracking(StatefulProcessor):
+    """State of a roll: how many events it has had, and each open track by event, with its last box and the event's parts. Only
+    the tracks that a batch touches or closes are written; a roll that ends leaves nothing."""
 
+    def __init__(self, how: tuple[float, float, int], ttl_ms: int | None) -> None:
+        self.how, self.ttl_ms = how, ttl_ms
 
-#: How the parts of an event are put together: name, column of a part, function.
-PARTS = {"along_start_mm": "min", "along_end_mm": "max", "across_start_mm": "min", "across_end_mm": "max", "max_score": "max", "asserted": "max", "n_frames": "sum", "last_frame": "max"}
-EVENT = "sku long, roll_id long, event_id long, state string, along_start_mm double, along_end_mm double, across_start_mm double, across_end_mm double, max_score double, assertion string, n_frames long, last_frame long"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.made = handle.getValueState("made", "events long", self.ttl_ms)
+        parts = ", ".join(f"{c} {'long' if c in ('asserted', 'n_frames', 'last_frame') else 'double'}" for c in PARTS)
+        self.open = handle.getMapState("open", "event_id long", "seen long, " + ", ".join(f"{c} double" for c in BOX) + f", {parts}", self.ttl_ms)
 
+    def tracks(self) -> tuple[Tracks, dict[int, tuple]]:
+        held = {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
+        ids = sorted(held)  # events are numbered as they open
+        boxes = np.array([held[i][1:5] for i in ids], float).reshape(-1, 4)
+        made = self.made.get()[0] if self.made.exists() else 0
+        return Tracks(*self.how, made, np.array(ids, np.int64), np.array([held[i][0] for i in ids], np.int64), boxes), held
 
-def events_live(detections: DataFrame, iou_threshold: float = 0.3, join_mm: float = 50.0, max_gap: int = 2) -> DataFrame:
-    """ST6: the events of each roll as their tracks close: each once with state `closed`, and after every micro-batch those it
-    touched that are still `open`, so that the last row of an event is how it stands.
+    def keep(self, tracks: Tracks, held: dict[int, tuple], parts: dict[int, tuple], over: bool) -> None:
+        """Writes what is open now. parts: what touched events are made of so far."""
+        if over:
+            self.open.clear()
+            self.made.clear()
+            return
+        self.made.update((tracks.made,))
+        still = dict(zip(tracks.ids.tolist(), zip(tracks.seen.tolist(), tracks.boxes.tolist())))
+        for event in held.keys() - still.keys():
+            self.open.removeKey((event,))
+        for event in parts.keys() & still.keys():
+            seen, box = still[event]
+            self.open.updateValue((event,), (seen, *box, *parts[event]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        tracks, held = self.tracks()
+        batch = in_order(rows, "frame_index", "detection_id")
+        over, last = bool(batch["end_of_roll"].any()), int(batch["frame_index"].max())
+        batch = batch[batch["detection_id"].notna()]
+        events = placed(batch, tracks)
+        parts = self.parts(batch, events, held)
+        tracks.retire(np.ones(len(tracks.ids), bool) if over else tracks.stale(last + 1))
+        yield from self.result(key, batch, events, parts, held, tracks)
+        self.keep(tracks, held, parts, over)
+
+    def parts(self, batch: pd.DataFrame, events: np.ndarray, held: dict[int, tuple]) -> dict[int, tuple]:
+        return {e: (0.0,) * 5 + (0,) * 3 for e in set(events.tolist())}
+
+    def result(self, key: tuple, batch: pd.DataFrame, events: np.ndarray, parts: dict, held: dict, tracks: Tracks) -> Iterator[pd.DataFrame]:
+        yield batch[[*ROLL, "frame_index", "detection_id"]].assign(event_id=events)
+
+    def close(self) -> None:
+        pass
 
-    detections: sku, roll_id, frame_index, detection_id, BOX, max_score, assertion, end_of_roll, frames in order. A row without
-    a detection_id says that its frame was empty; a row with end_of_roll closes all that is open.
-    """
-    how = (iou_threshold, join_mm, max_gap)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks, held = (_unpacked(state.get[0], how), pd.DataFrame(json.loads(state.get[1]), columns=["event_id", *PARTS])) if state.exists else (Tracks(*how), None)
-        rows = pd.concat(list(batches)).sort_values(["frame_index", "detection_id"])
-        last, over = int(rows["frame_index"].max()), bool(rows["end_of_roll"].any())
-        rows = rows[rows["detection_id"].notna()]
+class Events(Tracking):
+    """Tracking whose rows are events, not detections."""
+
+    def parts(self, batch: pd.DataFrame, events: np.ndarray, held: dict[int, tuple]) -> dict[int, tuple]:
         new = pd.DataFrame(
             {
-                "event_id": _placed(rows, tracks),
-                "along_start_mm": rows["along_mm"].to_numpy(),
-                "along_end_mm": (rows["along_mm"] + rows["length_mm"]).to_numpy(),
-                "across_start_mm": rows["across_mm"].to_numpy(),
-                "across_end_mm": (rows["across_mm"] + rows["width_mm"]).to_numpy(),
-                "max_score": rows["max_score"].to_numpy(),
-                "asserted": (rows["assertion"] == "asserted").to_numpy().astype(int),
+                "event_id": events,
+                "along_start_mm": batch["along_mm"].to_numpy(),
+                "along_end_mm": (batch["along_mm"] + batch["length_mm"]).to_numpy(),
+                "across_start_mm": batch["across_mm"].to_numpy(),
+                "across_end_mm": (batch["across_mm"] + batch["width_mm"]).to_numpy(),
+                "max_score": batch["max_score"].to_numpy(),
+                "asserted": (batch["assertion"] == "asserted").to_numpy().astype(int),
                 "n_frames": 1,  # a track takes one detection a frame
-                "last_frame": rows["frame_index"].to_numpy(),
+                "last_frame": batch["frame_index"].to_numpy(),
             }
         )
-        touched = set(new["event_id"])
-        known = (pd.concat([held, new]) if held is not None and len(held) else new).groupby("event_id", as_index=False).agg(PARTS)
-        tracks.retire(np.ones(len(tracks.ids), bool) if over else tracks.stale(last + 1))
-        still = known["event_id"].isin(tracks.ids)
-        state.update((_packed(tracks), json.dumps(known[still].to_numpy().tolist())))
-        out = known.assign(state=np.where(still, "open", "closed"))[~still | known["event_id"].isin(touched)]
-        yield out.assign(sku=key[0], roll_id=key[1], assertion=np.where(out["asserted"] > 0, "asserted", "uncertain"))[[c.split()[0] for c in EVENT.split(", ")]]
+        before = pd.DataFrame([(e, *v[5:]) for e, v in held.items() if e in set(events.tolist())], columns=["event_id", *PARTS])
+        known = (pd.concat([before, new]) if len(before) else new).groupby("event_id").agg(PARTS)
+        return {int(e): tuple(v) for e, v in zip(known.index, known.astype({"asserted": int, "n_frames": int, "last_frame": int}).itertuples(index=False))}
 
-    return detections.groupBy(*ROLL).applyInPandasWithState(step, EVENT, "tracks string, events string", "append", GroupStateTimeout.NoTimeout)
+    def result(self, key: tuple, batch: pd.DataFrame, events: np.ndarray, parts: dict, held: dict, tracks: Tracks) -> Iterator[pd.DataFrame]:
+        still = set(tracks.ids.tolist())
+        now = parts | {e: v[5:] for e, v in held.items() if e not in parts and e not in still}
+        out = pd.DataFrame([(*key, e, "open" if e in still else "closed", *v) for e, v in sorted(now.items())], columns=[*ROLL, "event_id", "state", *PARTS])
+        yield out.assign(assertion=np.where(out["asserted"] > 0, "asserted", "uncertain"))[[c.split()[0] for c in EVENT.split(", ")]]
 
 
-def positions_live(frames: DataFrame, fallback_speed: float | None = 0.04, max_gap_mm: float = 250.0, max_gap_s: float = 2.0) -> DataFrame:
-    """ST7: frame_geometry as frames arrive in order, the last position, scale, time and speed carried from batch to batch.
-    frames: roll_id, frame_index, ts_s, measured_mm, mm_per_px. Where they have the columns of inferred_roi() too, the region
-    of interest (x, y, w, h) is that of the first frame with a marker, carried on; the full frame before it."""
-    with_roi = "band_x0" in frames.columns
-    roi = ["x", "y", "w", "h"] if with_roi else []
-    columns = ["roll_id", "frame_index", "ts_s", "measured_mm", "mm_per_px"]
-    seen = frames.select(*columns, positions.inferred_roi().alias("r"), positions.full_roi().alias("f")).select(*columns, "r.*", *[F.col(f"f.{c}").alias(f"full_{c}") for c in roi]) if with_roi else frames.select(*columns)
+def track_live(detections: DataFrame, iou_threshold: float = 0.3, join_mm: float = 50.0, max_gap: int = 2, ttl_ms: int | None = None) -> DataFrame:
+    """ST6: detections of each roll with their event as frames arrive in order. Events keep their ids from batch to batch; the
+    tracks are the batch form's own. detections: sku, roll_id, frame_index, detection_id and BOX, and end_of_roll where rolls
+    say when they end: nothing is kept of a roll after that, or ttl_ms after its last detection."""
+    rows = ends(detections).select(*ROLL, "frame_index", "detection_id", *BOX, "end_of_roll")
+    return stateful(rows, ROLL, Tracking((iou_threshold, join_mm, max_gap), ttl_ms), "sku long, roll_id long, frame_index long, detection_id long, event_id long", ttl_ms is not None)
+
+
+def events_live(detections: DataFrame, iou_threshold: float = 0.3, join_mm: float = 50.0, max_gap: int = 2, ttl_ms: int | None = None) -> DataFrame:
+    """ST6: the events of each roll as their tracks close: each once with state `closed`, and after every micro-batch those it
+    touched that are still `open`, so that the last row of an event is how it stands.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mm, s, speed, scale, begun, held = state.get if state.exists else (None, None, None, None, False, None)
-        speed = fallback_speed if speed is None else speed
-        rows = pd.concat(list(batches)).sort_values("frame_index")
+    detections: sku, roll_id, frame_index, detection_id, BOX, max_score, assertion, end_of_roll, frames in order. A row without
+    a detection_id says that its frame was empty; a row with end_of_roll closes all that is open and ends the roll's state.
+    """
+    rows = detections.select(*ROLL, "frame_index", "detection_id", *BOX, "max_score", "assertion", "end_of_roll")
+    return stateful(rows, ROLL, Events((iou_threshold, join_mm, max_gap), ttl_ms), EVENT, ttl_ms is not None)
+
+
+class Positions(StatefulProcessor):
+    """State of a roll: last anchor, speed, scale, whether it has begun, and the region of interest once one is held."""
+
+    def __init__(self, fallback_speed: float | None, max_gap_mm: float, max_gap_s: float, roi: list[str], ttl_ms: int | None) -> None:
+        self.fallback_speed, self.max_gap_mm, self.max_gap_s, self.roi, self.ttl_ms = fallback_speed, max_gap_mm, max_gap_s, roi, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("position", "mm double, s double, speed double, scale double, x int, y int, w int, h int", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        begun = self.held.exists()
+        mm, s, speed, scale, *roi = tuple(self.held.get()) if begun else (None,) * 8
+        roi = roi if roi[0] is not None else None
+        speed = self.fallback_speed if speed is None else speed
+        batch = in_order(rows, "frame_index")
         out, regions = [], []
-        for r in rows.itertuples(index=False):
-            measured = r.measured_mm == r.measured_mm and r.measured_mm is not None
-            if measured:
+        for r in batch.itertuples(index=False):
+            if not pd.isna(r.measured_mm):
                 if s is not None and r.ts_s > s:
                     speed = (r.measured_mm - mm) / (r.ts_s - s)
                 mm, s, scale = r.measured_mm, r.ts_s, r.mm_per_px
-                out.append((r.measured_mm, scale, False, False, True))
+                out.append((mm, scale, False, False, True))
             else:
-                if not begun and fallback_speed is not None:
+                if not begun and self.fallback_speed is not None:
                     mm, s = 0.0, r.ts_s
                 if mm is None:
                     out.append((None, 1.0 if scale is None else scale, True, False, False))
                 else:
                     advance = None if speed is None else speed * (r.ts_s - s)
-                    gap = r.ts_s - s > max_gap_s if advance is None else advance > max_gap_mm
+                    gap = r.ts_s - s > self.max_gap_s if advance is None else advance > self.max_gap_mm
                     out.append((mm + (advance or 0.0), 1.0 if scale is None else scale, True, bool(gap), True))
             begun = True
-            if with_roi:
-                if held is None and not pd.isna(r.x):
-                    held = [int(r.x), int(r.y), int(r.w), int(r.h)]
-                regions.append(held or [r.full_x, r.full_y, r.full_w, r.full_h])
-        state.update((mm, s, speed, scale, begun, held))
-        cols = ["along_mm", "scale", "interpolated", "gap_warning", "placed"]
-        found = rows[["roll_id", "frame_index", "ts_s"]].reset_index(drop=True).join(pd.DataFrame(out, columns=cols))
-        yield found.join(pd.DataFrame(regions, columns=roi)) if with_roi else found
+            if self.roi:
+                if roi is None and not pd.isna(r.x):
+                    roi = [int(r.x), int(r.y), int(r.w), int(r.h)]
+                regions.append(roi or [r.full_x, r.full_y, r.full_w, r.full_h])
+        found = batch[["roll_id", "frame_index", "ts_s"]].join(pd.DataFrame(out, columns=["along_mm", "scale", "interpolated", "gap_warning", "placed"]))
+        yield found.join(pd.DataFrame(regions, columns=self.roi)) if self.roi else found
+        if batch["end_of_roll"].any():
+            self.held.clear()
+        else:
+            number = lambda v: None if v is None else float(v)
+            self.held.update((number(mm), number(s), number(speed), number(scale), *(roi or (None,) * 4)))
+
+    def close(self) -> None:
+        pass
 
+
+def positions_live(frames: DataFrame, fallback_speed: float | None = 0.04, max_gap_mm: float = 250.0, max_gap_s: float = 2.0, ttl_ms: int | None = None) -> DataFrame:
+    """ST7: frame_geometry as frames arrive in order, the last position, scale, time and speed carried from batch to batch.
+    frames: roll_id, frame_index, ts_s, measured_mm, mm_per_px, and end_of_roll where rolls say when they end: nothing is kept
+    of a roll after that, or ttl_ms after its last frame. Where frames have the columns of inferred_roi() too, the region of
+    interest (x, y, w, h) is that of the first frame with a marker, carried on; the full frame before it."""
+    with_roi = "band_x0" in frames.columns
+    roi = ["x", "y", "w", "h"] if with_roi else []
+    columns = ["roll_id", "frame_index", "ts_s", "measured_mm", "mm_per_px", "end_of_roll"]
+    frames = ends(frames)
+    seen = frames.select(*columns, positions.inferred_roi().alias("r"), positions.full_roi().alias("f")).select(*columns, "r.*", *[F.col(f"f.{c}").alias(f"full_{c}") for c in roi]) if with_roi else frames.select(*columns)
     schema = "roll_id long, frame_index long, ts_s double, along_mm double, scale double, interpolated boolean, gap_warning boolean, placed boolean" + "".join(f", {c} int" for c in roi)
-    return seen.groupBy("roll_id").applyInPandasWithState(step, schema, "mm double, s double, speed double, scale double, begun boolean, roi array<int>", "append", GroupStateTimeout.NoTimeout)
+    return stateful(seen, ["roll_id"], Positions(fallback_speed, max_gap_mm, max_gap_s, roi, ttl_ms), schema, ttl_ms is not None)
 
 
 def counters_live(events: DataFrame) -> DataFrame:

@@ -216,6 +216,33 @@ def test_live_events_close_as_in_batch(spark, tmp_path):
     assert any(r.n_frames > 1 for r in closed) and {r.state for r in rows} == {"open", "closed"}
 
 
+def states(spark, stream, tmp_path):
+    """Rows of a stream over all there is now, and how many rows of state it leaves."""
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "o")).collect(), [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), q.recentProgress) if p["stateOperators"]]
+
+
+@pytest.mark.parametrize("what", ["tracks", "positions", "phases"])
+def test_nothing_is_kept_of_rolls_that_ended(spark, tmp_path, what):
+    if what == "tracks":
+        rows = [(1, r, f, f, 35.0 * f, 50.0 * r, 40.0, 10.0, 6.0, "asserted", False) for r in range(3) for f in range(10)] + [(1, r, 10, None, None, None, None, None, None, None, True) for r in range(3)]
+        df = spark.createDataFrame(rows, "sku long, roll_id long, frame_index long, detection_id long, along_mm double, across_mm double, length_mm double, width_mm double, max_score double, assertion string, end_of_roll boolean")
+        run = live.events_live
+    else:
+        rows = [(r, f, f / 10, 50.0 * f if f % 3 == 0 else None, 0.2, f == 10) for r in range(3) for f in range(11)]
+        df = spark.createDataFrame(rows, "roll_id long, frame_index long, ts_s double, measured_mm double, mm_per_px double, end_of_roll boolean")
+        run = live.positions_live if what == "positions" else lambda s: live.live_phases(s, 2, 3)
+    for i in range(2):
+        df.filter(f"frame_index div 6 = {i}").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    rows, kept = states(spark, run(live.read_frames(spark, str(tmp_path / "in" / "*"), df.schema, max_files=1)), tmp_path)
+    assert kept[0] >= 3 and kept[-1] == 0
+    if what == "tracks":
+        assert sorted((r.roll_id, r.event_id, r.n_frames) for r in rows if r.state == "closed") == [(0, 1, 10), (1, 1, 10), (2, 1, 10)]
+    else:
+        assert len(rows) == 33
+
+
 def test_live_regions_are_carried(spark, tmp_path):
     f = views.frames(spark, SF).filter("frame_index < 60").select("roll_id", "frame_index", "ts_s", "measured_mm", "mm_per_px", F.lit(1280).alias("frame_w"), F.lit(720).alias("frame_h"), *[F.when(F.col("marked") & (F.col("frame_index") > 15), c).alias(n) for n, c in {"band_x0": F.col("value"), "band_x1": F.col("value") + 40, "band_y0": F.lit(0.0), "band_y1": F.lit(700.0), "marker_px": F.lit(40.0)}.items()])
     for i in range(3):
