@@ -11,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollscan.operators.neighbours import _in_blocks, _least, _matrix, nearest  # noqa: F401
 from rollscan.staging import shared_dir, sized, stage
 
 #: Bytes of a bank that every task may hold; larger ones are met in blocks.
 BROADCAST_BYTES = 64 << 20
+#: Pairs of queries and points up to which they are compared as rows.
+MOST_PAIRS = 2_000_000_000
 
 
 def projection(spark: SparkSession, sku: str, d_in: int, d_out: int, seed: int = 0) -> DataFrame:
@@ -181,8 +184,8 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: str, n: int) -> DataF
 def nearest_distance(queries: DataFrame, bank: DataFrame, key: str = "sku") -> DataFrame:
     """query_id and the exact L2 distance to the nearest bank point of its key for every row of queries, null where the key
     is null or has no bank point. A bank whose size is counted as small enough is held by every task and met batch by batch in one
-    product; a larger one is met in blocks of points and queries, a product each. queries: any columns with key, query_id and
-    embedding; bank: key, point_id, embedding."""
+    product; of a larger one each query meets the balls round pivots that it can reach. queries: any columns with key, query_id
+    and embedding; bank: key, point_id, embedding."""
     q = queries.select(F.col(key).cast("string").alias("k"), F.col("query_id").cast("long"), "embedding")
     b = bank.select(F.col(key).cast("string").alias("k"), "embedding").filter("k IS NOT NULL")
     if _held_bytes(b) <= BROADCAST_BYTES:
@@ -200,7 +203,7 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, key: str = "sku") -> D
 
         return q.mapInArrow(run, "query_id long, distance double")
     q = stage(q.withColumn("row", F.monotonically_increasing_id()), "queries")
-    least = _in_blocks(q.select("row", "k", "embedding"), b)
+    least = nearest(q.select("row", "k", "embedding"), b).select("row", "distance")
     return q.select("row", "query_id").join(least.hint("merge"), "row", "left").select("query_id", "distance")
 
 
@@ -224,7 +227,7 @@ def distances_to_banks(queries: DataFrame, bank: DataFrame) -> DataFrame:
         q = stage(q.withColumn("row", F.monotonically_increasing_id()), "queries")
         names = [r.k for r in b.select("k").distinct().collect()]
         each = q.select("row", F.explode(F.array(*[F.lit(k) for k in names])).alias("k"), "embedding")
-        out = q.select("row", "sku", "query_id").join(_in_blocks(each, b).hint("merge"), "row")
+        out = q.select("row", "sku", "query_id").join(nearest(each, b).drop("compared").hint("merge"), "row")
     return out.select(F.col("k").cast(kind).alias("bank_sku"), "sku", "query_id", "distance")
 
 
@@ -238,51 +241,13 @@ def _collected(b: DataFrame) -> dict[str, np.ndarray]:
     return {k: np.stack(part["embedding"].to_numpy()).astype(np.float64) for k, part in b.toPandas().groupby("k")}
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _in_blocks(q: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
-    """(row, k, distance) for the rows of q (row, k, embedding) whose key has points in b (k, embedding). Both sides are cut into blocks
-    of about `block` rows; each pair of blocks is a cell, in which batches of queries meet the cell's points in one product."""
-    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = lambda df, name: df.groupBy("k").agg(F.ceil(F.count("*") / block).cast("long").alias(name))
-    shape = stage(count(q, "rows").join(count(b, "cols").hint("merge"), "k"), "blocks")
-    side = lambda df, mine, parts, other: df.join(sized(shape), "k").withColumn(mine, F.pmod(F.xxhash64("embedding"), F.col(parts))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col({"rows": "cols", "cols": "rows"}[parts]) - 1)))
-    points = side(b, "j", "cols", "i").select(F.lit(-1).cast("long").alias("row"), "k", "i", "j", "embedding")
-    asked = side(q, "i", "rows", "j").select("row", "k", "i", "j", "embedding")
-    # the points of a cell come before its queries
-    cells = points.unionByName(asked).repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j", F.expr("row >= 0"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            names = list(zip(*[batch.column(c).to_pylist() for c in ("k", "i", "j")]))
-            rows, x = batch.column("row").to_numpy(), _matrix(batch.column("embedding"))
-            cuts = [0, *[t for t in range(1, len(names)) if names[t] != names[t - 1]], len(names)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if names[lo] != now:
-                    now, held = names[lo], []
-                at = np.arange(lo, hi)
-                if (rows[at] < 0).any():
-                    held.append(x[at[rows[at] < 0]])
-                at = at[rows[at] >= 0]
-                if len(at):
-                    held = [np.concatenate(held)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array([now[0]] * len(at)), pa.array(_least(x[at], held[0]))], names=["row", "k", "distance"])
-
-    return cells.mapInArrow(run, "row long, k string, distance double").groupBy("row", "k").agg(F.min("distance").alias("distance"))
-
-
-def _least(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Distances to the nearest point: candidates by a product, the distance itself summed term by term, in order."""
-    square = (x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)
-    near = points[square.argmin(1)]
-    return np.sqrt(np.cumsum((x - near) ** 2, axis=1)[:, -1])
-
-
 def nearest_distance_sql(queries: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
-    """J1, J2 in built-in functions only: for small banks, and the form that SQL engines share."""
+    """J1, J2 in built-in functions only, the form that SQL engines share. Every pair of a key is a row, so that more than
+    MOST_PAIRS (counted) are refused: nearest_distance is the way for them."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    pairs = count(queries, "n").join(count(bank, "m").hint("merge"), keys).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    if pairs > MOST_PAIRS:
+        raise ValueError(f"{pairs:.0f} pairs of queries and points are too many for this form; use nearest_distance")
     square = F.aggregate(F.zip_with("embedding", "point", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     b = bank.select(*keys, F.col("embedding").alias("point"))
     joined = queries.join(b, keys)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollscan.functions.sql import register
-from rollscan.operators import bank, components, evaluate, params, positions, report, track
+from rollscan.operators import bank, components, evaluate, neighbours, params, positions, report, track
 from rollscan.plans import views
 from rollscan.sources import images, store
 from rollscan.staging import stage
@@ -120,6 +120,27 @@ def test_nearest_distance_forms_agree(spark, monkeypatch):
     assert {r.id: pytest.approx(r.distance) for r in cells.collect()} == want
 
 
+def test_pivots_find_the_nearest_with_few_comparisons(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 100, (40, 8))
+    x = (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 1, (4000, 8))).astype(np.float32)
+    x[:1300] = x[0]  # a third of all points are one
+    b = spark.createDataFrame([("ab"[i % 5 == 0], v.tolist()) for i, v in enumerate(x)] + [("c", x[5].tolist())], "k string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, k, (v + rng.normal(0, 0.5, 8)).tolist()) for i, (k, v) in enumerate(zip("abcd" * 75, x[rng.integers(0, 4000, 300)]))] + [(8, "b", x[9].tolist())], "row long, k string, embedding array<float>")
+    rows = neighbours.nearest(q, b).collect()
+    want = sorted((r.row, r.k, round(r.distance, 9)) for r in neighbours._in_blocks(q.filter("row <> 8"), b).collect())
+    assert sorted((r.row, r.k, round(r.distance, 9)) for r in rows if r.row != 8) == want and len([r for r in rows if r.row == 8]) == 2
+    assert sum(r.compared for r in rows if r.k == "a") < 76 * 3200 / 3
+    assert neighbours.nearest(q, b.limit(0)).count() == 0
+
+
+def test_pair_rows_are_refused_above_their_bound(spark, monkeypatch):
+    v = spark.createDataFrame([("a", i, [float(i)]) for i in range(4)], "sku string, query_id long, embedding array<float>")
+    monkeypatch.setattr(bank, "MOST_PAIRS", 15)
+    with pytest.raises(ValueError, match="too many"):
+        bank.nearest_distance_sql(v, v.drop("query_id"), ["sku"])
+
+
 @pytest.mark.parametrize("held", [64 << 20, 0])
 def test_every_bank_scores_every_query(spark, monkeypatch, held):
     monkeypatch.setattr(bank, "BROADCAST_BYTES", held)
