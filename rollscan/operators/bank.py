@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollscan.operators.neighbours import _in_blocks, _least, _matrix, nearest  # noqa: F401
+from rollscan.operators.scan import row_numbers
 from rollscan.staging import shared_dir, sized, stage
 
 #: Bytes of a bank that every task may hold; larger ones are met in blocks.
@@ -95,30 +96,92 @@ def _at_rank(points: DataFrame, rank: int) -> int:
     raise IndexError(rank)
 
 
+#: Cells that the points of a large sku are kept in.
+CELLS = 256
+
+
+class _Cells:
+    """Points of one sku in cells, a folder each: those nearest to one of the first CELLS picks. `reach` is a cell's radius,
+    `near` the largest least distance to a pick in it. A pick that is `reach + near` away from a cell's centre or farther brings
+    no point of it nearer, so that its folder stays; only the other cells are written again, under a new name."""
+
+    def __init__(self, points: DataFrame) -> None:
+        self.spark, self.base = points.sparkSession, f"{shared_dir(points.sparkSession)}/cells-{uuid.uuid4().hex}"
+        self.rows = stage(points.select("sku", "point_id", "embedding", F.lit(float("inf")).cast("float").alias("near")), "near")
+        self.centres, self.paths = np.zeros((0, 0), np.float32), {}
+        self.reach = self.near = np.zeros(0)
+        self.written: list[int] = []  # cells written in each round
+        self.version = 0
+
+    def all(self) -> DataFrame:
+        if not self.paths:
+            return self.rows
+        return self.spark.read.schema("sku string, point_id long, embedding array<float>, near float").parquet(*self.paths.values())
+
+    def update(self, picks: np.ndarray) -> None:
+        """Brings least distances up to date after further picks, in order."""
+        if not self.paths:
+            self.rows = stage(self.all().mapInArrow(_nearer(self.spark, picks), self.rows.schema), "near")
+            self.centres = picks if not len(self.centres) else np.concatenate((self.centres, picks))
+            if len(self.centres) >= CELLS:
+                self.centres = self.centres[:CELLS]
+                self._write(self.rows)
+            return
+        apart = np.sqrt(((self.centres[:, None].astype(np.float64) - picks[None]) ** 2).sum(2))
+        bound = (self.reach + self.near) * (1 + 1e-5)  # distances are single numbers
+        touched = [c for c in np.flatnonzero((apart < bound[:, None]).any(1)).tolist() if c in self.paths]
+        self.written.append(len(touched))
+        if touched:
+            rows = self.spark.read.schema(self.rows.schema).parquet(*[self.paths[c] for c in touched])
+            self._write(rows.mapInArrow(_nearer(self.spark, picks), self.rows.schema))
+
+    def _write(self, rows: DataFrame) -> None:
+        """Writes rows into their cells and notes the cells' radii."""
+        shared, self.version = self.spark.sparkContext.broadcast(self.centres), self.version + 1
+
+        def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column("embedding"))
+                cell, far = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
+                for c, centre in enumerate(shared.value):
+                    d = np.sqrt(((x - centre) ** 2).sum(1))
+                    cell, far = np.where(d < far, c, cell), np.minimum(d, far)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+        path = f"{self.base}/{self.version}"
+        rows.mapInArrow(placed, "sku string, point_id long, embedding array<float>, near float, cell int, far double").write.partitionBy("cell").parquet(path)
+        if not len(self.reach):
+            self.reach, self.near = np.full(len(self.centres), -np.inf), np.full(len(self.centres), -np.inf)
+        for r in self.spark.read.parquet(path).groupBy("cell").agg(F.max("far").alias("far"), F.max("near").alias("near")).collect():
+            self.paths[r.cell], self.reach[r.cell], self.near[r.cell] = f"{path}/cell={r.cell}", r.far, r.near
+
+
+def _nearer(spark: SparkSession, picks: np.ndarray):
+    """A function over batches that brings `near` up to date."""
+    shared = spark.sparkContext.broadcast(picks)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("embedding").flatten().to_numpy().astype(np.float32).reshape(batch.num_rows, -1)
+            near = batch.column("near").to_numpy()
+            for p in shared.value:
+                near = np.minimum(near, np.linalg.norm(x - p, axis=1))
+            i = batch.schema.get_field_index("near")
+            yield batch.set_column(i, "near", pa.array(near, pa.float32()))
+
+    return run
+
+
 def _k_center_rounds(points: DataFrame, k: int, first: int, most: int) -> DataFrame:
     """The picks of _k_center over a table of any size. points: sku, point_id, embedding, of one sku.
 
     Each round brings the `most` points farthest from the picks to the driver and picks among them as long as the farthest
-    of them comes before all others, whose distances can only fall. Then every point's least distance is brought up to date.
+    of them comes before all others, whose distances can only fall. Then the least distances are brought up to date in the cells
+    that the picks reach. To find the farthest, a round reads ids and distances, and embeddings of the points found alone.
     """
     spark, schema = points.sparkSession, "sku string, point_id long, embedding array<float>"
     path = f"{shared_dir(spark)}/picks-{uuid.uuid4().hex}"
-
-    def updated(rows: DataFrame, picks: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast(picks)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column("embedding").flatten().to_numpy().astype(np.float32).reshape(batch.num_rows, -1)
-                near = batch.column("near").to_numpy()
-                for p in shared.value:
-                    near = np.minimum(near, np.linalg.norm(x - p, axis=1))
-                i = batch.schema.get_field_index("near")
-                yield batch.set_column(i, "near", pa.array(near, pa.float32()))
-
-        return stage(rows.mapInArrow(run, rows.schema), "near")
-
-    rows = points.select("sku", "point_id", "embedding", F.lit(float("inf")).cast("float").alias("near"))
+    cells = _Cells(points)
     chosen = points.filter(F.col("point_id") == first).select("sku", "point_id", "embedding").limit(1).toPandas()
     done = 0
     while True:
@@ -126,10 +189,12 @@ def _k_center_rounds(points: DataFrame, k: int, first: int, most: int) -> DataFr
         done += len(chosen)
         if done >= k:
             return spark.read.schema(schema).parquet(path)
-        rows = updated(rows, np.stack(chosen["embedding"].to_numpy()).astype(np.float32))
-        top = rows.orderBy(F.desc("near"), "point_id").limit(most + 1).toPandas()
-        last = top.iloc[most] if len(top) > most else None
-        top = top.iloc[:most].sort_values("point_id").reset_index(drop=True)
+        cells.update(np.stack(chosen["embedding"].to_numpy()).astype(np.float32))
+        rows = cells.all()
+        farthest = rows.select("point_id", "near").orderBy(F.desc("near"), "point_id").limit(most + 1).toPandas()
+        last = farthest.iloc[most] if len(farthest) > most else None
+        ids = spark.createDataFrame(farthest[["point_id"]].iloc[:most], "point_id long")
+        top = rows.join(F.broadcast(ids), "point_id").toPandas().sort_values("point_id").reset_index(drop=True)
         x, near, ids = np.stack(top["embedding"].to_numpy()).astype(np.float32), top["near"].to_numpy(np.float32), top["point_id"].to_numpy()
         picks: list[int] = []
         while done + len(picks) < k:
@@ -174,11 +239,14 @@ def sample(rows: DataFrame, keys: list[str], row_id: str, n: int | Column, seed:
 
 
 def evenly_spaced(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """N rows at even steps through each ordered group, first and last included (positions round half to even)."""
-    w = Window.partitionBy(*keys)
-    r = rows.withColumn("at", F.row_number().over(w.orderBy(order)) - 1).withColumn("total", F.count("*").over(w))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("total") - 1) / F.lit(float(max(1, n - 1)))).cast("long"))
-    return r.filter(F.array_contains(steps, F.col("at").cast("long"))).drop("at", "total")
+    """N rows at even steps through each ordered group, first and last included (positions round half to even). Places come
+    from counts of ranges, so that no group is sorted in one task."""
+    r = stage(row_numbers(rows, keys, [order], "_at"), "places")
+    total = r.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("_at").alias("_total"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_total") - 1) / F.lit(float(max(1, n - 1)))).cast("long") + 1)
+    wanted = stage(total.withColumn("_steps", F.array_distinct(steps)).drop("_total"), "steps")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return r.join(sized(wanted), on).filter(F.array_contains("_steps", F.col("_at"))).select(*rows.columns)
 
 
 def nearest_distance(queries: DataFrame, bank: DataFrame, key: str = "sku") -> DataFrame:

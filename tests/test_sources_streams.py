@@ -181,6 +181,25 @@ def test_coreset_is_the_same_at_every_size(spark):
         assert {(r.sku, r.method) for r in got.collect()} == {("a", "composed"), ("b", "exact")} and ids(got) == want
 
 
+def test_coreset_writes_only_the_cells_that_picks_reach(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = (rng.normal(0, 100, (12, 4))[rng.integers(0, 12, 600)] + rng.normal(0, 1, (600, 4))).astype(np.float32)
+    points = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "sku string, point_id long, embedding array<float>")
+    made = []
+    cells = bank._Cells
+
+    class Seen(cells):
+        def __init__(self, points):
+            super().__init__(points)
+            made.append(self)
+
+    monkeypatch.setattr(bank, "_Cells", Seen)
+    monkeypatch.setattr(bank, "CELLS", 16)
+    got = {r.point_id for r in bank._k_center_rounds(points, 40, 3, 4).collect()}
+    assert got == set(bank._k_center(x, 40, 3))
+    assert made[0].written and max(made[0].written) < 16 and sum(made[0].written) < 8 * len(made[0].written)
+
+
 def test_unknown_parameter_is_refused(spark):
     skus = spark.createDataFrame([("a",), ("b",)], "sku string")
     defaults = spark.createDataFrame([("tiling", "size", "512")], "section string, key string, value string")
