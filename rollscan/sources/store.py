@@ -1,42 +1,36 @@
-"""Stored rolls, events, decisions, banks and calibrations as Parquet tables partitioned by sku."""
+"""Stored rolls, events, decisions, banks and calibrations: published snapshots and Parquet tables partitioned by sku."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollscan.sources.snapshots import Snapshots
 from rollscan.staging import sized, stage
 
+def save_rolls(rolls: DataFrame, root: str) -> None:
+    """Publishes the table with rolls (or their events) in place of those of the same sku and roll_id, and no others touched.
+    A write that fails leaves the table as it was."""
+    Snapshots(rolls.sparkSession, root).write(rolls, ["sku", "roll_id"], most_deltas=0)
 
-#: Parts that a sku's rolls are stored in.
-BUCKETS = 64
 
+def read_table(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that are published now."""
+    return Snapshots(spark, root).read()
 
-def save_rolls(rolls: DataFrame, root: str, buckets: int = BUCKETS) -> None:
-    """Writes rolls (or their events), replacing those of the same sku and roll_id and no others. The table is partitioned by sku and
-    a bucket of roll_id; the buckets that the new rolls fall in are read, merged and overwritten."""
-    spark, key = rolls.sparkSession, ["sku", "bucket"]
-    new = stage(rolls.withColumn("bucket", F.pmod(F.xxhash64("roll_id"), F.lit(buckets)).cast("int")), "rolls")
-    out = new
-    try:
-        old = spark.read.parquet(root)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        # partition values are read as whatever they look like
-        old = old.select(*[F.col(c).cast(t).alias(c) for c, t in new.dtypes])
-        touched, ids = new.select(*key).distinct(), new.select("sku", "roll_id").distinct()
-        kept = old.join(sized(touched), key, "left_semi").join(sized(ids), ["sku", "roll_id"], "left_anti")
-        out = stage(kept.unionByName(new), "merged-rolls")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(root)
+
+def roll_documents(rolls: DataFrame, meta: str = "meta", schema: str = "map<string,string>") -> DataFrame:
+    """Stored rolls with their free-form JSON column read back as a map, or as the struct that schema names."""
+    return rolls.withColumn(meta, F.from_json(meta, schema))
 
 
 def upsert_events(root: str):
-    """A foreachBatch function that appends a micro-batch of events with its batch_id; readers take the latest of each event."""
+    """A foreachBatch function that publishes each micro-batch of events once: a row takes the place of that with its roll_id
+    and event_id (of several in a batch, any). Batches are merged as they add up, so that reads do not grow with their number."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").partitionBy("sku").parquet(root)
+        one = batch.dropDuplicates(["roll_id", "event_id"])
+        Snapshots(batch.sparkSession, root).write(one, ["roll_id", "event_id"], batch_id)
 
     return write
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rollscan.functions.sql import register
 from rollscan.operators import bank, components, evaluate, neighbours, params, positions, report, track
 from rollscan.plans import views
-from rollscan.sources import images, store
+from rollscan.sources import images, snapshots, store
 from rollscan.staging import stage
 from rollscan.streaming import live, teach
 
@@ -61,15 +61,64 @@ def test_rolls_are_replaced_alone(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "sku string, roll_id int, points int")
     store.save_rolls(rows(("a", 1, 5), ("a", 2, 6)), root)
     store.save_rolls(rows(("a", 2, 9)), root)
-    assert {(r.roll_id, r.points) for r in spark.read.parquet(root).collect()} == {(1, 5), (2, 9)}
-    store.save_rolls(rows(*[("b", i, i) for i in range(40)]), root, buckets=4)
-    store.save_rolls(rows(*[("b", i, -1) for i in range(10, 20)], ("c", 1, 1)), root, buckets=4)
-    got = {(r.sku, r.roll_id): r.points for r in spark.read.parquet(root).collect()}
+    assert {(r.roll_id, r.points) for r in store.read_table(spark, root).collect()} == {(1, 5), (2, 9)}
+    store.save_rolls(rows(*[("b", i, i) for i in range(40)]), root)
+    store.save_rolls(rows(*[("b", i, -1) for i in range(10, 20)], ("c", 1, 1)), root)
+    got = {(r.sku, r.roll_id): r.points for r in store.read_table(spark, root).collect()}
     assert got == {("a", 1): 5, ("a", 2): 9, ("c", 1): 1} | {("b", i): -1 if 10 <= i < 20 else i for i in range(40)}
     with pytest.raises(Exception, match="unknown status"):
         store.append_decisions(spark.createDataFrame([(1, 1, "maybe")], "roll_id int, event_id int, status string"), str(tmp_path / "d"))
 
 
+def test_killed_and_rival_writes_leave_the_table_readable(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "rolls")
+    rows = lambda *r: spark.createDataFrame(r, "sku string, roll_id int, points int")
+    now = lambda: {(r.roll_id, r.points) for r in store.read_table(spark, root).collect()}
+    store.save_rolls(rows(("a", 1, 5), (None, 2, 6)), root)
+    held = store.read_table(spark, root)
+    with monkeypatch.context() as m:
+        m.setattr(snapshots.Snapshots, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.save_rolls(rows(("a", 1, -1)), root)
+    assert now() == {(1, 5), (2, 6)}
+    table = snapshots.Snapshots(spark, root)
+    stale = table.manifest()
+    store.save_rolls(rows((None, 2, 7)), root)
+    with pytest.raises(snapshots.Conflict):
+        table._publish(stale)
+    assert now() == {(1, 5), (2, 7)} and {(r.roll_id, r.points) for r in held.collect()} == {(1, 5), (2, 6)}
+    table.vacuum(keep=1)
+    assert now() == {(1, 5), (2, 7)} and len([d for d in os.listdir(root) if d.startswith("delta")]) == 0
+    with pytest.raises(FileNotFoundError):
+        store.read_table(spark, str(tmp_path / "none"))
+
+
+def test_upserts_are_merged_and_written_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "BUCKET_ROWS", 2)
+    root, write = str(tmp_path / "events"), store.upsert_events(str(tmp_path / "events"))
+    want, most = {}, 0
+    for batch in range(12):
+        rows = [(1, (batch * 5 + i) % 23, batch) for i in range(6)]
+        df = spark.createDataFrame(rows, "roll_id int, event_id int, score int")
+        write(df, batch)
+        write(df.withColumn("score", F.lit(-1)), batch)  # the batch runs again
+        want |= {(r, e): s for r, e, s in rows}
+        most = max(most, len(snapshots.Snapshots(spark, root).manifest().deltas))
+    assert {(r.roll_id, r.event_id): r.score for r in store.read_table(spark, root).collect()} == want
+    assert store.read_table(spark, root).count() == len(want) and most <= snapshots.MOST_DELTAS
+    assert snapshots.Snapshots(spark, root).manifest().buckets == 16
+    df = spark.createDataFrame([(2, i, 0) for i in range(60)], "roll_id int, event_id int, score int")
+    for batch in range(12, 31):
+        write(df, batch)
+    assert snapshots.Snapshots(spark, root).manifest().buckets == 32 and store.read_table(spark, root).count() == len(want) + 60
+
+
+def test_stored_documents_are_read_back(spark):
+    rolls = spark.createDataFrame([(1, '{"note": "x", "n": 3}'), (2, None)], "roll_id int, meta string")
+    assert [r.meta for r in store.roll_documents(rolls).orderBy("roll_id").collect()] == [{"note": "x", "n": "3"}, None]
+    assert store.roll_documents(rolls, schema="note string, n int").filter("meta.n = 3").count() == 1
+
+
 def test_bank_of_another_kind_is_refused(spark, tmp_path):
     meta = bank.bank_meta(spark, [("a", "net", 320, "2,3", 2)])
     points = spark.createDataFrame([("a", 0, [0.0, 1.0])], "sku string, point_id long, embedding array<float>")
