@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rollscan.functions.sql import register
 from rollscan.operators import bank, components, evaluate, neighbours, params, positions, report, track
 from rollscan.plans import views
-from rollscan.sources import images, snapshots, store
+from rollscan.sources import frames, images, snapshots, store
 from rollscan.staging import stage
 from rollscan.streaming import live, teach
 
@@ -45,6 +45,62 @@ def test_bad_and_missing_frames_are_errors(spark, tmp_path):
         images.read_frames(spark, str(tmp_path)).select("frame_index", "image.height").collect()
 
 
+def test_frame_source_in_batch(spark, tmp_path):
+    spark.dataSource.register(frames.RollFrames)
+    for i in (1, 2, 3, 9, 10, 11, 100):
+        png(tmp_path / f"frame{i}.png", np.full((3, 4, 3), (i, 0, 0), np.uint8))
+    (tmp_path / "notes.txt").write_text("x")
+    load = lambda **o: spark.read.format("roll_frames").options(**o).load(str(tmp_path))
+    want = {(os.path.basename(r.path), r.frame_index, r.ts_s, r.stride) for r in images.read_frames(spark, str(tmp_path), stride=3, fps=10.0).collect()}
+    got = load(stride=3, fps=10, framesPerPartition=2)
+    assert {(os.path.basename(r.path), r.frame_index, r.ts_s, r.stride) for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 2 and got.filter("content IS NULL").count() == 0
+    with pytest.raises(Exception, match="no file"):
+        load(glob="*.bmp").collect()
+    (tmp_path / "frame5.png").write_bytes(b"no image")
+    assert load(stride=4).count() == 2  # frames that a stride leaves out are not read
+    with pytest.raises(Exception, match="cannot read"):
+        load().collect()
+
+
+@pytest.mark.parametrize("loop", [False, True])
+def test_frame_source_as_a_stream(spark, tmp_path, loop):
+    spark.dataSource.register(frames.RollFrames)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        png(folder / f"f{i}.png", np.zeros((2, 2, 3), np.uint8))
+    options = {"fps": 10, "maxFramesPerTrigger": 2, "progress": str(tmp_path / "progress"), "loop": str(loop).lower()}
+    seen, sizes = [], []
+
+    def run(upto):
+        def take(batch, _):
+            rows = [(r.frame_index, os.path.basename(r.path), round(r.ts_s, 3)) for r in batch.select("frame_index", "path", "ts_s").collect()]
+            seen.extend(rows)
+            sizes.append(len(rows))
+
+        stream = spark.readStream.format("roll_frames").options(**options).load(str(folder))
+        q = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).start()
+        for _ in range(60):
+            q.awaitTermination(0.5)
+            if len(set(seen)) >= upto:
+                break
+        q.stop()
+
+    run(4)
+    for i in (5, 6):
+        png(folder / f"f{i}.png", np.zeros((2, 2, 3), np.uint8))
+    run(16 if loop else 7)
+    numbers = sorted({n for n, _, _ in seen})
+    assert numbers == list(range(len(numbers))) and len(numbers) >= (16 if loop else 7) and max(sizes) == 2
+    if loop:
+        assert {(n, p) for n, p, _ in seen if n >= 14} >= {(14, "f0.png"), (15, "f1.png")} and (14, "f0.png", 0.0) in seen
+    else:
+        assert sorted(set(seen)) == [(i, f"f{i}.png", i / 10) for i in range(7)]
+    with pytest.raises(Exception, match="need"):
+        frames.FrameStreamReader({"path": str(folder), "loop": "true"})
+
+
 def test_labelled_names_and_masks(spark):
     names = ["/d/0018_00_01.png", "/d/0020_002_03.png", "/m/0020_002_03_mask1.png", "/m/0020_002_03_mask2.png", "/d/readme.png"]
     files = spark.createDataFrame([(n,) for n in names], "path string")
