@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollscan.functions import grading
-from rollscan.operators import astm, bank, calibrate, components, evaluate, params, positions, ranks, raster, report, tiles, track
+from rollscan.functions.sql import register as register_sql
+from rollscan.operators import astm, bank, calibrate, components, evaluate, neighbours, params, positions, ranks, raster, report, tiles, track
 from rollscan.plans import views as v
 from rollscan.sources import images, store
-from rollscan.staging import stage
+from rollscan.staging import shared_dir, stage
 from rollscan.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +117,12 @@ def conformal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.conformal_threshold(v.clean_scores(spark, sf_dir), ["sku"], BUDGET, METRES_PER_TILE)
 
 
+@query(f"WITH {v.SCORES}, {_threshold_sql(BUDGET)} SELECT sku, threshold FROM cal")
+def conformal_threshold_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sql(spark)
+    return spark.sql(f"SELECT sku, conformal_threshold(score, {BUDGET}D, {METRES_PER_TILE}D, 10) AS threshold FROM {{scores}} GROUP BY sku", scores=v.clean_scores(spark, sf_dir))
+
+
 @query(f"WITH {v.SCORES}, {_threshold_sql(1.0)} SELECT * FROM cal")
 def refused_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.conformal_threshold(v.clean_scores(spark, sf_dir), ["sku"], 1.0, METRES_PER_TILE)
@@ -289,6 +297,14 @@ def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.nearest_distance(q.withColumnRenamed("vec_id", "query_id"), b.withColumnRenamed("vec_id", "point_id"))
 
 
+@query(f"""SELECT q.vec_id AS query_id, min({_DIST}) AS distance FROM embeddings q JOIN embeddings b ON q.label = b.label AND b.vec_id % 4 = 0 WHERE q.vec_id % 4 <> 0 GROUP BY 1""")
+def nn_distance_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, q = _bank(spark, sf_dir)
+    key = F.col("sku").cast("string").alias("k")
+    found = neighbours.nearest(q.select(F.col("vec_id").alias("row"), key, "embedding"), b.select(key, "embedding"))
+    return found.select(F.col("row").alias("query_id"), "distance")
+
+
 CROSS = f"""x AS (
   SELECT b.label AS bank_sku, q.label AS sku, q.vec_id, min({_DIST}) AS distance, q.label = b.label AS own FROM embeddings q, embeddings b WHERE b.vec_id % 4 = 0 AND q.vec_id % 4 <> 0 GROUP BY ALL)"""
 
@@ -439,6 +455,12 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.tile_grid(v.tile_frames(spark, sf_dir), 256, 32)
 
 
+@query(f"WITH {TILES} SELECT roll_id, h, w, tile_index, x, y FROM tiles")
+def tile_grid_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sql(spark)
+    return spark.sql("SELECT * FROM tiles_of(TABLE(SELECT * FROM {frames}), 256, 32)", frames=v.tile_frames(spark, sf_dir))
+
+
 @query(f"WITH {TILES}, n AS (SELECT roll_id, h, w, count(*)::INT AS n_tiles FROM tiles GROUP BY ALL) SELECT roll_id, h, w, n_tiles, h * 0.2::DOUBLE / 1000::DOUBLE / n_tiles AS metres_per_tile FROM n")
 def tile_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.metres_per_tile(v.tile_frames(spark, sf_dir), F.lit(0.2), 256, 32)
@@ -561,6 +583,29 @@ def detection_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 DET = f"{v.EVENTS}, d AS (SELECT sku, roll_id, frame_index, event_id AS detection_id, along_start_mm AS along_mm, across_start_mm AS across_mm, length_mm, width_mm, max_score, assertion FROM v_events)"
 
 
+BOXES = f"""{v.EVENTS}, det AS (
+  SELECT sku, roll_id, frame_index, event_id AS id, along_start_mm AS a0, along_start_mm + length_mm AS a1, across_start_mm AS c0, across_start_mm + width_mm AS c1, length_mm AS h, width_mm AS w FROM v_events)"""
+
+
+@query(f"""WITH {BOXES}, p AS (
+  SELECT a.roll_id, a.id AS a, b.id AS b, least(a.a1, b.a1) - greatest(a.a0, b.a0) AS along, greatest(0, least(a.c1, b.c1) - greatest(a.c0, b.c0)) AS across, a.h * a.w + b.h * b.w AS area, least(a.w, b.w) AS narrow
+  FROM det a JOIN det b ON a.roll_id = b.roll_id AND b.frame_index > a.frame_index AND b.frame_index <= a.frame_index + 3)
+SELECT roll_id, a, b FROM p
+WHERE greatest(0, along) * across >= (0.3::DOUBLE - 1e-9) * (area - greatest(0, along) * across) OR (across >= (0.3::DOUBLE - 1e-9) * narrow AND -along <= 50 + 1e-9::DOUBLE)""")
+def track_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = v.detections(spark, sf_dir).withColumn("_id", F.col("detection_id"))
+    return track.partners(d, 0.3, 50.0, 2).select("roll_id", "a", "b")
+
+
+@query(f"""WITH {BOXES}, f AS (SELECT DISTINCT sku, roll_id, frame_index FROM det),
+g AS (SELECT *, frame_index - lag(frame_index) OVER w AS before, lead(frame_index) OVER w - frame_index AS after FROM f WINDOW w AS (PARTITION BY roll_id ORDER BY frame_index)),
+s AS (SELECT sku, roll_id, frame_index, (sum(CASE WHEN before <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY roll_id ORDER BY frame_index) - 1)::BIGINT AS segment,
+        coalesce(before > 3, true) AND coalesce(after > 3, true) AS lone FROM g)
+SELECT roll_id, frame_index, id AS detection_id, segment, lone FROM det JOIN s USING (sku, roll_id, frame_index)""")
+def roll_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track.segments(v.detections(spark, sf_dir)).select("roll_id", "frame_index", "detection_id", "segment", "lone")
+
+
 @query()
 def tracked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.summarise(track.track(v.detections(spark, sf_dir)))
@@ -794,6 +839,19 @@ def labelled_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.labelled_images(plain.unionByName(masks)).select("number", "defect", "fabric", "clean", F.size("mask_paths").alias("masks"))
 
 
+@query(f"""WITH {v.EVENTS}, w AS (SELECT roll_id, event_id % 10 AS event_id, event_id % 3 AS batch, max(event_id) AS line, arg_max(status, event_id) AS status FROM v_events GROUP BY 1, 2, 3)
+SELECT roll_id, event_id, arg_max(line, batch) AS line, arg_max(status, batch) AS status FROM w GROUP BY 1, 2""")
+def upserted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.events(spark, sf_dir, ("roll_id", "event_id", "status"))
+    w = e.groupBy("roll_id", (F.col("event_id") % 10).alias("k"), (F.col("event_id") % 3).alias("batch")).agg(F.max("event_id").alias("line"), F.max_by("status", "event_id").alias("status"))
+    w = stage(w.withColumnRenamed("k", "event_id"), "written")
+    root = f"{shared_dir(spark)}/upserted-{uuid.uuid4().hex}"
+    write = store.upsert_events(root)
+    for batch in range(3):
+        write(w.filter(F.col("batch") == batch).drop("batch"), batch)
+    return store.read_table(spark, root)
+
+
 @query(f"WITH {v.EVENTS} SELECT roll_id, event_id % 10 AS event_id, max(event_id) AS batch_id, arg_max(status, event_id) AS status FROM v_events GROUP BY 1, 2")
 def current_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v.events(spark, sf_dir, ("roll_id", "event_id", "status"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollscan.functions.sql import register
-from rollscan.operators import bank, components, evaluate, neighbours, params, positions, report, track
+from rollscan.operators import bank, components, evaluate, neighbours, params, positions, report, tiles, track
 from rollscan.plans import views
 from rollscan.sources import frames, images, snapshots, store
 from rollscan.staging import stage
@@ -317,7 +317,16 @@ def test_unknown_parameter_is_refused(spark):
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT count(*) FROM tile_grid(1080, 1920, 512, 64)").first()[0] == 15
-    assert spark.sql("SELECT conformal_threshold(transform(sequence(1, 1000), x -> CAST(x AS DOUBLE)), 20D, 0.5D, 10)").first()[0] == 901
+    found = spark.sql("SELECT id % 2 AS sku, conformal_threshold(CAST(id AS DOUBLE), 20D, 0.5D, 10) AS t FROM range(2, 2002) GROUP BY sku ORDER BY sku").collect()
+    assert [r.t for r in found] == [1802, 1803]
+    assert spark.sql("SELECT conformal_threshold(CAST(id AS DOUBLE), 0.1D, 0.5D, 10) FROM range(20)").first()[0] is None
+    frames_of = spark.createDataFrame([(1, 600, 700, "a"), (2, None, 300, "b"), (3, 10, 10, "c"), (4, 256, 300, "d")], "roll int, h int, w int, name string")
+    got = spark.sql("SELECT * FROM tiles_of(TABLE(SELECT * FROM {f}), 256, 32)", f=frames_of)
+    want = tiles.tile_grid(frames_of.filter("h IS NOT NULL"), 256, 32).drop("size")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() == 11
+    for bad in ("tiles_of(TABLE(SELECT 1 AS h), 256, 32)", "tiles_of(TABLE(SELECT 1 AS h, 1 AS w, 2 AS x), 256, 32)", "tiles_of(TABLE(SELECT 1 AS h, 1 AS w), 32, 32)"):
+        with pytest.raises(Exception, match="columns h and w|of that name|not valid"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
 
 
 def test_live_positions_equal_batch(spark, tmp_path):
