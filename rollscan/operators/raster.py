@@ -1,11 +1,16 @@
-"""Raster operations on tables of cells (roll_id, frame_index, y, x, value) by windows and joins."""
+"""Raster operations on tables of cells (roll_id, frame_index, y, x, value): windows, joins, and blocks with copied borders."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from rollscan.staging import sized, stage
 
 FRAME = ["roll_id", "frame_index"]
 
@@ -38,7 +43,7 @@ def marker_sharpness(cells: DataFrame, boxes: DataFrame, pad: int = 12, least: i
     """The median over a frame's markers of the sharpness of their crops: boxes (FRAME, marker_id, x0, y0, x1, y1, the ends
     outside) grown by pad and clipped to the frame; crops of `least` pixels or fewer on a side do not count."""
     edge = cells.groupBy(*FRAME).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    b = boxes.join(edge, FRAME).select(*FRAME, "marker_id", *[F.greatest(F.lit(0), F.col(c) - pad).cast("int").alias(c) for c in ("x0", "y0")], F.least("w", F.col("x1") + pad).cast("int").alias("x1"), F.least("h", F.col("y1") + pad).cast("int").alias("y1"))
+    b = stage(boxes, "boxes").join(edge.hint("merge"), FRAME).select(*FRAME, "marker_id", *[F.greatest(F.lit(0), F.col(c) - pad).cast("int").alias(c) for c in ("x0", "y0")], F.least("w", F.col("x1") + pad).cast("int").alias("x1"), F.least("h", F.col("y1") + pad).cast("int").alias("y1"))
     b = b.filter((F.col("x1") - F.col("x0") > least) & (F.col("y1") - F.col("y0") > least))
     rows = b.select(*FRAME, "marker_id", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
     crops = cells.join(rows.hint("merge"), [*FRAME, "y"]).filter("x >= x0 AND x < x1")
@@ -67,27 +72,61 @@ def kernel(sigma: float, radius: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _weighted(cells: DataFrame, value: str, axis: str, other: str, weights: list[float]) -> DataFrame:
-    """One pass of a kernel along an axis, line by line; borders mirrored as ...c b | a b c..., as often as the kernel needs."""
-    r, rest = len(weights) // 2, [c for c in cells.columns if c not in (*FRAME, other, axis)]
-    lines = cells.groupBy(*FRAME, other).agg(F.array_sort(F.collect_list(F.struct(axis, *rest))).alias("_line"))
-    last = F.size("_line") - 1
+#: Cells on a side of a block.
+BLOCK = 256
+
+
+def _in_blocks(cells: DataFrame, size: int, halo: int) -> DataFrame:
+    """cells (FRAME, y, x and more) with the last row and column of their frame (_my, _mx) and their block (_by, _bx); cells within
+    `halo` of another block go to that one too."""
+    edge = stage(cells.groupBy(*FRAME).agg(F.max("y").alias("_my"), F.max("x").alias("_mx")), "frames")
+    met = cells.join(sized(edge), FRAME)
+    for a, last, name in (("y", "_my", "_by"), ("x", "_mx", "_bx")):
+        near = F.sequence(F.floor(F.greatest(F.lit(0), F.col(a) - halo) / size), F.floor(F.least(F.col(last), F.col(a) + halo) / size))
+        met = met.withColumn(name, F.explode(near))
+    return met
+
 
-    def mirrored(i: Column) -> Column:
-        fold = F.pmod(i, F.greatest(2 * last, F.lit(1)))
-        return F.least(fold, 2 * last - fold)
+def _mirrored(at: np.ndarray, last: int) -> np.ndarray:
+    """Places beyond the ends 0 and last, mirrored as ...c b | a b c..., as often as it takes."""
+    fold = at % max(1, 2 * last)
+    return np.minimum(fold, 2 * last - fold)
 
-    def smooth(cell: Column, i: Column) -> Column:
-        total = sum((F.lit(w) * F.get("_line", mirrored(i + (k - r)))[value] for k, w in enumerate(weights)), F.lit(0.0))
-        return F.struct(cell[axis].alias(axis), *[(total if c == value else cell[c]).alias(c) for c in rest])
 
-    return lines.select(*FRAME, other, F.inline(F.transform("_line", smooth))).select(*cells.columns)
+def _dense(table: pa.Table, value: str) -> tuple[np.ndarray, int, int]:
+    """A block's cells as an array, and the row and column it begins at."""
+    y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+    y0, x0 = int(y.min()), int(x.min())
+    out = np.full((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.nan)
+    out[y - y0, x - x0] = table.column(value).to_numpy().astype(float)
+    return out, y0, x0
+
+
+def _smooth(block: np.ndarray, rows: list[np.ndarray], columns: list[np.ndarray], weights: list[float]) -> np.ndarray:
+    """A kernel along x, then along y. rows, columns: for each weight the places in block that it falls on."""
+    across = sum((w * block[:, c] for w, c in zip(weights, columns)), np.zeros(()))
+    return sum((w * across[r] for w, r in zip(weights, rows)), np.zeros(()))
 
 
 def gaussian(cells: DataFrame, sigma: float, radius: int, value: str = "value") -> DataFrame:
-    """Separable smoothing of full grids: along x, then along y."""
-    w = kernel(sigma, radius)
-    return _weighted(_weighted(cells, value, "x", "y", w), value, "y", "x", w)
+    """Separable smoothing of full grids: along x, then along y, block by block with a border of `radius` cells copied from the
+    blocks around. Borders of the frame are mirrored. A task holds one block."""
+    weights, kept, size = kernel(sigma, radius), cells.columns, BLOCK
+    blocks = _in_blocks(cells.withColumn(value, F.col(value).cast("double")), size, radius)
+    schema = StructType([f for f in blocks.schema if f.name in kept])
+
+    def one(table: pa.Table) -> pa.Table:
+        by, bx, my, mx = (table.column(c)[0].as_py() for c in ("_by", "_bx", "_my", "_mx"))
+        block, y0, x0 = _dense(table, value)
+        own_y, own_x = np.arange(by * size, min((by + 1) * size, my + 1)), np.arange(bx * size, min((bx + 1) * size, mx + 1))
+        taps = range(-radius, radius + 1)
+        out = _smooth(block, [_mirrored(own_y + k, my) - y0 for k in taps], [_mirrored(own_x + k, mx) - x0 for k in taps], weights)
+        y, x = table.column("y").to_numpy() - by * size, table.column("x").to_numpy() - bx * size
+        mine = (y >= 0) & (y < len(own_y)) & (x >= 0) & (x < len(own_x))
+        rows = table.select(kept).filter(pa.array(mine))
+        return rows.set_column(rows.schema.get_field_index(value), value, pa.array(out[y[mine], x[mine]]))
+
+    return blocks.groupBy(*FRAME, "_by", "_bx").applyInArrow(one, schema).select(*kept)
 
 
 def flat_field(cells: DataFrame, sigma: float, radius: int | None = None, reference: DataFrame | None = None) -> DataFrame:
@@ -99,22 +138,45 @@ def flat_field(cells: DataFrame, sigma: float, radius: int | None = None, refere
     else:
         c = cells.join(reference.withColumnRenamed("level", "light"), ["y", "x"], "left")
         c = c.withColumn("light", F.when(F.col("light").isNull(), F.raise_error(F.lit("the reference does not match the frame"))).otherwise(F.col("light")))
-    w = Window.partitionBy(*FRAME)
-    c = c.withColumn("flat", F.col("value") / F.greatest(F.lit(1.0), "light"))
-    scaled = F.col("flat") * F.avg("value").over(w) / F.greatest(F.lit(1e-6), F.avg("flat").over(w))
+    c = stage(c.withColumn("flat", F.col("value") / F.greatest(F.lit(1.0), "light")), "flat")
+    means = stage(c.groupBy(*FRAME).agg(F.avg("value").alias("_value"), F.avg("flat").alias("_flat")), "means")
+    c = c.join(sized(means), FRAME)
+    scaled = F.col("flat") * F.col("_value") / F.greatest(F.lit(1e-6), F.col("_flat"))
     return c.select(*FRAME, "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)).cast("int").alias("value"))
 
 
 def upsampled(grid: DataFrame, factor: int, sigma: float = 4.0) -> DataFrame:
-    """A patch grid as pixels: bilinear (half-pixel centres, borders held), then a Gaussian; sigma 0 leaves it out."""
-    size = grid.groupBy(*FRAME).agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    steps = lambda m: F.sequence(F.lit(0), (F.col(m) + 1) * factor - 1)
-    px = size.withColumn("y", F.explode(steps("my"))).withColumn("x", F.explode(steps("mx")))
-    for a, m in (("y", "my"), ("x", "mx")):
-        at = F.greatest(F.lit(0.0), F.least(F.col(m).cast("double"), (F.col(a) + 0.5) / factor - 0.5))
-        px = px.withColumn(f"{a}0", F.floor(at).cast("int")).withColumn(f"{a}f", at - F.floor(at))
-    corners = F.array(*[F.struct(F.least(F.col("y0") + i, F.col("my")).alias("gy"), F.least(F.col("x0") + j, F.col("mx")).alias("gx"), (F.abs(F.lit(1 - i) - F.col("yf")) * F.abs(F.lit(1 - j) - F.col("xf"))).alias("weight")) for i in (0, 1) for j in (0, 1)])
-    four = px.select(*FRAME, "y", "x", F.explode(corners).alias("c")).select(*FRAME, "y", "x", "c.*")
-    met = grid.withColumnsRenamed({"y": "gy", "x": "gx"}).join(four.hint("merge"), [*FRAME, "gy", "gx"])
-    out = met.groupBy(*FRAME, "y", "x").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-    return gaussian(out, sigma, max(1, int(3 * sigma))) if sigma > 0 else out
+    """A patch grid as pixels: bilinear (half-pixel centres, borders held), then a Gaussian; sigma 0 leaves it out. Blocks of
+    the grid are laid out as pixels with the border that the kernel needs, so that no pixel is shuffled. grid: FRAME, y, x, value."""
+    radius = max(1, int(3 * sigma)) if sigma > 0 else 0
+    weights = kernel(sigma, radius) if sigma > 0 else [1.0]
+    size = max(1, 2 * BLOCK // factor)
+    blocks = _in_blocks(grid.select(*FRAME, "y", "x", F.col("value").cast("double").alias("value")), size, radius // factor + 2)
+    schema = StructType([f for f in blocks.schema if f.name in (*FRAME, "y", "x", "value")])
+    kinds = {f.name: pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32() for f in schema if f.name in ("y", "x")}
+
+    def one(table: pa.Table) -> pa.Table:
+        block, y0, x0 = _dense(table, "value")
+
+        def along(which: str, last: int, first: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+            """Own pixels of an axis; of all that the kernel reaches: cells before and after with the share of the latter, and
+            where each weight falls among them."""
+            n = (last + 1) * factor
+            own = np.arange(which * size * factor, min((which + 1) * size * factor, n))
+            at = [_mirrored(own + k, n - 1) for k in range(-radius, radius + 1)]
+            held = np.unique(np.concatenate(at)) if len(own) else own
+            p = np.clip((held + 0.5) / factor - 0.5, 0, last)
+            low = np.floor(p).astype(np.int64)
+            return own, [low - first, np.minimum(low + 1, last) - first], [np.searchsorted(held, a) for a in at], p - low
+
+        by, bx, my, mx = (table.column(c)[0].as_py() for c in ("_by", "_bx", "_my", "_mx"))
+        ys, rows, y_at, fy = along(by, my, y0)
+        xs, columns, x_at, fx = along(bx, mx, x0)
+        fy, fx = fy[:, None], fx[None]
+        pixels = sum(abs(1 - i - fy) * abs(1 - j - fx) * block[np.ix_(rows[i], columns[j])] for i in (0, 1) for j in (0, 1))
+        out = _smooth(pixels, y_at, x_at, weights) if sigma > 0 else pixels
+        n = len(ys) * len(xs)
+        frame = [pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in FRAME]
+        return pa.table([*frame, pa.array(np.repeat(ys, len(xs)), kinds["y"]), pa.array(np.tile(xs, len(ys)), kinds["x"]), pa.array(out.reshape(-1))], names=[*FRAME, "y", "x", "value"])
+
+    return blocks.groupBy(*FRAME, "_by", "_bx").applyInArrow(one, schema)

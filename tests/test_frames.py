@@ -155,7 +155,9 @@ def blurred(x, sigma, r):
     return sum(w[i] * p[i : i + x.shape[0]] for i in range(2 * r + 1))
 
 
-def test_flat_field_and_upsampling_are_those_of_arrays(spark):
+@pytest.mark.parametrize("block", [256, 4])
+def test_flat_field_and_upsampling_are_those_of_arrays(spark, monkeypatch, block):
+    monkeypatch.setattr(raster, "BLOCK", block)
     x = np.random.default_rng(2).integers(20, 200, (14, 16)).astype(float)
     cells = spark.createDataFrame([(1, 0, y, c, float(v)) for (y, c), v in np.ndenumerate(x)], "roll_id int, frame_index int, y int, x int, value double")
     flat = x / np.maximum(1, blurred(x, 3.0, 1))
