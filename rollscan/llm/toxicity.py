@@ -171,16 +171,16 @@ def spaced_words(text: str, model: np.ndarray, cache: dict[str, list[str]]) -> I
         yield words
 
 
-def words_of(text: str, model: np.ndarray, cache: dict[str, str], runs: dict[str, list[str]] | None = None) -> tuple[set[str], int]:
-    """Distinct restored words of a text and its number of tokens."""
+def words_of(text: str, model: np.ndarray, cache: dict[str, str], runs: dict[str, list[str]] | None = None, keep: Callable[[str], object] | None = None) -> tuple[set[str], int]:
+    """Distinct restored words of a text and its number of tokens. Words of tokens that `keep` does not hold true for are one
+    empty word."""
     text = text.lower()
     tokens = text.split()
-    out = set()
-    for t in set(tokens):
-        w = cache.get(t)
-        if w is None:
-            w = cache[t] = restored(t, model)
-        out.add(w)
+    kinds = set(tokens)
+    for t in kinds.difference(cache):
+        w = restored(t, model)
+        cache[t] = w if keep is None or keep(w) else ""
+    out = set(map(cache.__getitem__, kinds))
     for words in spaced_words(text, model, {} if runs is None else runs):
         out.update(words)
     return out, len(tokens)
@@ -310,7 +310,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
         for batch in slices(batches, whole):
             rows = []
             for text in batch.column(whole).to_pylist():
-                words, n = words_of(text or "", model.chars, cache, runs)
+                words, n = words_of(text or "", model.chars, cache, runs, lambda w: worth(w, held))
                 rows.append(summary([worth(w, held) for w in words], n))
             for known in (cache, held):
                 if len(known) > 200_000:
