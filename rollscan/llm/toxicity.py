@@ -171,15 +171,15 @@ def spaced_words(text: str, model: np.ndarray, cache: dict[str, list[str]]) -> I
         yield words
 
 
-def words_of(text: str, model: np.ndarray, cache: dict[str, str], runs: dict[str, list[str]] | None = None, keep: Callable[[str], object] | None = None) -> tuple[set[str], int]:
-    """Distinct restored words of a text and its number of tokens. Words of tokens that `keep` does not hold true for are one
-    empty word."""
+def words_of(text: str, model: np.ndarray, cache: dict[str, str], runs: dict[str, list[str]] | None = None, worth: "Worth | None" = None) -> tuple[set[str], int]:
+    """Distinct restored words of a text and its number of tokens. With `worth`, words of tokens that have none are one empty
+    word."""
     text = text.lower()
     tokens = text.split()
     kinds = set(tokens)
     for t in kinds.difference(cache):
-        w = restored(t, model)
-        cache[t] = w if keep is None or keep(w) else ""
+        w = "" if worth and not worth.possible(t) else restored(t, model)
+        cache[t] = w if worth is None or worth(w) else ""
     out = set(map(cache.__getitem__, kinds))
     for words in spaced_words(text, model, {} if runs is None else runs):
         out.update(words)
@@ -212,19 +212,38 @@ def strength(pos: float, neg: float, sizes: tuple[int, int], least: float = 16.0
     return float(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) if g >= least else 0.0
 
 
-def word_strengths(model: Model) -> Callable[[str, dict[str, float]], float]:
-    """The strength of a restored word: the largest of its features'. The function takes a cache beside the word."""
-    weight = {f: strength(p, q, model.sizes) for f, (p, q) in model.counts.items()}
-    starts = {f[:SHORTEST] for f in weight}
+_REPEATS = re.compile(r"(.)\1+", re.S)
 
-    def worth(word: str, held: dict[str, float]) -> float:
-        s = held.get(word)
+
+class Worth:
+    """The strength of a restored word: the largest of its features'. Strengths are remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self.weight = {f: strength(p, q, model.sizes) for f, (p, q) in model.counts.items()}
+        self.starts = {f[:SHORTEST] for f in self.weight}
+        self.heads = {_REPEATS.sub(r"\1", f.rstrip("$"))[:3] for f in self.weight}
+        self.firsts = {h[0] for h in self.heads if h}
+        self.held: dict[str, float] = {}
+
+    def __call__(self, word: str) -> float:
+        s = self.held.get(word)
         if s is None:
-            some = word[:SHORTEST] in starts or word + "$" in weight
-            s = held[word] = max([weight[f] for f in features(word) if f in weight], default=0.0) if some else 0.0
+            some = word[:SHORTEST] in self.starts or word + "$" in self.weight
+            s = self.held[word] = max([self.weight[f] for f in features(word) if f in self.weight], default=0.0) if some else 0.0
+            if len(self.held) > 200_000:
+                self.held = {word: s}
         return s
 
-    return worth
+    def possible(self, token: str) -> bool:
+        """Whether a token can stand for a word with strength. A letter that it begins with stays; one of letters alone is read with
+        fewer repeats or as it is, so without repeats it must begin as some feature does; any other may."""
+        if token[0].isalpha() and token[0] not in self.firsts:
+            return False
+        token = stripped(token)
+        if not _PLAIN.fullmatch(token):
+            return True
+        head = _REPEATS.sub(r"\1", token[:16])
+        return len(head) < 3 or any(head[:k] in self.heads for k in (3, 2, 1))
 
 
 def summary(scores: list[float], n_tokens: int) -> list[float]:
@@ -301,20 +320,18 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
     names = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     whole = f"c{names.index('text')}"
-    worth = word_strengths(model)
+    worth = Worth(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
         runs: dict[str, list[str]] = {}
-        held: dict[str, float] = {}
         for batch in slices(batches, whole):
             rows = []
             for text in batch.column(whole).to_pylist():
-                words, n = words_of(text or "", model.chars, cache, runs, lambda w: worth(w, held))
-                rows.append(summary([worth(w, held) for w in words], n))
-            for known in (cache, held):
-                if len(known) > 200_000:
-                    known.clear()
+                words, n = words_of(text or "", model.chars, cache, runs, worth)
+                rows.append(summary([worth(w) for w in words], n))
+            if len(cache) > 200_000:
+                cache.clear()
             z = (np.array(rows).reshape(-1, 6) - model.centre) / model.spread @ model.weights[1:] + model.weights[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*batch.schema.names, name])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollscan.llm import htmltext, langid, merkle, recompression, toxicity
+from rollscan.llm import htmltext, langid, merkle, mixing, recompression, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -223,7 +223,32 @@ def test_rows_of_runs_on_odd_tables(docs_of, odd, empty):
     assert recompression.document_runs(empty).count() == 0
 
 
-# --- toxicity and language
+# --- mixing, toxicity and language
+
+
+def test_blocks_are_permuted_anew_for_each_source_and_pass(spark):
+    sizes = [1, 2, 3, 5, 64, 1000, 4095, 5000]
+    rows = [(r, n, s) for r, n in enumerate(sizes) for s in range(2 * n)]
+    df = spark.createDataFrame(rows, "rank long, blocks long, slot long").withColumn("block", mixing.permuted(1))
+    by = {}
+    for r in df.orderBy("rank", "slot").collect():
+        by.setdefault((r["rank"], r.slot // r.blocks), []).append(r.block)
+    for (r, _), blocks in by.items():
+        assert sorted(blocks) == list(range(sizes[r]))
+    big, again = np.array(by[7, 0]), np.array(by[7, 1])
+    # neither a step nor a shift leads from slot to block, or from pass to pass
+    assert max(Counter((np.diff(big) % 5000).tolist()).values()) < 12 and max(Counter(((again - big) % 5000).tolist()).values()) < 12
+    assert abs(np.corrcoef(np.arange(5000), big)[0, 1]) < 0.06
+
+
+def test_tokens_that_cannot_have_strength_are_left_out_alone():
+    chars = toxicity.smoothed(toxicity.trigram_counts(["you are an idiot and a moron, stupid fools say such silly ass things"] * 50).astype(float))
+    counts = {"stupid$": (50, 1), "idiot$": (50, 1), "ass$": (50, 1), "fool": (50, 1), "moron$": (50, 1)}
+    worth = toxicity.Worth(toxicity.Model(chars, counts, (60, 600), np.zeros(7), np.zeros(6), np.ones(6)))
+    rng, tokens = random.Random(8), ["stupid", "stuupid", "s7upid", "(stupid!!", "aass", "ass", "@$$", "fooools", "foolish", "iidiot", "1diot", "mmmoron"]
+    tokens += ["".join(rng.choice("stupidomrnafl1@$.!") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    assert all(worth.possible(t) or not worth(toxicity.restored(t, chars)) for t in tokens)
+    assert all(worth(toxicity.restored(t, chars)) for t in ("stuupid", "s7upid", "fooools", "mmmoron")) and not worth.possible("river")
 
 
 def test_scores_are_those_of_the_features_learned(spark):
