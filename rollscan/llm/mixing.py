@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from rollscan.llm.common import WORD, running, sized, stage
 
-#: Mersenne primes, coprime to every smaller number of blocks.
-PRIMES = (2147483647, 2305843009213693951)
 WEIGHTS = (5, 2, 1)
 #: Multiplier and modulus that scatter doc_ids over a source's stream.
 SCATTER, MODULUS = 1103515245, 2**31
@@ -79,14 +77,27 @@ def draw_blocks(sources: DataFrame, shard_slots: int, seed: int = 1) -> DataFram
 
 
 def permuted(seed: int) -> Column:
-    """Block of a slot: slot mod blocks under an affine permutation of 0..blocks-1 drawn for the source and pass."""
-    salt = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rank").cast("string"), F.expr("slot div blocks").cast("string")))
-    number = lambda at: F.conv(F.substring(salt, at, 8), 16, 10).cast("long")
-    prime = F.when(number(1) % 2 == 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1]))
-    prime = F.when(F.col("blocks") >= PRIMES[0], F.lit(PRIMES[1])).otherwise(prime)
-    wide = lambda c: c.cast("decimal(19,0)")
-    product = wide(prime % F.col("blocks")) * wide(F.col("slot") % F.col("blocks"))
-    return ((product + wide(number(9))) % wide(F.col("blocks"))).cast("long")
+    """Block of a slot: slot mod blocks under a pseudorandom permutation of 0..blocks-1, keyed by seed, source and pass.
+
+    Numbers are pairs (l, r) of a grid of a x b, a the root of blocks and b as large as it takes, and go through four Feistel
+    rounds: l moves by a digest of r, then r by one of l. A number that falls outside is sent through again until it is inside. The
+    grid has fewer than a numbers too many, so that up to 4096 blocks every way back in is walked to its end, and for more one
+    of 16 steps has less than one chance in 2^90.
+    """
+    n = F.col("blocks")
+    a = F.ceil(F.sqrt(n)).cast("long")
+    b = F.floor((n + a - 1) / a).cast("long")
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("rank").cast("string"), F.expr("slot div blocks").cast("string"))
+
+    def turned(x: Column, i: Column) -> Column:
+        low, high = x % a, F.floor(x / a).cast("long")
+        fixed = F.when(i % 2 == 0, high).otherwise(low)
+        mark = F.conv(F.substring(F.md5(F.concat_ws(":", key, i.cast("string"), fixed.cast("string"))), 1, 12), 16, 10).cast("long")
+        return F.when(i % 2 == 0, (low + mark) % a + high * a).otherwise(low + (high + mark) % b * a)
+
+    sent = lambda x: F.aggregate(F.array(*[F.lit(i) for i in range(4)]), x, turned)
+    steps = F.sequence(F.lit(0), F.when(n < 4096, a * b - n).otherwise(15))
+    return F.aggregate(steps, F.col("slot") % n, lambda x, i: F.when((i > 0) & (x < n), x).otherwise(sent(x)))
 
 
 def mix(sizes: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

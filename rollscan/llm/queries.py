@@ -97,10 +97,13 @@ j AS (SELECT rk, blocks, unnest(range(0, slots)) AS slot FROM b),
 z AS (SELECT greatest(1, ceil(count(*) / 4096::DOUBLE))::BIGINT AS shards FROM j),
 g AS (SELECT rk, blocks, ('0x' || substr(md5('1:draw:' || rk || ':' || slot), 1, 15))::BIGINT % (SELECT shards FROM z) AS shard, count(*) AS drawn FROM j GROUP BY ALL),
 k AS (SELECT rk, blocks, shard, unnest(range((upto - drawn)::BIGINT, upto::BIGINT)) AS slot FROM (SELECT *, sum(drawn) OVER (PARTITION BY rk ORDER BY shard) AS upto FROM g)),
-h AS (SELECT *, md5('1:' || rk || ':' || (slot // blocks)) AS salt FROM k),
+h AS (SELECT *, ceil(sqrt(blocks))::BIGINT AS a, '1:' || rk || ':' || (slot // blocks) || ':' AS salt FROM k),
+i AS (SELECT *, (blocks + a - 1) // a AS b, CASE WHEN blocks < 4096 THEN a * ((blocks + a - 1) // a) - blocks ELSE 15 END AS steps FROM h),
 p AS (
-  SELECT rk, shard, ((CASE WHEN blocks >= 2147483647 OR ('0x' || substr(salt, 1, 8))::BIGINT % 2 = 1 THEN 2305843009213693951 ELSE 2147483647 END % blocks)::HUGEINT
-          * (slot % blocks) + ('0x' || substr(salt, 9, 8))::BIGINT) % blocks AS block FROM h),
+  SELECT rk, shard, list_reduce(list_prepend(slot % blocks, range(0, steps + 1)), lambda x, i: CASE WHEN i > 0 AND x < blocks THEN x ELSE
+    list_reduce(list_prepend(x, range(0, 4)), lambda y, j: CASE WHEN j % 2 = 0
+      THEN (y % a + ('0x' || substr(md5(salt || j || ':' || (y // a)), 1, 12))::BIGINT) % a + y // a * a
+      ELSE y % a + (y // a + ('0x' || substr(md5(salt || j || ':' || (y % a)), 1, 12))::BIGINT) % b * a END) END) AS block FROM i),
 n AS (SELECT rk, block, shard, count(*) AS takes FROM p GROUP BY ALL),
 d AS (
   SELECT s.*, t.rk, t.source_size, t.target, (((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648) * 1103515245) % 2147483648 AS scattered
