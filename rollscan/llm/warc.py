@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.llm.common import MOST_TASKS, cut_keys, shared_dir, stage
+from rollscan.llm.common import MOST_TASKS, cut_keys, shared_dir, slices, stage
 
 MANIFEST = "temporary string, file string, shard int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = 16 << 20, rol
         system, path = fs.FileSystem.from_uri(root)
         system.create_dir(path)
         done, out, mark, number = [], None, None, 0
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for page_id, url, text, digest, first, kind, shard in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "kind", "shard")]):
                 if out and (out.shard != shard or out.bytes >= roll_bytes):
                     number = number + 1 if out.shard == shard else 0
