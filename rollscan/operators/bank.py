@@ -349,7 +349,7 @@ def fit_banks(grids: DataFrame, matrices: DataFrame | None, fraction: float, poo
 def score_grids(grids: DataFrame, matrices: DataFrame | None, bank: DataFrame, pool: int = 3) -> DataFrame:
     """A score for each patch: pooled, projected, distance to its sku's bank. grids as in fit_banks."""
     g = pooled(grids, pool)
-    g = (project(g, matrices) if matrices is not None else g).withColumn("query_id", F.xxhash64("sku", "tile", "gy", "gx"))
+    g = stage((project(g, matrices) if matrices is not None else g).withColumn("query_id", F.xxhash64("sku", "tile", "gy", "gx")), "patches")
     found = nearest_distance(g, bank).withColumnRenamed("distance", "score")
     return g.drop("embedding").join(found.hint("merge"), "query_id").drop("query_id")
 

@@ -147,7 +147,7 @@ def extents(cells: DataFrame, labelled: DataFrame, stats: DataFrame, fraction: f
 
 def detections(boxes: DataFrame, stats: DataFrame, geometry: DataFrame) -> DataFrame:
     """Extents in millimetres on the roll. geometry: FRAME, along_mm, mm_per_px."""
-    d = stats.join(boxes.hint("merge"), [*FRAME, "component"]).join(geometry, FRAME)
+    d = stats.join(boxes.hint("merge"), [*FRAME, "component"]).join(geometry.hint("merge"), FRAME)
     s = F.col("mm_per_px")
     return d.select(*FRAME, "component", "area", "max_score", "mean_score", (F.col("along_mm") + F.col("ey0") * s).alias("along_mm"), (F.col("ex0") * s).alias("across_mm"), ((F.col("ey1") - F.col("ey0") + 1) * s).alias("length_mm"), ((F.col("ex1") - F.col("ex0") + 1) * s).alias("width_mm"))
 

@@ -13,7 +13,8 @@ def bucketed(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> D
     sketch of each group, so the table joined has one row for each group."""
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = df.join(cuts.withColumnsRenamed({k: f"_{k}" for k in keys}), on, "left")
+    cuts = stage(cuts.withColumnsRenamed({k: f"_{k}" for k in keys}), "cuts")
+    joined = df.join(sized(cuts), on, "left")
     return joined.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts", *[f"_{k}" for k in keys])
 
 
@@ -77,13 +78,15 @@ def auroc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataF
     score come first, so ties never gather; without keys the whole table is one group, in buckets like any other."""
     by = keys or ["_all"]
     t = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(score).alias("_s"), positive.cast("long").alias("_p"))
-    t = t.groupBy(*by, "_s").agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg"))
+    t = stage(t.groupBy(*by, "_s").agg(F.sum("_p").alias("pos"), F.sum(1 - F.col("_p")).alias("neg")), "counts")
     t = bucketed(t, by, "_s")
     base = t.groupBy(*by, "bucket").agg(F.sum("neg").alias("b"))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("below", F.coalesce(F.sum("b").over(before), F.lit(0))).drop("b")
     inner = Window.partitionBy(*by, "bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(base, [*by, "bucket"]).withColumn("under", F.col("below") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
+    base = stage(base, "bases").withColumnsRenamed({k: f"_{k}" for k in by} | {"bucket": "_bucket"})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*by, "bucket"]]
+    t = t.join(sized(base), on).withColumn("under", F.col("below") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
     # twice the statistic, so that sums stay whole numbers
     out = t.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg"))).alias("u2"))
     area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u2") / (2.0 * F.col("n_pos") * F.col("n_neg")))
