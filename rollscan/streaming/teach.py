@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rollscan.operators import bank, calibrate
 
 GRID = ["sku", "roll_id", "frame_index", "tile", "gy", "gx", "embedding"]
-STATE = "sku string, phase string, learned long, calibrated long, needed long"
+#: How each sku stands after a micro-batch: its phase and counts, and the parts that hold its sample, bank and calibration.
+STATE = "sku string, phase string, learned long, calibrated long, needed long, learned_at array<string>, clean_at array<string>, bank string, calibration string"
 RELEASED = "sku string"
 
 
@@ -59,30 +60,40 @@ def teach_calibrate_inspect(root: str, plan: Plan, on_phase: Callable[[str, str]
     scored and classified into `root`/inspected. A stream that ends in the first two phases is an error. Frames that come while
     a sku waits for its release are in no table: they are uninspected.
 
-    Every micro-batch writes under its own batch number, counters too, and begins from those of the batches before it, so that a
-    batch that runs again writes the same tables again. The driver holds a few numbers for each sku of the batch. on_phase is
-    told (sku, phase) whenever a sku enters one.
+    Every micro-batch writes under its own batch number, the state of all skus too, and begins from the state of the batch before
+    it, so that a batch that runs again writes the same tables again. The state names the parts that hold each sku's sample, bank
+    and calibration: a batch reads those of its skus, however many batches there were. The driver holds that row of each sku.
+    on_phase is told (sku, phase) whenever a sku enters one.
     """
 
-    def at(table: str, batch_id: int, part: int) -> str:
-        return f"{root}/{table}/batch={batch_id}/part={part}"
+    def at(table: str, place: str) -> str:
+        return f"{root}/{table}/{place}"
 
-    def so_far(spark: SparkSession, table: str, schema: str, batch_id: int, part: int) -> DataFrame:
-        """What was written before and in this batch up to a part; later parts may be of an attempt that failed."""
-        found = _maybe(spark, f"{root}/{table}", schema + ", batch long, part long")
-        return found.filter((F.col("batch") < batch_id) | ((F.col("batch") == batch_id) & (F.col("part") <= part)))
+    def held(spark: SparkSession, table: str, schema: str, places: dict[str, list[str]]) -> DataFrame:
+        """The rows of skus in the parts of a table that hold them."""
+        paths = sorted({at(table, p) for parts in places.values() for p in parts})
+        return spark.read.schema(schema).parquet(*paths).filter(F.col("sku").isin(list(places)))
 
-    def scored(spark: SparkSession, rows: DataFrame, batch_id: int, part: int) -> DataFrame:
+    def before(spark: SparkSession, batch_id: int) -> DataFrame:
+        """The state that the batch begins from: that of the batch before, else of the last one there is."""
+        try:
+            return spark.read.schema(STATE).parquet(at("phases", f"batch={batch_id - 1}"))
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        found = _maybe(spark, f"{root}/phases", STATE + ", batch long").filter(F.col("batch") < batch_id)
+        return found.groupBy("sku").agg(F.max_by(F.struct(*[c.split()[0] for c in STATE.split(", ")][1:]), "batch").alias("s")).select("sku", "s.*")
+
+    def scored(spark: SparkSession, rows: DataFrame, banks: dict[str, list[str]]) -> DataFrame:
         """The largest patch score of each tile."""
-        points = so_far(spark, "banks", "sku string, point_id long, embedding array<float>", batch_id, part)
+        points = held(spark, "banks", "sku string, point_id long, embedding array<float>", banks)
         patches = bank.score_grids(_grids(rows), None, points.select("sku", "point_id", "embedding"), plan.pool)
         return patches.groupBy("sku", "tile").agg(F.max("score").alias("score"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counted = batch.groupBy("sku").agg(F.count_distinct("roll_id", "frame_index").alias("n"), F.bool_or("end_of_roll").alias("ended")).collect()
-        latest = so_far(spark, "phases", STATE, batch_id, -1).groupBy("sku").agg(F.max_by(F.struct("phase", "learned", "calibrated", "needed"), "batch").alias("s")).select("sku", "s.*")
-        state = {r.sku: [r.phase, r.learned, r.calibrated, r.needed] for r in latest.collect()}
+        state = {r.sku: [r.phase, r.learned, r.calibrated, r.needed, list(r.learned_at), list(r.clean_at), r.bank, r.calibration] for r in before(spark, batch_id).collect()}
         free = {r.sku for r in _maybe(spark, f"{root}/released", RELEASED).collect()}
         # the frames of one micro-batch, in order
         order = F.dense_rank().over(Window.partitionBy("sku").orderBy("roll_id", "frame_index")) - 1
@@ -98,7 +109,7 @@ def teach_calibrate_inspect(root: str, plan: Plan, on_phase: Callable[[str, str]
             while True:
                 share = []
                 for r in counted:
-                    s = state.setdefault(r.sku, ["learn", 0, 0, plan.calibrate])
+                    s = state.setdefault(r.sku, ["learn", 0, 0, plan.calibrate, [], [], None, None])
                     if s[0] == "ready" and (r.sku in free or not plan.hold):
                         enter(r.sku, "inspect")
                     room = {"learn": plan.learn - s[1], "calibrate": s[3] - s[2]}.get(s[0], r.n)
@@ -112,36 +123,43 @@ def teach_calibrate_inspect(root: str, plan: Plan, on_phase: Callable[[str, str]
                     break
                 rows = batch.join(F.broadcast(spark.createDataFrame(share, "sku string, phase string, lo long, hi long")), "sku").filter("_n >= lo AND _n < hi")
                 of = {p: [s for s, phase, _, _ in share if phase == p] for p in ("learn", "calibrate", "inspect")}
+                place = f"batch={batch_id}/part={part}"
                 if of["learn"]:
-                    rows.filter("phase = 'learn'").select(*GRID).write.mode("overwrite").parquet(at("learn", batch_id, part))
+                    rows.filter("phase = 'learn'").select(*GRID).write.mode("overwrite").parquet(at("learn", place))
+                    for s in of["learn"]:
+                        state[s][4].append(place)
                     full = [s for s in of["learn"] if state[s][1] >= plan.learn]
                     if full:
-                        grids = so_far(spark, "learn", "sku string, roll_id long, frame_index long, tile long, gy int, gx int, embedding array<float>", batch_id, part).filter(F.col("sku").isin(full))
+                        grids = held(spark, "learn", "sku string, roll_id long, frame_index long, tile long, gy int, gx int, embedding array<float>", {s: state[s][4] for s in full})
                         points = bank.fit_banks(_grids(grids), None, plan.fraction, plan.pool)
-                        points.select("sku", "point_id", "embedding").write.mode("overwrite").parquet(at("banks", batch_id, part))
+                        points.select("sku", "point_id", "embedding").write.mode("overwrite").parquet(at("banks", place))
                         for s in full:
+                            state[s][4], state[s][6] = [], place
                             enter(s, "calibrate")
                 if of["calibrate"]:
-                    scored(spark, rows.filter("phase = 'calibrate'"), batch_id, part).write.mode("overwrite").parquet(at("clean", batch_id, part))
+                    scored(spark, rows.filter("phase = 'calibrate'"), {s: [state[s][6]] for s in of["calibrate"]}).write.mode("overwrite").parquet(at("clean", place))
+                    for s in of["calibrate"]:
+                        state[s][5].append(place)
                     full = [s for s in of["calibrate"] if state[s][2] >= state[s][3]]
                     if full:
-                        clean = so_far(spark, "clean", "sku string, tile string, score double", batch_id, part).filter(F.col("sku").isin(full))
+                        clean = held(spark, "clean", "sku string, tile string, score double", {s: state[s][5] for s in full})
                         found = calibrate.conformal_threshold(clean.select("sku", "score"), ["sku"], plan.budget_fa, plan.metres_per_tile, plan.margin)
-                        found.write.mode("overwrite").parquet(at("calibrations", batch_id, part))
-                        for r in spark.read.parquet(at("calibrations", batch_id, part)).collect():
+                        found.write.mode("overwrite").parquet(at("calibrations", place))
+                        for r in spark.read.parquet(at("calibrations", place)).collect():
                             if r.status == "ok":
+                                state[r.sku][5], state[r.sku][7] = [], place
                                 enter(r.sku, "ready")
                             else:  # the sample is kept
                                 state[r.sku][3] += plan.more
                 if of["inspect"]:
-                    cals = so_far(spark, "calibrations", "sku string, threshold double, abstain_low double, status string", batch_id, part).filter("status = 'ok'")
-                    tiles = scored(spark, rows.filter("phase = 'inspect'"), batch_id, part)
+                    cals = held(spark, "calibrations", "sku string, threshold double, abstain_low double, status string", {s: [state[s][7]] for s in of["inspect"]}).filter("status = 'ok'")
+                    tiles = scored(spark, rows.filter("phase = 'inspect'"), {s: [state[s][6]] for s in of["inspect"]})
                     named = tiles.withColumn("t", F.from_json("tile", "roll_id long, frame_index long, tile long")).select("sku", "t.*", "score")
-                    calibrate.classified(named, cals, ["sku"]).write.mode("overwrite").parquet(at("inspected", batch_id, part))
+                    calibrate.classified(named, cals, ["sku"]).write.mode("overwrite").parquet(at("inspected", place))
                 part += 1
         finally:
             batch.unpersist()
-        spark.createDataFrame([(k, *v) for k, v in state.items()], STATE).write.mode("overwrite").parquet(at("phases", batch_id, 0))
+        spark.createDataFrame([(k, *v) for k, v in state.items()], STATE).write.mode("overwrite").parquet(at("phases", f"batch={batch_id}"))
         early = [f"{r.sku} ({state[r.sku][0]})" for r in counted if r.ended and state[r.sku][0] in ("learn", "calibrate")]
         if early:
             raise ValueError(f"the stream ended while it was being taught: {', '.join(early)}")
