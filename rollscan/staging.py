@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written out and read back."""
+#: What is written inside each scratch() that is open.
+_written: list[list[str]] = []
+
+
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df written out and read back. The table stays until its scratch() ends, for good where there is none or it is lasting."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _written and not lasting:
+        _written[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was staged inside when it ends, failed writes too. For callers who have written their result by then: what
+    they still hold of the tables inside cannot be read any more."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df hinted for the join it is the smaller side of: broadcast up to limit rows (counted), else sort-merge, whose skewed
     keys AQE splits."""

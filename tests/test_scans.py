@@ -1,10 +1,13 @@
 """Ordered work over ranges, order statistics by sketch and band, components of pair graphs: against plain loops."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_frames import DET, chosen
 
+from rollscan import staging
 from rollscan.operators import graph, positions, ranks, scan, track
 
 
@@ -84,6 +87,21 @@ def test_order_statistics_of_any_group(spark):
     assert whole["at"][0] == np.quantile(np.concatenate([*parts.values(), [1.0, 2.0, 3.0, np.inf]]), 0.5)
 
 
+def test_scratch_tables_go(spark):
+    def held():
+        return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+
+    before = held()
+    with pytest.raises(ZeroDivisionError), staging.scratch(spark):
+        kept = staging.stage(spark.range(3), "kept", lasting=True)
+        with staging.scratch(spark):
+            assert staging.stage(spark.range(5), "inner").count() == 5
+        outer = staging.stage(spark.range(4), "outer")
+        assert outer.count() == 4 and len(held() - before) == 2
+        raise ZeroDivisionError
+    assert kept.count() == 3 and [n.split("-")[0] for n in held() - before] == ["kept"]
+
+
 def test_components_of_pairs(spark):
     rng = np.random.default_rng(4)
     chain = [(i, i + 1) for i in range(0, 300)] + [(i, i + 2) for i in range(400, 480)]
