@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rollscan.llm import bloom, exactdedup, mixing, ngramjoin, packing, toxicity
 from rollscan.llm.common import held_out, stage, table
+from rollscan.staging import scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the documents of sf_dir."""
+    """The stages in order over the documents of sf_dir. A stage's own tables go once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stage(step(spark, docs, sf_dir), name, lasting=True)
     return docs
