@@ -187,3 +187,8 @@ def test_flat_field_keeps_a_flat_frame(spark):
     cells = spark.createDataFrame([(1, 0, y, x, 100.0) for y in range(12) for x in range(12)], "roll_id int, frame_index int, y int, x int, value double")
     assert {r.value for r in raster.flat_field(cells, 3.0).collect()} <= {99, 100}
     assert raster.upsampled(cells, 2, 0).agg(F.min("value"), F.max("value"), F.count("*")).first() == (pytest.approx(100), pytest.approx(100), 576)
+
+
+def test_flat_field_does_not_cut_a_whole_number_for_its_last_digit(spark):
+    cells = spark.createDataFrame([(1, 0, y, x, 0.29 * 100) for y in range(12) for x in range(12)], "roll_id int, frame_index int, y int, x int, value double")
+    assert 0.29 * 100 < 29 and {r.value for r in raster.flat_field(cells, 5.0).collect()} == {29}
