@@ -13,6 +13,8 @@ from rollscan.staging import sized, stage
 
 #: Bytes of pivots that every task may hold.
 PIVOT_BYTES = 32 << 20
+#: Rows and points that meet in one product, so that a task holds 8 MB of it, however large batch and bank are.
+ROWS, POINTS = 512, 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -52,10 +54,19 @@ def _in_blocks(q: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def _least(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Distances to the nearest point: candidates by a product, the distance itself summed term by term, in order."""
-    square = (x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)
-    near = points[square.argmin(1)]
-    return np.sqrt(np.cumsum((x - near) ** 2, axis=1)[:, -1])
+    """Distances to the nearest point: candidates by products of ROWS and POINTS, the distance itself summed term by term, in order."""
+    best, least, norms = np.zeros(len(x), np.int64), np.full(len(x), np.inf), (points**2).sum(1)
+    for j in range(0, len(points), POINTS):
+        some = points[j : j + POINTS].T
+        for i in range(0, len(x), ROWS):
+            at = slice(i, i + ROWS)
+            square = (-2 * x[at]) @ some
+            square += norms[j : j + POINTS]
+            own = square.argmin(1)
+            value = square[np.arange(len(own)), own]
+            nearer = value < least[at]
+            best[at], least[at] = np.where(nearer, own + j, best[at]), np.where(nearer, value, least[at])
+    return np.sqrt(np.cumsum((x - points[best]) ** 2, axis=1)[:, -1])
 
 
 def _pivots(b: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, int]] | None:
@@ -87,6 +98,14 @@ def _apart(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """batches in slices whose rows times width are at most ROWS * POINTS."""
+    rows = max(1, ROWS * POINTS // max(1, width))
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _groups(keys: list) -> Iterator[tuple[str, np.ndarray]]:
     names = np.array(keys, object)
     for k in set(keys):
@@ -110,7 +129,7 @@ def nearest(q: DataFrame, b: DataFrame) -> DataFrame:
 
     def to_balls(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, first = shared.value
-        for batch in batches:
+        for batch in _pieces(batches, max(map(len, pivots.values()), default=1)):
             keys, x = batch.column("k").to_pylist(), _matrix(batch.column("embedding"))
             ball, far = np.zeros(len(keys), np.int64), np.zeros(len(keys))
             for k, at in _groups(keys):
@@ -130,7 +149,7 @@ def nearest(q: DataFrame, b: DataFrame) -> DataFrame:
     def met(batches: Iterable[pa.RecordBatch], bound: bool) -> Iterator[pa.RecordBatch]:
         """The balls that each query meets: the nearest one, or (bound) all others within reach of its distance so far."""
         (pivots, first), (radius, size) = shared.value, balls.value
-        for batch in batches:
+        for batch in _pieces(batches, max(map(len, pivots.values()), default=1)):
             keys, x = batch.column("k").to_pylist(), _matrix(batch.column("embedding"))
             so_far = batch.column("distance").to_numpy() if bound else None
             rows, cells = [], []

@@ -1,11 +1,13 @@
 """A caller's model behind the scorer seam, and banks fitted and scored in one job."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from rollscan.operators import bank, evaluate
+from rollscan.operators import bank, evaluate, neighbours
 
 
 def test_caller_model(spark):
@@ -55,6 +57,17 @@ def test_bank_scores_are_those_of_plain_loops(spark):
         assert r.score == pytest.approx(np.linalg.norm(held - pool[r.tile, r.gy, r.gx], axis=1).min(), abs=1e-5)
 
 
+def test_products_of_a_large_bank_stay_small():
+    rng = np.random.default_rng(5)
+    x, points = rng.normal(size=(3000, 4)), rng.normal(size=(9000, 4))
+    tracemalloc.start()
+    got = neighbours._least(x, points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # all pairs are 216 MB
+    assert all(got[i] == pytest.approx(np.linalg.norm(points - x[i], axis=1).min(), abs=1e-12) for i in range(0, 3000, 100))
+
+
 def test_bank_knows_its_own(spark):
     rng = np.random.default_rng(0)
     rows = [(s, t, y, x, (rng.normal(size=6) + 5 * (s == "b")).astype(float).tolist()) for s in "ab" for t in range(4) for y in range(3) for x in range(3)]
