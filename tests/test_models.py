@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -99,3 +100,16 @@ def test_sweep_and_halves(spark):
     assert got == [(3, 1, None, 0), (6, 0, 3, 0.75), (7, 0, 1, 1)]
     images = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1)], "code string, image int")
     assert [(r.image, r.half) for r in evaluate.half_split(images, "code", "image").orderBy("image").collect()] == [(0, "fit"), (1, "fit"), (2, "test"), (3, "test"), (4, "test")]
+
+
+def test_banks_meet_queries_in_pieces(monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 4)
+    monkeypatch.setattr(neighbours, "POINTS", 7)
+    x = np.random.default_rng(6).normal(size=(120, 3)).astype(np.float32)
+    q = x[40:].astype(float)
+    for k in range(3):
+        want = [min(np.linalg.norm(v - x[j]) for j in range(40) if j % 3 == k) for v in q]
+        assert neighbours._least(q, x[:40][k::3].astype(float)) == pytest.approx(want)
+    batch = pa.RecordBatch.from_pylist([{"row": i} for i in range(50)])
+    cut = list(neighbours._pieces([batch, batch], 9))
+    assert max(b.num_rows for b in cut) == 3 and [r["row"] for b in cut for r in b.to_pylist()] == [*range(50)] * 2
