@@ -16,10 +16,17 @@ def origins(length: Column, size: Column, overlap: Column, drop_partial: bool =
     return F.when(length < size, F.array().cast("array<int>")).otherwise(plain if drop_partial else flush)
 
 
-def tile_grid(frames: DataFrame, size: int | Column = 512, overlap: int | Column = 64, drop_partial: bool = False) -> DataFrame:
-    """Tiles (tile_index in reading order, x, y) of frames (keys, h, w). A frame smaller than a tile has none."""
+def dealt(frames: DataFrame, *keys: str) -> DataFrame:
+    """frames in as many parts as a shuffle has (by keys, if any): a small file of frames is one task, their tiles are many."""
+    return frames.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def tile_grid(frames: DataFrame, size: int | Column = 512, overlap: int | Column = 64, drop_partial: bool = False, most: int | None = None) -> DataFrame:
+    """Tiles (tile_index in reading order, x, y) of frames (keys, h, w), or the first `most` of each frame. A frame smaller
+    than a tile has none."""
     size, overlap = (F.lit(v) if isinstance(v, int) else v for v in (size, overlap))
     both = F.flatten(F.transform(origins(F.col("h"), size, overlap, drop_partial), lambda y: F.transform(origins(F.col("w"), size, overlap, drop_partial), lambda x: F.struct(x.alias("x"), y.alias("y")))))
+    both = F.slice(both, 1, most) if most is not None else both
     return frames.select("*", size.alias("size"), F.posexplode(both).alias("tile_index", "at")).select("*", "at.x", "at.y").drop("at")
 
 

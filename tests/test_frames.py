@@ -192,3 +192,13 @@ def test_flat_field_keeps_a_flat_frame(spark):
 def test_flat_field_does_not_cut_a_whole_number_for_its_last_digit(spark):
     cells = spark.createDataFrame([(1, 0, y, x, 0.29 * 100) for y in range(12) for x in range(12)], "roll_id int, frame_index int, y int, x int, value double")
     assert 0.29 * 100 < 29 and {r.value for r in raster.flat_field(cells, 5.0).collect()} == {29}
+
+
+def test_first_tiles_of_frames_are_those_of_all_tiles(spark):
+    df = tiles.dealt(spark.createDataFrame([(i, 100 + 7 * i, 90 + 11 * i) for i in range(9)], "roll_id int, h int, w int").coalesce(1), "roll_id")
+    assert df.rdd.getNumPartitions() == 4
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    whole = tiles.tile_grid(df, 64, 16)
+    assert rows(tiles.tile_grid(df, 64, 16, most=3)) == rows(whole.filter("tile_index < 3")) != rows(whole)
+    first = lambda t: tiles.first_tiles(t.withColumn("frame_index", F.lit(0)), 3)
+    assert rows(first(tiles.tile_grid(df, 64, 16, most=3))) == rows(first(whole))
