@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollscan.functions.sql import register
 from rollscan.operators import bank, components, evaluate, neighbours, params, positions, report, tiles, track
-from rollscan.plans import views
+from rollscan.plans import queries, views
 from rollscan.sources import frames, images, snapshots, store
 from rollscan.staging import stage
 from rollscan.streaming import live, teach
@@ -329,6 +329,18 @@ def test_sql_functions(spark):
             spark.sql(f"SELECT * FROM {bad}").collect()
 
 
+def test_table_function_lays_out_each_shape_once(spark, tmp_path):
+    part = spark.range(4000).select(F.col("id").alias("p_partkey"), (F.col("id") % 3 * 10 + 1).cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    laid = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queries, "stage", lambda df, name: laid.append(stage(df, name)) or laid[-1])
+        got = queries.QUERIES["tile_grid_sql"](spark, str(tmp_path))
+    assert len(laid) == 1 and laid[0].select("h", "w").distinct().count() == 3 and laid[0].count() < 100
+    want = queries.QUERIES["tile_grid"](spark, str(tmp_path)).select(got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 def test_live_positions_equal_batch(spark, tmp_path):
     frames = views.frames(spark, SF).select("roll_id", "frame_index", "ts_s", "measured_mm", "mm_per_px")
     for part in range(3):
