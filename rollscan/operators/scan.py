@@ -12,6 +12,17 @@ from rollscan.staging import sized, stage
 PART = "_part"
 
 
+#: Rows of a part in clustered().
+ROWS = 400_000
+
+
+def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by keys in parts of some ROWS rows (counted), as many as a shuffle has at least, so that what a task sorts does
+    not grow with df. A single group is one part."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+    return df.repartition(n, *keys)
+
+
 def ranged(df: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
     """df dealt in ranges of (keys, order), with PART. Rows that agree in all of these share a range."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

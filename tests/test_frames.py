@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from rollscan.operators import components, positions, raster, tiles, track
+from rollscan.operators import components, positions, raster, scan, tiles, track
 
 
 def test_marker_scale_and_position(spark):
@@ -202,3 +202,12 @@ def test_first_tiles_of_frames_are_those_of_all_tiles(spark):
     assert rows(tiles.tile_grid(df, 64, 16, most=3)) == rows(whole.filter("tile_index < 3")) != rows(whole)
     first = lambda t: tiles.first_tiles(t.withColumn("frame_index", F.lit(0)), 3)
     assert rows(first(tiles.tile_grid(df, 64, 16, most=3))) == rows(first(whole))
+
+
+def test_lane_runs_need_no_numbers_and_parts_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS", 1)
+    assert scan.clustered(spark.range(9), ["id"]).rdd.getNumPartitions() == 9
+    rows = [(1, 1, 0.0, 5.0, 40.0, 3.0), (1, 1, 0.0, 5.0, 40.0, 9.0), (1, 1, 90.0, 5.0, 10.0, 1.0), (1, 1, 151.0, 5.0, 10.0, 2.0), (1, 1, 151.0, 5.0, 10.0, 4.0)]
+    d = spark.createDataFrame(rows, "sku int, roll_id int, along_mm double, across_mm double, length_mm double, max_score double")
+    got = track.lane_runs(d)
+    assert sorted((r.run, r.along_start_mm, r.along_end_mm, r.max_score, r.n_detections) for r in got.collect()) == [(0, 0, 100, 9, 3), (1, 151, 161, 4, 2)]
