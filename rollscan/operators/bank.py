@@ -17,8 +17,8 @@ from rollscan.staging import shared_dir, sized, stage
 
 #: Bytes of a bank that every task may hold; larger ones are met in blocks.
 BROADCAST_BYTES = 64 << 20
-#: Pairs of queries and points up to which they are compared as rows.
-MOST_PAIRS = 2_000_000_000
+#: Pairs of queries and points above which nearest_distance_sql refuses them as rows, and above which nearest_pairs no longer makes rows of them.
+MOST_PAIRS, PAIR_ROWS = 2_000_000_000, 5_000_000
 
 
 def projection(spark: SparkSession, sku: str, d_in: int, d_out: int, seed: int = 0) -> DataFrame:
@@ -311,17 +311,34 @@ def _collected(b: DataFrame) -> dict[str, np.ndarray]:
 
 def nearest_distance_sql(queries: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
     """J1, J2 in built-in functions only, the form that SQL engines share. Every pair of a key is a row, so that more than
-    MOST_PAIRS (counted) are refused: nearest_distance is the way for them."""
-    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    pairs = count(queries, "n").join(count(bank, "m").hint("merge"), keys).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    MOST_PAIRS (counted) are refused: nearest_pairs is the way for them."""
+    pairs = _pairs(queries, bank, keys)
     if pairs > MOST_PAIRS:
-        raise ValueError(f"{pairs:.0f} pairs of queries and points are too many for this form; use nearest_distance")
+        raise ValueError(f"{pairs:.0f} pairs of queries and points are too many for this form; use nearest_pairs")
     square = F.aggregate(F.zip_with("embedding", "point", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     b = bank.select(*keys, F.col("embedding").alias("point"))
     joined = queries.join(b, keys)
     return joined.groupBy(*[c for c in queries.columns if c != "embedding"]).agg(F.min(F.sqrt(square)).alias("distance"))
 
 
+def _pairs(queries: DataFrame, bank: DataFrame, keys: list[str]) -> float:
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    return count(queries, "n").join(count(bank, "m").hint("merge"), keys).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+
+
+def nearest_pairs(queries: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of nearest_distance_sql, however many pairs there are. Above PAIR_ROWS pairs (counted) no pair is a row: blocks of
+    queries meet blocks of points of their key in products, dealt over all tasks. The work is still the pairs' number."""
+    if _pairs(queries, bank, keys) <= PAIR_ROWS:
+        return nearest_distance_sql(queries, bank, keys)
+    given = lambda df: df.dropna(subset=keys).withColumn("k", F.to_json(F.struct(*keys)))
+    q = stage(given(queries).withColumn("row", F.monotonically_increasing_id()), "queries")
+    meet = lambda df: df.filter("embedding IS NOT NULL")
+    least = _in_blocks(meet(q).select("row", "k", "embedding"), meet(given(bank)).select("k", "embedding"))
+    asked = q.join(sized(given(bank).select("k").distinct()), "k", "left_semi").join(least.select("row", "distance").hint("merge"), "row", "left")
+    return asked.groupBy(*[c for c in queries.columns if c != "embedding"]).agg(F.min("distance").alias("distance"))
+
+
 def bank_meta(spark: SparkSession, rows: list[tuple[str, str, int, str, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "sku string, backbone string, input_size int, layers string, projection_dim int")
 

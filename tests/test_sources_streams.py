@@ -246,6 +246,20 @@ def test_pair_rows_are_refused_above_their_bound(spark, monkeypatch):
         bank.nearest_distance_sql(v, v.drop("query_id"), ["sku"])
 
 
+def test_more_pairs_than_rows_meet_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(80, 6)).astype(np.float32)
+    rows = [("ab"[i % 3 == 0], i % 70, v.tolist()) for i, v in enumerate(x)] + [(None, 90, x[0].tolist()), ("c", 91, x[1].tolist()), ("a", 92, None)]
+    q = spark.createDataFrame(rows, "sku string, query_id long, embedding array<float>").repartition(3)
+    b = q.filter("query_id % 4 = 0 AND sku IS NOT NULL").select("sku", "embedding").union(q.filter("query_id = 92").select("sku", "embedding"))
+    got = lambda df: sorted((r.sku, r.query_id, r.distance) for r in df.collect())
+    want = got(bank.nearest_distance_sql(q, b, ["sku"]))
+    monkeypatch.setattr(bank, "MOST_PAIRS", 15)
+    monkeypatch.setattr(bank, "PAIR_ROWS", 15)
+    found = bank.nearest_pairs(q, b, ["sku"])
+    assert got(found) == want and {r[0] for r in want} == {"a", "b"} and ("a", 92, None) in want
+    assert got(bank.nearest_pairs(q.limit(0), b, ["sku"])) == []
+
+
 @pytest.mark.parametrize("held", [64 << 20, 0])
 def test_every_bank_scores_every_query(spark, monkeypatch, held):
     monkeypatch.setattr(bank, "BROADCAST_BYTES", held)
